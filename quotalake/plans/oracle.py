@@ -53,7 +53,9 @@ INV = f"""inv AS (
     CASE WHEN e.event_type <> 'error' THEN CAST(floor(e.value * 10) AS BIGINT) END AS output_tokens,
     CASE WHEN e.event_type = 'error' THEN {_list(fx.ERROR_TYPES)}[e.user_id % 3 + 1] END AS error_type,
     CAST(500 + e.event_id % 1500 AS BIGINT) AS latency_ms,
-    'user' || CAST(e.user_id AS VARCHAR) || '@company.com' AS caller
+    'user' || CAST(e.user_id AS VARCHAR) || '@company.com' AS caller,
+    e.user_id AS uid,
+    e.event_type = 'error' AS failed
   FROM events e
 )"""
 
@@ -157,4 +159,272 @@ GROUP BY 1, 2, 3"""),
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(_q())
+    out.update(_v())
+    out.update(_k())
     return out
+
+
+MONTH = fx.USAGE_MONTH
+IN_MONTH = f"strftime(ts, '%Y-%m') = '{MONTH}'"
+TOT = "(input_tokens + output_tokens)"
+
+
+def _v() -> dict[str, str]:
+    d30 = since_days(30)
+    recent = since_hours(1)
+    return {
+        "cost_by_user_tenant": _sql(f"""
+SELECT user_id AS user_email, tenant, COUNT(*) AS invocations,
+       CAST(SUM(input_tokens) AS BIGINT) AS input_tokens, CAST(SUM(output_tokens) AS BIGINT) AS output_tokens,
+       {cost_4dp('SUM(input_tokens)', 'SUM(output_tokens)')} AS estimated_cost_usd
+FROM inv WHERE ts >= {d30} GROUP BY 1, 2"""),
+        "cost_by_user": _sql(f"""
+SELECT user_id, CAST(SUM({TOT}) AS BIGINT) AS total_tokens,
+       {cost_4dp('SUM(input_tokens)', 'SUM(output_tokens)')} AS cost_usd
+FROM inv WHERE ts >= {d30} GROUP BY 1"""),
+        "split_cost_by_user": _sql(f"""
+SELECT user_id, CAST(SUM({TOT}) AS BIGINT) AS tokens,
+       {cost_4dp('SUM(input_tokens)', '0')} AS input_cost,
+       {cost_4dp('0', 'SUM(output_tokens)')} AS output_cost
+FROM inv WHERE {IN_MONTH} GROUP BY 1"""),
+        "tenant_cost_month": _sql(f"""
+SELECT tenant, CAST(SUM({TOT}) AS BIGINT) AS tokens,
+       {cost_2dp('SUM(input_tokens)', 'SUM(output_tokens)')} AS cost_usd
+FROM inv WHERE {IN_MONTH} GROUP BY 1"""),
+        "department_chargeback": _sql(f"""
+SELECT department AS dept, COUNT(*) AS calls, CAST(SUM({TOT}) AS BIGINT) AS tokens,
+       {cost_2dp('SUM(input_tokens)', 'SUM(output_tokens)')} AS cost_usd
+FROM inv WHERE {IN_MONTH} GROUP BY 1"""),
+        "blended_cost_user": _sql(f"""
+SELECT user_id, CAST(SUM({TOT}) AS BIGINT) AS total_tokens,
+       CAST(SUM({TOT}) * 9 AS DOUBLE) / 1000000.0 AS cost_usd
+FROM inv WHERE {IN_MONTH} GROUP BY 1"""),
+        "blended_cost_department": _sql(f"""
+SELECT department, CAST(SUM({TOT}) AS BIGINT) AS total_tokens,
+       CAST(SUM({TOT}) * 9 AS DOUBLE) / 1000000.0 AS cost_usd
+FROM inv WHERE {IN_MONTH} GROUP BY 1"""),
+        "blended_cost_tenant": _sql(f"""
+SELECT tenant, COUNT(*) AS invocation_count, CAST(SUM({TOT}) AS BIGINT) AS total_tokens,
+       CAST((SUM({TOT}) * 9 + 5000) // 10000 AS DOUBLE) / 100.0 AS cost_usd
+FROM inv WHERE {IN_MONTH} GROUP BY 1"""),
+        "cost_by_project": _sql(f"""
+SELECT project, CAST(SUM(input_tokens * 3 + output_tokens * 15) AS DOUBLE) / 1000000.0 AS cost_usd
+FROM inv WHERE {IN_MONTH} GROUP BY 1"""),
+        "tenant_user_department_usage": _sql(f"""
+SELECT user_id, tenant, department, CAST(SUM({TOT}) AS BIGINT) AS tokens, COUNT(*) AS calls
+FROM inv WHERE {IN_MONTH} AND tenant = 'tenant_a' GROUP BY 1, 2, 3"""),
+        "daily_tokens_by_user": _sql(f"""
+SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, user_id, CAST(SUM({TOT}) AS BIGINT) AS tokens
+FROM inv WHERE {IN_MONTH} GROUP BY 1, 2"""),
+        "recent_calls": _sql(f"""
+SELECT user_id, tenant, COUNT(*) AS calls FROM inv WHERE ts > {recent} GROUP BY 1, 2"""),
+        "tenant_invocations_5m": _sql(f"""
+SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS bucket_start, COUNT(*) AS invocations
+FROM inv WHERE profile_id = '{fx.TENANT_PROFILES[0][0]}' AND ts >= {recent} GROUP BY 1"""),
+    }
+
+
+def _policy_rows() -> str:
+    return ", ".join(
+        f"('{t}', '{i}', {m}, {d}, '{mode}')" for t, i, m, d, mode in fx.FIXTURE_POLICIES if t != "user")
+
+
+_USER_LIMITS = ", ".join(
+    f"('{i}', {'NULL' if m is None else m}, {'NULL' if d is None else d})"
+    for t, i, m, d, _ in fx.FIXTURE_POLICIES if t == "user")
+
+# Users, policies, resolved policy per user, calls, counters (section 2.5).
+QUOTA_CTES = f"""
+, users AS (
+  SELECT DISTINCT caller AS user_id, {_list(fx.GROUPS)}[uid % 5 + 1] AS user_group,
+         {_list(fx.TENANTS)}[uid % 4 + 1] AS tenant, {_list(fx.DEPARTMENTS)}[uid % 6 + 1] AS department
+  FROM inv WHERE uid % 25 <> 24
+), own AS (
+  SELECT * FROM (VALUES {_USER_LIMITS}) AS t(user_id, monthly_limit, daily_limit)
+), pol AS (
+  SELECT * FROM (VALUES {_policy_rows()}) AS t(policy_type, identifier, monthly_limit, daily_limit, enforcement_mode)
+  UNION ALL
+  SELECT 'user', o.user_id, CAST(o.monthly_limit AS BIGINT), CAST(o.daily_limit AS BIGINT), 'block'
+  FROM own o JOIN users u USING (user_id)
+), res AS (
+  SELECT u.user_id, u.user_group, u.tenant, u.department,
+    CASE WHEN up.identifier IS NOT NULL THEN 'user' WHEN gp.identifier IS NOT NULL THEN 'group'
+         WHEN dp.identifier IS NOT NULL THEN 'default' ELSE 'builtin' END AS policy_source,
+    CAST(CASE WHEN up.identifier IS NOT NULL THEN coalesce(up.monthly_limit, 0)
+         WHEN gp.identifier IS NOT NULL THEN coalesce(gp.monthly_limit, 0)
+         WHEN dp.identifier IS NOT NULL THEN coalesce(dp.monthly_limit, 0) ELSE 100000000 END AS BIGINT) AS monthly_limit,
+    CAST(CASE WHEN up.identifier IS NOT NULL THEN coalesce(up.daily_limit, 0)
+         WHEN gp.identifier IS NOT NULL THEN coalesce(gp.daily_limit, 0)
+         WHEN dp.identifier IS NOT NULL THEN coalesce(dp.daily_limit, 0) ELSE 5000000 END AS BIGINT) AS daily_limit,
+    CASE WHEN up.identifier IS NOT NULL THEN coalesce(up.enforcement_mode, 'block')
+         WHEN gp.identifier IS NOT NULL THEN coalesce(gp.enforcement_mode, 'block')
+         WHEN dp.identifier IS NOT NULL THEN coalesce(dp.enforcement_mode, 'block') ELSE 'alert' END AS enforcement_mode,
+    CAST(CASE WHEN up.identifier IS NOT NULL THEN coalesce(up.monthly_limit, 1)
+         WHEN gp.identifier IS NOT NULL THEN coalesce(gp.monthly_limit, 1)
+         WHEN dp.identifier IS NOT NULL THEN coalesce(dp.monthly_limit, 1) ELSE 100000000 END AS BIGINT) AS metric_monthly_limit,
+    CAST(CASE WHEN up.identifier IS NOT NULL THEN coalesce(up.daily_limit, 1)
+         WHEN gp.identifier IS NOT NULL THEN coalesce(gp.daily_limit, 1)
+         WHEN dp.identifier IS NOT NULL THEN coalesce(dp.daily_limit, 1) ELSE 5000000 END AS BIGINT) AS metric_daily_limit
+  FROM users u
+  LEFT JOIN pol up ON up.policy_type = 'user' AND up.identifier = u.user_id
+  LEFT JOIN pol gp ON gp.policy_type = 'group' AND gp.identifier = u.user_group
+  LEFT JOIN pol dp ON dp.policy_type = 'default' AND dp.identifier = 'default'
+), calls AS (
+  SELECT request_id, ts, caller AS user_id, input_tokens, output_tokens, failed, latency_ms,
+         CASE WHEN failed THEN 0 ELSE coalesce(input_tokens, 0) + coalesce(output_tokens, 0) END AS tokens
+  FROM inv
+), daily AS (
+  SELECT user_id AS user_email, CAST(ts AS DATE) AS d,
+         CAST(SUM(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)) AS BIGINT) AS tokens_used,
+         MAX(ts) AS last_updated
+  FROM inv WHERE user_id IS NOT NULL AND error_type IS NULL GROUP BY 1, 2
+), counters AS (
+  SELECT user_email, 'monthly_' || strftime(m, '%Y-%m') AS metric_period, tokens_used, last_updated,
+         epoch_us(CAST(m AS TIMESTAMP)) // 1000000 + {60 * 86400} AS ttl
+  FROM (SELECT user_email, date_trunc('month', d) AS m, CAST(SUM(tokens_used) AS BIGINT) AS tokens_used,
+               MAX(last_updated) AS last_updated FROM daily GROUP BY 1, 2)
+  UNION ALL
+  SELECT user_email, 'daily_' || strftime(d, '%Y-%m-%d'), tokens_used, last_updated,
+         epoch_us(last_updated) // 1000000 + {7 * 86400}
+  FROM daily
+), k AS (
+  SELECT c.*, r.user_group, r.tenant, r.department, r.policy_source, r.monthly_limit, r.daily_limit,
+         r.enforcement_mode, r.metric_monthly_limit, r.metric_daily_limit
+  FROM calls c JOIN res r USING (user_id)
+), s1 AS (
+  SELECT *, coalesce(SUM(tokens) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, request_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < daily_limit AS day_ok FROM k
+), s2 AS (
+  SELECT *, coalesce(SUM(CASE WHEN day_ok THEN tokens ELSE 0 END) OVER (PARTITION BY user_id, date_trunc('month', ts)
+            ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m_ok FROM s1
+), s3 AS (
+  SELECT *, CASE WHEN enforcement_mode = 'block' THEN day_ok AND m_ok < monthly_limit ELSE TRUE END AS allowed FROM s2
+), s4 AS (
+  SELECT *, CASE WHEN allowed THEN tokens ELSE 0 END AS charged_tokens FROM s3
+), replay AS (
+  SELECT request_id, ts, user_id, user_group, tenant, department, policy_source, enforcement_mode,
+         monthly_limit, daily_limit, metric_monthly_limit, metric_daily_limit, tokens, failed, allowed, charged_tokens,
+         CAST(coalesce(SUM(charged_tokens) OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, request_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS monthly_usage,
+         CAST(coalesce(SUM(charged_tokens) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, request_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS daily_usage,
+         CASE WHEN NOT allowed THEN 429 WHEN failed THEN 500 ELSE 200 END AS status
+  FROM s4
+)"""
+
+REPLAY_COLS = ("request_id, ts, user_id, policy_source, enforcement_mode, monthly_limit, daily_limit, tokens, "
+               "allowed, charged_tokens, monthly_usage, daily_usage, status")
+
+
+def _qsql(body: str) -> str:
+    return f"WITH {INV}{QUOTA_CTES}\n{body}"
+
+
+def _k() -> dict[str, str]:
+    recent = _ts(fx.AS_OF_RECENT)
+    mk, dk = f"monthly_{fx.AS_OF_RECENT:%Y-%m}", f"daily_{fx.AS_OF_RECENT:%Y-%m-%d}"
+    check = f"""
+SELECT r.user_id, r.enforcement_mode,
+       CAST(coalesce(u.m, 0) AS BIGINT) AS monthly_usage, r.monthly_limit,
+       CAST(coalesce(u.d, 0) AS BIGINT) AS daily_usage, r.daily_limit,
+       coalesce(u.m, 0) >= r.monthly_limit AS monthly_exceeded,
+       coalesce(u.d, 0) >= r.daily_limit AS daily_exceeded
+FROM res r LEFT JOIN (
+  SELECT user_email AS user_id, SUM(CASE WHEN metric_period = '{mk}' THEN tokens_used END) AS m,
+         SUM(CASE WHEN metric_period = '{dk}' THEN tokens_used END) AS d
+  FROM counters WHERE metric_period IN ('{mk}', '{dk}') GROUP BY 1) u USING (user_id)"""
+    allowed = ("CASE WHEN enforcement_mode = 'block' THEN NOT (monthly_exceeded OR daily_exceeded) "
+               "ELSE TRUE END")
+    return {
+        "enrich_identity": _qsql("""
+SELECT c.request_id, c.ts, c.user_id, c.input_tokens, c.output_tokens, c.failed, c.latency_ms,
+       coalesce(u.user_group, 'default') AS user_group, coalesce(u.tenant, 'default') AS tenant,
+       coalesce(u.department, 'unknown') AS department, 'hybrid-gateway' AS source,
+       u.user_id IS NOT NULL AS known_user
+FROM calls c LEFT JOIN users u USING (user_id)"""),
+        "resolve_policy": _qsql("SELECT * FROM res"),
+        "usage_counters": _qsql("SELECT * FROM counters"),
+        "check_quota": _qsql(f"SELECT *, {allowed} AS allowed FROM ({check})"),
+        "quota_remaining": _qsql(f"""
+SELECT user_id, monthly_limit, monthly_usage AS monthly_used, monthly_limit - monthly_usage AS monthly_remaining,
+       daily_limit, daily_usage AS daily_used, daily_limit - daily_usage AS daily_remaining
+FROM ({check})"""),
+        "quota_replay": _qsql(f"""
+SELECT {REPLAY_COLS} FROM replay
+UNION ALL
+SELECT request_id, ts, user_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+       CASE WHEN user_id IS NULL THEN 400 ELSE 404 END
+FROM calls WHERE user_id NOT IN (SELECT user_id FROM users)"""),
+        "quota_exceeded_messages": _qsql("""
+SELECT request_id, user_id, 429 AS status, 'Quota exceeded' AS error,
+       concat_ws(' | ',
+         CASE WHEN monthly_usage >= monthly_limit THEN
+           'Monthly quota exceeded (' || monthly_usage || '/' || monthly_limit || ' tokens)' END,
+         CASE WHEN daily_usage >= daily_limit THEN
+           'Daily quota exceeded (' || daily_usage || '/' || daily_limit || ' tokens)' END) AS message,
+       3600 AS retry_after, monthly_usage AS monthly_used, monthly_limit, daily_usage AS daily_used, daily_limit
+FROM replay WHERE NOT allowed"""),
+        "quota_metrics": _qsql("""
+SELECT request_id, ts, user_id, coalesce(tenant, 'unknown') AS tenant,
+       CASE WHEN metric_monthly_limit > 0 THEN (monthly_usage + charged_tokens) / metric_monthly_limit * 100
+            ELSE 0.0 END AS monthly_pct,
+       CASE WHEN metric_daily_limit > 0 THEN (daily_usage + charged_tokens) / metric_daily_limit * 100
+            ELSE 0.0 END AS daily_pct,
+       charged_tokens AS tokens_used
+FROM replay WHERE status = 200"""),
+        "expire_counters": _qsql(f"""
+SELECT * FROM counters WHERE ttl > epoch_us({_ts(fx.AS_OF)}) // 1000000"""),
+        "initialize_counters": _qsql(f"""
+, p AS (
+  SELECT user_id AS user_email, '{mk}' AS metric_period,
+         epoch_us(TIMESTAMP '{fx.AS_OF_RECENT:%Y-%m}-01 00:00:00') // 1000000 + {60 * 86400} AS ttl FROM users
+  UNION ALL
+  SELECT user_id, '{dk}', epoch_us({recent}) // 1000000 + {7 * 86400} FROM users
+)
+SELECT user_email, metric_period, tokens_used, last_updated, ttl FROM counters
+UNION ALL
+SELECT p.user_email, p.metric_period, CAST(0 AS BIGINT), {recent}, p.ttl FROM p
+WHERE NOT EXISTS (SELECT 1 FROM counters c WHERE c.user_email = p.user_email AND c.metric_period = p.metric_period)
+""").replace(")\n\n, p AS", "), p AS").replace("\n\n, p AS", ", p AS"),
+        "monthly_usage_report": _qsql("""
+SELECT user_email, metric_period, tokens_used, last_updated FROM counters WHERE metric_period LIKE 'monthly%'"""),
+        "policy_report": _qsql("""
+SELECT policy_type, identifier, monthly_limit, daily_limit, coalesce(enforcement_mode, 'unknown') AS enforcement_mode,
+       format('{:,}', CAST(round(coalesce(monthly_limit, 0) / 1e6) AS BIGINT)) || 'M' AS monthly_limit_m,
+       format('{:,}', CAST(round(coalesce(daily_limit, 0) / 1e6) AS BIGINT)) || 'M' AS daily_limit_m
+FROM pol"""),
+        "user_quota_tracking_joined": _qsql(f"""
+, u AS (
+  SELECT user_id, CAST(SUM({TOT}) AS BIGINT) AS tokens_used FROM inv
+  WHERE {ACCT} AND date_trunc('month', ts) = TIMESTAMP '2024-02-01 00:00:00' GROUP BY 1
+)
+SELECT u.user_id, u.tokens_used, coalesce(r.monthly_limit, 100000000) AS monthly_limit,
+       coalesce(r.policy_source, 'builtin') AS policy_source,
+       {pct_2dp('u.tokens_used', 'coalesce(r.monthly_limit, 100000000)')} AS usage_percentage
+FROM u LEFT JOIN res r USING (user_id)""").replace(")\n\n, u AS", "), u AS"),
+        "user_period_history": _qsql("""
+SELECT * FROM counters WHERE user_email = 'user3@company.com' AND metric_period LIKE 'daily_%'"""),
+        "request_outcomes": _qsql("""
+, o AS (
+  SELECT status FROM replay
+  UNION ALL SELECT CASE WHEN user_id IS NULL THEN 400 ELSE 404 END FROM calls
+  WHERE user_id NOT IN (SELECT user_id FROM users)
+)
+SELECT status, COUNT(*) AS calls,
+       CASE status WHEN 200 THEN 'ok' WHEN 400 THEN 'missing_user_id' WHEN 404 THEN 'unknown_user'
+                   WHEN 429 THEN 'quota_exceeded' WHEN 500 THEN 'model_failure' END AS outcome
+FROM o GROUP BY status""").replace(")\n\n, o AS", "), o AS"),
+        "current_usage": _qsql(f"""
+SELECT u.user_id,
+       CAST(coalesce(c.m, 0) AS BIGINT) AS monthly_tokens,
+       coalesce(CAST(c.mu AS VARCHAR), 'unknown') AS monthly_last_updated,
+       CAST(coalesce(c.d, 0) AS BIGINT) AS daily_tokens,
+       coalesce(CAST(c.du AS VARCHAR), 'unknown') AS daily_last_updated
+FROM users u LEFT JOIN (
+  SELECT user_email AS user_id,
+         SUM(CASE WHEN metric_period = '{mk}' THEN tokens_used END) AS m,
+         MAX(CASE WHEN metric_period = '{mk}' THEN last_updated END) AS mu,
+         SUM(CASE WHEN metric_period = '{dk}' THEN tokens_used END) AS d,
+         MAX(CASE WHEN metric_period = '{dk}' THEN last_updated END) AS du
+  FROM counters WHERE metric_period IN ('{mk}', '{dk}') GROUP BY 1) c USING (user_id)"""),
+    }

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quotalake.operators import quota as K
 from quotalake.operators import usage as U
+from quotalake.operators import variants as V
 from quotalake.operators.normalize import normalize_invocations
 from quotalake.sources import fixtures as fx
 
@@ -34,7 +36,73 @@ def _usage_queries() -> dict[str, Query]:
     }
 
 
+def _variant_queries() -> dict[str, Query]:
+    A, R, M = fx.AS_OF, fx.AS_OF_RECENT, fx.USAGE_MONTH
+    inv = invocations
+    return {
+        "cost_by_user_tenant": lambda s, d: V.cost_by_user_tenant(inv(s, d), A),
+        "cost_by_user": lambda s, d: V.cost_by_user(inv(s, d), A),
+        "split_cost_by_user": lambda s, d: V.split_cost_by_user(inv(s, d), M),
+        "tenant_cost_month": lambda s, d: V.tenant_cost_month(inv(s, d), M),
+        "department_chargeback": lambda s, d: V.department_chargeback(inv(s, d), M),
+        "blended_cost_user": lambda s, d: V.blended_cost_by(inv(s, d), "user", M),
+        "blended_cost_department": lambda s, d: V.blended_cost_by(inv(s, d), "department", M),
+        "blended_cost_tenant": lambda s, d: V.blended_cost_by(inv(s, d), "tenant", M, dp=2, with_counts=True),
+        "cost_by_project": lambda s, d: V.cost_by_dimension(inv(s, d), "project", M),
+        "tenant_user_department_usage": lambda s, d: V.tenant_user_department_usage(inv(s, d), "tenant_a", M),
+        "daily_tokens_by_user": lambda s, d: V.daily_tokens_by_user(inv(s, d), M),
+        "recent_calls": lambda s, d: V.recent_calls(inv(s, d), R),
+        "tenant_invocations_5m": lambda s, d: V.tenant_invocations_5m(
+            inv(s, d), fx.TENANT_PROFILES[0][0], R),
+    }
+
+
+def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8 over the fixture: every gateway call, fixture users and policies."""
+    return K.quota_replay(fx.gateway_calls(spark, sf_dir), fx.user_metadata(spark, sf_dir),
+                          fx.quota_policies(spark, sf_dir))
+
+
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.usage_counters(invocations(spark, sf_dir))
+
+
+REPLAY_COLUMNS = ["request_id", "ts", "user_id", "policy_source", "enforcement_mode", "monthly_limit",
+                  "daily_limit", "tokens", "allowed", "charged_tokens", "monthly_usage", "daily_usage",
+                  "status"]
+
+
+def _quota_queries() -> dict[str, Query]:
+    A, R = fx.AS_OF, fx.AS_OF_RECENT
+    users, pols = fx.user_metadata, fx.quota_policies
+
+    def check(s, d):
+        return K.check_quota(users(s, d), pols(s, d), counters(s, d), R)
+
+    return {
+        "enrich_identity": lambda s, d: K.enrich_identity(fx.gateway_calls(s, d), users(s, d), "default"),
+        "resolve_policy": lambda s, d: K.resolve_policy(users(s, d), pols(s, d)),
+        "usage_counters": counters,
+        "check_quota": check,
+        "quota_remaining": lambda s, d: K.quota_remaining(check(s, d)),
+        "quota_replay": lambda s, d: replay(s, d).select(*REPLAY_COLUMNS),
+        "quota_exceeded_messages": lambda s, d: K.quota_exceeded_messages(replay(s, d)),
+        "quota_metrics": lambda s, d: K.quota_metrics(replay(s, d)),
+        "expire_counters": lambda s, d: K.expire_counters(counters(s, d), A),
+        "initialize_counters": lambda s, d: K.initialize_counters(users(s, d), counters(s, d), R),
+        "monthly_usage_report": lambda s, d: K.monthly_usage_report(counters(s, d)),
+        "policy_report": lambda s, d: K.policy_report(pols(s, d)),
+        "user_quota_tracking_joined": lambda s, d: K.user_quota_tracking_joined(
+            invocations(s, d), users(s, d), pols(s, d), A, fx.ACCOUNT),
+        "user_period_history": lambda s, d: K.user_period_history(counters(s, d), "user3@company.com", "daily_"),
+        "request_outcomes": lambda s, d: K.request_outcomes(replay(s, d)),
+        "current_usage": lambda s, d: K.current_usage(users(s, d), counters(s, d), R),
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(_usage_queries())
+    out.update(_variant_queries())
+    out.update(_quota_queries())
     return out

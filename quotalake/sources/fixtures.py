@@ -127,12 +127,37 @@ def user_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit("2024-01-01T00:00:00Z").alias("updatedAt")))
 
 
-def quota_policies(spark: SparkSession) -> DataFrame:
-    """The fixture's policy table (fixed configuration, nine rows)."""
+def quota_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policy table: fixed default and group rows plus one user row per user
+    whose metadata carries its own limits (derived from the user table)."""
+    from quotalake.sources.dims import derive_user_policies
+
     rows = [(t, i, m, d, mode, f"{t} policy for {i}", "2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z")
-            for t, i, m, d, mode in FIXTURE_POLICIES]
-    return spark.createDataFrame(rows, QUOTA_POLICIES)
+            for t, i, m, d, mode in FIXTURE_POLICIES if t != "user"]
+    users = user_metadata(spark, sf_dir).where(
+        F.col("monthlyLimit").isNotNull() | F.col("dailyLimit").isNotNull())
+    return spark.createDataFrame(rows, QUOTA_POLICIES).unionByName(derive_user_policies(users))
 
 
 def tenant_profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TENANT_PROFILES, "profile_id string, name string, tenant string, color string")
+
+
+def gateway_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as the gateway sees them: principal, time, tokens, failure flag.
+
+    Every event is one request by ``user{id}@company.com``; failed model
+    calls (event type ``error``) carry no token counts.
+    """
+    ev = events(spark, sf_dir)
+    is_error = F.col("event_type") == "error"
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return ev.select(
+        F.concat(F.lit("req-"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("request_id"),
+        F.timestamp_add("DAY", F.lit(TIME_SHIFT_DAYS), F.col("ts")).alias("ts"),
+        user_email(F.col("user_id")).alias("user_id"),
+        F.when(~is_error, k * 10).alias("input_tokens"),
+        F.when(~is_error, F.floor(F.col("value") * 10)).cast("bigint").alias("output_tokens"),
+        is_error.alias("failed"),
+        (F.lit(500) + F.col("event_id") % 1500).cast("bigint").alias("latency_ms"),
+    )
