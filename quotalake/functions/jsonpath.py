@@ -35,3 +35,21 @@ def json_scalar(parsed: Column, path: str) -> Column:
 def json_long(parsed: Column, path: str) -> Column:
     """Integer scalar at ``path``; text that is not an integer gives NULL (counted as reject)."""
     return json_scalar(parsed, path).try_cast("bigint")
+
+
+def json_struct(text: Column, keys: list[str]) -> Column:
+    """Parse JSON text once into a struct of string fields (object values keep their text)."""
+    schema = "struct<" + ", ".join(f"`{k}`: string" for k in keys) + ">"
+    return F.from_json(text, schema)
+
+
+def scalar_field(parsed: Column, text: Column, key: str) -> Column:
+    """Field ``key`` of ``json_struct`` output with scalar semantics.
+
+    ``from_json`` returns object / array values as their JSON text; only
+    values that begin with ``{`` or ``[`` take the exact VARIANT path of
+    ``json_scalar`` (CASE branches are lazy, ordinary rows never do).
+    """
+    value = parsed.getField(key)
+    suspicious = value.startswith("{") | value.startswith("[")
+    return F.when(suspicious, json_scalar(parse_json_text(text), f"$.{key}")).otherwise(value)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotalake.functions.jsonpath import json_scalar, parse_json_text
+from quotalake.functions.jsonpath import json_scalar, json_struct, parse_json_text, scalar_field
 from quotalake.functions.timecols import iso_to_ts
 
 # Identity keys read from requestmetadata (key -> output column).
@@ -46,44 +46,50 @@ def _text(raw: DataFrame, name: str) -> Column:
 def normalize_invocations(raw: DataFrame) -> DataFrame:
     """Flat fact: one row per call with parsed identity, tokens and error.
 
-    Token counts are taken from the ``usage`` JSON text, then the nested
-    response body, then a ``usage`` struct (whichever the record has).
+    Token counts are taken from the ``usage`` JSON text (or ``usage``
+    struct), then the nested response body, whichever the record has.
     Text that is not an integer becomes NULL rather than failing the job.
-    Each JSON column is parsed once into a VARIANT.
+    Each JSON column is parsed once (``jsonpath.json_fields``).
     """
     usage_type = next((f.dataType for f in raw.schema.fields if f.name.lower() == "usage"), None)
-    parsed = raw.select(
+    usage_is_text = isinstance(usage_type, T.StringType)
+    body_in = _field(raw, "output.outputBodyJson.usage.input_tokens")
+    body_out = _field(raw, "output.outputBodyJson.usage.output_tokens")
+    latency = _field(raw, "latency_ms")
+    none = F.lit(None).cast("string")
+    # Step 1: one parse per JSON column.  A separate projection keeps the
+    # parsed struct whole (referenced several times, so Catalyst neither
+    # collapses it nor splits it into one pruned parse per field).
+    step = raw.select(
         iso_to_ts(_text(raw, "timestamp")).alias("ts"),
         _text(raw, "accountid").alias("account_id"),
         _text(raw, "requestid").alias("request_id"),
         _text(raw, "modelid").alias("model_id"),
         _text(raw, "requestmetadata").alias("requestmetadata"),
-        parse_json_text(_text(raw, "requestmetadata")).alias("_md"),
-        (parse_json_text(F.col("usage")) if isinstance(usage_type, T.StringType)
-         else F.lit(None).cast("variant")).alias("_usage"),
-        parse_json_text(_text(raw, "error")).alias("_err"),
-        (_field(raw, "output.outputBodyJson.usage.input_tokens")
-         if _field(raw, "output.outputBodyJson.usage.input_tokens") is not None
-         else F.lit(None)).cast("bigint").alias("_body_in"),
-        (_field(raw, "output.outputBodyJson.usage.output_tokens")
-         if _field(raw, "output.outputBodyJson.usage.output_tokens") is not None
-         else F.lit(None)).cast("bigint").alias("_body_out"),
-        (F.col("usage.inputTokens").try_cast("bigint") if isinstance(usage_type, T.StructType)
-         else F.lit(None).cast("bigint")).alias("_struct_in"),
-        (F.col("usage.outputTokens").try_cast("bigint") if isinstance(usage_type, T.StructType)
-         else F.lit(None).cast("bigint")).alias("_struct_out"),
-        (_field(raw, "latency_ms") if _field(raw, "latency_ms") is not None
-         else F.lit(None)).cast("bigint").alias("latency_ms"),
+        json_struct(_text(raw, "requestmetadata"), list(IDENTITY_KEYS)).alias("_md"),
+        (F.col("usage") if usage_is_text else none).alias("_usage_text"),
+        (json_struct(F.col("usage"), ["inputTokens", "outputTokens"]) if usage_is_text
+         else F.lit(None).cast("struct<inputTokens: string, outputTokens: string>")).alias("_usage"),
+        (F.col("usage.inputTokens").cast("string") if isinstance(usage_type, T.StructType) else none)
+        .alias("_struct_in"),
+        (F.col("usage.outputTokens").cast("string") if isinstance(usage_type, T.StructType) else none)
+        .alias("_struct_out"),
+        _text(raw, "error").alias("_error_text"),
+        json_struct(_text(raw, "error"), ["type"]).alias("_error"),
+        (body_in if body_in is not None else F.lit(None)).try_cast("bigint").alias("_body_in"),
+        (body_out if body_out is not None else F.lit(None)).try_cast("bigint").alias("_body_out"),
+        (latency if latency is not None else F.lit(None)).cast("bigint").alias("latency_ms"),
     )
-    return parsed.select(
+    md_text = F.col("requestmetadata")
+    usage_in = F.coalesce(scalar_field(F.col("_usage"), F.col("_usage_text"), "inputTokens"), F.col("_struct_in"))
+    usage_out = F.coalesce(scalar_field(F.col("_usage"), F.col("_usage_text"), "outputTokens"), F.col("_struct_out"))
+    return step.select(
         "ts", "account_id", "request_id", "model_id",
         F.element_at(F.split("model_id", "/"), -1).alias("profile_id"),
-        *[json_scalar(F.col("_md"), f"$.{key}").alias(name) for key, name in IDENTITY_KEYS.items()],
-        F.coalesce(json_scalar(F.col("_usage"), "$.inputTokens").try_cast("bigint"),
-                   F.col("_body_in"), F.col("_struct_in")).alias("input_tokens"),
-        F.coalesce(json_scalar(F.col("_usage"), "$.outputTokens").try_cast("bigint"),
-                   F.col("_body_out"), F.col("_struct_out")).alias("output_tokens"),
-        json_scalar(F.col("_err"), "$.type").alias("error_type"),
+        *[scalar_field(F.col("_md"), md_text, key).alias(name) for key, name in IDENTITY_KEYS.items()],
+        F.coalesce(usage_in.try_cast("bigint"), F.col("_body_in")).alias("input_tokens"),
+        F.coalesce(usage_out.try_cast("bigint"), F.col("_body_out")).alias("output_tokens"),
+        scalar_field(F.col("_error"), F.col("_error_text"), "type").alias("error_type"),
         "latency_ms", "requestmetadata",
         F.date_format("ts", "yyyy-MM").alias("usage_month"),
         F.to_date("ts").alias("usage_day"),

@@ -10,12 +10,12 @@ event-time (UTC) calendar months and days.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotalake.functions.timecols import day_key, day_start, epoch_seconds, month_key, month_start
+from quotalake.functions.timecols import day_key, epoch_seconds, month_key, month_start
 from quotalake.operators.usage import ts_lit
-from quotalake.plans.scan import prefix_sum, with_chunk
+from quotalake.plans.scan import prefix_sums, with_chunk
 
 # The built-in policy used when no policy row matches, the
 # identity defaults, and the rejection response.
@@ -215,16 +215,16 @@ def quota_replay(calls: DataFrame, users: DataFrame, policies: DataFrame,
          .withColumn("_month", F.trunc(F.to_date("ts"), "MM")))
     t = with_chunk(t, "ts", chunk_seconds)
     order = [F.col("ts"), F.col("request_id")]
-    t = prefix_sum(t, ["user_id", "_day"], order, "tokens", "_d")
+    t = prefix_sums(t, "user_id", order, [("tokens", "_day", "_d")])
     t = t.withColumn("_day_ok", F.col("_d") < F.col("daily_limit"))
     t = t.withColumn("_v2", F.when(F.col("_day_ok"), F.col("tokens")).otherwise(F.lit(0)))
-    t = prefix_sum(t, ["user_id", "_month"], order, "_v2", "_m")
+    t = prefix_sums(t, "user_id", order, [("_v2", "_month", "_m")])
     t = t.withColumn("allowed", F.when(
         F.col("enforcement_mode") == F.lit("block"),
         F.col("_day_ok") & (F.col("_m") < F.col("monthly_limit"))).otherwise(F.lit(True)))
     t = t.withColumn("charged_tokens", F.when(F.col("allowed"), F.col("tokens")).otherwise(F.lit(0)))
-    t = prefix_sum(t, ["user_id", "_day"], order, "charged_tokens", "daily_usage")
-    t = prefix_sum(t, ["user_id", "_month"], order, "charged_tokens", "monthly_usage")
+    t = prefix_sums(t, "user_id", order, [("charged_tokens", "_day", "daily_usage"),
+                                          ("charged_tokens", "_month", "monthly_usage")])
     replayed = t.select(
         "request_id", "ts", "user_id", "user_group", "tenant", "department", "policy_source",
         "enforcement_mode", "monthly_limit", "daily_limit", "metric_monthly_limit", "metric_daily_limit",

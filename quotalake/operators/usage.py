@@ -39,14 +39,26 @@ def total_tokens_col() -> Column:
     return F.col("input_tokens") + F.col("output_tokens")
 
 
+def since_filter(inv: DataFrame, since: Column, strict: bool = False) -> DataFrame:
+    """``ts >= since`` (``>`` if strict), plus the implied ``usage_day`` bound.
+
+    The day predicate is redundant for the result but lets a day-partitioned
+    fact table prune whole partitions; the ``ts`` predicate is pushed to the
+    parquet row groups.
+    """
+    cond = (F.col("ts") > since) if strict else (F.col("ts") >= since)
+    if "usage_day" in inv.columns:
+        cond = cond & (F.col("usage_day") >= F.to_date(since))
+    return inv.where(cond)
+
+
 def scoped(inv: DataFrame, account: str | None, since: Column | None = None) -> DataFrame:
     """Rows of one account with identity metadata, at or after ``since``."""
     cond = F.col("requestmetadata").isNotNull()
     if account is not None:
         cond = cond & (F.col("account_id") == F.lit(account))
-    if since is not None:
-        cond = cond & (F.col("ts") >= since)
-    return inv.where(cond)
+    out = inv.where(cond)
+    return since_filter(out, since) if since is not None else out
 
 
 def _sum_tokens(c: Column, name: str) -> Column:
@@ -116,8 +128,9 @@ def percent_2dp(used: Column, limit: Column) -> Column:
 def monthly_usage(inv: DataFrame, as_of, account: str | None) -> DataFrame:
     """Tokens per user in the calendar month of ``as_of`` (the CTE of Q4)."""
     month = month_start(ts_lit(as_of))
-    return (scoped(inv, account)
-            .where((F.col("ts") >= month) & (F.col("ts") < F.add_months(month, 1).cast("timestamp_ntz")))
+    end = F.add_months(month, 1).cast("timestamp_ntz")
+    return (since_filter(scoped(inv, account), month)
+            .where((F.col("ts") < end) & (F.col("usage_day") < F.to_date(end)))
             .groupBy("user_id")
             .agg(_sum_tokens(total_tokens_col(), "tokens_used")))
 

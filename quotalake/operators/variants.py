@@ -15,7 +15,7 @@ from quotalake.functions.pricing import (
 )
 from quotalake.functions.timecols import bucket_start, day_start
 from quotalake.operators.normalize import metadata_value
-from quotalake.operators.usage import days_before, hours_before, total_tokens_col
+from quotalake.operators.usage import days_before, hours_before, since_filter, total_tokens_col
 
 DIMENSIONS = {"user": "user_id", "tenant": "tenant", "department": "department"}
 
@@ -25,12 +25,15 @@ def _sum(c: Column, name: str) -> Column:
 
 
 def in_month(inv: DataFrame, month: str) -> DataFrame:
-    return inv.where(F.col("usage_month") == F.lit(month))
+    """Rows of one calendar month; the day bounds prune a day-partitioned table."""
+    first = F.to_date(F.lit(f"{month}-01"))
+    return inv.where((F.col("usage_month") == F.lit(month)) & (F.col("usage_day") >= first)
+                     & (F.col("usage_day") < F.add_months(first, 1)))
 
 
 def cost_by_user_tenant(inv: DataFrame, as_of, days: int = 30) -> DataFrame:
     """V1: calls, tokens and cost (4 dp) per (user, tenant); no account or metadata filter."""
-    return (inv.where(F.col("ts") >= days_before(as_of, days))
+    return (since_filter(inv, days_before(as_of, days))
             .groupBy(F.col("user_id").alias("user_email"), F.col("tenant"))
             .agg(F.count(F.lit(1)).alias("invocations"),
                  _sum(F.col("input_tokens"), "input_tokens"),
@@ -41,7 +44,7 @@ def cost_by_user_tenant(inv: DataFrame, as_of, days: int = 30) -> DataFrame:
 
 def cost_by_user(inv: DataFrame, as_of, days: int = 30) -> DataFrame:
     """V2: tokens and cost (4 dp) per user."""
-    return (inv.where(F.col("ts") >= days_before(as_of, days))
+    return (since_filter(inv, days_before(as_of, days))
             .groupBy("user_id")
             .agg(_sum(total_tokens_col(), "total_tokens"),
                  F.sum("input_tokens").alias("_in"), F.sum("output_tokens").alias("_out"))
@@ -124,12 +127,12 @@ def daily_tokens_by_user(inv: DataFrame, month: str) -> DataFrame:
 
 def recent_calls(inv: DataFrame, as_of, hours: int = 1) -> DataFrame:
     """Calls per (user, tenant) in the last ``hours`` (batch form of the live view)."""
-    return (inv.where(F.col("ts") > hours_before(as_of, hours))
+    return (since_filter(inv, hours_before(as_of, hours), strict=True)
             .groupBy("user_id", "tenant").agg(F.count(F.lit(1)).alias("calls")))
 
 
 def tenant_invocations_5m(inv: DataFrame, profile_id: str, as_of, hours: int = 1) -> DataFrame:
     """Calls of one inference profile in the last hour, per 5-minute bucket."""
-    return (inv.where((F.col("profile_id") == F.lit(profile_id)) & (F.col("ts") >= hours_before(as_of, hours)))
+    return (since_filter(inv, hours_before(as_of, hours)).where(F.col("profile_id") == F.lit(profile_id))
             .groupBy(bucket_start(F.col("ts"), 300).alias("bucket_start"))
             .agg(F.count(F.lit(1)).alias("invocations")))

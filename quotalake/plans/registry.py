@@ -11,13 +11,20 @@ from quotalake.operators import usage as U
 from quotalake.operators import variants as V
 from quotalake.operators.normalize import normalize_invocations
 from quotalake.sources import fixtures as fx
+from quotalake.sources.logs import derived_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised invocations of the fixture log (S2 over the projection of ``events``)."""
-    return normalize_invocations(fx.invocation_log(spark, sf_dir))
+    """Normalised invocations of the fixture log, stored once per application.
+
+    S2 over the projection of ``events`` is written as the day-partitioned
+    fact table (S6) in the shared checkpoint folder; queries read it back
+    with pruning and pushed filters, as they would on the production table.
+    """
+    return derived_table(spark, "invocations", sf_dir,
+                         lambda: normalize_invocations(fx.invocation_log(spark, sf_dir)))
 
 
 def _usage_queries() -> dict[str, Query]:

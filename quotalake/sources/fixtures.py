@@ -57,7 +57,20 @@ def _pick(values: list[str], idx: Column) -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than task slots.
+
+    A small file with one row group is read by one task; the JSON work
+    after it then runs on one core.  Large inputs have many splits and are
+    returned unchanged (no extra shuffle).
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
 
 
 def user_email(user_id: Column) -> Column:
