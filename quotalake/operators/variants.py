@@ -136,3 +136,12 @@ def tenant_invocations_5m(inv: DataFrame, profile_id: str, as_of, hours: int = 1
     return (since_filter(inv, hours_before(as_of, hours)).where(F.col("profile_id") == F.lit(profile_id))
             .groupBy(bucket_start(F.col("ts"), 300).alias("bucket_start"))
             .agg(F.count(F.lit(1)).alias("invocations")))
+
+
+def avg_quota_percent(metrics: DataFrame, as_of, user: str | None = None, hours: int = 1) -> DataFrame:
+    """Average MonthlyUsagePercent of one user (or of every user) over the last hour."""
+    df = since_filter(metrics, hours_before(as_of, hours))
+    if user is not None:
+        df = df.where(F.col("user_id") == F.lit(user))
+    return df.groupBy("user_id").agg(F.avg("monthly_pct").alias("avg_monthly_pct"),
+                                     F.count(F.lit(1)).alias("points"))

@@ -161,6 +161,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(_q())
     out.update(_v())
     out.update(_k())
+    out.update(_m())
     return out
 
 
@@ -428,3 +429,141 @@ FROM users u LEFT JOIN (
          MAX(CASE WHEN metric_period = '{dk}' THEN last_updated END) AS du
   FROM counters WHERE metric_period IN ('{mk}', '{dk}') GROUP BY 1) c USING (user_id)"""),
     }
+
+
+_PROFILES = ", ".join(f"('{p[0]}', '{p[1].split('(')[0].strip()}')" for p in fx.TENANT_PROFILES)
+PROFILE_CTE = f"""
+, prof AS (SELECT * FROM (VALUES {_PROFILES}) AS t(profile_id, tenant_name)
+), metrics AS (
+  SELECT request_id, ts, user_id, coalesce(tenant, 'unknown') AS tenant,
+         CASE WHEN metric_monthly_limit > 0 THEN (monthly_usage + charged_tokens) / metric_monthly_limit * 100
+              ELSE 0.0 END AS monthly_pct,
+         CASE WHEN metric_daily_limit > 0 THEN (daily_usage + charged_tokens) / metric_daily_limit * 100
+              ELSE 0.0 END AS daily_pct,
+         charged_tokens AS tokens_used
+  FROM replay WHERE status = 200
+), outcomes AS (
+  SELECT ts, status FROM replay
+  UNION ALL SELECT ts, CASE WHEN user_id IS NULL THEN 400 ELSE 404 END FROM calls
+  WHERE user_id NOT IN (SELECT user_id FROM users)
+), ip AS (SELECT inv.*, prof.tenant_name FROM inv JOIN prof USING (profile_id))"""
+
+
+def _msql(body: str) -> str:
+    return f"WITH {INV}{QUOTA_CTES}{PROFILE_CTE}\n{body}"
+
+
+def _b(seconds: int, col: str = "ts") -> str:
+    return f"time_bucket(INTERVAL {seconds} SECOND, {col})"
+
+
+def _alarm(series: str, threshold, period: int) -> str:
+    return f"""
+, series AS ({series}
+), st AS (
+  SELECT *, coalesce(value > {threshold}, FALSE) AS breaching,
+         CASE WHEN coalesce(value > {threshold}, FALSE) THEN 'ALARM' ELSE 'OK' END AS state FROM series
+)
+SELECT period_start, value, breaching, state,
+       state <> CASE WHEN lag(period_start) OVER w IS NOT NULL
+                      AND lag(period_start) OVER w <> period_start - INTERVAL {period} SECOND THEN 'OK'
+                     ELSE coalesce(lag(state) OVER w, 'OK') END AS changed
+FROM st WINDOW w AS (ORDER BY period_start)"""
+
+
+def _m() -> dict[str, str]:
+    recent = _ts(fx.AS_OF_RECENT)
+    band = "CASE WHEN max_pct >= 95 THEN 'Critical' WHEN max_pct >= 80 THEN 'Warning' ELSE 'OK' END"
+    out = {
+        "avg_quota_percent": _msql(f"""
+SELECT user_id, AVG(monthly_pct) AS avg_monthly_pct, COUNT(*) AS points
+FROM metrics WHERE ts >= {since_hours(1)} GROUP BY 1"""),
+        "tenant_invocations_hourly": _msql(f"""
+SELECT tenant_name, profile_id, {_b(3600)} AS period_start, COUNT(*) AS invocations FROM ip GROUP BY 1, 2, 3"""),
+        "tenant_tokens_hourly": _msql(f"""
+SELECT tenant_name, profile_id, {_b(3600)} AS period_start,
+       CAST(SUM(input_tokens) + SUM(output_tokens) AS BIGINT) AS tokens FROM ip GROUP BY 1, 2, 3"""),
+        "quota_gauge": _msql(f"""
+SELECT user_id, split_part(user_id, '@', 1) AS label, period_start, max_pct, {band} AS band
+FROM (SELECT user_id, {_b(300)} AS period_start, MAX(monthly_pct) AS max_pct FROM metrics GROUP BY 1, 2)"""),
+        "quota_sparkline": _msql(f"""
+SELECT user_id, MAX(period_start) AS latest_period, arg_max(max_pct, period_start) AS latest_pct,
+       COUNT(*) AS points
+FROM (SELECT user_id, {_b(300)} AS period_start, MAX(monthly_pct) AS max_pct FROM metrics GROUP BY 1, 2)
+GROUP BY 1"""),
+        "tokens_by_user_hourly": _msql(f"""
+SELECT user_id, tenant, {_b(3600)} AS period_start, CAST(SUM(tokens_used) AS BIGINT) AS tokens
+FROM metrics GROUP BY 1, 2, 3"""),
+        "monthly_pct_trend": _msql(f"""
+SELECT user_id, {_b(300)} AS period_start, MAX(monthly_pct) AS max_pct FROM metrics GROUP BY 1, 2"""),
+        "daily_pct_trend": _msql(f"""
+SELECT user_id, {_b(300)} AS period_start, MAX(daily_pct) AS max_pct, MAX(daily_pct) >= 80 AS above_warning
+FROM metrics GROUP BY 1, 2"""),
+        "api_calls_5m": _msql(f"""
+SELECT {_b(300)} AS period_start, COUNT(*) AS calls FROM outcomes GROUP BY 1"""),
+        "function_health_5m": _msql(f"""
+SELECT {_b(300)} AS period_start, COUNT(*) AS invocations, COUNT(*) FILTER (WHERE status = 500) AS errors,
+       COUNT(*) FILTER (WHERE status = 429) AS throttles FROM outcomes GROUP BY 1"""),
+        "duration_stats_5m": _msql(f"""
+SELECT {_b(300)} AS period_start, AVG(latency_ms) AS avg_ms, MAX(latency_ms) AS max_ms,
+       round(quantile_cont(latency_ms, 0.99), 6) AS p99_ms FROM calls GROUP BY 1"""),
+        "peak_concurrency_1m": _msql(f"""
+, ev AS (
+  SELECT ts AS evt, 1 AS delta, request_id AS rid FROM calls
+  UNION ALL SELECT ts + latency_ms * INTERVAL 1 MILLISECOND, -1, request_id FROM calls
+), r AS (
+  SELECT *, SUM(delta) OVER (ORDER BY evt, delta, rid ROWS UNBOUNDED PRECEDING) AS in_flight FROM ev
+)
+SELECT {_b(60, 'evt')} AS period_start,
+       CAST(GREATEST(MAX(in_flight), first(in_flight - delta ORDER BY evt, delta, rid)) AS BIGINT) AS max_concurrent
+FROM r GROUP BY 1""").replace("\n\n, ev AS", ", ev AS"),
+        "tenant_comparison_24h": _msql(f"""
+SELECT tenant_name, profile_id, {_b(86400)} AS period_start, COUNT(*) AS invocations FROM ip GROUP BY 1, 2, 3"""),
+        "user_token_comparison_24h": _msql(f"""
+SELECT user_id, {_b(86400)} AS period_start, CAST(SUM(tokens_used) AS BIGINT) AS tokens FROM metrics GROUP BY 1, 2"""),
+        "tenant_latency_5m": _msql(f"""
+SELECT tenant_name, profile_id, {_b(300)} AS period_start, AVG(latency_ms) AS avg_ms,
+       round(quantile_cont(latency_ms, 0.99), 6) AS p99_ms FROM ip GROUP BY 1, 2, 3"""),
+        "tenant_errors_5m": _msql(f"""
+SELECT tenant_name, profile_id, {_b(300)} AS period_start, COUNT(error_type) AS errors FROM ip GROUP BY 1, 2, 3"""),
+        "token_share_24h": _msql(f"""
+, per AS (
+  SELECT tenant_name, profile_id,
+         CAST(coalesce(SUM(input_tokens), 0) + coalesce(SUM(output_tokens), 0) AS BIGINT) AS tokens
+  FROM ip WHERE ts >= {since_hours(24)} GROUP BY 1, 2
+)
+SELECT tenant_name, profile_id, tokens,
+       CASE WHEN SUM(tokens) OVER () > 0 THEN CAST(tokens AS DOUBLE) * 100.0 / SUM(tokens) OVER () END AS share_pct
+FROM per""").replace("\n\n, per AS", ", per AS"),
+        "quota_status_table": _msql("""
+SELECT user_id, split_part(user_id, '@', 1) AS user,
+       CAST(CAST(round_even(monthly_limit / 1e6, 0) AS BIGINT) AS VARCHAR) || 'M' AS monthly_limit,
+       'Varies' AS daily_limit, 'Active' AS status FROM res"""),
+        "tenant_usage_last_hour": _msql(f"""
+SELECT p.tenant_name, p.profile_id, CAST(coalesce(n, 0) AS BIGINT) AS invocations,
+       CAST(coalesce(n, 0) * 500 AS BIGINT) AS tokens_estimate
+FROM prof p LEFT JOIN (SELECT profile_id, COUNT(*) AS n FROM inv WHERE ts >= {since_hours(1)} GROUP BY 1) c
+USING (profile_id)"""),
+        "user_invocations": _msql(f"""
+SELECT user_id, tenant, {_b(3600)} AS period_start, COUNT(*) AS invocations
+FROM inv WHERE user_id IS NOT NULL GROUP BY 1, 2, 3"""),
+        "high_quota_alarm": _msql(_alarm(f"""
+  SELECT period_start, MAX(v) AS value FROM (
+    SELECT user_id, {_b(300)} AS period_start, MAX(monthly_pct) AS v FROM metrics GROUP BY 1, 2) GROUP BY 1""",
+                                          80.0, 300)).replace("\n\n, series AS", ", series AS"),
+        "error_alarm": _msql(_alarm(f"""
+  SELECT {_b(300)} AS period_start, COUNT(*) FILTER (WHERE status = 500) AS value FROM outcomes GROUP BY 1""",
+                                     5, 300)).replace("\n\n, series AS", ", series AS"),
+        "high_token_alarm": _msql(_alarm(f"""
+  SELECT {_b(3600)} AS period_start, CAST(coalesce(SUM(input_tokens), 0) AS BIGINT) AS value FROM inv GROUP BY 1""",
+                                          1000000, 3600)).replace("\n\n, series AS", ", series AS"),
+        "storage_tier": _msql(f"""
+SELECT CASE WHEN age >= 365 THEN 'EXPIRED' WHEN age >= 90 THEN 'GLACIER' WHEN age >= 30 THEN 'STANDARD_IA'
+            ELSE 'STANDARD' END AS tier,
+       COUNT(*) AS rows, CAST(MIN(d) AS TIMESTAMP) AS oldest_day, CAST(MAX(d) AS TIMESTAMP) AS newest_day
+FROM (SELECT CAST(ts AS DATE) AS d, date_diff('day', CAST(ts AS DATE), DATE '{fx.AS_OF:%Y-%m-%d}') AS age FROM inv)
+GROUP BY 1"""),
+        "expire_partitions": _msql(f"""
+SELECT request_id, ts, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day FROM inv WHERE ts >= {since_days(30)}"""),
+    }
+    return out

@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quotalake.operators import alarms as AL
+from quotalake.operators import metrics as M
 from quotalake.operators import quota as K
+from quotalake.operators import retention as RT
 from quotalake.operators import usage as U
 from quotalake.operators import variants as V
 from quotalake.operators.normalize import normalize_invocations
@@ -64,10 +68,24 @@ def _variant_queries() -> dict[str, Query]:
     }
 
 
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User metadata derived from ``events`` (stored once per application)."""
+    return derived_table(spark, "user_metadata", sf_dir, lambda: fx.user_metadata(spark, sf_dir))
+
+
+def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quota policies: fixed base rows plus user rows derived from the users (stored)."""
+    return derived_table(spark, "quota_policies", sf_dir, lambda: fx.quota_policies(spark, sf_dir))
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gateway call log derived from ``events`` (stored once per application)."""
+    return derived_table(spark, "gateway_calls", sf_dir, lambda: fx.gateway_calls(spark, sf_dir))
+
+
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8 over the fixture: every gateway call, fixture users and policies."""
-    return K.quota_replay(fx.gateway_calls(spark, sf_dir), fx.user_metadata(spark, sf_dir),
-                          fx.quota_policies(spark, sf_dir))
+    return K.quota_replay(calls(spark, sf_dir), users(spark, sf_dir), policies(spark, sf_dir))
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +99,13 @@ REPLAY_COLUMNS = ["request_id", "ts", "user_id", "policy_source", "enforcement_m
 
 def _quota_queries() -> dict[str, Query]:
     A, R = fx.AS_OF, fx.AS_OF_RECENT
-    users, pols = fx.user_metadata, fx.quota_policies
+    pols = policies
 
     def check(s, d):
         return K.check_quota(users(s, d), pols(s, d), counters(s, d), R)
 
     return {
-        "enrich_identity": lambda s, d: K.enrich_identity(fx.gateway_calls(s, d), users(s, d), "default"),
+        "enrich_identity": lambda s, d: K.enrich_identity(calls(s, d), users(s, d), "default"),
         "resolve_policy": lambda s, d: K.resolve_policy(users(s, d), pols(s, d)),
         "usage_counters": counters,
         "check_quota": check,
@@ -107,9 +125,49 @@ def _quota_queries() -> dict[str, Query]:
     }
 
 
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6 quota metrics of the replay."""
+    return K.quota_metrics(replay(spark, sf_dir))
+
+
+def _metric_queries() -> dict[str, Query]:
+    A, R = fx.AS_OF, fx.AS_OF_RECENT
+    prof = fx.tenant_profiles
+    inv = invocations
+    return {
+        "avg_quota_percent": lambda s, d: V.avg_quota_percent(metrics(s, d), R),
+        "tenant_invocations_hourly": lambda s, d: M.tenant_invocations_hourly(inv(s, d), prof(s)),
+        "tenant_tokens_hourly": lambda s, d: M.tenant_tokens_hourly(inv(s, d), prof(s)),
+        "quota_gauge": lambda s, d: M.quota_gauge(metrics(s, d)),
+        "quota_sparkline": lambda s, d: M.quota_sparkline(metrics(s, d)),
+        "tokens_by_user_hourly": lambda s, d: M.tokens_by_user_hourly(metrics(s, d)),
+        "monthly_pct_trend": lambda s, d: M.monthly_pct_trend(metrics(s, d)),
+        "daily_pct_trend": lambda s, d: M.daily_pct_trend(metrics(s, d)),
+        "api_calls_5m": lambda s, d: M.api_calls_5m(replay(s, d)),
+        "function_health_5m": lambda s, d: M.function_health_5m(replay(s, d)),
+        "duration_stats_5m": lambda s, d: M.duration_stats_5m(calls(s, d)),
+        "peak_concurrency_1m": lambda s, d: M.peak_concurrency_1m(calls(s, d)),
+        "tenant_comparison_24h": lambda s, d: M.tenant_comparison_24h(inv(s, d), prof(s)),
+        "user_token_comparison_24h": lambda s, d: M.user_token_comparison_24h(metrics(s, d)),
+        "tenant_latency_5m": lambda s, d: M.tenant_latency_5m(inv(s, d), prof(s)),
+        "tenant_errors_5m": lambda s, d: M.tenant_errors_5m(inv(s, d), prof(s)),
+        "token_share_24h": lambda s, d: M.token_share_24h(inv(s, d), prof(s), R, 24),
+        "quota_status_table": lambda s, d: M.quota_status_table(K.resolve_policy(users(s, d), policies(s, d))),
+        "tenant_usage_last_hour": lambda s, d: M.tenant_usage_last_hour(inv(s, d), prof(s), R),
+        "user_invocations": lambda s, d: M.user_invocations(inv(s, d), 3600),
+        "high_quota_alarm": lambda s, d: AL.high_quota_alarm(metrics(s, d)),
+        "error_alarm": lambda s, d: AL.error_alarm(replay(s, d)),
+        "high_token_alarm": lambda s, d: AL.high_token_alarm(inv(s, d)),
+        "storage_tier": lambda s, d: RT.storage_tier(inv(s, d), A),
+        "expire_partitions": lambda s, d: RT.expire_partitions(inv(s, d), 30, A).select(
+            "request_id", "ts", F.col("usage_day").cast("timestamp_ntz").alias("day")),
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(_usage_queries())
     out.update(_variant_queries())
     out.update(_quota_queries())
+    out.update(_metric_queries())
     return out
