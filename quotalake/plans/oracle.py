@@ -162,6 +162,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(_v())
     out.update(_k())
     out.update(_m())
+    out.update(_t())
     return out
 
 
@@ -567,3 +568,22 @@ GROUP BY 1"""),
 SELECT request_id, ts, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day FROM inv WHERE ts >= {since_days(30)}"""),
     }
     return out
+
+
+def _t() -> dict[str, str]:
+    return {
+        "stream_usage_counters": _qsql("SELECT * FROM counters"),
+        "dedup_stream": _qsql("""
+SELECT request_id, ts, user_id, input_tokens, output_tokens, failed, latency_ms FROM calls"""),
+        "stream_metrics_5m": _qsql(f"""
+SELECT tenant, {_b(300)} AS period_start, COUNT(*) AS calls, CAST(SUM({TOT}) AS BIGINT) AS tokens,
+       MAX(latency_ms) AS max_latency_ms, COUNT(error_type) AS errors
+FROM inv GROUP BY 1, 2"""),
+        "stream_alarms": _qsql(f"""
+SELECT {_b(300)} AS period_start, COUNT(error_type) AS value, COUNT(error_type) > 1 AS breaching,
+       CASE WHEN COUNT(error_type) > 1 THEN 'ALARM' ELSE 'OK' END AS state
+FROM inv GROUP BY 1"""),
+        "stream_quota_decisions": _qsql("""
+SELECT request_id, ts, user_id, enforcement_mode, monthly_limit, daily_limit, tokens, allowed,
+       charged_tokens, monthly_usage, daily_usage, status FROM replay"""),
+    }

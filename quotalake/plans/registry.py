@@ -15,7 +15,11 @@ from quotalake.operators import usage as U
 from quotalake.operators import variants as V
 from quotalake.operators.normalize import normalize_invocations
 from quotalake.sources import fixtures as fx
-from quotalake.sources.logs import derived_table
+from quotalake.sources.logs import derived_path, derived_table
+from quotalake.streaming import common as SC
+from quotalake.streaming import counters as ST1
+from quotalake.streaming import metrics as ST2
+from quotalake.streaming import quota as ST4
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -164,10 +168,85 @@ def _metric_queries() -> dict[str, Query]:
     }
 
 
+def _inv_path(spark: SparkSession, sf_dir: str) -> str:
+    return derived_path(spark, "invocations", sf_dir,
+                        lambda: normalize_invocations(fx.invocation_log(spark, sf_dir)))
+
+
+def _calls_path(spark: SparkSession, sf_dir: str) -> str:
+    return derived_path(spark, "gateway_calls", sf_dir, lambda: fx.gateway_calls(spark, sf_dir))
+
+
+def _stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _inv_path(spark, sf_dir)
+    out = SC.run_dir(spark, "counters")
+    stream = SC.file_stream(spark, path, spark.read.parquet(path))
+    SC.run_until_caught_up(ST1.stream_usage_counters(stream, out + "/sink", out + "/checkpoint"))
+    return ST1.read_counters(spark, out + "/sink")
+
+
+def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _calls_path(spark, sf_dir)
+    out = SC.run_dir(spark, "dedup")
+    stream = SC.file_stream(spark, path, spark.read.parquet(path))
+    writer = (ST1.dedup_stream(stream).writeStream.format("parquet").outputMode("append")
+              .option("path", out + "/sink").option("checkpointLocation", out + "/checkpoint"))
+    SC.run_until_caught_up(writer)
+    return spark.read.parquet(out + "/sink")
+
+
+STREAM_METRIC_AGGS = lambda: [
+    F.count(F.lit(1)).alias("calls"),
+    F.sum(F.col("input_tokens") + F.col("output_tokens")).cast("bigint").alias("tokens"),
+    F.max("latency_ms").alias("max_latency_ms"),
+    F.count(F.col("error_type")).alias("errors"),
+]
+
+
+def _stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _inv_path(spark, sf_dir)
+    out = SC.run_dir(spark, "metrics")
+    stream = SC.file_stream(spark, path, spark.read.parquet(path))
+    series = ST2.stream_metrics(stream, 300, ["tenant"], STREAM_METRIC_AGGS())
+    SC.run_until_caught_up(ST2.write_metrics(series, out + "/sink", out + "/checkpoint"))
+    return ST2.read_metrics(spark, out + "/sink", ["tenant"])
+
+
+def _stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _inv_path(spark, sf_dir)
+    out = SC.run_dir(spark, "alarms")
+    stream = SC.file_stream(spark, path, spark.read.parquet(path))
+    series = ST2.stream_metrics(stream, 300, [], [F.count(F.col("error_type")).alias("value")])
+    SC.run_until_caught_up(ST2.stream_alarms(series, out + "/sink", out + "/checkpoint", "value", 1))
+    return ST2.read_metrics(spark, out + "/sink", [])
+
+
+def _stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _calls_path(spark, sf_dir)
+    out = SC.run_dir(spark, "quota")
+    stream = SC.file_stream(spark, path, spark.read.parquet(path))
+    decisions = ST4.stream_quota_decisions(stream, users(spark, sf_dir), policies(spark, sf_dir))
+    writer = (decisions.writeStream.format("parquet").outputMode("append")
+              .option("path", out + "/sink").option("checkpointLocation", out + "/checkpoint"))
+    SC.run_until_caught_up(writer)
+    return spark.read.parquet(out + "/sink")
+
+
+def _stream_queries() -> dict[str, Query]:
+    return {
+        "stream_usage_counters": _stream_counters,
+        "dedup_stream": _stream_dedup,
+        "stream_metrics_5m": _stream_metrics,
+        "stream_alarms": _stream_alarms,
+        "stream_quota_decisions": _stream_quota,
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(_usage_queries())
     out.update(_variant_queries())
     out.update(_quota_queries())
     out.update(_metric_queries())
+    out.update(_stream_queries())
     return out

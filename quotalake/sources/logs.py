@@ -99,6 +99,11 @@ def derived_table(spark: SparkSession, name: str, source_key: str, build) -> Dat
     ``build()`` returns the DataFrame to store; later calls with the same
     (application, name, source_key) read the stored parquet instead.
     """
+    return spark.read.parquet(derived_path(spark, name, source_key, build))
+
+
+def derived_path(spark: SparkSession, name: str, source_key: str, build) -> str:
+    """Path of the stored table of ``derived_table`` (building it on first use)."""
     from quotalake.session import checkpoint_dir
 
     app = spark.sparkContext.applicationId
@@ -113,7 +118,7 @@ def derived_table(spark: SparkSession, name: str, source_key: str, build) -> Dat
         else:
             df.write.mode("overwrite").parquet(path)
         _DERIVED[key] = path
-    return spark.read.parquet(path)
+    return path
 
 
 # ---------------------------------------------------------------- S3
