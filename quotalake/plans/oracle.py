@@ -163,6 +163,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(_k())
     out.update(_m())
     out.update(_t())
+    out.update(_s())
     return out
 
 
@@ -587,3 +588,50 @@ FROM inv GROUP BY 1"""),
 SELECT request_id, ts, user_id, enforcement_mode, monthly_limit, daily_limit, tokens, allowed,
        charged_tokens, monthly_usage, daily_usage, status FROM replay"""),
     }
+
+
+def _s() -> dict[str, str]:
+    since7 = since_days(7)
+    return {
+        "normalize_invocations": _qsql("""
+SELECT ts, account_id, request_id, model_id, profile_id, user_id, tenant, user_group, department, source,
+       input_tokens, output_tokens, error_type, latency_ms, strftime(ts, '%Y-%m') AS usage_month,
+       CAST(CAST(ts AS DATE) AS TIMESTAMP) AS usage_day
+FROM inv"""),
+        "read_invocation_logs": _qsql(f"""
+SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, COUNT(*) AS calls, CAST(SUM({TOT}) AS BIGINT) AS tokens
+FROM inv WHERE ts >= {since7} GROUP BY 1"""),
+        "load_user_metadata": _qsql("""
+SELECT user_id AS userId, user_group AS "group", tenant,
+       CASE WHEN user_id LIKE '%0@%' THEN department || '-moved' ELSE department END AS department,
+       CASE WHEN user_id LIKE '%0@%' THEN '2024-02-01T00:00:00Z' ELSE '2024-01-01T00:00:00Z' END AS updatedAt
+FROM users"""),
+        "write_report": _q()["department_cost"],
+        "log_freshness": _qsql(f"""
+, srcs AS (SELECT DISTINCT source FROM inv WHERE source IS NOT NULL UNION ALL SELECT 'batch-import'),
+  newest AS (SELECT source, MAX(ts) AS newest_event FROM inv GROUP BY 1)
+SELECT s.source, n.newest_event,
+       CASE WHEN n.newest_event IS NOT NULL THEN
+         epoch_us({_ts(fx.AS_OF_RECENT)}) // 1000000 - epoch_us(n.newest_event) // 1000000 END AS lag_seconds,
+       CASE WHEN n.newest_event IS NULL THEN 'no events yet' ELSE 'ok' END AS status
+FROM srcs s LEFT JOIN newest n USING (source)""").replace("\n\n, srcs AS", ", srcs AS"),
+        "upsert_dimension": _qsql("""
+SELECT u.user_id AS userId, u.user_group AS "group", o.monthly_limit AS monthlyLimit,
+       CASE WHEN u.user_id LIKE '%5@%' THEN 6000 ELSE o.daily_limit END AS dailyLimit,
+       CASE WHEN u.user_id LIKE '%5@%' THEN '2024-02-01T00:00:00Z' ELSE '2024-01-01T00:00:00Z' END AS updatedAt
+FROM users u LEFT JOIN own o USING (user_id)"""),
+        "derive_user_policies": _qsql("""
+SELECT 'user' AS policy_type, u.user_id AS identifier, o.monthly_limit, o.daily_limit,
+       'block' AS enforcement_mode, 'User-specific quota for ' || u.user_id AS description
+FROM users u LEFT JOIN own o USING (user_id)"""),
+        "usage_totals": _qsql("""
+SELECT COUNT(*) AS total_calls, CAST(coalesce(SUM(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)), 0) AS BIGINT)
+       AS total_tokens,
+       CAST(CASE WHEN COUNT(*) > 0 THEN coalesce(SUM(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)), 0)
+            // COUNT(*) ELSE 0 END AS BIGINT) AS avg_tokens_per_call
+FROM inv"""),
+        "enrich_identity_reject": _qsql("""
+SELECT c.request_id, c.ts, c.user_id, c.input_tokens, c.output_tokens, c.failed, c.latency_ms,
+       u.user_group, u.tenant, u.department, 'hybrid-gateway' AS source, TRUE AS known_user
+FROM calls c JOIN users u USING (user_id)"""),
+    }

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quotalake.functions.pricing import usage_totals
+from quotalake.schema import INVOCATION_LOG
+from quotalake.sources import dims as DM
+from quotalake.sources import logs as LG
 
 from quotalake.operators import alarms as AL
 from quotalake.operators import metrics as M
@@ -232,6 +239,73 @@ def _stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out + "/sink")
 
 
+def _raw_log_path(spark: SparkSession, sf_dir: str) -> str:
+    """The fixture log stored as hourly JSON folders (built once per application)."""
+    from quotalake.sources.logs import _DERIVED
+
+    key = (spark.sparkContext.applicationId, "raw_log_json", sf_dir)
+    if key not in _DERIVED:
+        path = SC.run_dir(spark, "raw-log").replace("quotalake-streams", "quotalake-derived")
+        fx.write_raw_log(fx.invocation_log(spark, sf_dir), path)
+        _DERIVED[key] = path
+    return _DERIVED[key]
+
+
+def _source_queries() -> dict[str, Query]:
+    A = fx.AS_OF
+    since = fx.AS_OF - dt.timedelta(days=7)
+
+    def read_logs(s, d):
+        raw = LG.read_invocation_logs(s, _raw_log_path(s, d), since=since)
+        inv = U.since_filter(normalize_invocations(raw), U.ts_lit(since))
+        return inv.groupBy(F.col("usage_day").cast("timestamp_ntz").alias("day")).agg(
+            F.count(F.lit(1)).alias("calls"),
+            F.sum(F.col("input_tokens") + F.col("output_tokens")).cast("bigint").alias("tokens"))
+
+    def discover(s, d):
+        previous = T.StructType([f for f in INVOCATION_LOG.fields if f.name not in ("latency_ms", "region")])
+        return LG.discover_schema(s, _raw_log_path(s, d), previous)[1]
+
+    def load_users(s, d):
+        path = SC.run_dir(s, "user-puts")
+        fx.user_metadata_puts(users(s, d)).write.mode("overwrite").json(path)
+        return DM.load_user_metadata(s, path).select("userId", "group", "tenant", "department", "updatedAt")
+
+    def report(s, d):
+        path = SC.run_dir(s, "report")
+        LG.write_report(U.department_cost(invocations(s, d), A, fx.ACCOUNT), path)
+        return s.read.parquet(path)
+
+    def freshness(s, d):
+        inv = invocations(s, d)
+        srcs = inv.where(F.col("source").isNotNull()).select("source").distinct().unionByName(
+            s.createDataFrame([("batch-import",)], "source string"))
+        return LG.log_freshness(inv, srcs, fx.AS_OF_RECENT)
+
+    return {
+        "normalize_invocations": lambda s, d: invocations(s, d).select(*NORMALIZED_COLUMNS).withColumn(
+            "usage_day", F.col("usage_day").cast("timestamp_ntz")),
+        "read_invocation_logs": read_logs,
+        "discover_schema": discover,
+        "load_user_metadata": load_users,
+        "write_report": report,
+        "log_file_inventory": lambda s, d: LG.log_file_inventory(s, _raw_log_path(s, d), n=10 ** 9),
+        "log_freshness": freshness,
+        "upsert_dimension": lambda s, d: DM.upsert_dimension(
+            users(s, d), fx.limit_changes(users(s, d)), ["userId"], partial=True).select(
+            "userId", "group", "monthlyLimit", "dailyLimit", "updatedAt"),
+        "derive_user_policies": lambda s, d: DM.derive_user_policies(users(s, d)).select(
+            "policy_type", "identifier", "monthly_limit", "daily_limit", "enforcement_mode", "description"),
+        "usage_totals": lambda s, d: usage_totals(invocations(s, d)),
+        "enrich_identity_reject": lambda s, d: K.enrich_identity(calls(s, d), users(s, d), "reject"),
+    }
+
+
+NORMALIZED_COLUMNS = ["ts", "account_id", "request_id", "model_id", "profile_id", "user_id", "tenant",
+                      "user_group", "department", "source", "input_tokens", "output_tokens", "error_type",
+                      "latency_ms", "usage_month", "usage_day"]
+
+
 def _stream_queries() -> dict[str, Query]:
     return {
         "stream_usage_counters": _stream_counters,
@@ -249,4 +323,5 @@ def queries() -> dict[str, Query]:
     out.update(_quota_queries())
     out.update(_metric_queries())
     out.update(_stream_queries())
+    out.update(_source_queries())
     return out

@@ -174,3 +174,31 @@ def gateway_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         is_error.alias("failed"),
         (F.lit(500) + F.col("event_id") % 1500).cast("bigint").alias("latency_ms"),
     )
+
+
+def write_raw_log(raw: DataFrame, path: str) -> None:
+    """Store raw log records as JSON under ``year=/month=/day=/hour=`` folders.
+
+    Range partitioning on the timestamp text gives each task a contiguous
+    time slice, so each hour folder gets one or two files.
+    """
+    ts = F.to_timestamp_ntz(F.regexp_replace("timestamp", "Z$", ""))
+    (raw.withColumn("year", F.year(ts)).withColumn("month", F.month(ts))
+     .withColumn("day", F.dayofmonth(ts)).withColumn("hour", F.hour(ts))
+     .repartitionByRange(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), "timestamp")
+     .write.mode("overwrite").partitionBy("year", "month", "day", "hour").json(path))
+
+
+def user_metadata_puts(users: DataFrame) -> DataFrame:
+    """Two puts per changed user: the original row, then a later one moving the
+    user to another department (every user whose id ends in 0)."""
+    changed = (users.where(F.col("userId").rlike("0@"))
+               .withColumn("department", F.concat(F.col("department"), F.lit("-moved")))
+               .withColumn("updatedAt", F.lit("2024-02-01T00:00:00Z")))
+    return users.unionByName(changed)
+
+
+def limit_changes(users: DataFrame) -> DataFrame:
+    """Attribute updates: users whose id ends in 5 get a daily limit of 6000."""
+    return users.where(F.col("userId").rlike("5@")).select(
+        "userId", F.lit(6000).cast("bigint").alias("dailyLimit"), F.lit("2024-02-01T00:00:00Z").alias("updatedAt"))

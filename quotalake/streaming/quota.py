@@ -35,7 +35,10 @@ def _decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
         months, days = dict(zip(mk, mv)), dict(zip(dk, dv))
     else:
         months, days = {}, {}
-    df = pd.concat([b for b in batches if len(b)], ignore_index=True).sort_values(["ts", "request_id"], kind="stable")
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    df = pd.concat(parts, ignore_index=True).sort_values(["ts", "request_id"], kind="stable")
     tokens = df["tokens"].astype("int64")
     month_carry = df["_mk"].map(lambda k: months.get(k, 0)).astype("int64")
     day_carry = df["_dk"].map(lambda k: days.get(k, 0)).astype("int64")
