@@ -289,7 +289,7 @@ def _source_queries() -> dict[str, Query]:
         "discover_schema": discover,
         "load_user_metadata": load_users,
         "write_report": report,
-        "log_file_inventory": lambda s, d: LG.log_file_inventory(s, _raw_log_path(s, d), n=10 ** 9),
+        "log_file_inventory": lambda s, d: LG.log_file_inventory(s, _raw_log_path(s, d), n=None),
         "log_freshness": freshness,
         "upsert_dimension": lambda s, d: DM.upsert_dimension(
             users(s, d), fx.limit_changes(users(s, d)), ["userId"], partial=True).select(

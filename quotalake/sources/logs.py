@@ -166,13 +166,15 @@ def discover_schema(spark: SparkSession, path: str, previous: T.StructType | Non
 
 
 # ---------------------------------------------------------------- S10 / S11
-def log_file_inventory(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
-    """Files under the log prefix with size and record count, first ``n`` by path."""
+def log_file_inventory(spark: SparkSession, path: str, n: int | None = 10) -> DataFrame:
+    """Files under the log prefix with size and record count, first ``n`` by path
+    (``None``: every file)."""
     df = spark.read.schema(INVOCATION_LOG).json(path).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"))
-    return (df.groupBy("file_path").agg(F.first("file_size").alias("size_bytes"),
-                                        F.count(F.lit(1)).alias("records"))
-            .orderBy("file_path").limit(n))
+    out = (df.groupBy("file_path").agg(F.first("file_size").alias("size_bytes"),
+                                       F.count(F.lit(1)).alias("records"))
+           .orderBy("file_path"))
+    return out.limit(n) if n is not None else out
 
 
 def log_freshness(inv: DataFrame, sources: DataFrame, as_of, source_col: str = "source") -> DataFrame:
