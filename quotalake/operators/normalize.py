@@ -21,7 +21,7 @@ IDENTITY_KEYS = {
 INV_COLUMNS = [
     "ts", "account_id", "request_id", "model_id", "profile_id", "user_id", "tenant",
     "user_group", "department", "source", "input_tokens", "output_tokens", "error_type",
-    "latency_ms", "requestmetadata", "usage_month", "usage_day",
+    "latency_ms", "requestmetadata", "has_metadata", "usage_month", "usage_day",
 ]
 
 
@@ -91,6 +91,7 @@ def normalize_invocations(raw: DataFrame) -> DataFrame:
         F.coalesce(usage_out.try_cast("bigint"), F.col("_body_out")).alias("output_tokens"),
         scalar_field(F.col("_error"), F.col("_error_text"), "type").alias("error_type"),
         "latency_ms", "requestmetadata",
+        F.col("requestmetadata").isNotNull().alias("has_metadata"),
         F.date_format("ts", "yyyy-MM").alias("usage_month"),
         F.to_date("ts").alias("usage_day"),
     )

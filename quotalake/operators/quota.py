@@ -10,12 +10,13 @@ event-time (UTC) calendar months and days.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotalake.functions.timecols import day_key, epoch_seconds, month_key, month_start
 from quotalake.operators.usage import ts_lit
 from quotalake.plans.scan import prefix_sums, with_chunk
+from quotalake.session import cut_lineage
 
 # The built-in policy used when no policy row matches, the
 # identity defaults, and the rejection response.
@@ -189,8 +190,11 @@ def quota_exceeded_messages(checked: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- K8
+HOT_USER_ROWS = 2_000_000
+
+
 def quota_replay(calls: DataFrame, users: DataFrame, policies: DataFrame,
-                 chunk_seconds: int = 60) -> DataFrame:
+                 chunk_seconds: int = 60, hot_user_rows: int | None = HOT_USER_ROWS) -> DataFrame:
     """K8: replay a call log through check-then-add; one row per call.
 
     ``calls``: request_id, ts, user_id, input_tokens, output_tokens, failed.
@@ -203,8 +207,13 @@ def quota_replay(calls: DataFrame, users: DataFrame, policies: DataFrame,
       3. used_before = earlier allowed tokens (month and day)
     Once a limit is reached the accepted sum stays at or above it, so every
     later row of that period is blocked by the same test; days nest in
-    months, so 1-2 equal the sequential protocol.  Each step is a chunked
-    prefix sum (plans.scan), so a hot user is spread over many tasks.
+    months, so 1-2 equal the sequential protocol.
+
+    Skew: users with more than ``hot_user_rows`` calls are split into time
+    chunks (``plans.scan.prefix_sums``), so a user holding a third of all
+    calls is spread over many tasks; all other users take one shuffle on
+    ``user_id`` and stacked windows.  ``hot_user_rows=0`` chunks everyone,
+    ``None`` nobody.
     """
     resolved = resolve_policy(users, policies)
     base = calls.join(resolved, "user_id", "left")
@@ -213,19 +222,21 @@ def quota_replay(calls: DataFrame, users: DataFrame, policies: DataFrame,
          .withColumn("tokens", F.when(F.col("failed"), F.lit(0)).otherwise(_call_tokens()).cast("bigint"))
          .withColumn("_day", F.to_date("ts"))
          .withColumn("_month", F.trunc(F.to_date("ts"), "MM")))
-    t = with_chunk(t, "ts", chunk_seconds)
-    order = [F.col("ts"), F.col("request_id")]
-    t = prefix_sums(t, "user_id", order, [("tokens", "_day", "_d")])
-    t = t.withColumn("_day_ok", F.col("_d") < F.col("daily_limit"))
-    t = t.withColumn("_v2", F.when(F.col("_day_ok"), F.col("tokens")).otherwise(F.lit(0)))
-    t = prefix_sums(t, "user_id", order, [("_v2", "_month", "_m")])
-    t = t.withColumn("allowed", F.when(
-        F.col("enforcement_mode") == F.lit("block"),
-        F.col("_day_ok") & (F.col("_m") < F.col("monthly_limit"))).otherwise(F.lit(True)))
-    t = t.withColumn("charged_tokens", F.when(F.col("allowed"), F.col("tokens")).otherwise(F.lit(0)))
-    t = prefix_sums(t, "user_id", order, [("charged_tokens", "_day", "daily_usage"),
-                                          ("charged_tokens", "_month", "monthly_usage")])
-    replayed = t.select(
+    if hot_user_rows is None:
+        decided = _decide_direct(t)
+    elif hot_user_rows <= 0:
+        decided = _decide_chunked(t, chunk_seconds)
+    else:
+        # A tiny stored table of hot user ids (at most rows / hot_user_rows rows).
+        hot = cut_lineage(t.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+                          .where(F.col("_n") > hot_user_rows).select("user_id"))
+        if hot.isEmpty():
+            decided = _decide_direct(t)
+        else:
+            decided = _decide_direct(t.join(F.broadcast(hot), "user_id", "left_anti")).unionByName(
+                _decide_chunked(t.join(F.broadcast(hot), "user_id", "left_semi"), chunk_seconds),
+                allowMissingColumns=True)
+    replayed = decided.select(
         "request_id", "ts", "user_id", "user_group", "tenant", "department", "policy_source",
         "enforcement_mode", "monthly_limit", "daily_limit", "metric_monthly_limit", "metric_daily_limit",
         "tokens", "failed", "allowed", "charged_tokens", "monthly_usage", "daily_usage",
@@ -240,6 +251,48 @@ def quota_replay(calls: DataFrame, users: DataFrame, policies: DataFrame,
     return replayed.unionByName(rejected, allowMissingColumns=True)
 
 
+def _allowed_col() -> Column:
+    return F.when(F.col("enforcement_mode") == F.lit("block"),
+                  F.col("_day_ok") & (F.col("_m") < F.col("monthly_limit"))).otherwise(F.lit(True))
+
+
+def _decide_direct(t: DataFrame) -> DataFrame:
+    """Steps 1-3 as windows over one user's rows; one shuffle on user_id.
+
+    hash(user_id) satisfies every (user_id, day|month) window, so the
+    stacked windows only re-sort within partitions.
+    """
+    order = [F.col("ts"), F.col("request_id")]
+    w_day = Window.partitionBy("user_id", "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    w_month = Window.partitionBy("user_id", "_month").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(v: str, w) -> Column:
+        return F.coalesce(F.sum(v).over(w), F.lit(0)).cast("bigint")
+
+    t = t.repartition("user_id")
+    t = t.withColumn("_day_ok", before("tokens", w_day) < F.col("daily_limit"))
+    t = t.withColumn("_v2", F.when(F.col("_day_ok"), F.col("tokens")).otherwise(F.lit(0)))
+    t = t.withColumn("_m", before("_v2", w_month))
+    t = t.withColumn("allowed", _allowed_col())
+    t = t.withColumn("charged_tokens", F.when(F.col("allowed"), F.col("tokens")).otherwise(F.lit(0)))
+    return (t.withColumn("daily_usage", before("charged_tokens", w_day))
+            .withColumn("monthly_usage", before("charged_tokens", w_month)))
+
+
+def _decide_chunked(t: DataFrame, chunk_seconds: int) -> DataFrame:
+    """Steps 1-3 as chunked prefix sums (hot users)."""
+    t = with_chunk(t, "ts", chunk_seconds)
+    order = [F.col("ts"), F.col("request_id")]
+    t = prefix_sums(t, "user_id", order, [("tokens", "_day", "_d")])
+    t = t.withColumn("_day_ok", F.col("_d") < F.col("daily_limit"))
+    t = t.withColumn("_v2", F.when(F.col("_day_ok"), F.col("tokens")).otherwise(F.lit(0)))
+    t = prefix_sums(t, "user_id", order, [("_v2", "_month", "_m")])
+    t = t.withColumn("allowed", _allowed_col())
+    t = t.withColumn("charged_tokens", F.when(F.col("allowed"), F.col("tokens")).otherwise(F.lit(0)))
+    return prefix_sums(t, "user_id", order, [("charged_tokens", "_day", "daily_usage"),
+                                             ("charged_tokens", "_month", "monthly_usage")])
+
+
 # ---------------------------------------------------------------- K6
 def quota_metrics(replayed: DataFrame) -> DataFrame:
     """K6: percent metrics after each allowed successful call (post-update usage).

@@ -53,8 +53,12 @@ def since_filter(inv: DataFrame, since: Column, strict: bool = False) -> DataFra
 
 
 def scoped(inv: DataFrame, account: str | None, since: Column | None = None) -> DataFrame:
-    """Rows of one account with identity metadata, at or after ``since``."""
-    cond = F.col("requestmetadata").isNotNull()
+    """Rows of one account with identity metadata, at or after ``since``.
+
+    The stored fact table carries ``has_metadata`` so this test does not
+    read the metadata text column.
+    """
+    cond = F.col("has_metadata") if "has_metadata" in inv.columns else F.col("requestmetadata").isNotNull()
     if account is not None:
         cond = cond & (F.col("account_id") == F.lit(account))
     out = inv.where(cond)

@@ -69,7 +69,11 @@ def brute_force(calls, limits):
     return out
 
 
-def test_replay_equals_sequential_loop(spark):
+import pytest
+
+
+@pytest.mark.parametrize("hot_user_rows", [None, 0, 20])
+def test_replay_equals_sequential_loop(spark, hot_user_rows):
     rnd = random.Random(7)
     users, pols, calls, limits = [], [], [], {}
     base = dt.datetime(2024, 1, 30, 22, 0, 0)
@@ -90,7 +94,8 @@ def test_replay_equals_sequential_loop(spark):
         "request_id", "ts", "user_id", F.col("tokens").alias("input_tokens"),
         F.lit(0).cast("long").alias("output_tokens"), "failed")
     got = {r.request_id: (r.allowed, r.monthly_usage, r.daily_usage, r.status)
-           for r in K.quota_replay(calls_df, users_df(spark, users), policies_df(spark, pols), 60).collect()}
+           for r in K.quota_replay(calls_df, users_df(spark, users), policies_df(spark, pols), 60,
+                                   hot_user_rows).collect()}
     assert got == brute_force(calls, limits)
 
 
