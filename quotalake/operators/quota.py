@@ -362,9 +362,10 @@ def monthly_usage_report(counters: DataFrame) -> DataFrame:
 
 
 def policy_report(policies: DataFrame) -> DataFrame:
-    """Policies ordered by (type, identifier) with limits in whole millions."""
+    """Policies ordered by (type, identifier) with limits in whole millions ('{n}M', half-even)."""
     def millions(c: str) -> Column:
-        return F.concat(F.format_number(F.round(F.coalesce(F.col(c), F.lit(0)) / F.lit(1e6), 0), 0), F.lit("M"))
+        whole = F.bround(F.coalesce(F.col(c), F.lit(0)) / F.lit(1e6), 0).cast("bigint")
+        return F.concat(whole.cast("string"), F.lit("M"))
 
     return (policies.select(
         "policy_type", "identifier", "monthly_limit", "daily_limit",

@@ -393,8 +393,8 @@ WHERE NOT EXISTS (SELECT 1 FROM counters c WHERE c.user_email = p.user_email AND
 SELECT user_email, metric_period, tokens_used, last_updated FROM counters WHERE metric_period LIKE 'monthly%'"""),
         "policy_report": _qsql("""
 SELECT policy_type, identifier, monthly_limit, daily_limit, coalesce(enforcement_mode, 'unknown') AS enforcement_mode,
-       format('{:,}', CAST(round(coalesce(monthly_limit, 0) / 1e6) AS BIGINT)) || 'M' AS monthly_limit_m,
-       format('{:,}', CAST(round(coalesce(daily_limit, 0) / 1e6) AS BIGINT)) || 'M' AS daily_limit_m
+       CAST(CAST(round_even(coalesce(monthly_limit, 0) / 1e6, 0) AS BIGINT) AS VARCHAR) || 'M' AS monthly_limit_m,
+       CAST(CAST(round_even(coalesce(daily_limit, 0) / 1e6, 0) AS BIGINT) AS VARCHAR) || 'M' AS daily_limit_m
 FROM pol"""),
         "user_quota_tracking_joined": _qsql(f"""
 , u AS (

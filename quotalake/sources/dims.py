@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotalake.schema import QUOTA_POLICIES, TENANT_PROFILES, USER_METADATA
@@ -21,16 +21,20 @@ PROFILE_KEYS = ["profile_id"]
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_col: str | None = "updatedAt",
                    seq_col: str | None = None) -> DataFrame:
-    """Keep the newest row per key (by ``order_col``, then ``seq_col``, e.g. input order)."""
-    order = []
-    if order_col and order_col in df.columns:
-        order.append(F.col(order_col).desc_nulls_last())
-    if seq_col and seq_col in df.columns:
-        order.append(F.col(seq_col).desc())
+    """Keep the newest row per key (by ``order_col``, then ``seq_col``, e.g. a batch id).
+
+    An aggregate (``max_by`` over the row) rather than a ranking window:
+    partial aggregation runs before the shuffle, so a key with very many
+    puts never lands in one task as a whole.  NULL ordering values lose.
+    """
+    order = [c for c in (order_col, seq_col) if c and c in df.columns]
+    keys = list(keys)
     if not order:
-        return df.dropDuplicates(list(keys))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+        return df.dropDuplicates(keys)
+    rest = [c for c in df.columns if c not in keys]
+    rank = F.struct(*[F.col(c) for c in order])
+    latest = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), rank).alias("_row"))
+    return latest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
 def _load(spark: SparkSession, path: str, schema, fmt: str) -> DataFrame:
