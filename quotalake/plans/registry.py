@@ -194,9 +194,9 @@ def _calls_path(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _inv_path(spark, sf_dir)
+    """T1 fed by S5: tail the JSON log folders, normalise each micro-batch (S2), count."""
     out = SC.run_dir(spark, "counters")
-    stream = SC.file_stream(spark, path, spark.read.parquet(path))
+    stream = normalize_invocations(LG.stream_invocations(spark, _raw_log_path(spark, sf_dir)))
     SC.run_until_caught_up(ST1.stream_usage_counters(stream, out + "/sink", out + "/checkpoint"))
     return ST1.read_counters(spark, out + "/sink")
 
