@@ -185,7 +185,7 @@ def write_raw_log(raw: DataFrame, path: str) -> None:
     ts = F.to_timestamp_ntz(F.regexp_replace("timestamp", "Z$", ""))
     (raw.withColumn("year", F.year(ts)).withColumn("month", F.month(ts))
      .withColumn("day", F.dayofmonth(ts)).withColumn("hour", F.hour(ts))
-     .repartitionByRange(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), "timestamp")
+     .repartitionByRange("timestamp")
      .write.mode("overwrite").partitionBy("year", "month", "day", "hour").json(path))
 
 

@@ -74,8 +74,11 @@ def write_invocations_partitioned(inv: DataFrame, path: str, layout: str = "day"
         parts = [PARTITION_COLUMN]
     else:
         raise ValueError("layout must be 'day' or 'hour'")
-    n = files_per_day or int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = out.repartitionByRange(n, F.col("ts"), F.col("request_id")).sortWithinPartitions("ts")
+    # Without an explicit count AQE coalesces the range partitions to its
+    # advisory size, so the number of files follows the data volume.
+    keys = [F.col("ts"), F.col("request_id")]
+    out = out.repartitionByRange(files_per_day, *keys) if files_per_day else out.repartitionByRange(*keys)
+    out = out.sortWithinPartitions("ts")
     out.write.mode(mode).partitionBy(*parts).parquet(path)
 
 
