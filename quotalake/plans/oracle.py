@@ -549,6 +549,22 @@ USING (profile_id)"""),
         "user_invocations": _msql(f"""
 SELECT user_id, tenant, {_b(3600)} AS period_start, COUNT(*) AS invocations
 FROM inv WHERE user_id IS NOT NULL GROUP BY 1, 2, 3"""),
+        "metric_statistics": _msql(f"""
+SELECT tenant, {_b(3600)} AS period_start, AVG(output_tokens) AS avg_output_tokens
+FROM inv WHERE ts >= TIMESTAMP '2024-02-01 00:00:00' AND ts < TIMESTAMP '2024-02-08 00:00:00' GROUP BY 1, 2"""),
+        "evaluate_alarm_2of2": _msql(f"""
+, series AS (SELECT {_b(3600)} AS period_start, COUNT(*) AS value FROM inv GROUP BY 1),
+  st AS (SELECT *, value > 14 AS breaching FROM series),
+  st2 AS (
+    SELECT *, CASE WHEN breaching AND coalesce(lag(breaching) OVER w, FALSE)
+                    AND lag(period_start) OVER w = period_start - INTERVAL 3600 SECOND
+                   THEN 'ALARM' ELSE 'OK' END AS state
+    FROM st WINDOW w AS (ORDER BY period_start))
+SELECT period_start, value, breaching, state,
+       state <> CASE WHEN lag(period_start) OVER w IS NOT NULL
+                      AND lag(period_start) OVER w <> period_start - INTERVAL 3600 SECOND THEN 'OK'
+                     ELSE coalesce(lag(state) OVER w, 'OK') END AS changed
+FROM st2 WINDOW w AS (ORDER BY period_start)""").replace("\n\n, series AS", ", series AS"),
         "high_quota_alarm": _msql(_alarm(f"""
   SELECT period_start, MAX(v) AS value FROM (
     SELECT user_id, {_b(300)} AS period_start, MAX(monthly_pct) AS v FROM metrics GROUP BY 1, 2) GROUP BY 1""",
@@ -593,6 +609,14 @@ SELECT request_id, ts, user_id, enforcement_mode, monthly_limit, daily_limit, to
 def _s() -> dict[str, str]:
     since7 = since_days(7)
     return {
+        "write_invocations_partitioned": _qsql("""
+SELECT year(ts) AS year, month(ts) AS month, day(ts) AS day, hour(ts) AS hour, COUNT(*) AS calls,
+       MIN(ts) AS first_ts, MAX(ts) AS last_ts
+FROM inv GROUP BY 1, 2, 3, 4"""),
+        "load_quota_policies": _qsql("""
+SELECT policy_type, identifier, monthly_limit, daily_limit,
+       CASE WHEN policy_type = 'group' THEN 'alert' ELSE enforcement_mode END AS enforcement_mode
+FROM pol"""),
         "normalize_invocations": _qsql("""
 SELECT ts, account_id, request_id, model_id, profile_id, user_id, tenant, user_group, department, source,
        input_tokens, output_tokens, error_type, latency_ms, strftime(ts, '%Y-%m') AS usage_month,

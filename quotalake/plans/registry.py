@@ -175,6 +175,11 @@ def _metric_queries() -> dict[str, Query]:
         "quota_status_table": lambda s, d: M.quota_status_table(K.resolve_policy(users(s, d), policies(s, d))),
         "tenant_usage_last_hour": lambda s, d: M.tenant_usage_last_hour(inv(s, d), prof(s), R),
         "user_invocations": lambda s, d: M.user_invocations(inv(s, d), 3600),
+        "metric_statistics": lambda s, d: M.metric_statistics(
+            inv(s, d), "output_tokens", ["tenant"], 3600, "Average", start="2024-02-01 00:00:00",
+            end="2024-02-08 00:00:00", name="avg_output_tokens"),
+        "evaluate_alarm_2of2": lambda s, d: AL.evaluate_alarm(
+            M.metric_statistics(inv(s, d), F.lit(1), [], 3600, "SampleCount"), 14, 3600, eval_periods=2),
         "high_quota_alarm": lambda s, d: AL.high_quota_alarm(metrics(s, d)),
         "error_alarm": lambda s, d: AL.error_alarm(replay(s, d)),
         "high_token_alarm": lambda s, d: AL.high_token_alarm(inv(s, d)),
@@ -291,7 +296,25 @@ def _source_queries() -> dict[str, Query]:
             s.createDataFrame([("batch-import",)], "source string"))
         return LG.log_freshness(inv, srcs, fx.AS_OF_RECENT)
 
+    def write_hourly(s, d):
+        path = SC.run_dir(s, "fact-hourly")
+        LG.write_invocations_partitioned(invocations(s, d), path, layout="hour")
+        back = LG.read_invocations(s, path)
+        return back.groupBy("year", "month", "day", "hour").agg(
+            F.count(F.lit(1)).alias("calls"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+    def load_policies(s, d):
+        path = SC.run_dir(s, "policy-puts")
+        pols = policies(s, d)
+        later = (pols.where(F.col("policy_type") == "group")
+                 .withColumn("enforcement_mode", F.lit("alert")).withColumn("updatedAt", F.lit("2024-02-01T00:00:00Z")))
+        pols.unionByName(later).write.mode("overwrite").json(path)
+        return DM.load_quota_policies(s, path).select(
+            "policy_type", "identifier", "monthly_limit", "daily_limit", "enforcement_mode")
+
     return {
+        "write_invocations_partitioned": write_hourly,
+        "load_quota_policies": load_policies,
         "normalize_invocations": lambda s, d: invocations(s, d).select(*NORMALIZED_COLUMNS).withColumn(
             "usage_day", F.col("usage_day").cast("timestamp_ntz")),
         "read_invocation_logs": read_logs,
