@@ -45,3 +45,19 @@ def test_partitioned_write_prunes_days(spark, tmp_dir):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(usage_day" in plan and "PushedFilters" in plan
     assert q.count() == 12
+
+
+def test_json_log_reader_prunes_hour_folders(spark, tmp_dir):
+    import datetime as dt
+
+    from quotalake.sources import fixtures as fx
+
+    rows = [{"timestamp": f"2024-02-{d:02d}T{h:02d}:00:00.000000Z", "accountid": "1", "requestid": f"r{d}{h}"}
+            for d in (10, 11, 12) for h in (0, 23)]
+    raw = spark.createDataFrame(rows, "timestamp string, accountid string, requestid string")
+    path = os.path.join(tmp_dir, "log")
+    fx.write_raw_log(raw, path)
+    df = LG.read_invocation_logs(spark, path, since=dt.datetime(2024, 2, 11, 5))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "year" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert sorted(r.requestid for r in df.collect()) == ["r110", "r1123", "r120", "r1223"]
