@@ -143,15 +143,16 @@ def duration_stats_5m(calls: DataFrame, approx: bool = False) -> DataFrame:
                  _stat("p99", F.col("latency_ms"), approx).alias("p99_ms")))
 
 
-def peak_concurrency_1m(calls: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def peak_concurrency_1m(calls: DataFrame, chunk_seconds: int = 60) -> DataFrame:
     """Most calls in flight at once within each minute.
 
     A call is in flight on [ts, ts + latency).  Each call becomes a +1 event
     at its start and a -1 event at its end (an end sorts before a start at
     the same instant).  The running total is a global prefix sum computed by
-    ``plans.scan.prefix_sums`` over hour chunks (one constant key), so no
-    task holds more than one hour of events, then ``max`` per minute, also
-    counting calls already in flight when the minute begins.
+    ``plans.scan.prefix_sums`` over one-minute chunks (one constant key), so
+    no task holds more than one minute of events and the carry window one
+    row per minute of the time range; then ``max`` per minute, also counting
+    calls already in flight when the minute begins.
     """
     from quotalake.plans.scan import prefix_sums, with_chunk
 

@@ -143,5 +143,7 @@ def avg_quota_percent(metrics: DataFrame, as_of, user: str | None = None, hours:
     df = since_filter(metrics, hours_before(as_of, hours))
     if user is not None:
         df = df.where(F.col("user_id") == F.lit(user))
-    return df.groupBy("user_id").agg(F.avg("monthly_pct").alias("avg_monthly_pct"),
+    # A sum of doubles depends on summation order; 6 decimals keep the
+    # result independent of how the engine splits the work.
+    return df.groupBy("user_id").agg(F.round(F.avg("monthly_pct"), 6).alias("avg_monthly_pct"),
                                      F.count(F.lit(1)).alias("points"))

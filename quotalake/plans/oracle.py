@@ -478,7 +478,7 @@ def _m() -> dict[str, str]:
     band = "CASE WHEN max_pct >= 95 THEN 'Critical' WHEN max_pct >= 80 THEN 'Warning' ELSE 'OK' END"
     out = {
         "avg_quota_percent": _msql(f"""
-SELECT user_id, AVG(monthly_pct) AS avg_monthly_pct, COUNT(*) AS points
+SELECT user_id, round(AVG(monthly_pct), 6) AS avg_monthly_pct, COUNT(*) AS points
 FROM metrics WHERE ts >= {since_hours(1)} GROUP BY 1"""),
         "tenant_invocations_hourly": _msql(f"""
 SELECT tenant_name, profile_id, {_b(3600)} AS period_start, COUNT(*) AS invocations FROM ip GROUP BY 1, 2, 3"""),
