@@ -73,3 +73,34 @@ def test_stream_counters_equal_batch_and_dedup(spark, tmp_dir):
     SC.run_until_caught_up(T1.dedup_stream(stream).writeStream.format("parquet").option("path", out)
                            .option("checkpointLocation", out + "_ck"))
     assert spark.read.parquet(out).count() == 4
+
+
+def test_stream_metrics_equal_batch_statistics(spark, tmp_dir):
+    from quotalake.operators import metrics as M
+    from quotalake.streaming import metrics as T2
+
+    rnd = random.Random(11)
+    t0 = dt.datetime(2024, 2, 1)
+    rows = [(f"r{i}", t0 + dt.timedelta(seconds=rnd.randint(0, 7200)), rnd.choice(["a", "b"]), rnd.randint(1, 900))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "request_id string, ts timestamp_ntz, tenant string, latency_ms long")
+    src = os.path.join(tmp_dir, "calls")
+    # In-order arrival (three 40-minute slices); rows later than the
+    # watermark would be dropped as late data, which batch does not do.
+    for k in range(3):
+        lo, hi = t0 + dt.timedelta(minutes=40 * k), t0 + dt.timedelta(minutes=40 * (k + 1))
+        hi = hi + dt.timedelta(seconds=1) if k == 2 else hi
+        df.where((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(hi))).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.05)
+    stream = SC.file_stream(spark, src, spark.read.parquet(src), max_files_per_trigger=1)
+    series = T2.stream_metrics(stream, 300, ["tenant"], [F.count(F.lit(1)).alias("calls"),
+                                                         F.max("latency_ms").alias("max_ms")])
+    sink = os.path.join(tmp_dir, "series")
+    SC.run_until_caught_up(T2.write_metrics(series, sink, sink + "_ck"))
+    got = {(r.tenant, r.period_start): (r.calls, r.max_ms) for r in T2.read_metrics(spark, sink, ["tenant"]).collect()}
+    n = M.metric_statistics(df, F.lit(1), ["tenant"], 300, "SampleCount", name="calls")
+    mx = M.metric_statistics(df, "latency_ms", ["tenant"], 300, "Maximum", name="max_ms")
+    want = {(r.tenant, r.period_start): (r.calls, r.max_ms)
+            for r in n.join(mx, ["tenant", "period_start"]).collect()}
+    assert got == want
+
