@@ -1,15 +1,15 @@
 """Column-level helpers: JSON scalar extraction, exact money, time buckets."""
 
-from quotalake.functions.jsonpath import json_scalar, parse_json_text
+from quotalake.functions.jsonpath import json_scalar, json_struct, parse_json_text, scalar_field
 from quotalake.functions.pricing import (
     blended_cost, dollars, estimate_cost, estimate_tokens, usage_totals,
 )
 from quotalake.functions.timecols import (
-    day_key, hour_start, iso_to_ts, month_key, month_start, day_start,
+    bucket_start, day_key, day_start, epoch_seconds, hour_start, iso_to_ts, month_key, month_start, ts_to_iso,
 )
 
 __all__ = [
-    "json_scalar", "parse_json_text", "blended_cost", "estimate_cost",
-    "estimate_tokens", "dollars", "usage_totals", "day_key", "hour_start",
-    "iso_to_ts", "month_key", "month_start", "day_start",
+    "json_scalar", "json_struct", "parse_json_text", "scalar_field", "blended_cost", "dollars",
+    "estimate_cost", "estimate_tokens", "usage_totals", "bucket_start", "day_key", "day_start",
+    "epoch_seconds", "hour_start", "iso_to_ts", "month_key", "month_start", "ts_to_iso",
 ]

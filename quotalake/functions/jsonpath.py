@@ -1,9 +1,11 @@
 """Scalar extraction from JSON text with SQL ``json_extract_scalar`` semantics.
 
-``get_json_object`` returns the text of an object or array; scalar
-extraction must return NULL for those.  We parse the text once into a
-VARIANT and look at the extracted value's type, which keeps the whole
-thing a Catalyst expression (no UDF).
+``get_json_object`` and ``from_json`` return the text of an object or
+array; scalar extraction must return NULL for those.  ``json_struct``
+parses a column once into a struct of strings (the fast path);
+``scalar_field`` sends only values that look like an object or array to
+``json_scalar``, which parses into a VARIANT and checks the value's type.
+Everything stays a Catalyst expression (no UDF).
 """
 
 from __future__ import annotations
@@ -32,11 +34,6 @@ def json_scalar(parsed: Column, path: str) -> Column:
     )
 
 
-def json_long(parsed: Column, path: str) -> Column:
-    """Integer scalar at ``path``; text that is not an integer gives NULL (counted as reject)."""
-    return json_scalar(parsed, path).try_cast("bigint")
-
-
 def json_struct(text: Column, keys: list[str]) -> Column:
     """Parse JSON text once into a struct of string fields (object values keep their text)."""
     schema = "struct<" + ", ".join(f"`{k}`: string" for k in keys) + ">"
