@@ -430,3 +430,18 @@ def counters_from_replay(replayed: DataFrame) -> DataFrame:
     return usage_counters(ok.select(
         "user_id", "ts", F.col("_day").alias("usage_day"), F.lit(None).cast("string").alias("error_type"),
         F.col("charged_tokens").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens")))
+
+
+def counter_accuracy(counters: DataFrame, inv: DataFrame) -> DataFrame:
+    """K16 check: stored counters against counters recomputed from the log (K3).
+
+    Full outer join on (user, period); ``difference`` = stored - recomputed
+    (missing side counts as 0).  Rows where both agree are kept with
+    ``matches = true``, so the result is a complete reconciliation.
+    """
+    stored = counters.select("user_email", "metric_period", F.col("tokens_used").alias("stored_tokens"))
+    log = usage_counters(inv).select("user_email", "metric_period", F.col("tokens_used").alias("log_tokens"))
+    both = stored.join(log, ["user_email", "metric_period"], "full_outer")
+    diff = F.coalesce("stored_tokens", F.lit(0)) - F.coalesce("log_tokens", F.lit(0))
+    return both.select("user_email", "metric_period", "stored_tokens", "log_tokens",
+                       diff.cast("bigint").alias("difference"), (diff == 0).alias("matches"))

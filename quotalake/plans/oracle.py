@@ -417,6 +417,21 @@ SELECT status, COUNT(*) AS calls,
        CASE status WHEN 200 THEN 'ok' WHEN 400 THEN 'missing_user_id' WHEN 404 THEN 'unknown_user'
                    WHEN 429 THEN 'quota_exceeded' WHEN 500 THEN 'model_failure' END AS outcome
 FROM o GROUP BY status""").replace(")\n\n, o AS", "), o AS"),
+        "counter_accuracy": _qsql(f"""
+, rd AS (
+  SELECT user_id AS user_email, CAST(ts AS DATE) AS d, CAST(SUM(charged_tokens) AS BIGINT) AS t
+  FROM replay WHERE status = 200 GROUP BY 1, 2
+), stored AS (
+  SELECT user_email, 'daily_' || strftime(d, '%Y-%m-%d') AS metric_period, t AS stored_tokens FROM rd
+  UNION ALL
+  SELECT user_email, 'monthly_' || strftime(date_trunc('month', d), '%Y-%m'), CAST(SUM(t) AS BIGINT) FROM rd GROUP BY 1, 2
+)
+SELECT coalesce(s.user_email, c.user_email) AS user_email, coalesce(s.metric_period, c.metric_period) AS metric_period,
+       s.stored_tokens, c.tokens_used AS log_tokens,
+       CAST(coalesce(s.stored_tokens, 0) - coalesce(c.tokens_used, 0) AS BIGINT) AS difference,
+       coalesce(s.stored_tokens, 0) - coalesce(c.tokens_used, 0) = 0 AS matches
+FROM stored s FULL OUTER JOIN counters c ON s.user_email = c.user_email AND s.metric_period = c.metric_period
+""").replace("\n\n, rd AS", ", rd AS"),
         "current_usage": _qsql(f"""
 SELECT u.user_id,
        CAST(coalesce(c.m, 0) AS BIGINT) AS monthly_tokens,

@@ -142,6 +142,7 @@ def _quota_queries() -> dict[str, Query]:
         "user_period_history": lambda s, d: K.user_period_history(counters(s, d), "user3@company.com", "daily_"),
         "request_outcomes": lambda s, d: K.request_outcomes(replay(s, d)),
         "current_usage": lambda s, d: K.current_usage(users(s, d), counters(s, d), R),
+        "counter_accuracy": lambda s, d: K.counter_accuracy(K.counters_from_replay(replay(s, d)), invocations(s, d)),
     }
 
 
