@@ -604,6 +604,7 @@ SELECT request_id, ts, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day FROM inv WHERE
 
 def _t() -> dict[str, str]:
     return {
+        "stream_quota_alarm": _m()["high_quota_alarm"],
         "stream_usage_counters": _qsql("SELECT * FROM counters"),
         "dedup_stream": _qsql("""
 SELECT request_id, ts, user_id, input_tokens, output_tokens, failed, latency_ms FROM calls"""),
@@ -616,8 +617,8 @@ SELECT {_b(300)} AS period_start, COUNT(error_type) AS value, COUNT(error_type)
        CASE WHEN COUNT(error_type) > 1 THEN 'ALARM' ELSE 'OK' END AS state
 FROM inv GROUP BY 1"""),
         "stream_quota_decisions": _qsql("""
-SELECT request_id, ts, user_id, enforcement_mode, monthly_limit, daily_limit, tokens, allowed,
-       charged_tokens, monthly_usage, daily_usage, status FROM replay"""),
+SELECT request_id, ts, user_id, enforcement_mode, monthly_limit, daily_limit, metric_monthly_limit, tokens,
+       allowed, charged_tokens, monthly_usage, daily_usage, status FROM replay"""),
     }
 
 

@@ -339,8 +339,21 @@ NORMALIZED_COLUMNS = ["ts", "account_id", "request_id", "model_id", "profile_id"
                       "latency_ms", "usage_month", "usage_day"]
 
 
+def _stream_quota_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 on quota percent: T4 decisions -> foreachBatch max per 5 minutes -> A0."""
+    path = _calls_path(spark, sf_dir)
+    out = SC.run_dir(spark, "quota-alarm")
+    stream = SC.file_stream(spark, path, spark.read.parquet(path))
+    decisions = ST4.stream_quota_decisions(stream, users(spark, sf_dir), policies(spark, sf_dir))
+    writer = (decisions.writeStream.outputMode("append").option("checkpointLocation", out + "/checkpoint")
+              .foreachBatch(ST4.quota_alarm_sink(out + "/sink")))
+    SC.run_until_caught_up(writer)
+    return ST4.read_quota_alarm(spark, out + "/sink")
+
+
 def _stream_queries() -> dict[str, Query]:
     return {
+        "stream_quota_alarm": _stream_quota_alarm,
         "stream_usage_counters": _stream_counters,
         "dedup_stream": _stream_dedup,
         "stream_metrics_5m": _stream_metrics,

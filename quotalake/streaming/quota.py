@@ -20,8 +20,8 @@ from quotalake.operators.quota import resolve_policy
 
 STATE_SCHEMA = "m_keys array<string>, m_vals array<bigint>, d_keys array<string>, d_vals array<bigint>"
 OUTPUT_SCHEMA = ("request_id string, ts timestamp_ntz, user_id string, enforcement_mode string, "
-                 "monthly_limit bigint, daily_limit bigint, tokens bigint, allowed boolean, "
-                 "charged_tokens bigint, monthly_usage bigint, daily_usage bigint, status int")
+                 "monthly_limit bigint, daily_limit bigint, metric_monthly_limit bigint, tokens bigint, "
+                 "allowed boolean, charged_tokens bigint, monthly_usage bigint, daily_usage bigint, status int")
 KEEP_PERIODS = 2
 
 
@@ -64,19 +64,48 @@ def _decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     months = dict(sorted(months.items())[-KEEP_PERIODS:])
     days = dict(sorted(days.items())[-KEEP_PERIODS:])
     state.update((list(months), [int(x) for x in months.values()], list(days), [int(x) for x in days.values()]))
-    cols = ["request_id", "ts", "user_id", "enforcement_mode", "monthly_limit", "daily_limit", "tokens",
-            "allowed", "charged_tokens", "monthly_usage", "daily_usage", "status"]
+    cols = ["request_id", "ts", "user_id", "enforcement_mode", "monthly_limit", "daily_limit",
+            "metric_monthly_limit", "tokens", "allowed", "charged_tokens", "monthly_usage", "daily_usage", "status"]
     yield df[cols]
 
 
 def stream_quota_decisions(calls_stream: DataFrame, users: DataFrame, policies: DataFrame) -> DataFrame:
     """T4: decisions for the calls of known users (unknown users are 404 upstream)."""
-    limits = resolve_policy(users, policies).select("user_id", "enforcement_mode", "monthly_limit", "daily_limit")
+    limits = resolve_policy(users, policies).select("user_id", "enforcement_mode", "monthly_limit", "daily_limit",
+                                                    "metric_monthly_limit")
     tokens = F.when(F.col("failed"), F.lit(0)).otherwise(
         F.coalesce(F.col("input_tokens"), F.lit(0)) + F.coalesce(F.col("output_tokens"), F.lit(0)))
     enriched = (calls_stream.join(limits, "user_id", "inner")
                 .select("request_id", "ts", "user_id", "enforcement_mode", "monthly_limit", "daily_limit",
-                        "failed", tokens.cast("bigint").alias("tokens"),
+                        "metric_monthly_limit", "failed", tokens.cast("bigint").alias("tokens"),
                         F.date_format("ts", "yyyy-MM").alias("_mk"), F.date_format("ts", "yyyy-MM-dd").alias("_dk")))
     return enriched.groupBy("user_id").applyInPandasWithState(
         _decide, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+def quota_alarm_sink(root: str, period_s: int = 300):
+    """T3 on quota percent: foreachBatch behind T4.
+
+    Each micro-batch writes, per period bucket, the maximum MonthlyUsagePercent
+    after its successful calls; max is associative, so ``read_quota_alarm``
+    takes the max over all batches and evaluates the alarm on that series.
+    """
+    from quotalake.functions.timecols import bucket_start
+    from quotalake.streaming.common import batch_sink
+
+    def write(batch_df: DataFrame, batch_id: int) -> None:
+        ok = batch_df.where(F.col("status") == 200)
+        used = F.col("monthly_usage") + F.col("charged_tokens")
+        pct = F.when(F.col("metric_monthly_limit") > 0,
+                     used / F.col("metric_monthly_limit") * F.lit(100)).otherwise(F.lit(0.0))
+        out = ok.groupBy(bucket_start(F.col("ts"), period_s).alias("period_start")).agg(F.max(pct).alias("value"))
+        batch_sink(root)(out, batch_id)
+
+    return write
+
+
+def read_quota_alarm(spark, root: str, threshold: float = 80.0, period_s: int = 300) -> DataFrame:
+    from quotalake.operators.alarms import evaluate_alarm
+
+    series = spark.read.parquet(root).groupBy("period_start").agg(F.max("value").alias("value"))
+    return evaluate_alarm(series, threshold, period_s)
