@@ -90,11 +90,17 @@ def tenant_daily_usage(inv: DataFrame, as_of, account: str, days: int = 7) -> Da
             .orderBy(F.col("day").desc(), F.col("tenant").asc_nulls_last()))
 
 
-def department_cost(inv: DataFrame, as_of, account: str, days: int = 30) -> DataFrame:
+def _distinct(col: str, approx: bool, rsd: float = 0.01) -> Column:
+    """Exact count-distinct (Catalyst's Expand rewrite), or HyperLogLog++ with
+    fixed memory per group when ``approx`` (for very high-cardinality groups)."""
+    return F.approx_count_distinct(col, rsd) if approx else F.count_distinct(col)
+
+
+def department_cost(inv: DataFrame, as_of, account: str, days: int = 30, approx: bool = False) -> DataFrame:
     """Q3: per (tenant, department) users, calls, tokens and exact cost (4 dp)."""
     return (scoped(inv, account, days_before(as_of, days))
             .groupBy("tenant", "department")
-            .agg(F.count_distinct("user_id").alias("unique_users"),
+            .agg(_distinct("user_id", approx).alias("unique_users"),
                  F.count(F.lit(1)).alias("invocation_count"),
                  _sum_tokens(F.col("input_tokens"), "input_tokens"),
                  _sum_tokens(F.col("output_tokens"), "output_tokens"),
@@ -204,12 +210,13 @@ def tenant_monthly_cost(inv: DataFrame, account: str) -> DataFrame:
             .orderBy(F.col("month").desc(), F.col("total_cost_usd").desc_nulls_last()))
 
 
-def user_activity_summary(inv: DataFrame, as_of, account: str, days: int = 30) -> DataFrame:
+def user_activity_summary(inv: DataFrame, as_of, account: str, days: int = 30,
+                          approx: bool = False) -> DataFrame:
     """Q10: per (user, group, tenant) calls, active days, first/last call, tokens."""
     return (scoped(inv, account, days_before(as_of, days))
             .groupBy("user_id", "user_group", "tenant")
             .agg(F.count(F.lit(1)).alias("total_invocations"),
-                 F.count_distinct(F.col("usage_day")).alias("active_days"),
+                 _distinct("usage_day", approx).alias("active_days"),
                  F.min("ts").alias("first_activity"),
                  F.max("ts").alias("last_activity"),
                  _sum_tokens(total_tokens_col(), "total_tokens"))

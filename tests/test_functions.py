@@ -69,3 +69,17 @@ def test_usage_totals_zero_guard(spark):
     calls = spark.createDataFrame([(100, 13)] * 11 + [(100, 18)], "input_tokens long, output_tokens long")
     r = usage_totals(calls).first()
     assert (r.total_calls, r.total_tokens, r.avg_tokens_per_call) == (12, 1361, 113)
+
+
+def test_approx_distinct_close_to_exact(spark):
+    from quotalake.operators import usage as U
+
+    inv = spark.range(0, 20000).select(
+        F.lit("1").alias("account_id"), F.lit(True).alias("has_metadata"),
+        F.lit("2024-02-10 00:00:00").cast("timestamp_ntz").alias("ts"), F.to_date(F.lit("2024-02-10")).alias("usage_day"),
+        F.concat(F.lit("u"), (F.col("id") % 5000).cast("string")).alias("user_id"),
+        (F.col("id") % 3).cast("string").alias("tenant"), F.lit("d").alias("department"),
+        F.lit(1).cast("long").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"))
+    exact = {r.tenant: r.unique_users for r in U.department_cost(inv, dt.datetime(2024, 2, 18), "1").collect()}
+    approx = {r.tenant: r.unique_users for r in U.department_cost(inv, dt.datetime(2024, 2, 18), "1", approx=True).collect()}
+    assert all(abs(approx[k] - exact[k]) <= 0.05 * exact[k] for k in exact)
