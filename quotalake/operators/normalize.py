@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotalake.functions.jsonpath import json_scalar, json_struct, parse_json_text, scalar_field
+from quotalake.functions.jsonpath import json_struct, scalar_field
 from quotalake.functions.timecols import iso_to_ts
 
 # Identity keys read from requestmetadata (key -> output column).
@@ -98,5 +98,10 @@ def normalize_invocations(raw: DataFrame) -> DataFrame:
 
 
 def metadata_value(inv: DataFrame, key: str) -> Column:
-    """Scalar of any key of the raw requestmetadata (custom dimensions)."""
-    return json_scalar(parse_json_text(inv["requestmetadata"]), f"$.{key}")
+    """Scalar of any key of the raw requestmetadata (custom dimensions).
+
+    A one-field ``from_json`` lets the parser skip the other keys; only
+    object / array-looking values take the exact VARIANT path.
+    """
+    text = inv["requestmetadata"]
+    return scalar_field(json_struct(text, [key]), text, key)
