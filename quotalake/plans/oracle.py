@@ -625,6 +625,7 @@ SELECT request_id, ts, user_id, enforcement_mode, monthly_limit, daily_limit, me
 def _s() -> dict[str, str]:
     since7 = since_days(7)
     return {
+        "sql_dialect_department_cost": _q()["department_cost"],
         "write_invocations_partitioned": _qsql("""
 SELECT year(ts) AS year, month(ts) AS month, day(ts) AS day, hour(ts) AS hour, COUNT(*) AS calls,
        MIN(ts) AS first_ts, MAX(ts) AS last_ts
