@@ -128,3 +128,28 @@ def test_counters_ttl_and_initialize(spark):
     rows = {(r.user_email, r.metric_period): r.tokens_used for r in init.collect()}
     assert rows[("a", "daily_2024-02-14")] == 11 and rows[("b", "daily_2024-02-14")] == 0
     assert rows[("b", "monthly_2024-02")] == 0 and len(rows) == 6
+
+
+def test_low_quota_override_and_restore(spark):
+    """Temporary override (monthly = current + 1000, daily = 500, block), ten calls, restore."""
+    from quotalake.sources.dims import upsert_dimension
+
+    user = "john.doe@company.com"
+    users = users_df(spark, [(user, "engineering", "tenant_a", "platform")])
+    original = policies_df(spark, [("user", user, 500000000, 20000000, "block"),
+                                   ("group", "engineering", 500000000, 20000000, "block")])
+    history = [("h0", dt.datetime(2024, 3, 1, 9), user, 150000350, 0, False)]
+    calls = history + [(f"c{i}", dt.datetime(2024, 3, 2, 10, 0, i), user, 100, 13, False) for i in range(10)]
+    calls_df = spark.createDataFrame(calls, "request_id string, ts timestamp_ntz, user_id string, "
+                                            "input_tokens long, output_tokens long, failed boolean")
+    override = policies_df(spark, [("user", user, 150000350 + 1000, 500, "block")]).withColumn(
+        "updatedAt", F.lit("2024-03-02"))
+    low = upsert_dimension(original, override, ["policy_type", "identifier"])
+    got = {r.request_id: r.status for r in K.quota_replay(calls_df, users, low).collect()}
+    assert [got[f"c{i}"] for i in range(10)] == [200] * 5 + [429] * 5
+    blocked = K.quota_exceeded_messages(K.quota_replay(calls_df, users, low).where("request_id = 'c5'")).first()
+    assert blocked.message == "Daily quota exceeded (565/500 tokens)"
+    restored = upsert_dimension(low, original.where("policy_type = 'user'").withColumn(
+        "updatedAt", F.lit("2024-03-03")), ["policy_type", "identifier"])
+    again = {r.request_id: r.status for r in K.quota_replay(calls_df, users, restored).collect()}
+    assert all(again[f"c{i}"] == 200 for i in range(10))
