@@ -27,3 +27,15 @@ def storage_tier(inv: DataFrame, as_of) -> DataFrame:
 def expire_partitions(df: DataFrame, days: int, as_of) -> DataFrame:
     """R2: rows that survive a ``days`` retention rule (day bound prunes partitions)."""
     return since_filter(df, days_before(as_of, days))
+
+
+def rewrite_retained(spark, src: str, dst: str, days: int, as_of) -> None:
+    """R2 on a stored fact table: write only the day partitions that survive.
+
+    The read prunes expired ``usage_day`` folders, so the job touches only
+    the kept data; the result is a new table at ``dst`` with the same layout
+    (swap it in for ``src`` afterwards).
+    """
+    from quotalake.sources.logs import read_invocations, write_invocations_partitioned
+
+    write_invocations_partitioned(expire_partitions(read_invocations(spark, src), days, as_of), dst)

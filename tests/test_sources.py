@@ -61,3 +61,21 @@ def test_json_log_reader_prunes_hour_folders(spark, tmp_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "year" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert sorted(r.requestid for r in df.collect()) == ["r110", "r1123", "r120", "r1223"]
+
+
+def test_rewrite_retained_keeps_recent_days(spark, tmp_dir):
+    import datetime as dt
+
+    from quotalake.operators.retention import rewrite_retained, storage_tier
+
+    df = spark.range(0, 40).select(
+        F.timestamp_add("DAY", F.col("id"), F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")).alias("ts"),
+        F.concat(F.lit("r"), F.col("id").cast("string")).alias("request_id"))
+    df = df.withColumn("usage_day", F.to_date("ts"))
+    src, dst = os.path.join(tmp_dir, "src"), os.path.join(tmp_dir, "dst")
+    LG.write_invocations_partitioned(df, src)
+    rewrite_retained(spark, src, dst, 30, dt.datetime(2024, 2, 15))
+    kept = spark.read.parquet(dst)
+    assert kept.count() == 25 and kept.agg(F.min("usage_day")).first()[0] == dt.date(2024, 1, 16)
+    tiers = {r.tier: r.rows for r in storage_tier(spark.read.parquet(src), dt.datetime(2024, 2, 15)).collect()}
+    assert tiers == {"STANDARD_IA": 16, "STANDARD": 24}
