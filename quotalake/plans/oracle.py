@@ -627,7 +627,8 @@ def _s() -> dict[str, str]:
     return {
         "sql_dialect_department_cost": _q()["department_cost"],
         "write_invocations_partitioned": _qsql("""
-SELECT year(ts) AS year, month(ts) AS month, day(ts) AS day, hour(ts) AS hour, COUNT(*) AS calls,
+SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day,
+       CAST(hour(ts) AS INTEGER) AS hour, COUNT(*) AS calls,
        MIN(ts) AS first_ts, MAX(ts) AS last_ts
 FROM inv GROUP BY 1, 2, 3, 4"""),
         "load_quota_policies": _qsql("""
@@ -657,12 +658,13 @@ SELECT s.source, n.newest_event,
        CASE WHEN n.newest_event IS NULL THEN 'no events yet' ELSE 'ok' END AS status
 FROM srcs s LEFT JOIN newest n USING (source)""").replace("\n\n, srcs AS", ", srcs AS"),
         "upsert_dimension": _qsql("""
-SELECT u.user_id AS userId, u.user_group AS "group", o.monthly_limit AS monthlyLimit,
-       CASE WHEN u.user_id LIKE '%5@%' THEN 6000 ELSE o.daily_limit END AS dailyLimit,
+SELECT u.user_id AS userId, u.user_group AS "group", CAST(o.monthly_limit AS BIGINT) AS monthlyLimit,
+       CAST(CASE WHEN u.user_id LIKE '%5@%' THEN 6000 ELSE o.daily_limit END AS BIGINT) AS dailyLimit,
        CASE WHEN u.user_id LIKE '%5@%' THEN '2024-02-01T00:00:00Z' ELSE '2024-01-01T00:00:00Z' END AS updatedAt
 FROM users u LEFT JOIN own o USING (user_id)"""),
         "derive_user_policies": _qsql("""
-SELECT 'user' AS policy_type, u.user_id AS identifier, o.monthly_limit, o.daily_limit,
+SELECT 'user' AS policy_type, u.user_id AS identifier, CAST(o.monthly_limit AS BIGINT) AS monthly_limit,
+       CAST(o.daily_limit AS BIGINT) AS daily_limit,
        'block' AS enforcement_mode, 'User-specific quota for ' || u.user_id AS description
 FROM users u LEFT JOIN own o USING (user_id)"""),
         "usage_totals": _qsql("""

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
-from tools.check_oracle import TABLES, rows_of
+from tools.check_oracle import TABLES, rows_of, type_mismatches
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,4 +33,5 @@ def test_query_matches_oracle(spark, con, key):
         return
     opdf = con.execute(sql).fetchdf()
     assert sorted(spdf.columns) == sorted(opdf.columns)
+    assert type_mismatches(sdf, con, sql) == {}
     assert rows_of(spdf) == rows_of(opdf)
