@@ -15,14 +15,22 @@ _OFFSET = r"[T ].*([+-])(\d{2}):?(\d{2})$"
 
 
 def iso_to_ts(text: Column) -> Column:
-    """ISO-8601 text (``...Z``, ``+hh:mm`` or no zone) -> UTC TIMESTAMP_NTZ; bad text gives NULL."""
+    """ISO-8601 text (``...Z``, ``+hh:mm`` or no zone) -> UTC TIMESTAMP_NTZ; bad text gives NULL.
+
+    The log writes ``yyyy-MM-ddTHH:mm:ss[.f]Z``; that form is a plain cast
+    once the ``T`` and ``Z`` are replaced.  Only other forms (offsets, no
+    zone) take the regular-expression path (CASE branches are lazy).
+    """
+    canonical = text.endswith("Z") & (F.length(text) >= 20) & (F.substring(text, 11, 1) == F.lit("T"))
+    fast = F.concat(F.substring(text, 1, 10), F.lit(" "),
+                    text.substr(F.lit(12), F.length(text) - F.lit(12))).try_cast("timestamp_ntz")
     local = F.regexp_replace(F.regexp_extract(text, _LOCAL, 1), "T", " ")
     parsed = F.when(local != "", local).try_cast("timestamp_ntz")
     sign = F.regexp_extract(text, _OFFSET, 1)
     minutes = (F.regexp_extract(text, _OFFSET, 2).try_cast("int") * 60
                + F.regexp_extract(text, _OFFSET, 3).try_cast("int"))
     offset = F.when(sign == "+", minutes).when(sign == "-", -minutes).otherwise(F.lit(0))
-    return F.timestamp_add("MINUTE", -offset, parsed)
+    return F.when(canonical, fast).otherwise(F.timestamp_add("MINUTE", -offset, parsed))
 
 
 def ts_to_iso(ts: Column) -> Column:
