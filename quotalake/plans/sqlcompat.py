@@ -33,11 +33,15 @@ _OFFSET = r"[T ].*([+-])(\\d{2}):?(\\d{2})$"
 
 _FROM_ISO8601 = rf"""
 CREATE OR REPLACE TEMPORARY FUNCTION from_iso8601_timestamp(s STRING) RETURNS TIMESTAMP_NTZ
-RETURN timestampadd(MINUTE,
-  -(CASE regexp_extract(s, '{_OFFSET}', 1) WHEN '+' THEN 1 WHEN '-' THEN -1 ELSE 0 END)
-    * coalesce(try_cast(regexp_extract(s, '{_OFFSET}', 2) AS INT) * 60
-               + try_cast(regexp_extract(s, '{_OFFSET}', 3) AS INT), 0),
-  try_cast(nullif(replace(regexp_extract(s, '{_LOCAL}', 1), 'T', ' '), '') AS TIMESTAMP_NTZ))
+RETURN CASE
+  WHEN endswith(s, 'Z') AND length(s) >= 20 AND substring(s, 11, 1) = 'T'
+    THEN try_cast(concat(substring(s, 1, 10), ' ', substring(s, 12, length(s) - 12)) AS TIMESTAMP_NTZ)
+  ELSE timestampadd(MINUTE,
+    -(CASE regexp_extract(s, '{_OFFSET}', 1) WHEN '+' THEN 1 WHEN '-' THEN -1 ELSE 0 END)
+      * coalesce(try_cast(regexp_extract(s, '{_OFFSET}', 2) AS INT) * 60
+                 + try_cast(regexp_extract(s, '{_OFFSET}', 3) AS INT), 0),
+    try_cast(nullif(replace(regexp_extract(s, '{_LOCAL}', 1), 'T', ' '), '') AS TIMESTAMP_NTZ))
+END
 """
 
 
