@@ -105,3 +105,35 @@ def metadata_value(inv: DataFrame, key: str) -> Column:
     """
     text = inv["requestmetadata"]
     return scalar_field(json_struct(text, [key]), text, key)
+
+
+def normalize_rejects(raw: DataFrame) -> DataFrame:
+    """Data-quality counts for ``normalize_invocations`` (one global aggregate row).
+
+    Values that S2 turns into NULL instead of failing the job: timestamps
+    that do not parse, token text present but not an integer, and
+    metadata / usage text that is not a JSON object.
+    """
+    ts_text = _text(raw, "timestamp")
+    md_text = _text(raw, "requestmetadata")
+    usage_type = next((f.dataType for f in raw.schema.fields if f.name.lower() == "usage"), None)
+    usage_text = F.col("usage") if isinstance(usage_type, T.StringType) else F.lit(None).cast("string")
+    usage = json_struct(usage_text, ["inputTokens", "outputTokens"])
+
+    def bad_int(c: Column) -> Column:
+        return c.isNotNull() & c.try_cast("bigint").isNull()
+
+    def bad_json(text: Column) -> Column:
+        return text.isNotNull() & F.try_parse_json(text).isNull()
+
+    def n(cond: Column, name: str) -> Column:
+        return F.count(F.when(cond, True)).alias(name)
+
+    return raw.agg(
+        F.count(F.lit(1)).alias("records"),
+        n(ts_text.isNull() | iso_to_ts(ts_text).isNull(), "bad_timestamp"),
+        n(bad_int(usage.getField("inputTokens")), "bad_input_tokens"),
+        n(bad_int(usage.getField("outputTokens")), "bad_output_tokens"),
+        n(bad_json(md_text), "malformed_metadata"),
+        n(bad_json(usage_text), "malformed_usage"),
+    )

@@ -626,6 +626,11 @@ def _s() -> dict[str, str]:
     since7 = since_days(7)
     return {
         "sql_dialect_department_cost": _q()["department_cost"],
+        "normalize_rejects": _qsql("""
+SELECT COUNT(*) AS records, COUNT(*) FILTER (WHERE ts IS NULL) AS bad_timestamp,
+       CAST(0 AS BIGINT) AS bad_input_tokens, CAST(0 AS BIGINT) AS bad_output_tokens,
+       CAST(0 AS BIGINT) AS malformed_metadata, CAST(0 AS BIGINT) AS malformed_usage
+FROM inv"""),
         "write_invocations_partitioned": _qsql("""
 SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day,
        CAST(hour(ts) AS INTEGER) AS hour, COUNT(*) AS calls,

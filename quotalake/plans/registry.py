@@ -16,7 +16,7 @@ from quotalake.operators import quota as K
 from quotalake.operators import retention as RT
 from quotalake.operators import usage as U
 from quotalake.operators import variants as V
-from quotalake.operators.normalize import normalize_invocations
+from quotalake.operators.normalize import normalize_invocations, normalize_rejects
 from quotalake.schema import INVOCATION_LOG
 from quotalake.sources import dims as DM
 from quotalake.sources import fixtures as fx
@@ -314,6 +314,7 @@ def _source_queries() -> dict[str, Query]:
 
     return {
         "sql_dialect_department_cost": _dialect_department_cost,
+        "normalize_rejects": lambda s, d: normalize_rejects(fx.invocation_log(s, d)),
         "write_invocations_partitioned": write_hourly,
         "load_quota_policies": load_policies,
         "normalize_invocations": lambda s, d: invocations(s, d).select(*NORMALIZED_COLUMNS).withColumn(

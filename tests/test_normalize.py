@@ -53,3 +53,15 @@ def test_sum_of_pair_skips_rows_with_a_null_side(spark):
 def test_empty_input(spark):
     inv = normalize_invocations(_raw(spark, []))
     assert U.department_cost(inv, dt.datetime(2024, 2, 18), "1").count() == 0
+
+
+def test_rejects_are_counted(spark):
+    from quotalake.operators.normalize import normalize_rejects
+
+    rows = [{"timestamp": "2024-02-01T00:00:00Z", "requestmetadata": '{"userId": "a"}',
+             "usage": '{"inputTokens": "abc", "outputTokens": "1.5"}'},
+            {"timestamp": "not a time", "requestmetadata": "{broken", "usage": "nope"},
+            {"timestamp": None, "requestmetadata": None, "usage": '{"inputTokens": 3, "outputTokens": 4}'}]
+    r = normalize_rejects(_raw(spark, rows)).first()
+    assert (r.records, r.bad_timestamp, r.bad_input_tokens, r.bad_output_tokens,
+            r.malformed_metadata, r.malformed_usage) == (3, 2, 1, 1, 1, 1)
