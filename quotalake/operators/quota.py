@@ -330,8 +330,9 @@ def metric_points(metrics: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- K9 - K16
 def expire_counters(counters: DataFrame, as_of) -> DataFrame:
-    """K9: counters whose ttl (epoch seconds) is still in the future at ``as_of``."""
-    return counters.where(F.col("ttl") > epoch_seconds(ts_lit(as_of)))
+    """K9: counters not yet expired at ``as_of``: an item expires only once its
+    ttl (epoch seconds) is earlier than the current time."""
+    return counters.where(F.col("ttl") >= epoch_seconds(ts_lit(as_of)))
 
 
 def initialize_counters(users: DataFrame, counters: DataFrame, as_of) -> DataFrame:

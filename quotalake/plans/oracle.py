@@ -376,7 +376,7 @@ SELECT request_id, ts, user_id, coalesce(tenant, 'unknown') AS tenant,
        charged_tokens AS tokens_used
 FROM replay WHERE status = 200"""),
         "expire_counters": _qsql(f"""
-SELECT * FROM counters WHERE ttl > epoch_us({_ts(fx.AS_OF)}) // 1000000"""),
+SELECT * FROM counters WHERE ttl >= epoch_us({_ts(fx.AS_OF)}) // 1000000"""),
         "initialize_counters": _qsql(f"""
 , p AS (
   SELECT user_id AS user_email, '{mk}' AS metric_period,

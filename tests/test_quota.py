@@ -153,3 +153,10 @@ def test_low_quota_override_and_restore(spark):
         "updatedAt", F.lit("2024-03-03")), ["policy_type", "identifier"])
     again = {r.request_id: r.status for r in K.quota_replay(calls_df, users, restored).collect()}
     assert all(again[f"c{i}"] == 200 for i in range(10))
+
+
+def test_counter_expiry_boundary(spark):
+    c = spark.createDataFrame([("a", "daily_2024-02-10", 1, None, 1707955200), ("a", "daily_2024-02-09", 1, None, 1707955199)],
+                              "user_email string, metric_period string, tokens_used long, last_updated timestamp_ntz, ttl long")
+    kept = [r.metric_period for r in K.expire_counters(c, dt.datetime(2024, 2, 15)).collect()]
+    assert kept == ["daily_2024-02-10"]     # ttl == now is not yet expired
