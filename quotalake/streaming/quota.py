@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,20 @@ OUTPUT_SCHEMA = ("request_id string, ts timestamp_ntz, user_id string, enforceme
 KEEP_PERIODS = 2
 
 
-def _exclusive_cumsum(values: pd.Series, groups: pd.Series) -> pd.Series:
-    return values.groupby(groups, sort=False).cumsum() - values
+def _exclusive_cumsum(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Sum of earlier values with the same key; rows are time-sorted, so each
+    key (a day or a month) is one contiguous run."""
+    before = np.cumsum(values) - values
+    n = len(values)
+    starts = np.ones(n, dtype=bool)
+    starts[1:] = keys[1:] != keys[:-1]
+    run_start = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+    return before - before[run_start]
+
+
+def _carry(keys: np.ndarray, used: dict) -> np.ndarray:
+    uniq, inverse = np.unique(keys, return_inverse=True)
+    return np.array([used.get(k, 0) for k in uniq], dtype=np.int64)[inverse]
 
 
 def _decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -38,29 +51,27 @@ def _decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     parts = [b for b in batches if len(b)]
     if not parts:
         return
-    df = pd.concat(parts, ignore_index=True).sort_values(["ts", "request_id"], kind="stable")
-    tokens = df["tokens"].astype("int64")
-    month_carry = df["_mk"].map(lambda k: months.get(k, 0)).astype("int64")
-    day_carry = df["_dk"].map(lambda k: days.get(k, 0)).astype("int64")
-    block = df["enforcement_mode"] == "block"
+    df = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    df = df.sort_values(["ts", "request_id"], kind="stable", ignore_index=True)
+    tokens = df["tokens"].to_numpy(dtype=np.int64)
+    mkeys, dkeys = df["_mk"].to_numpy(dtype=object), df["_dk"].to_numpy(dtype=object)
+    month_carry, day_carry = _carry(mkeys, months), _carry(dkeys, days)
+    block = (df["enforcement_mode"] == "block").to_numpy()
     # Same rules as the batch replay, on top of the carried usage.
-    d = day_carry + _exclusive_cumsum(tokens, df["_dk"])
-    day_ok = d < df["daily_limit"]
-    v2 = tokens.where(day_ok, 0)
-    m = month_carry + _exclusive_cumsum(v2, df["_mk"])
-    allowed = (~block) | (day_ok & (m < df["monthly_limit"]))
-    charged = tokens.where(allowed, 0)
+    day_ok = day_carry + _exclusive_cumsum(tokens, dkeys) < df["daily_limit"].to_numpy()
+    m = month_carry + _exclusive_cumsum(np.where(day_ok, tokens, 0), mkeys)
+    allowed = ~block | (day_ok & (m < df["monthly_limit"].to_numpy()))
+    charged = np.where(allowed, tokens, 0)
+    failed = df["failed"].to_numpy(dtype=bool)
     df["allowed"] = allowed
     df["charged_tokens"] = charged
-    df["monthly_usage"] = month_carry + _exclusive_cumsum(charged, df["_mk"])
-    df["daily_usage"] = day_carry + _exclusive_cumsum(charged, df["_dk"])
-    df["status"] = 200
-    df.loc[df["failed"].astype(bool), "status"] = 500
-    df.loc[~allowed, "status"] = 429
-    for k, total in charged.groupby(df["_mk"]).sum().items():
-        months[k] = months.get(k, 0) + int(total)
-    for k, total in charged.groupby(df["_dk"]).sum().items():
-        days[k] = days.get(k, 0) + int(total)
+    df["monthly_usage"] = month_carry + _exclusive_cumsum(charged, mkeys)
+    df["daily_usage"] = day_carry + _exclusive_cumsum(charged, dkeys)
+    df["status"] = np.where(~allowed, 429, np.where(failed, 500, 200)).astype(np.int32)
+    for keys, used in ((mkeys, months), (dkeys, days)):
+        uniq, inverse = np.unique(keys, return_inverse=True)
+        for k, total in zip(uniq, np.bincount(inverse, weights=charged, minlength=len(uniq))):
+            used[k] = used.get(k, 0) + int(total)
     months = dict(sorted(months.items())[-KEEP_PERIODS:])
     days = dict(sorted(days.items())[-KEEP_PERIODS:])
     state.update((list(months), [int(x) for x in months.values()], list(days), [int(x) for x in days.values()]))
