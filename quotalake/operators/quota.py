@@ -222,20 +222,7 @@ def quota_replay(calls: DataFrame, users: DataFrame, policies: DataFrame,
          .withColumn("tokens", F.when(F.col("failed"), F.lit(0)).otherwise(_call_tokens()).cast("bigint"))
          .withColumn("_day", F.to_date("ts"))
          .withColumn("_month", F.trunc(F.to_date("ts"), "MM")))
-    if hot_user_rows is None:
-        decided = _decide_direct(t)
-    elif hot_user_rows <= 0:
-        decided = _decide_chunked(t, chunk_seconds)
-    else:
-        # A tiny stored table of hot user ids (at most rows / hot_user_rows rows).
-        hot = cut_lineage(t.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
-                          .where(F.col("_n") > hot_user_rows).select("user_id"))
-        if hot.isEmpty():
-            decided = _decide_direct(t)
-        else:
-            decided = _decide_direct(t.join(F.broadcast(hot), "user_id", "left_anti")).unionByName(
-                _decide_chunked(t.join(F.broadcast(hot), "user_id", "left_semi"), chunk_seconds),
-                allowMissingColumns=True)
+    decided = decide_calls(t, chunk_seconds, hot_user_rows)
     replayed = decided.select(
         "request_id", "ts", "user_id", "user_group", "tenant", "department", "policy_source",
         "enforcement_mode", "monthly_limit", "daily_limit", "metric_monthly_limit", "metric_daily_limit",
@@ -256,6 +243,11 @@ def _allowed_col() -> Column:
                   F.col("_day_ok") & (F.col("_m") < F.col("monthly_limit"))).otherwise(F.lit(True))
 
 
+def _carries() -> tuple[Column, Column]:
+    """Usage accepted before this input (streaming carry-in); 0 for a full replay."""
+    return F.col("_carry_d"), F.col("_carry_m")
+
+
 def _decide_direct(t: DataFrame) -> DataFrame:
     """Steps 1-3 as windows over one user's rows; one shuffle on user_id.
 
@@ -265,32 +257,56 @@ def _decide_direct(t: DataFrame) -> DataFrame:
     order = [F.col("ts"), F.col("request_id")]
     w_day = Window.partitionBy("user_id", "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     w_month = Window.partitionBy("user_id", "_month").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    carry_d, carry_m = _carries()
 
     def before(v: str, w) -> Column:
         return F.coalesce(F.sum(v).over(w), F.lit(0)).cast("bigint")
 
     t = t.repartition("user_id")
-    t = t.withColumn("_day_ok", before("tokens", w_day) < F.col("daily_limit"))
+    t = t.withColumn("_day_ok", carry_d + before("tokens", w_day) < F.col("daily_limit"))
     t = t.withColumn("_v2", F.when(F.col("_day_ok"), F.col("tokens")).otherwise(F.lit(0)))
-    t = t.withColumn("_m", before("_v2", w_month))
+    t = t.withColumn("_m", carry_m + before("_v2", w_month))
     t = t.withColumn("allowed", _allowed_col())
     t = t.withColumn("charged_tokens", F.when(F.col("allowed"), F.col("tokens")).otherwise(F.lit(0)))
-    return (t.withColumn("daily_usage", before("charged_tokens", w_day))
-            .withColumn("monthly_usage", before("charged_tokens", w_month)))
+    return (t.withColumn("daily_usage", carry_d + before("charged_tokens", w_day))
+            .withColumn("monthly_usage", carry_m + before("charged_tokens", w_month)))
 
 
 def _decide_chunked(t: DataFrame, chunk_seconds: int) -> DataFrame:
     """Steps 1-3 as chunked prefix sums (hot users)."""
+    carry_d, carry_m = _carries()
     t = with_chunk(t, "ts", chunk_seconds)
     order = [F.col("ts"), F.col("request_id")]
     t = prefix_sums(t, "user_id", order, [("tokens", "_day", "_d")])
-    t = t.withColumn("_day_ok", F.col("_d") < F.col("daily_limit"))
+    t = t.withColumn("_day_ok", carry_d + F.col("_d") < F.col("daily_limit"))
     t = t.withColumn("_v2", F.when(F.col("_day_ok"), F.col("tokens")).otherwise(F.lit(0)))
-    t = prefix_sums(t, "user_id", order, [("_v2", "_month", "_m")])
+    t = prefix_sums(t, "user_id", order, [("_v2", "_month", "_m0")])
+    t = t.withColumn("_m", carry_m + F.col("_m0"))
     t = t.withColumn("allowed", _allowed_col())
     t = t.withColumn("charged_tokens", F.when(F.col("allowed"), F.col("tokens")).otherwise(F.lit(0)))
-    return prefix_sums(t, "user_id", order, [("charged_tokens", "_day", "daily_usage"),
-                                             ("charged_tokens", "_month", "monthly_usage")])
+    t = prefix_sums(t, "user_id", order, [("charged_tokens", "_day", "_du"),
+                                          ("charged_tokens", "_month", "_mu")])
+    return t.withColumn("daily_usage", carry_d + F.col("_du")).withColumn("monthly_usage", carry_m + F.col("_mu"))
+
+
+def decide_calls(t: DataFrame, chunk_seconds: int = 60, hot_user_rows: int | None = HOT_USER_ROWS) -> DataFrame:
+    """Apply steps 1-3 to prepared rows (tokens, _day, _month, limits, mode,
+    optional carries ``_carry_d`` / ``_carry_m``), routing hot users to chunks."""
+    for c in ("_carry_d", "_carry_m"):
+        if c not in t.columns:
+            t = t.withColumn(c, F.lit(0).cast("bigint"))
+    if hot_user_rows is None:
+        return _decide_direct(t)
+    if hot_user_rows <= 0:
+        return _decide_chunked(t, chunk_seconds)
+    # A tiny stored table of hot user ids (at most rows / hot_user_rows rows).
+    hot = cut_lineage(t.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+                      .where(F.col("_n") > hot_user_rows).select("user_id"))
+    if hot.isEmpty():
+        return _decide_direct(t)
+    return _decide_direct(t.join(F.broadcast(hot), "user_id", "left_anti")).unionByName(
+        _decide_chunked(t.join(F.broadcast(hot), "user_id", "left_semi"), chunk_seconds),
+        allowMissingColumns=True)
 
 
 # ---------------------------------------------------------------- K6

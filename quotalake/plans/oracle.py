@@ -164,6 +164,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(_m())
     out.update(_t())
     out.update(_s())
+    out["stream_quota_decisions_sql"] = out["stream_quota_decisions"]
     return out
 
 

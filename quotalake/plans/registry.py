@@ -381,8 +381,20 @@ def _stream_quota_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST4.read_quota_alarm(spark, out + "/sink")
 
 
+def _stream_quota_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 without Python: foreachBatch window replay with carried usage snapshots."""
+    path = _calls_path(spark, sf_dir)
+    out = SC.run_dir(spark, "quota-sql")
+    stream = SC.file_stream(spark, path, spark.read.parquet(path))
+    SC.run_until_caught_up(ST4.stream_quota_decisions_sql(
+        stream, users(spark, sf_dir), policies(spark, sf_dir), out + "/sink", out + "/checkpoint",
+        hot_user_rows=K.HOT_USER_ROWS))
+    return ST4.read_sql_decisions(spark, out + "/sink")
+
+
 def _stream_queries() -> dict[str, Query]:
     return {
+        "stream_quota_decisions_sql": _stream_quota_sql,
         "stream_quota_alarm": _stream_quota_alarm,
         "stream_usage_counters": _stream_counters,
         "dedup_stream": _stream_dedup,

@@ -126,3 +126,27 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_dir):
     assert spark.read.parquet(sink).agg(F.sum("calls")).first()[0] == 80
     dropped = sum(s.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for s in p.get("stateOperators", []))
     assert dropped == 8      # counted after partial aggregation: one row per 5-minute window
+
+
+def test_sql_stream_quota_decisions_equal_batch_replay(spark, tmp_dir):
+    calls = _calls(spark)
+    users = users_df(spark, [(f"u{u}", "g", "t", "d") for u in range(12)])
+    pols = policies_df(spark, [("user", f"u{u}", 20 + 7 * u, 9 + u, "block" if u % 3 else "alert")
+                               for u in range(12)])
+    src = os.path.join(tmp_dir, "calls")
+    t0 = dt.datetime(2024, 1, 31, 20)
+    for k in range(6):
+        lo, hi = t0 + dt.timedelta(hours=6 * k), t0 + dt.timedelta(hours=6 * (k + 1))
+        (calls.where((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(hi))).coalesce(1)
+         .write.mode("append").parquet(src))
+        time.sleep(0.05)
+    want = {r.request_id: (r.allowed, r.monthly_usage, r.daily_usage, r.status)
+            for r in K.quota_replay(calls, users, pols).collect()}
+    for hot in (None, 5):      # direct windows, and every user split into time chunks
+        root = os.path.join(tmp_dir, f"sql-{hot}")
+        stream = SC.file_stream(spark, src, spark.read.parquet(src), max_files_per_trigger=1)
+        SC.run_until_caught_up(T4.stream_quota_decisions_sql(stream, users, pols, root, root + "_ck",
+                                                             hot_user_rows=hot))
+        got = {r.request_id: (r.allowed, r.monthly_usage, r.daily_usage, r.status)
+               for r in T4.read_sql_decisions(spark, root).collect()}
+        assert got == want
