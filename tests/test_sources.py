@@ -79,3 +79,23 @@ def test_rewrite_retained_keeps_recent_days(spark, tmp_dir):
     assert kept.count() == 25 and kept.agg(F.min("usage_day")).first()[0] == dt.date(2024, 1, 16)
     tiers = {r.tier: r.rows for r in storage_tier(spark.read.parquet(src), dt.datetime(2024, 2, 15)).collect()}
     assert tiers == {"STANDARD_IA": 16, "STANDARD": 24}
+
+
+def test_discover_schema_reports_changes(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "log")
+    spark.createDataFrame([("x", 1, "y")], "a string, b long, d string").write.json(path)
+    previous = T.StructType([T.StructField("a", T.StringType()), T.StructField("c", T.StringType()),
+                             T.StructField("d", T.LongType())])
+    merged, diff = LG.discover_schema(spark, path, previous)
+    changes = {(r.field, r.change) for r in diff.collect()}
+    assert changes == {("b", "added"), ("c", "missing"), ("d", "type_changed")}
+    assert [f.name for f in merged.fields] == ["a", "c", "d", "b"]      # add-only: c kept
+
+
+def test_log_freshness_marks_silent_sources(spark):
+    import datetime as dt
+
+    inv = spark.createDataFrame([("gw", dt.datetime(2024, 2, 14, 23, 0))], "source string, ts timestamp_ntz")
+    srcs = spark.createDataFrame([("gw",), ("batch",)], "source string")
+    got = {r.source: (r.lag_seconds, r.status) for r in LG.log_freshness(inv, srcs, dt.datetime(2024, 2, 14, 23, 30)).collect()}
+    assert got == {"gw": (1800, "ok"), "batch": (None, "no events yet")}
