@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +95,7 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
 
 # ---------------------------------------------------------------- derived tables
 _DERIVED: dict[tuple[str, str, str], str] = {}
+_DERIVED_LOCK = threading.RLock()   # re-entrant: one derived table may build others
 
 
 def derived_table(spark: SparkSession, name: str, source_key: str, build) -> DataFrame:
@@ -111,16 +113,17 @@ def derived_path(spark: SparkSession, name: str, source_key: str, build) -> str:
 
     app = spark.sparkContext.applicationId
     key = (app, name, source_key)
-    path = _DERIVED.get(key)
-    if path is None:
-        digest = hashlib.sha1(f"{app}|{name}|{source_key}".encode()).hexdigest()[:16]
-        path = os.path.join(checkpoint_dir(spark), "quotalake-derived", digest, name)
-        df = build()
-        if PARTITION_COLUMN in df.columns:
-            write_invocations_partitioned(df, path)
-        else:
-            df.write.mode("overwrite").parquet(path)
-        _DERIVED[key] = path
+    with _DERIVED_LOCK:   # queries run from several threads build each table once
+        path = _DERIVED.get(key)
+        if path is None:
+            digest = hashlib.sha1(f"{app}|{name}|{source_key}".encode()).hexdigest()[:16]
+            path = os.path.join(checkpoint_dir(spark), "quotalake-derived", digest, name)
+            df = build()
+            if PARTITION_COLUMN in df.columns:
+                write_invocations_partitioned(df, path)
+            else:
+                df.write.mode("overwrite").parquet(path)
+            _DERIVED[key] = path
     return path
 
 
