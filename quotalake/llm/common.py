@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotalake.session import cut_lineage
+from quotalake.session import checkpoint_dir, cut_lineage
 
 # ASCII white space, as in the word pattern [^\x20\x09-\x0D]+.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -51,3 +53,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return (current.groupBy("a").agg(F.min("b").alias("root"))
             .unionByName(current.selectExpr("b a", "b root").distinct())
             .groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "node"))
+
+
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """``df`` written once as Parquet (with writer ``options``) to the shared checkpoint folder and read back."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/quotalake-stage/{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,21 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quotalake.llm import simhash
+from quotalake.llm import packing, quality, simhash, topk
 from quotalake.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document; learned outside the fold that is held out."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    fold = quality.fold(F.col("doc_id"))
+    return quality.quality_scores(docs, labels, fold != 1, F.coalesce(fold == 1, F.lit(False)))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.with_digest(packing.pack(read_table(spark, sf_dir, "documents")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 4-word shingles, linked at 4 or fewer differing bits."""
     docs = read_table(spark, sf_dir, "documents")
     return simhash.simhash_near_duplicates(docs, shingle=4, max_bits=4)
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer products of every 50th vector with all others."""
+    whole = F.expr("transform(embedding, x -> if(isnan(x) or abs(x) = float('infinity'), double(x), double(floor(256 * double(x)))))")
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", whole.alias("vector"))
+    found = topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op6_simhash": op6_simhash}
+    return {"op2_quality": op2_quality, "op4_packing": op4_packing, "op6_simhash": op6_simhash, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
