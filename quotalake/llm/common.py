@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +32,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     equi-join (so a hot node is split by AQE) and is stored in the shared
     checkpoint folder.  The driver sees one checksum per round only.
     """
-    def stored(df: DataFrame) -> tuple[DataFrame, tuple]:
+    def checked(df: DataFrame) -> tuple[DataFrame, tuple]:
         table = cut_lineage(df)
         seen = table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return table, tuple(seen)
 
-    current, seen = stored(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
+    current, seen = checked(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
     while seen[0]:
         both = current.unionByName(current.selectExpr("b a", "a b"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -46,7 +47,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = (large.join(low, "a").selectExpr("b a", "m b").where("a <> b")
                  .unionByName(low.selectExpr("a", "m b"))
                  .selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
-        current, now = stored(small)
+        current, now = checked(small)
         if now == seen:
             break
         seen = now
@@ -55,6 +56,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "node"))
 
 
+MEMBER_BITS = 1 << 20
+
+
+def member_filter(keys: DataFrame) -> Callable[[Column], Column]:
+    """Test of a 64-bit hash against those in the one column of ``keys``: true for all of these, false for most others.
+
+    A table of ``MEMBER_BITS`` bits at any scale, read by the driver as the
+    numbers of its set bits; it fills up as keys grow, and then lets more
+    rows through.  For keeping rows out of a shuffle whose join decides.
+    """
+    column = F.col(keys.columns[0])
+    table = bytearray(MEMBER_BITS // 8)
+    for r in keys.select(column.bitwiseAND(F.lit(MEMBER_BITS - 1)).alias("bit")).distinct().collect():
+        table[r.bit >> 3] |= 1 << (r.bit & 7)
+    bits = F.lit(bytes(table))
+
+    def test(h: Column) -> Column:
+        bit = h.bitwiseAND(F.lit(MEMBER_BITS - 1))
+        byte = F.conv(F.hex(F.substr(bits, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1
+
+    return test
+
+
 def stored(df: DataFrame, **options: str) -> DataFrame:
     """``df`` written once as Parquet (with writer ``options``) to the shared checkpoint folder and read back."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/quotalake-stage/{uuid.uuid4().hex}"
