@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotalake.llm import chat, decontaminate, lines, packing, pii, quality, simhash, topk, urls
+from quotalake.llm import chat, decontaminate, lines, packing, pii, quality, simhash, substrings, topk, urls
 from quotalake.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_windows(turns.unionByName(probe))))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents without the words that 13-word windows of an earlier document cover."""
+    found = substrings.dedup_substrings(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole document: counts and digest of the patterns' spans, and all spans."""
     docs = read_table(spark, sf_dir, "documents")
@@ -83,7 +89,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_lines, op2_quality, op3_decontaminate, op4_packing, op5_urls, op6_simhash, op7_chat, op9_pii, op10_topk)
+    found = (op1_lines, op2_quality, op3_decontaminate, op4_packing, op5_urls, op6_simhash, op7_chat, op8_substrings, op9_pii, op10_topk)
     return {f.__name__: f for f in found}
 
 
