@@ -1,7 +1,65 @@
-"""Corpus pipeline: STAGES over documents (stub until its operators exist)."""
-STAGES = []
+"""Training corpus from ``documents``: quality filter, line and near-duplicate removal, decontamination, packing.
+
+Each stage works on all rows that the one before kept.  All but the last
+return the columns of ``documents``; the last returns one row per piece of a
+packed sequence.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quotalake.llm import decontaminate, lines, packing, quality, simhash
+from quotalake.llm.common import read_table, stored
+
+SHINGLE, MAX_BITS = 4, 4
+# A learned classifier decides what the later stages see.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from ``labels``, accepts."""
+    labels = read_table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, quality.fold(F.col("doc_id")) != 1)
+    return docs.where(quality.score(model, F.col("text")) >= 0.5)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that match an earlier one; a document goes if no word of it is left."""
+    found = lines.dedup_lines(docs).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of linked fingerprints."""
+    return simhash.keep_one(docs, SHINGLE, MAX_BITS)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    return decontaminate.remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All tokens of all documents that are left, in full sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", good_quality),
+    ("line_dedup", without_repeated_lines),
+    ("simhash_near_dedup", without_near_duplicates),
+    ("benchmark_decontamination", without_benchmark),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each stage keeps is stored before the next one reads it."""
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

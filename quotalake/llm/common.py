@@ -80,6 +80,19 @@ def member_filter(keys: DataFrame) -> Callable[[Column], Column]:
     return test
 
 
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """All columns of the rows of ``docs`` whose (doc_id, hash of the text) is not in ``gone(of, of_row)``.
+
+    Only rows that a filter of bounded size cannot clear are shuffled for the join.
+    """
+    gone = stored(gone.distinct().selectExpr("of as __of", "of_row as __of_row"))
+    row = F.xxhash64("text")
+    maybe = member_filter(gone.select(F.xxhash64("__of", "__of_row")))(F.xxhash64(F.col("doc_id"), row))
+    match = F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__row") == F.col("__of_row"))
+    judged = docs.where(maybe).withColumn("__row", row).join(gone, match, "left_anti").drop("__row")
+    return judged.unionByName(docs.where(~maybe))
+
+
 def stored(df: DataFrame, **options: str) -> DataFrame:
     """``df`` written once as Parquet (with writer ``options``) to the shared checkpoint folder and read back."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/quotalake-stage/{uuid.uuid4().hex}"

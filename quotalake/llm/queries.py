@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quotalake.llm import chat, decontaminate, lines, packing, pii, quality, simhash, substrings, topk, urls
 from quotalake.llm.common import read_table
+from quotalake.llm.sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,4 +95,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

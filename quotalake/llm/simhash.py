@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotalake.llm.common import connected_components
+from quotalake.llm.common import connected_components, without_rows
 from quotalake.session import cut_lineage
 
 BITS = 64
@@ -63,15 +63,16 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp long) per row of ``docs(doc_id, text)``; every word of every text counts."""
+    """(doc_id, row, fp long) per row of ``docs(doc_id, row, text)``; every word of every text counts."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))],
+                                             ["doc_id", "row", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp long")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {id_type}, row long, fp long")
 
 
 def _remainders(values: np.ndarray, length: int, poly: int) -> np.ndarray:
@@ -223,6 +224,20 @@ def link_forest(fps: DataFrame, max_bits: int, segments: tuple = SEGMENTS) -> Da
             .mapInArrow(run, "a long, b long"))
 
 
+def fingerprint_components(docs: DataFrame, shingle: int, max_bits: int, segments: tuple) -> DataFrame:
+    """(doc_id, row, fp, component_id) per row; ``row`` is a hash of the text."""
+    if sum(p[0] for parts in segments for p in parts) > BITS:
+        raise ValueError("segments are longer than the fingerprint")
+    marked = cut_lineage(fingerprints(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), shingle))
+    distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least_doc")))
+    roots = connected_components(link_forest(distinct, max_bits, segments))
+    rooted = cut_lineage(distinct.join(roots, distinct.fp == roots.node, "left")
+                         .select("fp", "least_doc", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
+    of_fp = rooted.join(least, "root").select(F.col("fp").alias("of_fp"), "component_id")
+    return marked.join(of_fp, marked.fp == of_fp.of_fp).select("doc_id", "row", "fp", "component_id")
+
+
 def simhash_near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 3,
                             segments: tuple = SEGMENTS) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of ``docs(doc_id, text)``.
@@ -233,14 +248,15 @@ def simhash_near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 3
     if there is none).  Other columns are ignored; an empty table gives an
     empty result.
     """
-    if sum(p[0] for parts in segments for p in parts) > BITS:
-        raise ValueError("segments are longer than the fingerprint")
-    marked = cut_lineage(fingerprints(docs, shingle))
-    distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least_doc")))
-    roots = connected_components(link_forest(distinct, max_bits, segments))
-    rooted = cut_lineage(distinct.join(roots, distinct.fp == roots.node, "left")
-                         .select("fp", "least_doc", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    of_fp = rooted.join(least, "root").select(F.col("fp").alias("of_fp"), "component_id")
-    return (marked.join(of_fp, marked.fp == of_fp.of_fp)
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    return fingerprint_components(docs, shingle, max_bits, segments).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, max_bits: int = 3, segments: tuple = SEGMENTS) -> DataFrame:
+    """The rows of ``docs``, all columns, with the smallest doc_id of their near-duplicate group.
+
+    Rows with a null doc_id stay only in groups without any other doc_id.
+    """
+    found = fingerprint_components(docs, shingle, max_bits, segments)
+    return without_rows(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+                        .selectExpr("doc_id as of", "row as of_row"))
