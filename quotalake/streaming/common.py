@@ -4,30 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quotalake.session import checkpoint_dir
 
-DEFAULT_WATERMARK = "10 minutes"
-
-
-def event_time(ts_ntz: Column) -> Column:
-    """TIMESTAMP_NTZ (UTC wall clock) -> TIMESTAMP at the same instant, zone free.
-
-    ``withWatermark`` needs a TIMESTAMP; a plain cast would read the wall
-    clock in the session zone.
-    """
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts_ntz)
-    return F.timestamp_micros(micros)
-
-
-def to_ntz(ts: Column) -> Column:
-    """TIMESTAMP -> TIMESTAMP_NTZ holding its UTC wall clock (zone free)."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-
-
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one streaming run's sink and checkpoint (shared storage)."""
     return os.path.join(checkpoint_dir(spark), "quotalake-streams", f"{name}-{uuid.uuid4().hex[:12]}")
@@ -42,22 +25,72 @@ def file_stream(spark: SparkSession, path: str, template: DataFrame,
     return reader.parquet(path)
 
 
-def run_until_caught_up(writer, timeout_s: int = 1800):
-    """Start with ``availableNow`` (process what exists, then stop) and wait."""
+def run_until_caught_up(writer):
+    """Start with ``availableNow`` (process what exists, then stop) and wait until all of it is processed.
+
+    There is no time limit: an unfinished sink is never taken for a result.
+    """
     query = writer.trigger(availableNow=True).start()
-    query.awaitTermination(timeout_s)
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
     if query.exception() is not None:
         raise query.exception()
     return query
 
 
-def batch_sink(root: str):
-    """foreachBatch function writing each micro-batch to ``root/batch_id=N`` (overwrite).
+# Batches between two snapshots of a sink that readers merge.
+SNAPSHOT_EVERY = 20
+
+
+class BatchStore:
+    """Mergeable rows per micro-batch: one folder a batch, and a merged snapshot now and then.
 
-    Rewriting a batch after a restart replaces its own folder, so replays are
-    idempotent; readers keep the latest batch per key.
+    A batch that is run again after a failure overwrites its own folder, so
+    replays are idempotent, and rows that arrive late simply add to the
+    merge: nothing depends on a watermark.  Batch ids are consecutive from
+    0; reading fails if the folder of any earlier batch is missing.
+    ``merge`` maps the rows of several batches to the same columns.
     """
-    def write(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.write.mode("overwrite").parquet(os.path.join(root, f"batch_id={batch_id}"))
 
-    return write
+    def __init__(self, root: str, merge: Callable[[DataFrame], DataFrame] | None = None,
+                 partition_by: Sequence[str] = ()):
+        self.root, self.merge, self.partition_by = root, merge, list(partition_by)
+
+    def _folder(self, kind: str, number: int) -> str:
+        return os.path.join(self.root, kind, f"{number:012d}")
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        self._snapshot(df.sparkSession, batch_id, df.schema)
+        df.write.mode("overwrite").partitionBy(*self.partition_by).parquet(self._folder("batch", batch_id))
+
+    def _snapshot(self, spark: SparkSession, batch_id: int, schema) -> None:
+        if self.merge is not None and batch_id and batch_id % SNAPSHOT_EVERY == 0:
+            merged = self.merge(self.before(spark, batch_id, schema, snapshot=batch_id - SNAPSHOT_EVERY))
+            merged.write.mode("overwrite").partitionBy(*self.partition_by).parquet(self._folder("upto", batch_id))
+
+    def before(self, spark: SparkSession, batch_id: int, schema, snapshot: int | None = None) -> DataFrame:
+        """Rows of the batches before ``batch_id``: the newest snapshot and the batches since."""
+        if snapshot is None:
+            snapshot = batch_id // SNAPSHOT_EVERY * SNAPSHOT_EVERY if self.merge is not None else 0
+        paths = [self._folder("upto", snapshot)] if snapshot else []
+        paths += [self._folder("batch", k) for k in range(snapshot, batch_id)]
+        if not paths:
+            return spark.createDataFrame([], schema)
+        # Each folder is a table of its own, so that all must exist.
+        parts = [spark.read.schema(schema).parquet(path) for path in paths]
+        return reduce(DataFrame.unionByName, parts)
+
+    def read(self, spark: SparkSession, batches: int, schema) -> DataFrame:
+        """The merged rows of all ``batches`` batches."""
+        rows = self.before(spark, batches, schema, snapshot=max(0, batches - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY)
+        return self.merge(rows) if self.merge is not None else rows
+
+
+def batches_done(spark: SparkSession, checkpoint: str) -> int:
+    """Number of micro-batches that the query with this checkpoint has committed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(checkpoint, "commits"))
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return 1 + max((int(n) for n in names if n.isdigit()), default=-1)

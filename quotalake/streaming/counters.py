@@ -1,62 +1,97 @@
-"""T1 stream_usage_counters and T5 dedup_stream."""
+"""T1 stream_usage_counters and T5 dedup_stream.
+
+No watermark decides what counts: a repeated delivery is recognised against
+everything delivered before, however late it comes, and totals are sums of
+per-batch parts.
+"""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotalake.functions.timecols import day_key, epoch_seconds, month_key
-from quotalake.operators.quota import DAILY_TTL_DAYS, MONTHLY_TTL_DAYS
-from quotalake.sources.dims import latest_per_key
-from quotalake.streaming.common import DEFAULT_WATERMARK, batch_sink, event_time
+from quotalake.operators.quota import call_tokens, counters_from_daily
+from quotalake.session import stage_scope
+from quotalake.streaming.common import BatchStore, batches_done
+
+DAILY = "user_id string, day date, tokens_used bigint, last_updated timestamp_ntz"
+IDS = "request_id string, day date"
 
 
-def dedup_stream(stream: DataFrame, key: str = "request_id", delay: str = DEFAULT_WATERMARK) -> DataFrame:
-    """T5: drop repeated deliveries of one request within the watermark delay."""
-    return (stream.withColumn("_event_time", event_time(F.col("ts")))
-            .withWatermark("_event_time", delay)
-            .dropDuplicatesWithinWatermark([key])
-            .drop("_event_time"))
+def _merge_daily(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("user_id", "day").agg(F.sum("tokens_used").cast("bigint").alias("tokens_used"),
+                                              F.max("last_updated").alias("last_updated"))
 
 
-def daily_totals_stream(stream: DataFrame, delay: str = DEFAULT_WATERMARK) -> DataFrame:
-    """Running daily token totals per user of successful calls (state evicted by watermark).
+class Deduplicator:
+    """Rows of a micro-batch whose request was not delivered before.
 
-    Only daily keys are kept in state: a monthly key has no event-time
-    bound and would never be evicted; months are rolled up from days.
+    The ids seen are stored per batch and day of the call; a repeated
+    delivery has the time of the first, so only ids of the batch's own days
+    are read (partition pruning).  ``ts`` and ``request_id`` are required;
+    rows without an id or a time are kept as they come.
     """
-    ok = (stream.where(F.col("user_id").isNotNull() & F.col("error_type").isNull())
-          .withColumn("_event_time", event_time(F.col("ts")))
-          .withWatermark("_event_time", delay))
-    tokens = F.coalesce(F.col("input_tokens"), F.lit(0)) + F.coalesce(F.col("output_tokens"), F.lit(0))
-    return (ok.groupBy("user_id", F.window("_event_time", "1 day"), F.to_date("ts").alias("day"))
-            .agg(F.sum(tokens).cast("bigint").alias("tokens_used"), F.max("ts").alias("last_updated"))
-            .drop("window"))
 
+    def __init__(self, root: str):
+        self.store = BatchStore(os.path.join(root, "ids"), lambda rows: rows, ["day"])
+
+    def fresh(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        spark = batch.sparkSession
+        keyed = batch.where("request_id is not null and ts is not null").dropDuplicates(["request_id"]).withColumn("day", F.to_date("ts"))
+        days = [r.day for r in keyed.select("day").distinct().collect()]  # of one micro-batch
+        seen = self.store.before(spark, batch_id, IDS)
+        if days:
+            seen = seen.where(F.col("day").isin(days))
+        new = keyed.join(seen, ["request_id", "day"], "left_anti")
+        return new.drop("day").unionByName(batch.where("request_id is null or ts is null"))
+
+    def remember(self, fresh: DataFrame, batch_id: int) -> None:
+        ids = fresh.where("request_id is not null and ts is not null").select("request_id", F.to_date("ts").alias("day"))
+        self.store.write(ids, batch_id)
 
-def stream_usage_counters(stream: DataFrame, sink: str, checkpoint: str, delay: str = DEFAULT_WATERMARK):
-    """Keep the daily counter table at ``sink`` up to date; returns the writer.
 
-    Each micro-batch writes the new totals of the (user, day) pairs it
-    touched; ``read_counters`` takes the latest total per pair and rolls
-    months up, giving the same table as the batch ``usage_counters``.
+def dedup_stream(stream: DataFrame, root: str, checkpoint: str):
+    """T5: every request once, the first delivery; returns the writer.
+
+    Each micro-batch writes its new rows under ``root/rows``.
     """
-    return (daily_totals_stream(stream, delay).writeStream.outputMode("update")
-            .option("checkpointLocation", checkpoint).foreachBatch(batch_sink(sink)))
-
-
-def read_counters(spark: SparkSession, sink: str) -> DataFrame:
-    """Counters (user_email, metric_period, tokens_used, last_updated, ttl) from T1's sink."""
-    raw = spark.read.parquet(sink)
-    daily = latest_per_key(raw, ["user_id", "day"], order_col=None, seq_col="batch_id")
-    monthly = (daily.groupBy("user_id", F.trunc("day", "MM").alias("_month"))
-               .agg(F.sum("tokens_used").cast("bigint").alias("tokens_used"),
-                    F.max("last_updated").alias("last_updated")))
-    d = daily.select(F.col("user_id").alias("user_email"), day_key(F.col("day")).alias("metric_period"),
-                     "tokens_used", "last_updated",
-                     (epoch_seconds(F.col("last_updated")) + F.lit(DAILY_TTL_DAYS * 86400)).alias("ttl"))
-    m = monthly.select(F.col("user_id").alias("user_email"), month_key(F.col("_month")).alias("metric_period"),
-                       "tokens_used", "last_updated",
-                       (epoch_seconds(F.col("_month").cast("timestamp_ntz"))
-                        + F.lit(MONTHLY_TTL_DAYS * 86400)).alias("ttl"))
-    return m.unionByName(d)
+    dedup, rows = Deduplicator(root), BatchStore(os.path.join(root, "rows"))
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        fresh = dedup.fresh(batch, batch_id)
+        rows.write(fresh, batch_id)
+        spark = batch.sparkSession
+        dedup.remember(spark.read.schema(batch.schema).parquet(rows._folder("batch", batch_id)), batch_id)
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
+
+
+def read_deduplicated(spark: SparkSession, root: str, checkpoint: str, schema) -> DataFrame:
+    return BatchStore(os.path.join(root, "rows")).read(spark, batches_done(spark, checkpoint), schema)
+
+
+def stream_usage_counters(stream: DataFrame, root: str, checkpoint: str):
+    """Daily token totals per user of successful calls, each request counted once (T5); returns the writer."""
+    dedup, daily = Deduplicator(root), BatchStore(os.path.join(root, "daily"), _merge_daily)
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with stage_scope(spark):
+            from quotalake.session import cut_lineage
+
+            fresh = cut_lineage(dedup.fresh(batch.select("request_id", "ts", "user_id", "error_type", "input_tokens",
+                                                         "output_tokens"), batch_id))
+            ok = fresh.where(F.col("user_id").isNotNull() & F.col("error_type").isNull())
+            daily.write(ok.groupBy("user_id", F.to_date("ts").alias("day"))
+                        .agg(F.sum(call_tokens()).cast("bigint").alias("tokens_used"), F.max("ts").alias("last_updated")), batch_id)
+            dedup.remember(fresh, batch_id)
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
+
+
+def read_counters(spark: SparkSession, root: str, checkpoint: str) -> DataFrame:
+    """Counters (user_email, metric_period, tokens_used, last_updated, ttl) from T1's parts."""
+    daily = BatchStore(os.path.join(root, "daily"), _merge_daily).read(spark, batches_done(spark, checkpoint), DAILY)
+    return counters_from_daily(daily.withColumnRenamed("user_id", "user_email"))

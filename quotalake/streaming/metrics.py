@@ -1,4 +1,10 @@
-"""T2 stream_metrics and T3 stream_alarms."""
+"""T2 stream_metrics and T3 stream_alarms.
+
+A micro-batch writes mergeable parts per (dims, minute, measured value):
+counts and sums, and with the value in the key a histogram from which any
+percentile is exact.  Every period is a multiple of a minute, so one stream
+serves all of them; readers merge the parts, so late rows count.
+"""
 
 from __future__ import annotations
 
@@ -7,50 +13,57 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotalake.sources.dims import latest_per_key
-from quotalake.streaming.common import DEFAULT_WATERMARK, batch_sink, event_time, to_ntz
+from quotalake.functions.timecols import bucket_start
+from quotalake.operators.alarms import evaluate_alarm
+from quotalake.operators.metrics import histogram_stat
+from quotalake.streaming.common import BatchStore, batches_done
+
+PART_SECONDS = 60
+
+
+def _merge(dims: Sequence[str], sums: Sequence[str]):
+    return lambda rows: rows.groupBy(*dims, "period_start", "v").agg(
+        F.sum("n").cast("bigint").alias("n"), *[F.sum(c).cast("bigint").alias(c) for c in sums])
 
 
-def stream_metrics(stream: DataFrame, period_s: int, dims: Sequence[str],
-                   aggs: Sequence[Column], delay: str = DEFAULT_WATERMARK) -> DataFrame:
-    """Tumbling ``period_s`` windows per dims with the given aggregates.
+def metric_parts(rows: DataFrame, dims: Sequence[str], value: Column, sums: dict[str, Column]) -> DataFrame:
+    """(dims, period_start, v, n, sums...) per minute and distinct ``value``."""
+    return (rows.groupBy(*dims, bucket_start(F.col("ts"), PART_SECONDS).alias("period_start"), value.cast("bigint").alias("v"))
+            .agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(k) for k, c in sums.items()]))
 
-    Use with ``update`` output into a batch sink (every window is emitted,
-    the latest value wins) or ``append`` (a window is emitted once, after
-    the watermark passes its end).  ``percentile_approx`` is allowed here;
-    exact percentiles are batch-only.
-    """
-    s = (stream.withColumn("_event_time", event_time(F.col("ts")))
-         .withWatermark("_event_time", delay))
-    return (s.groupBy(*dims, F.window("_event_time", f"{int(period_s)} seconds").alias("_w"))
-            .agg(*aggs)
-            .withColumn("period_start", to_ntz(F.col("_w.start")))
-            .drop("_w"))
 
+def stream_metrics(stream: DataFrame, dims: Sequence[str], value: Column, sums: dict[str, Column], root: str, checkpoint: str):
+    """Parts of a metric stream per micro-batch; returns the writer."""
+    store = BatchStore(root, _merge(dims, list(sums)))
 
-def write_metrics(series: DataFrame, sink: str, checkpoint: str):
-    return (series.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-            .foreachBatch(batch_sink(sink)))
+    def process(batch: DataFrame, batch_id: int) -> None:
+        store.write(metric_parts(batch, dims, value, sums), batch_id)
 
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
 
-def read_metrics(spark: SparkSession, sink: str, keys: Sequence[str]) -> DataFrame:
-    """Latest value per (keys, period_start) from a T2 sink."""
-    raw = spark.read.parquet(sink)
-    return latest_per_key(raw, [*keys, "period_start"], order_col=None, seq_col="batch_id").drop("batch_id")
 
+def read_metrics(spark: SparkSession, root: str, checkpoint: str, dims: Sequence[str], dim_types: str,
+                 sums: Sequence[str], period_s: int) -> DataFrame:
+    """SampleCount, sums, Average, Maximum and p99 of the value per (dims, ``period_s`` period)."""
+    if period_s % PART_SECONDS:
+        raise ValueError(f"periods are multiples of {PART_SECONDS} s")
+    schema = ", ".join([*([dim_types] if dim_types else []), "period_start timestamp_ntz", "v bigint", "n bigint",
+                        *[f"{c} bigint" for c in sums]])
+    parts = BatchStore(root, _merge(dims, sums)).read(spark, batches_done(spark, checkpoint), schema)
+    counted = F.when(F.col("v").isNotNull(), F.col("n"))
+    return (parts.groupBy(*dims, bucket_start(F.col("period_start"), period_s).alias("period_start"))
+            .agg(F.sum("n").cast("bigint").alias("calls"), *[F.sum(c).cast("bigint").alias(c) for c in sums],
+                 (F.sum(F.col("v") * F.col("n")) / F.sum(counted)).alias("average"), F.max("v").alias("maximum"),
+                 histogram_stat("p99", F.col("v"), F.col("n")).alias("p99")))
 
-def alarm_sink(root: str, value: str, threshold: float):
-    """foreachBatch that evaluates ``value > threshold`` on each updated window."""
-    def write(batch_df: DataFrame, batch_id: int) -> None:
-        breaching = F.coalesce(F.col(value) > F.lit(threshold), F.lit(False))
-        out = batch_df.withColumn("breaching", breaching).withColumn(
-            "state", F.when(breaching, F.lit("ALARM")).otherwise(F.lit("OK")))
-        batch_sink(root)(out, batch_id)
 
-    return write
+def stream_alarms(stream: DataFrame, value: Column, root: str, checkpoint: str):
+    """Parts (sum of ``value`` per minute) of an alarm's series; returns the writer."""
+    return stream_metrics(stream, [], F.lit(None).cast("bigint"), {"value": value}, root, checkpoint)
 
 
-def stream_alarms(series: DataFrame, sink: str, checkpoint: str, value: str, threshold: float):
-    """Alarm rows for each window of a T2 series, latest evaluation wins."""
-    return (series.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-            .foreachBatch(alarm_sink(sink, value, threshold)))
+def read_alarms(spark: SparkSession, root: str, checkpoint: str, threshold: float, period_s: int,
+                eval_periods: int = 1) -> DataFrame:
+    """The alarm (A0) on the merged series, with state and ``changed``."""
+    series = read_metrics(spark, root, checkpoint, [], "", ["value"], period_s).select("period_start", "value")
+    return evaluate_alarm(series, threshold, period_s, eval_periods)

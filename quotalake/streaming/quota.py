@@ -1,214 +1,84 @@
-"""T4 stream_quota_decisions: stateful check-then-add per user.
+"""T4 stream_quota_decisions: check-then-add per micro-batch, and T3 on quota percent behind it.
 
-Per micro-batch each user's new calls are ordered by (ts, request_id) and
-decided with the same prefix-sum rules as the batch replay (K8), starting
-from the user's carried month and day usage.  State per user is two small
-maps (newest two months, newest two days).  Equals K8 for input that
-arrives in time order; a late call is decided on arrival.
+Each micro-batch applies the batch replay rules (K8: chunked prefix sums, so
+a user with a third of the calls is spread over many tasks) on top of the
+usage accepted by earlier batches.  That usage is stored as per-batch parts
+by period: a late call, however old its day, meets the usage of that day.
+Equals K8 for input in time order; other calls are decided on arrival.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from quotalake.operators.quota import resolve_policy
-
-STATE_SCHEMA = "m_keys array<string>, m_vals array<bigint>, d_keys array<string>, d_vals array<bigint>"
-OUTPUT_SCHEMA = ("request_id string, ts timestamp_ntz, user_id string, enforcement_mode string, "
-                 "monthly_limit bigint, daily_limit bigint, metric_monthly_limit bigint, tokens bigint, "
-                 "allowed boolean, charged_tokens bigint, monthly_usage bigint, daily_usage bigint, status int")
-KEEP_PERIODS = 2
-
-
-def _exclusive_cumsum(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Sum of earlier values with the same key; rows are time-sorted, so each
-    key (a day or a month) is one contiguous run."""
-    before = np.cumsum(values) - values
-    n = len(values)
-    starts = np.ones(n, dtype=bool)
-    starts[1:] = keys[1:] != keys[:-1]
-    run_start = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    return before - before[run_start]
-
-
-def _carry(keys: np.ndarray, used: dict) -> np.ndarray:
-    uniq, inverse = np.unique(keys, return_inverse=True)
-    return np.array([used.get(k, 0) for k in uniq], dtype=np.int64)[inverse]
-
-
-def _decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        mk, mv, dk, dv = state.get
-        months, days = dict(zip(mk, mv)), dict(zip(dk, dv))
-    else:
-        months, days = {}, {}
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    df = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    df = df.sort_values(["ts", "request_id"], kind="stable", ignore_index=True)
-    tokens = df["tokens"].to_numpy(dtype=np.int64)
-    mkeys, dkeys = df["_mk"].to_numpy(dtype=object), df["_dk"].to_numpy(dtype=object)
-    month_carry, day_carry = _carry(mkeys, months), _carry(dkeys, days)
-    block = (df["enforcement_mode"] == "block").to_numpy()
-    # Same rules as the batch replay, on top of the carried usage.
-    day_ok = day_carry + _exclusive_cumsum(tokens, dkeys) < df["daily_limit"].to_numpy()
-    m = month_carry + _exclusive_cumsum(np.where(day_ok, tokens, 0), mkeys)
-    allowed = ~block | (day_ok & (m < df["monthly_limit"].to_numpy()))
-    charged = np.where(allowed, tokens, 0)
-    failed = df["failed"].to_numpy(dtype=bool)
-    df["allowed"] = allowed
-    df["charged_tokens"] = charged
-    df["monthly_usage"] = month_carry + _exclusive_cumsum(charged, mkeys)
-    df["daily_usage"] = day_carry + _exclusive_cumsum(charged, dkeys)
-    df["status"] = np.where(~allowed, 429, np.where(failed, 500, 200)).astype(np.int32)
-    for keys, used in ((mkeys, months), (dkeys, days)):
-        uniq, inverse = np.unique(keys, return_inverse=True)
-        for k, total in zip(uniq, np.bincount(inverse, weights=charged, minlength=len(uniq))):
-            used[k] = used.get(k, 0) + int(total)
-    months = dict(sorted(months.items())[-KEEP_PERIODS:])
-    days = dict(sorted(days.items())[-KEEP_PERIODS:])
-    state.update((list(months), [int(x) for x in months.values()], list(days), [int(x) for x in days.values()]))
-    cols = ["request_id", "ts", "user_id", "enforcement_mode", "monthly_limit", "daily_limit",
-            "metric_monthly_limit", "tokens", "allowed", "charged_tokens", "monthly_usage", "daily_usage", "status"]
-    yield df[cols]
-
-
-def stream_quota_decisions(calls_stream: DataFrame, users: DataFrame, policies: DataFrame) -> DataFrame:
-    """T4: decisions for the calls of known users (unknown users are 404 upstream)."""
-    limits = resolve_policy(users, policies).select("user_id", "enforcement_mode", "monthly_limit", "daily_limit",
-                                                    "metric_monthly_limit")
-    tokens = F.when(F.col("failed"), F.lit(0)).otherwise(
-        F.coalesce(F.col("input_tokens"), F.lit(0)) + F.coalesce(F.col("output_tokens"), F.lit(0)))
-    enriched = (calls_stream.join(limits, "user_id", "inner")
-                .select("request_id", "ts", "user_id", "enforcement_mode", "monthly_limit", "daily_limit",
-                        "metric_monthly_limit", "failed", tokens.cast("bigint").alias("tokens"),
-                        F.date_format("ts", "yyyy-MM").alias("_mk"), F.date_format("ts", "yyyy-MM-dd").alias("_dk")))
-    return enriched.groupBy("user_id").applyInPandasWithState(
-        _decide, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def quota_alarm_sink(root: str, period_s: int = 300):
-    """T3 on quota percent: foreachBatch behind T4.
-
-    Each micro-batch writes, per period bucket, the maximum MonthlyUsagePercent
-    after its successful calls; max is associative, so ``read_quota_alarm``
-    takes the max over all batches and evaluates the alarm on that series.
-    """
-    from quotalake.functions.timecols import bucket_start
-    from quotalake.streaming.common import batch_sink
-
-    def write(batch_df: DataFrame, batch_id: int) -> None:
-        ok = batch_df.where(F.col("status") == 200)
-        used = F.col("monthly_usage") + F.col("charged_tokens")
-        pct = F.when(F.col("metric_monthly_limit") > 0,
-                     used / F.col("metric_monthly_limit") * F.lit(100)).otherwise(F.lit(0.0))
-        out = ok.groupBy(bucket_start(F.col("ts"), period_s).alias("period_start")).agg(F.max(pct).alias("value"))
-        batch_sink(root)(out, batch_id)
-
-    return write
-
-
-def read_quota_alarm(spark, root: str, threshold: float = 80.0, period_s: int = 300) -> DataFrame:
-    from quotalake.operators.alarms import evaluate_alarm
-
-    series = spark.read.parquet(root).groupBy("period_start").agg(F.max("value").alias("value"))
-    return evaluate_alarm(series, threshold, period_s)
-
 
-# ---------------------------------------------------------------- T4, pure Spark
-STATE_COLUMNS = "user_id string, kind string, period date, used bigint"
-DECISION_COLUMNS = ["request_id", "ts", "user_id", "enforcement_mode", "monthly_limit", "daily_limit",
-                    "metric_monthly_limit", "tokens", "allowed", "charged_tokens", "monthly_usage",
-                    "daily_usage", "status"]
+from quotalake.functions.timecols import bucket_start
+from quotalake.operators.alarms import evaluate_alarm
+from quotalake.operators.quota import decide_calls, prepare_calls, rejected_calls
+from quotalake.session import stage_scope
+from quotalake.streaming.common import BatchStore, batches_done
 
+USAGE = "user_id string, kind string, used bigint, period date"
+DECISIONS = ("request_id string, ts timestamp_ntz, user_id string, enforcement_mode string, monthly_limit bigint, "
+             "daily_limit bigint, metric_monthly_limit bigint, tokens bigint, allowed boolean, charged_tokens bigint, "
+             "monthly_usage bigint, daily_usage bigint, status int")
+Dimensions = Callable[[], tuple[DataFrame, DataFrame]]
 
-def _state_path(root: str, batch_id: int) -> str:
-    return f"{root}/state/batch_id={batch_id}"
 
+def _merge_usage(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("user_id", "kind", "period").agg(F.sum("used").cast("bigint").alias("used"))
 
-def _read_state(spark, root: str, batch_id: int) -> DataFrame:
-    from pyspark.errors import AnalysisException
 
-    if batch_id >= 0:
-        try:
-            return spark.read.parquet(_state_path(root, batch_id))
-        except AnalysisException:
-            pass
-    return spark.createDataFrame([], STATE_COLUMNS)
+def _periods(rows: DataFrame, value: str) -> DataFrame:
+    """(user_id, kind, period, used) of the months and days of ``rows``."""
+    return rows.select("user_id", F.explode(F.array(
+        F.struct(F.lit("m").alias("kind"), F.trunc(F.to_date("ts"), "MM").alias("period"), F.col(value).alias("used")),
+        F.struct(F.lit("d").alias("kind"), F.to_date("ts").alias("period"), F.col(value).alias("used")))).alias("x")).select("user_id", "x.*")
 
 
-def quota_batch_processor(users: DataFrame, policies: DataFrame, root: str, chunk_seconds: int = 60,
-                          hot_user_rows: int | None = None):
-    """foreachBatch function of ``stream_quota_decisions_sql``.
+def stream_quota_decisions(calls_stream: DataFrame, dimensions: Dimensions, root: str, checkpoint: str, chunk_seconds: int = 60):
+    """T4; returns the writer.
 
-    Batch N reads the usage snapshot of batch N-1 (user, month|day, tokens
-    accepted so far), applies the batch replay rules with those carries
-    (``operators.quota.decide_calls``: windows, hot users in time chunks),
-    writes its decisions and then snapshot N.  A re-run of batch N reads the
-    same snapshot N-1 and overwrites its own folders, so replays are
-    idempotent.  Each user keeps the newest two months and two days.
-    """
-    from pyspark.sql import Window
-
-    from quotalake.operators.quota import decide_calls, resolve_policy
-
-    limits = resolve_policy(users, policies).select("user_id", "enforcement_mode", "monthly_limit",
-                                                    "daily_limit", "metric_monthly_limit")
-
-    def process(batch_df: DataFrame, batch_id: int) -> None:
-        spark = batch_df.sparkSession
-        tokens = F.when(F.col("failed"), F.lit(0)).otherwise(
-            F.coalesce(F.col("input_tokens"), F.lit(0)) + F.coalesce(F.col("output_tokens"), F.lit(0)))
-        t = (batch_df.join(limits, "user_id", "inner")
-             .withColumn("tokens", tokens.cast("bigint"))
-             .withColumn("_day", F.to_date("ts"))
-             .withColumn("_month", F.trunc(F.to_date("ts"), "MM")))
-        prev = _read_state(spark, root, batch_id - 1)
-        carry_m = prev.where(F.col("kind") == "m").select("user_id", F.col("period").alias("_month"),
-                                                          F.col("used").alias("_carry_m"))
-        carry_d = prev.where(F.col("kind") == "d").select("user_id", F.col("period").alias("_day"),
-                                                          F.col("used").alias("_carry_d"))
-        t = (t.join(carry_m, ["user_id", "_month"], "left").join(carry_d, ["user_id", "_day"], "left")
-             .fillna(0, ["_carry_m", "_carry_d"]))
-        decided = decide_calls(t, chunk_seconds, hot_user_rows).select(
-            *DECISION_COLUMNS[:-1],
-            F.when(~F.col("allowed"), F.lit(429)).when(F.col("failed"), F.lit(500)).otherwise(F.lit(200))
-            .alias("status"))
-        out = f"{root}/decisions/batch_id={batch_id}"
-        decided.write.mode("overwrite").parquet(out)
-        written = spark.read.parquet(out)
-        deltas = written.select("user_id", F.explode(F.array(
-            F.struct(F.lit("m").alias("kind"), F.trunc(F.to_date("ts"), "MM").alias("period"),
-                     F.col("charged_tokens").alias("used")),
-            F.struct(F.lit("d").alias("kind"), F.to_date("ts").alias("period"),
-                     F.col("charged_tokens").alias("used")))).alias("x")).select("user_id", "x.*")
-        state = (prev.unionByName(deltas).groupBy("user_id", "kind", "period")
-                 .agg(F.sum("used").cast("bigint").alias("used")))
-        newest = Window.partitionBy("user_id", "kind").orderBy(F.col("period").desc())
-        state = state.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= KEEP_PERIODS).drop("_rn")
-        state.write.mode("overwrite").parquet(_state_path(root, batch_id))
-
-    return process
-
-
-def stream_quota_decisions_sql(calls_stream: DataFrame, users: DataFrame, policies: DataFrame, root: str,
-                               checkpoint: str, chunk_seconds: int = 60, hot_user_rows: int | None = None):
-    """T4 without Python: per micro-batch window replay with carried usage (returns the writer).
-
-    Decisions equal ``quota_replay`` for input that arrives in time order;
-    a hot user inside one micro-batch can be split into time chunks
-    (``hot_user_rows``), which the per-user state function cannot do.
+    ``dimensions`` returns (users, policies); it is called for every batch,
+    so a changed limit takes effect with the next batch.  Calls without a
+    user id and of unknown users get their 400 and 404 rows.
     """
-    return (calls_stream.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(quota_batch_processor(users, policies, root, chunk_seconds, hot_user_rows)))
-
-
-def read_sql_decisions(spark, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/decisions").drop("batch_id")
+    usage = BatchStore(os.path.join(root, "usage"), _merge_usage, ["period"])
+    decisions = BatchStore(os.path.join(root, "decisions"))
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with stage_scope(spark):
+            base = prepare_calls(batch, *dimensions())
+            known = base.where("status is null")
+            periods = [r.day for r in batch.select(F.explode(F.array(F.to_date("ts"), F.trunc(F.to_date("ts"), "MM")))
+                                                   .alias("day")).distinct().collect()]  # of one micro-batch
+            earlier = _merge_usage(usage.before(spark, batch_id, USAGE).where(F.col("period").isin(periods or [None])))
+            carry = {k: earlier.where(F.col("kind") == k).select("user_id", F.col("period").alias(c), F.col("used").alias(v))
+                     for k, c, v in (("m", "_month", "_carry_m"), ("d", "_day", "_carry_d"))}
+            known = (known.join(carry["m"], ["user_id", "_month"], "left").join(carry["d"], ["user_id", "_day"], "left")
+                     .fillna(0, ["_carry_m", "_carry_d"]))
+            decided = decide_calls(known, chunk_seconds).unionByName(rejected_calls(base), allowMissingColumns=True)
+            names = [c.split()[0] for c in DECISIONS.split(", ")]
+            decisions.write(decided.select(*names), batch_id)
+            done = spark.read.schema(DECISIONS).parquet(decisions._folder("batch", batch_id))
+            accepted = _merge_usage(_periods(done.where("charged_tokens is not null"), "charged_tokens"))
+            usage.write(accepted.select("user_id", "kind", "used", "period"), batch_id)
+
+    return calls_stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
+
+
+def read_decisions(spark: SparkSession, root: str, checkpoint: str) -> DataFrame:
+    return BatchStore(os.path.join(root, "decisions")).read(spark, batches_done(spark, checkpoint), DECISIONS)
+
+
+def read_quota_alarm(decisions: DataFrame, threshold: float = 80.0, period_s: int = 300) -> DataFrame:
+    """T3 on quota percent: A1 over T4's decisions."""
+    used = F.col("monthly_usage") + F.col("charged_tokens")
+    pct = F.when(F.col("metric_monthly_limit") > 0, used / F.col("metric_monthly_limit") * F.lit(100)).otherwise(F.lit(0.0))
+    series = (decisions.where(F.col("status") == 200)
+              .groupBy(bucket_start(F.col("ts"), period_s).alias("period_start")).agg(F.max(pct).alias("value")))
+    return evaluate_alarm(series, threshold, period_s)

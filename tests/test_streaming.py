@@ -3,14 +3,19 @@ import os
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from quotalake.operators import metrics as M
 from quotalake.operators import quota as K
 from quotalake.streaming import common as SC
 from quotalake.streaming import counters as T1
+from quotalake.streaming import metrics as T2
 from quotalake.streaming import quota as T4
 from tests.test_quota import policies_df, users_df
 
+CALLS = "request_id string, ts timestamp_ntz, user_id string, input_tokens long, output_tokens long, failed boolean"
+
 
 def _calls(spark, n_users=12, seed=5):
     rnd = random.Random(seed)
@@ -20,133 +25,104 @@ def _calls(spark, n_users=12, seed=5):
         for i in range(30):
             ts = t0 + dt.timedelta(minutes=rnd.randint(0, 60 * 30))
             rows.append((f"r{u:02d}-{i:02d}", ts, f"u{u}", rnd.choice([0, 2, 5, 9]), 0, rnd.random() < 0.1))
-    return spark.createDataFrame(rows, "request_id string, ts timestamp_ntz, user_id string, "
-                                       "input_tokens long, output_tokens long, failed boolean")
+    return spark.createDataFrame(rows, CALLS)
+
+
+def _append(df, path):
+    df.coalesce(1).write.mode("append").parquet(path)
+    time.sleep(0.05)
 
 
-def test_stream_quota_decisions_equal_batch_replay(spark, tmp_dir):
-    calls = _calls(spark)
+def _stream(spark, path, schema_of, per_batch=1):
+    return SC.file_stream(spark, path, schema_of, max_files_per_trigger=per_batch)
+
+
+def test_quota_decisions_equal_batch_replay_in_order(spark, tmp_dir):
+    calls = _calls(spark).unionByName(spark.createDataFrame(
+        [("ghost", dt.datetime(2024, 2, 1), "nobody", 1, 1, False), ("none", dt.datetime(2024, 2, 1), None, 1, 1, False)], CALLS))
     users = users_df(spark, [(f"u{u}", "g", "t", "d") for u in range(12)])
-    pols = policies_df(spark, [("user", f"u{u}", 20 + 7 * u, 9 + u, "block" if u % 3 else "alert")
-                               for u in range(12)])
-    src = os.path.join(tmp_dir, "calls")
-    # Six time slices appended one after another: the file source picks them
-    # up oldest first, one per micro-batch, so state is carried across batches
-    # and arrival order equals event order (T4 equals K8 for in-order input).
+    pols = policies_df(spark, [("user", f"u{u}", 20 + 7 * u, 9 + u, "block" if u % 3 else "alert") for u in range(12)])
+    src, out = os.path.join(tmp_dir, "calls"), os.path.join(tmp_dir, "out")
     t0 = dt.datetime(2024, 1, 31, 20)
-    for k in range(6):
-        lo, hi = t0 + dt.timedelta(hours=6 * k), t0 + dt.timedelta(hours=6 * (k + 1))
-        (calls.where((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(hi))).coalesce(1)
-         .write.mode("append").parquet(src))
-        time.sleep(0.05)
-    stream = SC.file_stream(spark, src, spark.read.parquet(src), max_files_per_trigger=1)
-    out = os.path.join(tmp_dir, "out")
-    q = (T4.stream_quota_decisions(stream, users, pols).writeStream.format("parquet")
-         .option("path", out).option("checkpointLocation", out + "_ck"))
-    SC.run_until_caught_up(q)
-    got = {r.request_id: (r.allowed, r.monthly_usage, r.daily_usage, r.status)
-           for r in spark.read.parquet(out).collect()}
-    want = {r.request_id: (r.allowed, r.monthly_usage, r.daily_usage, r.status)
-            for r in K.quota_replay(calls, users, pols).collect()}
-    assert got == want
-
-
-def test_stream_counters_equal_batch_and_dedup(spark, tmp_dir):
-    rows = [("a", dt.datetime(2024, 2, 1, 1), None, 1, 2, "r1"), ("a", dt.datetime(2024, 2, 1, 5), None, 3, 4, "r2"),
-            ("b", dt.datetime(2024, 2, 2, 1), None, 5, 0, "r3"), ("b", dt.datetime(2024, 2, 2, 2), "E", 9, 9, "r4")]
-    inv = spark.createDataFrame(rows, "user_id string, ts timestamp_ntz, error_type string, input_tokens long, "
-                                      "output_tokens long, request_id string")
-    src = os.path.join(tmp_dir, "inv")
-    inv.repartition(2).write.parquet(src)
-    stream = SC.file_stream(spark, src, spark.read.parquet(src), max_files_per_trigger=1)
-    sink = os.path.join(tmp_dir, "counters")
-    SC.run_until_caught_up(T1.stream_usage_counters(stream, sink, sink + "_ck"))
-    got = sorted((r.user_email, r.metric_period, r.tokens_used) for r in T1.read_counters(spark, sink).collect())
-    want = sorted((r.user_email, r.metric_period, r.tokens_used)
-                  for r in K.usage_counters(inv.withColumn("usage_day", F.to_date("ts"))).collect())
-    assert got == want
-
-    dup_src = os.path.join(tmp_dir, "dups")
-    inv.unionByName(inv).write.parquet(dup_src)
-    out = os.path.join(tmp_dir, "dedup")
-    stream = SC.file_stream(spark, dup_src, spark.read.parquet(dup_src))
-    SC.run_until_caught_up(T1.dedup_stream(stream).writeStream.format("parquet").option("path", out)
-                           .option("checkpointLocation", out + "_ck"))
-    assert spark.read.parquet(out).count() == 4
-
-
-def test_stream_metrics_equal_batch_statistics(spark, tmp_dir):
-    from quotalake.operators import metrics as M
-    from quotalake.streaming import metrics as T2
-
-    rnd = random.Random(11)
-    t0 = dt.datetime(2024, 2, 1)
-    rows = [(f"r{i}", t0 + dt.timedelta(seconds=rnd.randint(0, 7200)), rnd.choice(["a", "b"]), rnd.randint(1, 900))
-            for i in range(300)]
-    df = spark.createDataFrame(rows, "request_id string, ts timestamp_ntz, tenant string, latency_ms long")
-    src = os.path.join(tmp_dir, "calls")
-    # In-order arrival (three 40-minute slices); rows later than the
-    # watermark would be dropped as late data, which batch does not do.
     for k in range(3):
-        lo, hi = t0 + dt.timedelta(minutes=40 * k), t0 + dt.timedelta(minutes=40 * (k + 1))
-        hi = hi + dt.timedelta(seconds=1) if k == 2 else hi
-        df.where((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(hi))).coalesce(1).write.mode("append").parquet(src)
-        time.sleep(0.05)
-    stream = SC.file_stream(spark, src, spark.read.parquet(src), max_files_per_trigger=1)
-    series = T2.stream_metrics(stream, 300, ["tenant"], [F.count(F.lit(1)).alias("calls"),
-                                                         F.max("latency_ms").alias("max_ms")])
-    sink = os.path.join(tmp_dir, "series")
-    SC.run_until_caught_up(T2.write_metrics(series, sink, sink + "_ck"))
-    got = {(r.tenant, r.period_start): (r.calls, r.max_ms) for r in T2.read_metrics(spark, sink, ["tenant"]).collect()}
-    n = M.metric_statistics(df, F.lit(1), ["tenant"], 300, "SampleCount", name="calls")
-    mx = M.metric_statistics(df, "latency_ms", ["tenant"], 300, "Maximum", name="max_ms")
-    want = {(r.tenant, r.period_start): (r.calls, r.max_ms)
-            for r in n.join(mx, ["tenant", "period_start"]).collect()}
-    assert got == want
-
-
-
-def test_rows_behind_the_watermark_are_dropped(spark, tmp_dir):
-    """Late rows: filtered with the previous batch's watermark (Spark >= 3.4), so the
-    third batch (oldest rows, windows ending before newest - 10 min) is dropped."""
-    from quotalake.streaming import metrics as T2
+        _append(calls.where((F.col("ts") >= F.lit(t0 + dt.timedelta(hours=12 * k))) & (F.col("ts") < F.lit(t0 + dt.timedelta(hours=12 * (k + 1))))), src)
+    SC.run_until_caught_up(T4.stream_quota_decisions(_stream(spark, src, calls), lambda: (users, pols), out, out + "_ck"))
+    rows = lambda df: {r.request_id: (r.allowed, r.monthly_usage, r.daily_usage, r.status) for r in df.collect()}
+    got = rows(T4.read_decisions(spark, out, out + "_ck"))
+    assert got == rows(K.quota_replay(calls, users, pols))
+    assert got["ghost"][3] == 404 and got["none"][3] == 400
+
+
+def test_late_call_changed_limit_and_lost_batch(spark, tmp_dir):
+    users = users_df(spark, [("a", "g", "t", "d")])
+    limits = {"now": 10}
+    dims = lambda: (users, policies_df(spark, [("user", "a", 10**9, limits["now"], "block")]))
+    call = lambda rid, day, tokens=10: spark.createDataFrame([(rid, dt.datetime(2024, 1, day, 12), "a", tokens, 0, False)], CALLS)
+    src, out = os.path.join(tmp_dir, "calls"), os.path.join(tmp_dir, "out")
+    run = lambda: SC.run_until_caught_up(T4.stream_quota_decisions(
+        _stream(spark, src, call("x", 1)), dims, out, out + "_ck"))
+    for rid, day in (("r1", 1), ("r2", 2), ("r3", 3), ("late", 1)):
+        _append(call(rid, day), src)
+    run()
+    got = {r.request_id: (r.allowed, r.daily_usage) for r in T4.read_decisions(spark, out, out + "_ck").collect()}
+    assert got["late"] == (False, 10) and all(got[k] == (True, 0) for k in ("r1", "r2", "r3"))
+    limits["now"] = 25  # in force from the next batch on
+    _append(call("raised", 1), src)
+    run()
+    got = {r.request_id: r.allowed for r in T4.read_decisions(spark, out, out + "_ck").collect()}
+    assert got["raised"]
+    from quotalake.session import delete_path
+    delete_path(spark, os.path.join(out, "usage", "batch", f"{1:012d}"))
+    _append(call("after", 2), src)
+    with pytest.raises(Exception):
+        run()
+
+
+def test_counters_count_each_request_once_however_late(spark, tmp_dir):
+    rnd = random.Random(2)
+    rows = [(f"r{i}", dt.datetime(2024, 1, 25) + dt.timedelta(hours=rnd.randrange(400)), f"u{i % 5}",
+             "E" if i % 9 == 0 else None, rnd.randrange(50), rnd.choice([None, 3])) for i in range(200)]
+    schema = "request_id string, ts timestamp_ntz, user_id string, error_type string, input_tokens long, output_tokens long"
+    inv = spark.createDataFrame(rows, schema)
+    src, out = os.path.join(tmp_dir, "inv"), os.path.join(tmp_dir, "out")
+    deliveries = rows + rnd.sample(rows, 120)
+    rnd.shuffle(deliveries)
+    for k in range(3):
+        _append(spark.createDataFrame(deliveries[k::3], schema), src)
+    SC.run_until_caught_up(T1.stream_usage_counters(_stream(spark, src, inv), out, out + "_ck"))
+    key = lambda df: sorted(map(tuple, df.select("user_email", "metric_period", "tokens_used", "last_updated", "ttl").collect()))
+    assert key(T1.read_counters(spark, out, out + "_ck")) == key(K.usage_counters(inv.withColumn("usage_day", F.to_date("ts"))))
+    SC.run_until_caught_up(T1.dedup_stream(_stream(spark, src, inv), out + "_d", out + "_dck"))
+    got = T1.read_deduplicated(spark, out + "_d", out + "_dck", inv.schema).collect()
+    assert sorted(map(str, got)) == sorted(map(str, inv.collect()))
+
 
+def test_rows_behind_the_newest_are_counted(spark, tmp_dir):
+    """Newest file first: every older row still counts, in every period, with exact percentiles."""
     t0 = dt.datetime(2024, 2, 1)
-    rows = [(f"r{i}", t0 + dt.timedelta(minutes=i), "a") for i in range(120)]
-    df = spark.createDataFrame(rows, "request_id string, ts timestamp_ntz, tenant string")
-    src = os.path.join(tmp_dir, "src")
-    for lo, hi in ((80, 120), (40, 80), (0, 40)):          # newest first
-        df.where((F.col("ts") >= F.lit(t0 + dt.timedelta(minutes=lo)))
-                 & (F.col("ts") < F.lit(t0 + dt.timedelta(minutes=hi)))).coalesce(1).write.mode("append").parquet(src)
-        time.sleep(0.05)
-    stream = SC.file_stream(spark, src, spark.read.parquet(src), max_files_per_trigger=1)
-    sink = os.path.join(tmp_dir, "sink")
-    q = SC.run_until_caught_up(T2.write_metrics(
-        T2.stream_metrics(stream, 300, ["tenant"], [F.count(F.lit(1)).alias("calls")]), sink, sink + "_ck"))
-    assert spark.read.parquet(sink).agg(F.sum("calls")).first()[0] == 80
-    dropped = sum(s.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for s in p.get("stateOperators", []))
-    assert dropped == 8      # counted after partial aggregation: one row per 5-minute window
-
-
-def test_sql_stream_quota_decisions_equal_batch_replay(spark, tmp_dir):
-    calls = _calls(spark)
-    users = users_df(spark, [(f"u{u}", "g", "t", "d") for u in range(12)])
-    pols = policies_df(spark, [("user", f"u{u}", 20 + 7 * u, 9 + u, "block" if u % 3 else "alert")
-                               for u in range(12)])
-    src = os.path.join(tmp_dir, "calls")
-    t0 = dt.datetime(2024, 1, 31, 20)
-    for k in range(6):
-        lo, hi = t0 + dt.timedelta(hours=6 * k), t0 + dt.timedelta(hours=6 * (k + 1))
-        (calls.where((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(hi))).coalesce(1)
-         .write.mode("append").parquet(src))
-        time.sleep(0.05)
-    want = {r.request_id: (r.allowed, r.monthly_usage, r.daily_usage, r.status)
-            for r in K.quota_replay(calls, users, pols).collect()}
-    for hot in (None, 5):      # direct windows, and every user split into time chunks
-        root = os.path.join(tmp_dir, f"sql-{hot}")
-        stream = SC.file_stream(spark, src, spark.read.parquet(src), max_files_per_trigger=1)
-        SC.run_until_caught_up(T4.stream_quota_decisions_sql(stream, users, pols, root, root + "_ck",
-                                                             hot_user_rows=hot))
-        got = {r.request_id: (r.allowed, r.monthly_usage, r.daily_usage, r.status)
-               for r in T4.read_sql_decisions(spark, root).collect()}
-        assert got == want
+    rows = [(f"r{i}", t0 + dt.timedelta(minutes=i), "ab"[i % 2], i * i % 97) for i in range(120)]
+    df = spark.createDataFrame(rows, "request_id string, ts timestamp_ntz, tenant string, latency_ms long")
+    src, sink = os.path.join(tmp_dir, "src"), os.path.join(tmp_dir, "sink")
+    for lo, hi in ((80, 120), (40, 80), (0, 40)):
+        _append(df.where((F.col("ts") >= F.lit(t0 + dt.timedelta(minutes=lo))) & (F.col("ts") < F.lit(t0 + dt.timedelta(minutes=hi)))), src)
+    SC.run_until_caught_up(T2.stream_metrics(_stream(spark, src, df), ["tenant"], F.col("latency_ms"), {}, sink, sink + "_ck"))
+    for period in (300, 3600, 86400):
+        got = {(r.tenant, r.period_start): (r.calls, r.average, r.maximum, r.p99)
+               for r in T2.read_metrics(spark, sink, sink + "_ck", ["tenant"], "tenant string", [], period).collect()}
+        stat = lambda s, v="latency_ms": {(r.tenant, r.period_start): r.value
+                                          for r in M.metric_statistics(df, v, ["tenant"], period, s).collect()}
+        n, avg, top, p99 = stat("SampleCount"), stat("Average"), stat("Maximum"), stat("p99")
+        assert got == {k: (n[k], avg[k], top[k], p99[k]) for k in n}
+        assert sum(v[0] for v in got.values()) == 120
+
+
+def test_store_snapshots_merge_and_miss_nothing(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(SC, "SNAPSHOT_EVERY", 3)
+    merge = lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n"))
+    store = SC.BatchStore(os.path.join(tmp_dir, "store"), merge)
+    for b in range(8):
+        store.write(spark.createDataFrame([("x", 1), (f"b{b}", b)], "k string, n long"), b)
+    store.write(spark.createDataFrame([("x", 1), ("b7", 7)], "k string, n long"), 7)  # run again
+    got = {r.k: r.n for r in store.read(spark, 8, "k string, n long").collect()}
+    assert got == {"x": 8, **{f"b{b}": b for b in range(8)}}
+    assert {r.k: r.n for r in merge(store.before(spark, 7, "k string, n long")).collect()}["x"] == 7
