@@ -2,7 +2,7 @@
 
 Prices are dollars per million tokens.  The cost is formed as an exact
 DECIMAL of micro-dollars, divided by 10^6 and rounded half-up to ``dp``
-places in DECIMAL, then converted to double once.  This never rounds a
+places once, in DECIMAL, then converted to double once.  This never rounds a
 binary fraction, so it gives the same digits as exact integer arithmetic
 even when sums exceed 2^53.
 """
@@ -24,17 +24,18 @@ TOKENS_PER_CALL_ESTIMATE = 500
 
 
 
-def _dec(x: Column) -> Column:
-    return x.cast("decimal(38,0)")
+# Types that keep every product and sum below exact: 20 digits hold any
+# BIGINT count, prices have at most 3 digits before and 6 after the point.
+TOKENS, PRICE, MILLIONTH = "decimal(20,0)", "decimal(9,6)", Decimal("0.000001")
 
 
 def _price(p) -> Column:
-    return F.lit(Decimal(str(p)))
+    return F.lit(str(Decimal(str(p)))).cast(PRICE)
 
 
 def dollars(micro: Column, dp: int | None) -> Column:
-    """Micro-dollar DECIMAL -> dollars as double, rounded half-up to ``dp`` (None: unrounded)."""
-    value = micro / F.lit(Decimal(1_000_000))
+    """Micro-dollar DECIMAL -> dollars as double, rounded half-up once to ``dp`` (None: unrounded)."""
+    value = micro.cast("decimal(31,6)") * F.lit(MILLIONTH)
     if dp is not None:
         value = F.round(value, dp)
     return value.cast("double")
@@ -46,13 +47,13 @@ def estimate_cost(tokens_in: Column, tokens_out: Column, in_price=INPUT_PRICE_PE
 
     NULL in either input gives NULL, as SQL arithmetic does.
     """
-    micro = _dec(tokens_in) * _price(in_price) + _dec(tokens_out) * _price(out_price)
+    micro = tokens_in.cast(TOKENS) * _price(in_price) + tokens_out.cast(TOKENS) * _price(out_price)
     return dollars(micro, dp)
 
 
 def blended_cost(tokens: Column, rate=BLENDED_PRICE_PER_MTOK, dp: int | None = 4) -> Column:
     """tokens * rate / 1e6: one price for input and output."""
-    return dollars(_dec(tokens) * _price(rate), dp)
+    return dollars(tokens.cast(TOKENS) * _price(rate), dp)
 
 
 def estimate_tokens(invocations: Column, per_call: int = TOKENS_PER_CALL_ESTIMATE) -> Column:
@@ -70,6 +71,5 @@ def usage_totals(inv: DataFrame) -> DataFrame:
                   F.coalesce(F.sum(tokens), F.lit(0)).cast("bigint").alias("total_tokens"))
     return agg.select(
         "total_calls", "total_tokens",
-        F.when(F.col("total_calls") > 0, F.floor(F.col("total_tokens") / F.col("total_calls")))
-        .otherwise(F.lit(0)).cast("bigint").alias("avg_tokens_per_call"),
+        F.expr("if(total_calls > 0, total_tokens div total_calls, 0L)").alias("avg_tokens_per_call"),
     )

@@ -3,16 +3,14 @@
 A series is (dims, period_start, value).  A period is breaching when
 ``value > threshold`` (strict); a period with no data is not breaching.
 The state is ALARM when the last ``eval_periods`` consecutive periods all
-breach; consecutiveness is checked against the previous rows' starts, so
-gaps break a run without densifying the series.  Windows are per series,
-ordered by period: one row per period, bounded by the time range.
+breach; gaps break a run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotalake.functions.timecols import bucket_start
@@ -20,24 +18,31 @@ from quotalake.functions.timecols import bucket_start
 
 def evaluate_alarm(series: DataFrame, threshold: float, period_s: int, eval_periods: int = 1,
                    dims: Sequence[str] = (), value: str = "value") -> DataFrame:
-    """A0: state per series point and whether it changed from the previous point."""
+    """A0: state per series point and whether it changed from the previous period's.
+
+    Each point tells itself and the ``eval_periods`` periods after it whether
+    it breaches; one aggregation per (dims, period) gathers these marks, so
+    no task holds a series.  Periods without a point do not breach.
+    """
     dims = list(dims)
-    w = Window.partitionBy(*dims).orderBy("period_start")
-    breach = F.col(value) > F.lit(threshold)
-    out = series.withColumn("breaching", F.coalesce(breach, F.lit(False)))
-    run = F.col("breaching")
-    for k in range(1, eval_periods):
-        prev_b = F.lag("breaching", k).over(w)
-        prev_t = F.lag("period_start", k).over(w)
-        adjacent = prev_t == F.timestamp_add("SECOND", F.lit(-k * period_s), F.col("period_start"))
-        run = run & F.coalesce(prev_b & adjacent, F.lit(False))
-    out = out.withColumn("state", F.when(run, F.lit("ALARM")).otherwise(F.lit("OK")))
-    prev_state = F.lag("state", 1).over(w)
-    prev_start = F.lag("period_start", 1).over(w)
-    # A gap since the previous point means the periods between were OK.
-    gap = prev_start != F.timestamp_add("SECOND", F.lit(-period_s), F.col("period_start"))
-    effective_prev = F.when(gap, F.lit("OK")).otherwise(F.coalesce(prev_state, F.lit("OK")))
-    return out.withColumn("changed", F.col("state") != effective_prev)
+    breach = F.coalesce(F.col(value) > F.lit(threshold), F.lit(False))
+    told = (series.withColumn("breaching", breach).withColumn("_row", F.struct(*series.columns))
+            .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(eval_periods))))
+            .select(*dims, F.timestamp_add("SECOND", F.col("_k") * F.lit(period_s), F.col("period_start")).alias("_period"),
+                    "_k", "breaching", F.when(F.col("_k") == 0, F.col("_row")).alias("_row")))
+    marks = [F.coalesce(F.bool_or(F.when(F.col("_k") == k, F.col("breaching"))), F.lit(False)).alias(f"_b{k}")
+             for k in range(eval_periods + 1)]
+    points = told.groupBy(*dims, "_period").agg(F.max("_row").alias("_row"), *marks).where("_row is not null")
+
+    def all_of(first: int) -> Column:
+        out = F.lit(True)
+        for k in range(first, first + eval_periods):
+            out = out & F.col(f"_b{k}")
+        return out
+
+    return points.select("_row.*", F.col("_b0").alias("breaching"),
+                         F.when(all_of(0), F.lit("ALARM")).otherwise(F.lit("OK")).alias("state"),
+                         (all_of(0) != all_of(1)).alias("changed"))
 
 
 def high_quota_alarm(metrics: DataFrame, threshold: float = 80.0, period_s: int = 300) -> DataFrame:

@@ -3,8 +3,7 @@
 Every series is ``groupBy(dims, bucket)`` with a built-in aggregate, so
 partial aggregation runs before the shuffle and a hot user or tenant only
 adds one partial row per task.  Buckets are epoch-aligned TIMESTAMP_NTZ.
-Percentiles are exact (``percentile``) unless ``approx=True``, which uses
-``percentile_approx`` (bounded memory per group) for production runs.
+Percentiles are exact, from counts per distinct value.
 """
 
 from __future__ import annotations
@@ -23,36 +22,46 @@ WARNING_PCT = 80
 CRITICAL_PCT = 95
 
 
-def _stat(stat: str, value: Column, approx: bool) -> Column:
-    s = stat.lower()
-    if s == "sum":
-        return F.sum(value)
-    if s == "average":
-        return F.avg(value)
-    if s == "maximum":
-        return F.max(value)
-    if s == "minimum":
-        return F.min(value)
-    if s == "samplecount":
-        return F.count(value)
-    if s.startswith("p"):
-        q = float(s[1:]) / 100.0
-        # Rounded to 6 decimals so that engines agree on the interpolation.
-        return F.round(F.percentile_approx(value, q, 10000) if approx else F.percentile(value, q), 6)
-    raise ValueError(f"unknown statistic {stat!r}")
+def histogram_stat(stat: str, value: Column, n: Column) -> Column:
+    """Percentile ``pNN`` of values with frequencies: exact, and as small as the number of distinct values."""
+    # Rounded to 6 decimals so that engines agree on the interpolation.
+    return F.round(F.percentile(value, float(stat[1:]) / 100.0, n), 6)
+
+
+def _stat(stat: str, value: Column) -> Column:
+    simple = {"sum": F.sum, "average": F.avg, "maximum": F.max, "minimum": F.min, "samplecount": F.count}
+    if stat.lower() not in simple:
+        raise ValueError(f"unknown statistic {stat!r}")
+    return simple[stat.lower()](value)
 
 
 def metric_statistics(df: DataFrame, value: str | Column, dims: Sequence[str], period_s: int,
-                      stat: str = "Sum", start=None, end=None, ts: str = "ts",
-                      approx: bool = False, name: str = "value") -> DataFrame:
-    """M0: one statistic of ``value`` per (dims, period bucket) within [start, end)."""
+                      stat: str = "Sum", start=None, end=None, ts: str = "ts", name: str = "value") -> DataFrame:
+    """M0: one statistic of ``value`` per (dims, period bucket) within [start, end).
+
+    Percentiles count equal values first (partial aggregation), so a task
+    holds the distinct values of a period at most.
+    """
     if start is not None:
         df = since_filter(df, F.lit(str(start)).cast("timestamp_ntz"))
     if end is not None:
         df = df.where(F.col(ts) < F.lit(str(end)).cast("timestamp_ntz"))
     v = F.col(value) if isinstance(value, str) else value
-    return (df.groupBy(*dims, bucket_start(F.col(ts), period_s).alias("period_start"))
-            .agg(_stat(stat, v, approx).alias(name)))
+    period = bucket_start(F.col(ts), period_s).alias("period_start")
+    if stat.lower().startswith("p"):
+        counted = df.groupBy(*dims, period, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        return counted.groupBy(*dims, "period_start").agg(histogram_stat(stat.lower(), F.col("_v"), F.col("_n")).alias(name))
+    return df.groupBy(*dims, period).agg(_stat(stat, v).alias(name))
+
+
+def _latency(calls: DataFrame, dims: Sequence[str], period_s: int) -> DataFrame:
+    """(dims, period_start, avg_ms, max_ms, p99_ms) of ``latency_ms`` from counts per distinct value."""
+    counted = (calls.groupBy(*dims, bucket_start(F.col("ts"), period_s).alias("period_start"), "latency_ms")
+               .agg(F.count(F.lit(1)).alias("_n")))
+    v, n = F.col("latency_ms"), F.col("_n")
+    return counted.groupBy(*dims, "period_start").agg(
+        (F.sum(v * n) / F.sum(F.when(v.isNotNull(), n))).alias("avg_ms"), F.max(v).alias("max_ms"),
+        histogram_stat("p99", v, n).alias("p99_ms"))
 
 
 def tenant_label(name: Column) -> Column:
@@ -65,9 +74,7 @@ def user_label(user_id: Column) -> Column:
 
 
 def _with_profile(inv: DataFrame, profiles: DataFrame) -> DataFrame:
-    # The profile table is a fixed, tiny dimension (one row per inference
-    # profile): broadcasting it is bounded by construction.
-    p = F.broadcast(profiles.select("profile_id", tenant_label(F.col("name")).alias("tenant_name")))
+    p = profiles.select("profile_id", tenant_label(F.col("name")).alias("tenant_name"))
     return inv.join(p, "profile_id", "inner")
 
 
@@ -136,39 +143,35 @@ def function_health_5m(outcomes: DataFrame) -> DataFrame:
                  F.count(F.when(F.col("status") == 429, True)).alias("throttles")))
 
 
-def duration_stats_5m(calls: DataFrame, approx: bool = False) -> DataFrame:
+def duration_stats_5m(calls: DataFrame) -> DataFrame:
     """Average, maximum and p99 call duration per 5 minutes."""
-    return (calls.groupBy(bucket_start(F.col("ts"), 300).alias("period_start"))
-            .agg(F.avg("latency_ms").alias("avg_ms"), F.max("latency_ms").alias("max_ms"),
-                 _stat("p99", F.col("latency_ms"), approx).alias("p99_ms")))
+    return _latency(calls, [], 300)
 
 
-def peak_concurrency_1m(calls: DataFrame, chunk_seconds: int = 60) -> DataFrame:
-    """Most calls in flight at once within each minute.
+def peak_concurrency_1m(calls: DataFrame, chunk_seconds: int = 10) -> DataFrame:
+    """Most calls in flight at once within each minute that any call overlaps.
 
-    A call is in flight on [ts, ts + latency).  Each call becomes a +1 event
-    at its start and a -1 event at its end (an end sorts before a start at
-    the same instant).  The running total is a global prefix sum computed by
-    ``plans.scan.prefix_sums`` over one-minute chunks (one constant key), so
-    no task holds more than one minute of events and the carry window one
-    row per minute of the time range; then ``max`` per minute, also counting
-    calls already in flight when the minute begins.
+    A call is in flight on [ts, ts + latency).  It is listed in every chunk
+    of ``chunk_seconds`` that it overlaps (as many as its own duration has),
+    as +1 where it begins there and -1 where it ends there; an end comes
+    before a start at the same instant.  A running sum inside each chunk
+    needs no carry from other chunks, so tasks hold one chunk of calls.
     """
-    from quotalake.plans.scan import prefix_sums, with_chunk
-
-    end = F.timestamp_add("MILLISECOND", F.col("latency_ms"), F.col("ts"))
-    ev = calls.select(F.explode(F.array(
-        F.struct(F.col("ts").alias("at"), F.lit(1).alias("delta"), F.col("request_id").alias("rid")),
-        F.struct(end.alias("at"), F.lit(-1).alias("delta"), F.col("request_id").alias("rid")),
-    )).alias("e")).select("e.*").withColumn("_all", F.lit(0)).withColumn("_period", F.lit(0))
-    ev = with_chunk(ev, "at", chunk_seconds)
-    running = prefix_sums(ev, "_all", [F.col("at"), F.col("delta"), F.col("rid")],
-                          [("delta", "_period", "in_flight")], inclusive=True)
-    minute = bucket_start(F.col("at"), 60)
-    before = F.col("in_flight") - F.col("delta")
-    per = running.groupBy(minute.alias("period_start")).agg(
-        F.max("in_flight").alias("_peak"), F.min_by(before, F.struct("at", "delta", "rid")).alias("_at_start"))
-    return per.select("period_start", F.greatest("_peak", "_at_start").cast("bigint").alias("max_concurrent"))
+    if 60 % chunk_seconds:
+        raise ValueError("chunk seconds must divide a minute")
+    width = F.make_dt_interval(secs=F.lit(float(chunk_seconds)))
+    begin, end = F.col("ts"), F.timestamp_add("MILLISECOND", F.col("latency_ms"), F.col("ts"))
+    last = F.timestamp_add("MICROSECOND", F.lit(-1), end)
+    listed = (calls.where(F.col("latency_ms") > 0).select(begin.alias("b"), end.alias("e"), F.explode(F.sequence(
+        bucket_start(begin, chunk_seconds), bucket_start(last, chunk_seconds), width)).alias("c")))
+    ends_here = F.col("e") < F.timestamp_add("SECOND", F.lit(chunk_seconds), F.col("c"))
+    events = listed.select("c", F.explode(F.array_compact(F.array(
+        F.struct(F.greatest("b", "c").alias("at"), F.lit(1).alias("delta")),
+        F.when(ends_here, F.struct(F.col("e").alias("at"), F.lit(-1).alias("delta")))))).alias("x")).select("c", "x.*")
+    running = F.sum("delta").over(Window.partitionBy("c").orderBy("at", "delta").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (events.withColumn("in_flight", running)
+            .groupBy(bucket_start(F.col("c"), 60).alias("period_start"))
+            .agg(F.max("in_flight").cast("bigint").alias("max_concurrent")))
 
 
 def tenant_comparison_24h(inv: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -182,11 +185,9 @@ def user_token_comparison_24h(metrics: DataFrame) -> DataFrame:
     return metric_statistics(metrics, "tokens_used", ["user_id"], 86400, "Sum", name="tokens")
 
 
-def tenant_latency_5m(inv: DataFrame, profiles: DataFrame, approx: bool = False) -> DataFrame:
+def tenant_latency_5m(inv: DataFrame, profiles: DataFrame) -> DataFrame:
     """Average and p99 latency per tenant profile per 5 minutes."""
-    return (_with_profile(inv, profiles)
-            .groupBy("tenant_name", "profile_id", bucket_start(F.col("ts"), 300).alias("period_start"))
-            .agg(F.avg("latency_ms").alias("avg_ms"), _stat("p99", F.col("latency_ms"), approx).alias("p99_ms")))
+    return _latency(_with_profile(inv, profiles), ["tenant_name", "profile_id"], 300).drop("max_ms")
 
 
 def tenant_errors_5m(inv: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -10,13 +10,12 @@ event-time (UTC) calendar months and days.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotalake.functions.timecols import day_key, epoch_seconds, month_key, month_start
 from quotalake.operators.usage import ts_lit
 from quotalake.plans.scan import prefix_sums, with_chunk
-from quotalake.session import cut_lineage
 
 # The built-in policy used when no policy row matches, the
 # identity defaults, and the rejection response.
@@ -72,27 +71,29 @@ def resolve_policy(users: DataFrame, policies: DataFrame) -> DataFrame:
     so a matched row with a missing limit yields limit 0 for checks (and 1 for
     the percent metrics) rather than falling through.
 
-    Implemented as one equi-join of three candidate keys per user against the
-    policy table and a min-by-rank pick per user; no nested-loop join.
+    User rows are joined on the user id, group rows (one per group) on the
+    group, and the one default row is a scalar subquery, so no join key is
+    shared by all users.
     """
     u = users.select(
         F.col("userId").alias("user_id"),
         F.coalesce(F.col("group"), F.lit(DEFAULT_GROUP)).alias("user_group"),
         F.col("tenant"), F.col("department"),
     )
-    cand = u.select("user_id", F.explode(F.array(
-        F.struct(F.lit(1).alias("rank"), F.lit("user").alias("ptype"), F.col("user_id").alias("ident")),
-        F.struct(F.lit(2).alias("rank"), F.lit("group").alias("ptype"), F.col("user_group").alias("ident")),
-        F.struct(F.lit(3).alias("rank"), F.lit("default").alias("ptype"), F.lit("default").alias("ident")),
-    )).alias("c")).select("user_id", "c.*")
-    pol = policies.select(
-        F.col("policy_type").alias("ptype"), F.col("identifier").alias("ident"),
-        F.struct("monthly_limit", "daily_limit", "enforcement_mode", F.col("policy_type").alias("source"))
-        .alias("p"))
-    best = (cand.join(pol, ["ptype", "ident"], "inner")
-            .groupBy("user_id").agg(F.min_by("p", "rank").alias("p")))
+    row = F.struct("monthly_limit", "daily_limit", "enforcement_mode", F.col("policy_type").alias("source"))
+
+    def rows(kind: str, key: str, out: str) -> DataFrame:
+        own = policies.where((F.col("policy_type") == kind) & F.col("identifier").isNotNull())
+        return own.groupBy(F.col("identifier").alias(key)).agg(F.first(row).alias(out))
+
+    default = (policies.where((F.col("policy_type") == "default") & (F.col("identifier") == "default"))
+               .agg(F.first(row).alias("p")).scalar())
+    best = (u.join(rows("user", "user_id", "_user"), "user_id", "left")
+            .join(rows("group", "user_group", "_group"), "user_group", "left")
+            .withColumn("_default", default)
+            .withColumn("p", F.coalesce("_user", "_group", "_default")))
     hit = F.col("p").isNotNull()
-    return u.join(best, "user_id", "left").select(
+    return best.select(
         "user_id", "user_group", "tenant", "department",
         F.when(hit, F.col("p.source")).otherwise(F.lit("builtin")).alias("policy_source"),
         F.when(hit, F.coalesce("p.monthly_limit", F.lit(0))).otherwise(F.lit(BUILTIN_MONTHLY_LIMIT))
@@ -109,30 +110,37 @@ def resolve_policy(users: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- K3
-def _call_tokens() -> Column:
+def call_tokens() -> Column:
     return F.coalesce(F.col("input_tokens"), F.lit(0)) + F.coalesce(F.col("output_tokens"), F.lit(0))
 
 
 def usage_counters(inv: DataFrame) -> DataFrame:
     """K3: counters ``(user_email, metric_period)`` with tokens of successful calls.
 
-    One shuffle aggregates (user, day); the monthly rows are rolled up from
-    those daily rows (small), not from the calls again.
+    The calls are read and shuffled once, to (user, day).
     """
     ok = inv.where(F.col("user_id").isNotNull() & F.col("error_type").isNull())
-    daily = (ok.groupBy(F.col("user_id").alias("user_email"), F.col("usage_day").alias("_day"))
-             .agg(F.sum(_call_tokens()).cast("bigint").alias("tokens_used"),
-                  F.max("ts").alias("last_updated")))
-    monthly = (daily.groupBy("user_email", F.trunc("_day", "MM").alias("_month"))
-               .agg(F.sum("tokens_used").cast("bigint").alias("tokens_used"),
-                    F.max("last_updated").alias("last_updated")))
-    d = daily.select(
-        "user_email", day_key(F.col("_day")).alias("metric_period"), "tokens_used", "last_updated",
-        (epoch_seconds(F.col("last_updated")) + F.lit(DAILY_TTL_DAYS * 86400)).alias("ttl"))
-    m = monthly.select(
-        "user_email", month_key(F.col("_month")).alias("metric_period"), "tokens_used", "last_updated",
-        (epoch_seconds(F.col("_month").cast("timestamp_ntz")) + F.lit(MONTHLY_TTL_DAYS * 86400)).alias("ttl"))
-    return m.unionByName(d)
+    return counters_from_daily(
+        ok.groupBy(F.col("user_id").alias("user_email"), F.col("usage_day").alias("day"))
+        .agg(F.sum(call_tokens()).cast("bigint").alias("tokens_used"), F.max("ts").alias("last_updated")))
+
+
+def counters_from_daily(daily: DataFrame) -> DataFrame:
+    """Counters of (user_email, day, tokens_used, last_updated) rows: each day adds to its own and its month's.
+
+    One branch: every daily row is doubled and summed per period, so the
+    daily rows are computed once.
+    """
+    month = F.trunc("day", "MM")
+    month_ttl = epoch_seconds(month.cast("timestamp_ntz")) + F.lit(MONTHLY_TTL_DAYS * 86400)
+    both = daily.select("user_email", "tokens_used", "last_updated", F.explode(F.array(
+        F.struct(month_key(month).alias("metric_period"), month_ttl.alias("month_ttl")),
+        F.struct(day_key(F.col("day")).alias("metric_period"), F.lit(None).cast("bigint").alias("month_ttl")))).alias("p"))
+    return (both.groupBy("user_email", "p.metric_period")
+            .agg(F.sum("tokens_used").cast("bigint").alias("tokens_used"), F.max("last_updated").alias("last_updated"),
+                 F.max("p.month_ttl").alias("_ttl"))
+            .select("user_email", "metric_period", "tokens_used", "last_updated",
+                    F.coalesce("_ttl", epoch_seconds(F.col("last_updated")) + F.lit(DAILY_TTL_DAYS * 86400)).alias("ttl")))
 
 
 # ---------------------------------------------------------------- K4 / K5 / K7
@@ -190,11 +198,22 @@ def quota_exceeded_messages(checked: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- K8
-HOT_USER_ROWS = 2_000_000
+def prepare_calls(calls: DataFrame, users: DataFrame, policies: DataFrame) -> DataFrame:
+    """Calls with their user's policy, tokens, day and month; ``status`` is 400 (no user id), 404 (unknown user) or null."""
+    base = calls.join(resolve_policy(users, policies), "user_id", "left")
+    return (base
+            .withColumn("status", F.when(F.col("user_id").isNull(), F.lit(400))
+                        .when(F.col("policy_source").isNull(), F.lit(404)))
+            .withColumn("tokens", F.when(F.col("failed"), F.lit(0)).otherwise(call_tokens()).cast("bigint"))
+            .withColumn("_day", F.to_date("ts"))
+            .withColumn("_month", F.trunc(F.to_date("ts"), "MM")))
 
 
-def quota_replay(calls: DataFrame, users: DataFrame, policies: DataFrame,
-                 chunk_seconds: int = 60, hot_user_rows: int | None = HOT_USER_ROWS) -> DataFrame:
+def rejected_calls(prepared: DataFrame) -> DataFrame:
+    return prepared.where("status is not null").select("request_id", "ts", "user_id", "status")
+
+
+def quota_replay(calls: DataFrame, users: DataFrame, policies: DataFrame, chunk_seconds: int = 60) -> DataFrame:
     """K8: replay a call log through check-then-add; one row per call.
 
     ``calls``: request_id, ts, user_id, input_tokens, output_tokens, failed.
@@ -209,104 +228,41 @@ def quota_replay(calls: DataFrame, users: DataFrame, policies: DataFrame,
     later row of that period is blocked by the same test; days nest in
     months, so 1-2 equal the sequential protocol.
 
-    Skew: users with more than ``hot_user_rows`` calls are split into time
-    chunks (``plans.scan.prefix_sums``), so a user holding a third of all
-    calls is spread over many tasks; all other users take one shuffle on
-    ``user_id`` and stacked windows.  ``hot_user_rows=0`` chunks everyone,
-    ``None`` nobody.
+    Skew: every user is split into time chunks (``plans.scan.prefix_sums``),
+    so a user holding a third of all calls is spread over many tasks.
     """
-    resolved = resolve_policy(users, policies)
-    base = calls.join(resolved, "user_id", "left")
-    known = base.where(F.col("user_id").isNotNull() & F.col("policy_source").isNotNull())
-    t = (known
-         .withColumn("tokens", F.when(F.col("failed"), F.lit(0)).otherwise(_call_tokens()).cast("bigint"))
-         .withColumn("_day", F.to_date("ts"))
-         .withColumn("_month", F.trunc(F.to_date("ts"), "MM")))
-    decided = decide_calls(t, chunk_seconds, hot_user_rows)
+    base = prepare_calls(calls, users, policies)
+    decided = decide_calls(base.where("status is null"), chunk_seconds)
     replayed = decided.select(
         "request_id", "ts", "user_id", "user_group", "tenant", "department", "policy_source",
         "enforcement_mode", "monthly_limit", "daily_limit", "metric_monthly_limit", "metric_daily_limit",
         "tokens", "failed", "allowed", "charged_tokens", "monthly_usage", "daily_usage",
         (F.col("monthly_usage") >= F.col("monthly_limit")).alias("monthly_exceeded"),
-        (F.col("daily_usage") >= F.col("daily_limit")).alias("daily_exceeded"),
-        F.when(~F.col("allowed"), F.lit(429)).when(F.col("failed"), F.lit(500))
-        .otherwise(F.lit(200)).alias("status"),
-    )
-    rejected = base.where(F.col("user_id").isNull() | F.col("policy_source").isNull()).select(
-        "request_id", "ts", "user_id",
-        F.when(F.col("user_id").isNull(), F.lit(400)).otherwise(F.lit(404)).alias("status"))
-    return replayed.unionByName(rejected, allowMissingColumns=True)
-
-
-def _allowed_col() -> Column:
-    return F.when(F.col("enforcement_mode") == F.lit("block"),
-                  F.col("_day_ok") & (F.col("_m") < F.col("monthly_limit"))).otherwise(F.lit(True))
-
+        (F.col("daily_usage") >= F.col("daily_limit")).alias("daily_exceeded"), "status")
+    return replayed.unionByName(rejected_calls(base), allowMissingColumns=True)
 
-def _carries() -> tuple[Column, Column]:
-    """Usage accepted before this input (streaming carry-in); 0 for a full replay."""
-    return F.col("_carry_d"), F.col("_carry_m")
 
+def decide_calls(t: DataFrame, chunk_seconds: int = 60) -> DataFrame:
+    """Steps 1-3 for prepared rows (tokens, _day, _month, limits, mode, failed); sets ``status`` 200, 429 or 500.
 
-def _decide_direct(t: DataFrame) -> DataFrame:
-    """Steps 1-3 as windows over one user's rows; one shuffle on user_id.
-
-    hash(user_id) satisfies every (user_id, day|month) window, so the
-    stacked windows only re-sort within partitions.
+    ``_carry_d`` and ``_carry_m``, where given, are the usage accepted before
+    these rows (streaming); 0 otherwise.
     """
+    for c in ("_carry_d", "_carry_m"):
+        if c not in t.columns:
+            t = t.withColumn(c, F.lit(0).cast("bigint"))
     order = [F.col("ts"), F.col("request_id")]
-    w_day = Window.partitionBy("user_id", "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    w_month = Window.partitionBy("user_id", "_month").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    carry_d, carry_m = _carries()
-
-    def before(v: str, w) -> Column:
-        return F.coalesce(F.sum(v).over(w), F.lit(0)).cast("bigint")
-
-    t = t.repartition("user_id")
-    t = t.withColumn("_day_ok", carry_d + before("tokens", w_day) < F.col("daily_limit"))
-    t = t.withColumn("_v2", F.when(F.col("_day_ok"), F.col("tokens")).otherwise(F.lit(0)))
-    t = t.withColumn("_m", carry_m + before("_v2", w_month))
-    t = t.withColumn("allowed", _allowed_col())
-    t = t.withColumn("charged_tokens", F.when(F.col("allowed"), F.col("tokens")).otherwise(F.lit(0)))
-    return (t.withColumn("daily_usage", carry_d + before("charged_tokens", w_day))
-            .withColumn("monthly_usage", carry_m + before("charged_tokens", w_month)))
-
-
-def _decide_chunked(t: DataFrame, chunk_seconds: int) -> DataFrame:
-    """Steps 1-3 as chunked prefix sums (hot users)."""
-    carry_d, carry_m = _carries()
-    t = with_chunk(t, "ts", chunk_seconds)
-    order = [F.col("ts"), F.col("request_id")]
-    t = prefix_sums(t, "user_id", order, [("tokens", "_day", "_d")])
-    t = t.withColumn("_day_ok", carry_d + F.col("_d") < F.col("daily_limit"))
+    t = prefix_sums(with_chunk(t, "ts", chunk_seconds), "user_id", order, [("tokens", "_day", "_d")])
+    t = t.withColumn("_day_ok", F.col("_carry_d") + F.col("_d") < F.col("daily_limit"))
     t = t.withColumn("_v2", F.when(F.col("_day_ok"), F.col("tokens")).otherwise(F.lit(0)))
     t = prefix_sums(t, "user_id", order, [("_v2", "_month", "_m0")])
-    t = t.withColumn("_m", carry_m + F.col("_m0"))
-    t = t.withColumn("allowed", _allowed_col())
+    blocked = ~(F.col("_day_ok") & (F.col("_carry_m") + F.col("_m0") < F.col("monthly_limit")))
+    t = t.withColumn("allowed", F.when(F.col("enforcement_mode") == F.lit("block"), ~blocked).otherwise(F.lit(True)))
     t = t.withColumn("charged_tokens", F.when(F.col("allowed"), F.col("tokens")).otherwise(F.lit(0)))
-    t = prefix_sums(t, "user_id", order, [("charged_tokens", "_day", "_du"),
-                                          ("charged_tokens", "_month", "_mu")])
-    return t.withColumn("daily_usage", carry_d + F.col("_du")).withColumn("monthly_usage", carry_m + F.col("_mu"))
-
-
-def decide_calls(t: DataFrame, chunk_seconds: int = 60, hot_user_rows: int | None = HOT_USER_ROWS) -> DataFrame:
-    """Apply steps 1-3 to prepared rows (tokens, _day, _month, limits, mode,
-    optional carries ``_carry_d`` / ``_carry_m``), routing hot users to chunks."""
-    for c in ("_carry_d", "_carry_m"):
-        if c not in t.columns:
-            t = t.withColumn(c, F.lit(0).cast("bigint"))
-    if hot_user_rows is None:
-        return _decide_direct(t)
-    if hot_user_rows <= 0:
-        return _decide_chunked(t, chunk_seconds)
-    # A tiny stored table of hot user ids (at most rows / hot_user_rows rows).
-    hot = cut_lineage(t.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
-                      .where(F.col("_n") > hot_user_rows).select("user_id"))
-    if hot.isEmpty():
-        return _decide_direct(t)
-    return _decide_direct(t.join(F.broadcast(hot), "user_id", "left_anti")).unionByName(
-        _decide_chunked(t.join(F.broadcast(hot), "user_id", "left_semi"), chunk_seconds),
-        allowMissingColumns=True)
+    t = prefix_sums(t, "user_id", order, [("charged_tokens", "_day", "_du"), ("charged_tokens", "_month", "_mu")])
+    return (t.withColumn("daily_usage", F.col("_carry_d") + F.col("_du"))
+            .withColumn("monthly_usage", F.col("_carry_m") + F.col("_mu"))
+            .withColumn("status", F.when(~F.col("allowed"), F.lit(429)).when(F.col("failed"), F.lit(500)).otherwise(F.lit(200))))
 
 
 # ---------------------------------------------------------------- K6

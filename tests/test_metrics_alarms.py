@@ -21,20 +21,26 @@ def test_alarm_strict_threshold_gaps_and_n_of_n(spark):
 def test_peak_concurrency_matches_brute_force(spark):
     rnd = random.Random(3)
     t0 = dt.datetime(2024, 2, 1, 0, 58)
-    calls = [(f"r{i}", t0 + dt.timedelta(milliseconds=rnd.randint(0, 240_000)), rnd.choice([500, 1000, 1999]))
-             for i in range(400)]
-    calls.append(("same-a", t0, 1000))
-    calls.append(("same-b", t0 + dt.timedelta(seconds=1), 1000))   # starts as same-a ends
+    ms = lambda n: dt.timedelta(milliseconds=n)
+    calls = [(f"r{i}", t0 + ms(rnd.randint(0, 240_000)), rnd.choice([0, 500, 1000, 1999, 90_000, 200_000])) for i in range(300)]
+    calls += [("same-a", t0, 1000), ("same-b", t0 + ms(1000), 1000), ("to-minute", dt.datetime(2024, 2, 1, 1, 9, 59), 1000),
+              ("alone", dt.datetime(2024, 2, 1, 2, 10), 200_000)]
     df = spark.createDataFrame(calls, "request_id string, ts timestamp_ntz, latency_ms long")
-    got = {r.period_start: r.max_concurrent for r in M.peak_concurrency_1m(df, 60).collect()}
-    events = sorted([(ts, 1, rid) for rid, ts, _ in calls] +
-                    [(ts + dt.timedelta(milliseconds=lat), -1, rid) for rid, ts, lat in calls],
-                    key=lambda e: (e[0], e[1], e[2]))
-    running, want = 0, {}
-    for ts, delta, _ in events:
-        minute = ts.replace(second=0, microsecond=0)
-        if minute not in want:
-            want[minute] = running
-        running += delta
-        want[minute] = max(want[minute], running)
-    assert got == want
+    want = {}
+    for minute in (dt.datetime(2024, 2, 1, 0, 50) + dt.timedelta(minutes=k) for k in range(100)):
+        # The count is highest at the minute's beginning or where a call begins.
+        instants = [minute] + [ts for _, ts, _ in calls if minute <= ts < minute + dt.timedelta(minutes=1)]
+        peak = max(sum(ts <= at < ts + ms(lat) for _, ts, lat in calls) for at in instants)
+        if peak:
+            want[minute] = peak
+    assert want[dt.datetime(2024, 2, 1, 2, 11)] == want[dt.datetime(2024, 2, 1, 2, 13)] == 1
+    assert dt.datetime(2024, 2, 1, 1, 10) not in want
+    for chunk in (10, 60):
+        assert {r.period_start: r.max_concurrent for r in M.peak_concurrency_1m(df, chunk).collect()} == want
+
+
+def test_percentile_from_counts(spark):
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(dt.datetime(2024, 2, 1), rnd.choice([1, 2, 50, 700])) for _ in range(333)], "ts timestamp_ntz, v long")
+    got = M.metric_statistics(df, "v", [], 300, "p90").first().value
+    assert got == df.selectExpr("percentile(v, 0.9)").first()[0]

@@ -34,3 +34,20 @@ def test_percent_equals_fraction_half_up(spark, pairs):
     got = [r[0] for r in df.select(percent_2dp(F.col("u"), F.col("l"))).collect()]
     want = [_half_up(Fraction(u * 100, lim), 2) for u, lim in pairs]
     assert got == want
+
+
+prices = st.decimals(min_value=0, max_value=999, places=6)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(tokens, tokens), min_size=1, max_size=20), prices, prices, st.sampled_from([0, 2, 4]))
+def test_cost_of_fractional_prices(spark, pairs, a, b, dp):
+    df = spark.createDataFrame(pairs, "i long, o long")
+    got = [r[0] for r in df.select(estimate_cost(F.col("i"), F.col("o"), a, b, dp=dp)).collect()]
+    assert got == [_half_up((i * Fraction(a) + o * Fraction(b)) / 10 ** 6, dp) for i, o in pairs]
+
+
+def test_fractional_price_is_rounded_once(spark):
+    df = spark.createDataFrame([(199, 0)], "i long, o long")
+    row = df.select(estimate_cost(F.col("i"), F.col("o"), 0.25, 0, dp=4), estimate_cost(F.col("i"), F.col("o"), 0.25, 0, dp=None)).first()
+    assert tuple(row) == (0.0, 0.00004975)

@@ -72,8 +72,8 @@ def brute_force(calls, limits):
 import pytest
 
 
-@pytest.mark.parametrize("hot_user_rows", [None, 0, 20])
-def test_replay_equals_sequential_loop(spark, hot_user_rows):
+@pytest.mark.parametrize("chunk_seconds", [60, 3600])
+def test_replay_equals_sequential_loop(spark, chunk_seconds):
     rnd = random.Random(7)
     users, pols, calls, limits = [], [], [], {}
     base = dt.datetime(2024, 1, 30, 22, 0, 0)
@@ -94,8 +94,7 @@ def test_replay_equals_sequential_loop(spark, hot_user_rows):
         "request_id", "ts", "user_id", F.col("tokens").alias("input_tokens"),
         F.lit(0).cast("long").alias("output_tokens"), "failed")
     got = {r.request_id: (r.allowed, r.monthly_usage, r.daily_usage, r.status)
-           for r in K.quota_replay(calls_df, users_df(spark, users), policies_df(spark, pols), 60,
-                                   hot_user_rows).collect()}
+           for r in K.quota_replay(calls_df, users_df(spark, users), policies_df(spark, pols), chunk_seconds).collect()}
     assert got == brute_force(calls, limits)
 
 
@@ -172,13 +171,32 @@ def test_hot_user_with_a_third_of_calls(spark):
     calls = fx.gateway_calls(spark, sf).withColumn(
         "user_id", F.when(F.pmod(F.xxhash64("request_id"), F.lit(3)) == 0, F.lit(hot_user)).otherwise(F.col("user_id")))
     users, pols = fx.user_metadata(spark, sf), fx.quota_policies(spark, sf)
-    cols = ["request_id", "allowed", "monthly_usage", "daily_usage", "status"]
-    direct = {tuple(r) for r in K.quota_replay(calls, users, pols, hot_user_rows=None).select(*cols).collect()}
-    split = {tuple(r) for r in K.quota_replay(calls, users, pols, hot_user_rows=1000).select(*cols).collect()}
-    assert direct == split
+    limits = {r.user_id: (r.monthly_limit, r.daily_limit, r.enforcement_mode) for r in K.resolve_policy(users, pols).collect()}
+    rows = [(r.request_id, r.ts, r.user_id, 0 if r.failed else r.input_tokens + r.output_tokens, r.failed)
+            for r in calls.collect() if r.user_id in limits]
+    got = {r.request_id: (r.allowed, r.monthly_usage, r.daily_usage, r.status)
+           for r in K.quota_replay(calls, users, pols).where("status <> 404").collect()}
+    assert got == brute_force(rows, limits)
     # Partition each hot row would get in the (user, chunk) exchange: hash
     # partitioning is pmod(murmur3(keys), n), i.e. F.hash (AQE would merge
     # these tiny partitions here; at scale it keeps them at its advisory size).
     parts = (with_chunk(calls.where(F.col("user_id") == hot_user), "ts", 60)
              .select(F.pmod(F.hash("user_id", "_chunk"), F.lit(200)).alias("p")).distinct().count())
     assert parts >= 150
+
+
+def test_policy_order_and_builtin(spark):
+    users = users_df(spark, [("a", "g", "t", "d"), ("b", "g", "t", "d"), ("c", "other", "t", "d"), ("e", None, "t", "d")])
+    rows = [("user", "a", None, 7, None), ("group", "g", 10, 20, "alert"), ("default", "default", 1, 2, "block")]
+    source = lambda pols: {r.user_id: (r.policy_source, r.monthly_limit, r.metric_monthly_limit, r.daily_limit)
+                           for r in K.resolve_policy(users, policies_df(spark, pols)).collect()}
+    assert source(rows) == {"a": ("user", 0, 1, 7), "b": ("group", 10, 10, 20), "c": ("default", 1, 1, 2), "e": ("default", 1, 1, 2)}
+    assert source(rows[:1])["c"] == ("builtin", K.BUILTIN_MONTHLY_LIMIT, K.BUILTIN_MONTHLY_LIMIT, K.BUILTIN_DAILY_LIMIT)
+
+
+def test_counters_read_the_calls_once(spark):
+    """One scan of the fact table, also behind a filter on one counter."""
+    inv = spark.createDataFrame([("a", dt.datetime(2024, 2, 1), dt.date(2024, 2, 1), None, 1, 1)],
+                                "user_id string, ts timestamp_ntz, usage_day date, error_type string, input_tokens long, output_tokens long")
+    plan = K.usage_counters(inv).where("metric_period = 'monthly_2024-02'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
