@@ -52,7 +52,7 @@ INV = f"""inv AS (
     CASE WHEN e.event_type <> 'error' THEN CAST(json_extract_string(e.props, '$.k') AS BIGINT) * 10 END AS input_tokens,
     CASE WHEN e.event_type <> 'error' THEN CAST(floor(e.value * 10) AS BIGINT) END AS output_tokens,
     CASE WHEN e.event_type = 'error' THEN {_list(fx.ERROR_TYPES)}[e.user_id % 3 + 1] END AS error_type,
-    CAST(500 + e.event_id % 1500 AS BIGINT) AS latency_ms,
+    CAST(500 + e.event_id % 1500 + CASE WHEN e.event_id % 40 = 0 THEN 150000 ELSE 0 END AS BIGINT) AS latency_ms,
     'user' || CAST(e.user_id AS VARCHAR) || '@company.com' AS caller,
     e.user_id AS uid,
     e.event_type = 'error' AS failed
@@ -164,7 +164,6 @@ def oracle_sql() -> dict[str, str]:
     out.update(_m())
     out.update(_t())
     out.update(_s())
-    out["stream_quota_decisions_sql"] = out["stream_quota_decisions"]
     return out
 
 
@@ -525,16 +524,14 @@ SELECT {_b(300)} AS period_start, COUNT(*) AS invocations, COUNT(*) FILTER (WHER
         "duration_stats_5m": _msql(f"""
 SELECT {_b(300)} AS period_start, AVG(latency_ms) AS avg_ms, MAX(latency_ms) AS max_ms,
        round(quantile_cont(latency_ms, 0.99), 6) AS p99_ms FROM calls GROUP BY 1"""),
-        "peak_concurrency_1m": _msql(f"""
-, ev AS (
-  SELECT ts AS evt, 1 AS delta, request_id AS rid FROM calls
-  UNION ALL SELECT ts + latency_ms * INTERVAL 1 MILLISECOND, -1, request_id FROM calls
-), r AS (
-  SELECT *, SUM(delta) OVER (ORDER BY evt, delta, rid ROWS UNBOUNDED PRECEDING) AS in_flight FROM ev
-)
-SELECT {_b(60, 'evt')} AS period_start,
-       CAST(GREATEST(MAX(in_flight), first(in_flight - delta ORDER BY evt, delta, rid)) AS BIGINT) AS max_concurrent
-FROM r GROUP BY 1""").replace("\n\n, ev AS", ", ev AS"),
+        "peak_concurrency_1m": _msql("""
+, c AS (SELECT ts AS b, ts + latency_ms * INTERVAL 1 MILLISECOND AS e FROM calls WHERE latency_ms > 0),
+minutes AS (
+  SELECT DISTINCT unnest(generate_series(date_trunc('minute', b), date_trunc('minute', e - INTERVAL 1 MICROSECOND), INTERVAL 1 MINUTE)) AS m FROM c),
+-- The number in flight is highest at the minute's beginning or where a call begins.
+instants AS (SELECT m, m AS at FROM minutes UNION SELECT date_trunc('minute', b), b FROM c),
+counted AS (SELECT i.m, i.at, COUNT(*) AS n FROM instants i JOIN c ON c.b <= i.at AND c.e > i.at GROUP BY 1, 2)
+SELECT m AS period_start, CAST(MAX(n) AS BIGINT) AS max_concurrent FROM counted GROUP BY 1""").replace("\n\n, c AS", ", c AS"),
         "tenant_comparison_24h": _msql(f"""
 SELECT tenant_name, profile_id, {_b(86400)} AS period_start, COUNT(*) AS invocations FROM ip GROUP BY 1, 2, 3"""),
         "user_token_comparison_24h": _msql(f"""
@@ -609,14 +606,14 @@ def _t() -> dict[str, str]:
         "stream_usage_counters": _qsql("SELECT * FROM counters"),
         "dedup_stream": _qsql("""
 SELECT request_id, ts, user_id, input_tokens, output_tokens, failed, latency_ms FROM calls"""),
-        "stream_metrics_5m": _qsql(f"""
-SELECT tenant, {_b(300)} AS period_start, COUNT(*) AS calls, CAST(SUM({TOT}) AS BIGINT) AS tokens,
-       MAX(latency_ms) AS max_latency_ms, COUNT(error_type) AS errors
-FROM inv GROUP BY 1, 2"""),
-        "stream_alarms": _qsql(f"""
-SELECT {_b(300)} AS period_start, COUNT(error_type) AS value, COUNT(error_type) > 1 AS breaching,
-       CASE WHEN COUNT(error_type) > 1 THEN 'ALARM' ELSE 'OK' END AS state
-FROM inv GROUP BY 1"""),
+        **{f"stream_metrics_{name}": _qsql(f"""
+SELECT tenant, {_b(period)} AS period_start, COUNT(*) AS calls, CAST(coalesce(SUM({TOT}), 0) AS BIGINT) AS tokens,
+       COUNT(error_type) AS errors, AVG(latency_ms) AS average, MAX(latency_ms) AS maximum,
+       round(quantile_cont(latency_ms, 0.99), 6) AS p99
+FROM inv GROUP BY 1, 2""") for name, period in (("1m", 60), ("5m", 300), ("1h", 3600), ("1d", 86400))},
+        "stream_alarms": _m()["error_alarm"],
+        "stream_token_alarm": _m()["high_token_alarm"],
+        "stream_raw_log": _qsql("SELECT * FROM counters"),
         "stream_quota_decisions": _qsql("""
 SELECT request_id, ts, user_id, enforcement_mode, monthly_limit, daily_limit, metric_monthly_limit, tokens,
        allowed, charged_tokens, monthly_usage, daily_usage, status FROM replay"""),
@@ -626,7 +623,35 @@ SELECT request_id, ts, user_id, enforcement_mode, monthly_limit, daily_limit, me
 def _s() -> dict[str, str]:
     since7 = since_days(7)
     return {
-        "sql_dialect_department_cost": _q()["department_cost"],
+        "sql_dialect_project_hours": _qsql("""
+SELECT coalesce(project, 'none') AS project, CAST(hour(ts) AS INTEGER) AS hour_of_day, COUNT(*) AS calls,
+       COUNT(error_type) AS failures, MAX(output_tokens) AS longest_answer
+FROM inv GROUP BY 1, 2"""),
+        "load_tenant_profiles": _sql(" UNION ALL ".join(
+            f"SELECT '{i}' AS profile_id, '{n}' AS name, '{t}' AS tenant, '{c}' AS color, '2024-02-01T00:00:00Z' AS updatedAt "
+            f"WHERE EXISTS (SELECT 1 FROM events WHERE user_id % 4 = {k})" for k, (i, n, t, c) in enumerate(fx.TENANT_PROFILES))),
+        "upsert_dimension_put": _qsql("""
+SELECT u.user_id AS userId, u.user_group AS "group",
+       CASE WHEN u.user_id LIKE '%4@%' THEN 'reorganised' ELSE u.department END AS department,
+       CAST(CASE WHEN u.user_id NOT LIKE '%4@%' THEN o.monthly_limit END AS BIGINT) AS monthlyLimit,
+       CAST(CASE WHEN u.user_id NOT LIKE '%4@%' THEN o.daily_limit END AS BIGINT) AS dailyLimit,
+       CASE WHEN u.user_id LIKE '%4@%' THEN '2024-02-01T00:00:00Z' ELSE '2024-01-01T00:00:00Z' END AS updatedAt
+FROM users u LEFT JOIN own o USING (user_id)"""),
+        "discover_schema": _sql("""
+SELECT field, type, change FROM (
+  -- The hour folders and two columns that the previous schema lacked; no record has a response body.
+  SELECT unnest(['year', 'month', 'day', 'hour']) AS field, 'int' AS type, 'added' AS change
+  UNION ALL SELECT 'latency_ms', 'bigint', 'added' WHERE EXISTS (SELECT 1 FROM inv WHERE latency_ms IS NOT NULL)
+  UNION ALL SELECT 'region', 'string', 'added'
+  UNION ALL SELECT 'output' || path, type, 'missing' FROM (VALUES
+    ('', 'struct<outputBodyJson:struct<usage:struct<input_tokens:bigint,output_tokens:bigint>>>'),
+    ('.outputBodyJson', 'struct<usage:struct<input_tokens:bigint,output_tokens:bigint>>'),
+    ('.outputBodyJson.usage', 'struct<input_tokens:bigint,output_tokens:bigint>'),
+    ('.outputBodyJson.usage.input_tokens', 'bigint'), ('.outputBodyJson.usage.output_tokens', 'bigint')) AS v(path, type))
+WHERE EXISTS (SELECT 1 FROM inv)"""),
+        "log_file_inventory": _sql("""
+SELECT 'year=' || year(ts) || '/month=' || month(ts) || '/day=' || day(ts) || '/hour=' || hour(ts) AS folder,
+       COUNT(*) AS records FROM inv GROUP BY 1"""),
         "normalize_rejects": _qsql("""
 SELECT COUNT(*) AS records, COUNT(*) FILTER (WHERE ts IS NULL) AS bad_timestamp,
        CAST(0 AS BIGINT) AS bad_input_tokens, CAST(0 AS BIGINT) AS bad_output_tokens,
@@ -664,9 +689,10 @@ SELECT s.source, n.newest_event,
        CASE WHEN n.newest_event IS NULL THEN 'no events yet' ELSE 'ok' END AS status
 FROM srcs s LEFT JOIN newest n USING (source)""").replace("\n\n, srcs AS", ", srcs AS"),
         "upsert_dimension": _qsql("""
-SELECT u.user_id AS userId, u.user_group AS "group", CAST(o.monthly_limit AS BIGINT) AS monthlyLimit,
+SELECT u.user_id AS userId, u.user_group AS "group",
+       CAST(CASE WHEN u.user_id LIKE '%5@%' THEN 50000 ELSE o.monthly_limit END AS BIGINT) AS monthlyLimit,
        CAST(CASE WHEN u.user_id LIKE '%5@%' THEN 6000 ELSE o.daily_limit END AS BIGINT) AS dailyLimit,
-       CASE WHEN u.user_id LIKE '%5@%' THEN '2024-02-01T00:00:00Z' ELSE '2024-01-01T00:00:00Z' END AS updatedAt
+       CASE WHEN u.user_id LIKE '%5@%' THEN '2024-02-04T00:00:00Z' ELSE '2024-01-01T00:00:00Z' END AS updatedAt
 FROM users u LEFT JOIN own o USING (user_id)"""),
         "derive_user_policies": _qsql("""
 SELECT 'user' AS policy_type, u.user_id AS identifier, CAST(o.monthly_limit AS BIGINT) AS monthly_limit,

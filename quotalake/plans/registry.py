@@ -30,6 +30,10 @@ from quotalake.streaming import quota as ST4
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _events_path(sf_dir: str) -> str:
+    return f"{sf_dir}/events.parquet"
+
+
 def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised invocations of the fixture log, stored once per application.
 
@@ -37,7 +41,7 @@ def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact table (S6) in the shared checkpoint folder; queries read it back
     with pruning and pushed filters, as they would on the production table.
     """
-    return derived_table(spark, "invocations", sf_dir,
+    return derived_table(spark, "invocations", _events_path(sf_dir),
                          lambda: normalize_invocations(fx.invocation_log(spark, sf_dir)))
 
 
@@ -80,17 +84,17 @@ def _variant_queries() -> dict[str, Query]:
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User metadata derived from ``events`` (stored once per application)."""
-    return derived_table(spark, "user_metadata", sf_dir, lambda: fx.user_metadata(spark, sf_dir))
+    return derived_table(spark, "user_metadata", _events_path(sf_dir), lambda: fx.user_metadata(spark, sf_dir))
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quota policies: fixed base rows plus user rows derived from the users (stored)."""
-    return derived_table(spark, "quota_policies", sf_dir, lambda: fx.quota_policies(spark, sf_dir))
+    return derived_table(spark, "quota_policies", _events_path(sf_dir), lambda: fx.quota_policies(spark, sf_dir))
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gateway call log derived from ``events`` (stored once per application)."""
-    return derived_table(spark, "gateway_calls", sf_dir, lambda: fx.gateway_calls(spark, sf_dir))
+    return derived_table(spark, "gateway_calls", _events_path(sf_dir), lambda: fx.gateway_calls(spark, sf_dir))
 
 
 def compute_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,13 +108,19 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     Dashboards, metrics and alarms read the decision log rather than
     replaying the whole call history for every chart.
     """
-    return derived_table(spark, "quota_replay", sf_dir, lambda: compute_replay(spark, sf_dir))
+    return derived_table(spark, "quota_replay", _events_path(sf_dir), lambda: compute_replay(spark, sf_dir))
 
 
-def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def compute_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 over the whole fact table."""
     return K.usage_counters(invocations(spark, sf_dir))
 
 
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored counter table (K3 output, built once per application) that checks and reports read."""
+    return derived_table(spark, "usage_counters", _events_path(sf_dir), lambda: compute_counters(spark, sf_dir))
+
+
 REPLAY_COLUMNS = ["request_id", "ts", "user_id", "policy_source", "enforcement_mode", "monthly_limit",
                   "daily_limit", "tokens", "allowed", "charged_tokens", "monthly_usage", "daily_usage",
                   "status"]
@@ -126,7 +136,7 @@ def _quota_queries() -> dict[str, Query]:
     return {
         "enrich_identity": lambda s, d: K.enrich_identity(calls(s, d), users(s, d), "default"),
         "resolve_policy": lambda s, d: K.resolve_policy(users(s, d), pols(s, d)),
-        "usage_counters": counters,
+        "usage_counters": compute_counters,
         "check_quota": check,
         "quota_remaining": lambda s, d: K.quota_remaining(check(s, d)),
         "quota_replay": lambda s, d: compute_replay(s, d).select(*REPLAY_COLUMNS),
@@ -190,79 +200,113 @@ def _metric_queries() -> dict[str, Query]:
 
 
 def _inv_path(spark: SparkSession, sf_dir: str) -> str:
-    return derived_path(spark, "invocations", sf_dir,
+    return derived_path(spark, "invocations", _events_path(sf_dir),
                         lambda: normalize_invocations(fx.invocation_log(spark, sf_dir)))
 
 
 def _calls_path(spark: SparkSession, sf_dir: str) -> str:
-    return derived_path(spark, "gateway_calls", sf_dir, lambda: fx.gateway_calls(spark, sf_dir))
+    return derived_path(spark, "gateway_calls", _events_path(sf_dir), lambda: fx.gateway_calls(spark, sf_dir))
+
+
+def _mixed_path(spark: SparkSession, sf_dir: str, name: str, build) -> str:
+    """A stored table as a few files, each of which spans the whole time range: streams of it are out of order."""
+    def write(df: DataFrame, path: str) -> None:
+        df.repartition(3, F.xxhash64("request_id")).sortWithinPartitions(F.xxhash64("request_id")).write.mode("overwrite").parquet(path)
+
+    return derived_path(spark, f"{name}_mixed", _events_path(sf_dir), build, write)
 
 
 def _stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T1 fed by S5: tail the JSON log folders, normalise each micro-batch (S2), count."""
+    """T1 over the log delivered twice, out of order: each request counts once."""
     out = SC.run_dir(spark, "counters")
+    columns = ["request_id", "ts", "user_id", "error_type", "input_tokens", "output_tokens"]
+    path = _mixed_path(spark, sf_dir, "deliveries", lambda: invocations(spark, sf_dir).select(*columns).withColumn(
+        "again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("again"))
+    stream = SC.file_stream(spark, path, spark.read.parquet(path), max_files_per_trigger=1)
+    SC.run_until_caught_up(ST1.stream_usage_counters(stream, out + "/sink", out + "/checkpoint"))
+    return ST1.read_counters(spark, out + "/sink", out + "/checkpoint")
+
+
+def _stream_raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 and S2 per micro-batch: tail the JSON log folders, normalise, count per day."""
+    out = SC.run_dir(spark, "raw-log-stream")
     stream = normalize_invocations(LG.stream_invocations(spark, _raw_log_path(spark, sf_dir)))
     SC.run_until_caught_up(ST1.stream_usage_counters(stream, out + "/sink", out + "/checkpoint"))
-    return ST1.read_counters(spark, out + "/sink")
+    return ST1.read_counters(spark, out + "/sink", out + "/checkpoint")
 
 
 def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _calls_path(spark, sf_dir)
+    """T5 over the call log delivered twice, out of order."""
+    path = _mixed_path(spark, sf_dir, "calls_twice", lambda: calls(spark, sf_dir).withColumn(
+        "again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("again"))
     out = SC.run_dir(spark, "dedup")
-    stream = SC.file_stream(spark, path, spark.read.parquet(path))
-    writer = (ST1.dedup_stream(stream).writeStream.format("parquet").outputMode("append")
-              .option("path", out + "/sink").option("checkpointLocation", out + "/checkpoint"))
-    SC.run_until_caught_up(writer)
-    return spark.read.parquet(out + "/sink")
+    template = spark.read.parquet(path)
+    stream = SC.file_stream(spark, path, template, max_files_per_trigger=1)
+    SC.run_until_caught_up(ST1.dedup_stream(stream, out + "/sink", out + "/checkpoint"))
+    return ST1.read_deduplicated(spark, out + "/sink", out + "/checkpoint", template.schema)
 
 
-STREAM_METRIC_AGGS = lambda: [
-    F.count(F.lit(1)).alias("calls"),
-    F.sum(F.col("input_tokens") + F.col("output_tokens")).cast("bigint").alias("tokens"),
-    F.max("latency_ms").alias("max_latency_ms"),
-    F.count(F.col("error_type")).alias("errors"),
-]
+def _metric_stream(spark: SparkSession, sf_dir: str) -> str:
+    """Run T2 over the fact table out of order, once per application; returns its folder.
 
+    The parts per minute serve every registered period.
+    """
+    path = _mixed_path(spark, sf_dir, "invocations_stream", lambda: invocations(spark, sf_dir).select(
+        "request_id", "ts", "tenant", "latency_ms", "input_tokens", "output_tokens", "error_type"))
 
-def _stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _inv_path(spark, sf_dir)
-    out = SC.run_dir(spark, "metrics")
-    stream = SC.file_stream(spark, path, spark.read.parquet(path))
-    series = ST2.stream_metrics(stream, 300, ["tenant"], STREAM_METRIC_AGGS())
-    SC.run_until_caught_up(ST2.write_metrics(series, out + "/sink", out + "/checkpoint"))
-    return ST2.read_metrics(spark, out + "/sink", ["tenant"])
+    def write(stream: DataFrame, out: str) -> None:
+        sums = {"tokens": F.col("input_tokens") + F.col("output_tokens"), "errors": F.col("error_type").isNotNull().cast("int")}
+        SC.run_until_caught_up(ST2.stream_metrics(stream, ["tenant"], F.col("latency_ms"), sums, out + "/sink", out + "/checkpoint"))
 
+    return derived_path(spark, "metric_parts", _events_path(sf_dir), lambda: SC.file_stream(
+        spark, path, spark.read.parquet(path), max_files_per_trigger=1), write)
+
+
+def _stream_metrics(period_s: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = _metric_stream(spark, sf_dir)
+        return ST2.read_metrics(spark, out + "/sink", out + "/checkpoint", ["tenant"], "tenant string", ["tokens", "errors"], period_s)
+
+    return run
+
+
+def _stream_token_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 for A3: input tokens per hour, out of order."""
+    path = _mixed_path(spark, sf_dir, "tokens_stream", lambda: invocations(spark, sf_dir).select("request_id", "ts", "input_tokens"))
+    out = SC.run_dir(spark, "token-alarm")
+    stream = SC.file_stream(spark, path, spark.read.parquet(path), max_files_per_trigger=1)
+    SC.run_until_caught_up(ST2.stream_alarms(stream, F.col("input_tokens"), out + "/sink", out + "/checkpoint"))
+    return ST2.read_alarms(spark, out + "/sink", out + "/checkpoint", 1_000_000, 3600)
 
-def _stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _inv_path(spark, sf_dir)
-    out = SC.run_dir(spark, "alarms")
-    stream = SC.file_stream(spark, path, spark.read.parquet(path))
-    series = ST2.stream_metrics(stream, 300, [], [F.count(F.col("error_type")).alias("value")])
-    SC.run_until_caught_up(ST2.stream_alarms(series, out + "/sink", out + "/checkpoint", "value", 1))
-    return ST2.read_metrics(spark, out + "/sink", [])
 
+def _decision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 over the call log in three slices of time, each appended and then processed; run once per application."""
+    log = calls(spark, sf_dir)
+    paths = [derived_path(spark, name, _events_path(sf_dir), lambda b=build: b(spark, sf_dir))
+             for name, build in (("user_metadata", fx.user_metadata), ("quota_policies", fx.quota_policies))]
 
-def _stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _calls_path(spark, sf_dir)
-    out = SC.run_dir(spark, "quota")
-    stream = SC.file_stream(spark, path, spark.read.parquet(path))
-    decisions = ST4.stream_quota_decisions(stream, users(spark, sf_dir), policies(spark, sf_dir))
-    writer = (decisions.writeStream.format("parquet").outputMode("append")
-              .option("path", out + "/sink").option("checkpointLocation", out + "/checkpoint"))
-    SC.run_until_caught_up(writer)
-    return spark.read.parquet(out + "/sink")
+    def write(rows: DataFrame, out: str) -> None:
+        span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+        cuts = [span.lo + (span.hi - span.lo) * k / 3 for k in (1, 2)]
+        slices = [F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]]
+        for part in slices:
+            rows.where(part).write.mode("append").parquet(out + "/calls")
+            stream = SC.file_stream(spark, out + "/calls", rows)
+            SC.run_until_caught_up(ST4.stream_quota_decisions(
+                stream, lambda: tuple(map(spark.read.parquet, paths)), out + "/sink", out + "/checkpoint"))
+
+    out = derived_path(spark, "quota_decisions_stream", _events_path(sf_dir), lambda: log, write)
+    return ST4.read_decisions(spark, out + "/sink", out + "/checkpoint")
+
+
+def _stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 for A2: failed calls per five minutes behind T4."""
+    return AL.error_alarm(_decision_stream(spark, sf_dir))
 
 
 def _raw_log_path(spark: SparkSession, sf_dir: str) -> str:
     """The fixture log stored as hourly JSON folders (built once per application)."""
-    from quotalake.sources.logs import _DERIVED
-
-    key = (spark.sparkContext.applicationId, "raw_log_json", sf_dir)
-    if key not in _DERIVED:
-        path = SC.run_dir(spark, "raw-log").replace("quotalake-streams", "quotalake-derived")
-        fx.write_raw_log(fx.invocation_log(spark, sf_dir), path)
-        _DERIVED[key] = path
-    return _DERIVED[key]
+    return derived_path(spark, "raw_log_json", _events_path(sf_dir), lambda: fx.invocation_log(spark, sf_dir), fx.write_raw_log)
 
 
 def _source_queries() -> dict[str, Query]:
@@ -285,6 +329,11 @@ def _source_queries() -> dict[str, Query]:
         fx.user_metadata_puts(users(s, d)).write.mode("overwrite").json(path)
         return DM.load_user_metadata(s, path).select("userId", "group", "tenant", "department", "updatedAt")
 
+    def load_profiles(s, d):
+        path = SC.run_dir(s, "profile-puts")
+        fx.profile_puts(s, d).write.mode("overwrite").json(path)
+        return DM.load_tenant_profiles(s, path).select("profile_id", "name", "tenant", "color", "updatedAt")
+
     def report(s, d):
         path = SC.run_dir(s, "report")
         LG.write_report(U.department_cost(invocations(s, d), A, fx.ACCOUNT), path)
@@ -313,7 +362,11 @@ def _source_queries() -> dict[str, Query]:
             "policy_type", "identifier", "monthly_limit", "daily_limit", "enforcement_mode")
 
     return {
-        "sql_dialect_department_cost": _dialect_department_cost,
+        "sql_dialect_project_hours": _dialect_project_hours,
+        "load_tenant_profiles": load_profiles,
+        "upsert_dimension_put": lambda s, d: DM.upsert_dimension(
+            users(s, d), fx.department_puts(users(s, d)), ["userId"]).select(
+            "userId", "group", "department", "monthlyLimit", "dailyLimit", "updatedAt"),
         "normalize_rejects": lambda s, d: normalize_rejects(fx.invocation_log(s, d)),
         "write_invocations_partitioned": write_hourly,
         "load_quota_policies": load_policies,
@@ -323,7 +376,7 @@ def _source_queries() -> dict[str, Query]:
         "discover_schema": discover,
         "load_user_metadata": load_users,
         "write_report": report,
-        "log_file_inventory": lambda s, d: LG.log_file_inventory(s, _raw_log_path(s, d), n=None),
+        "log_file_inventory": lambda s, d: LG.folder_inventory(LG.log_file_inventory(s, _raw_log_path(s, d), n=None)),
         "log_freshness": freshness,
         "upsert_dimension": lambda s, d: DM.upsert_dimension(
             users(s, d), fx.limit_changes(users(s, d)), ["userId"], partial=True).select(
@@ -335,33 +388,25 @@ def _source_queries() -> dict[str, Query]:
     }
 
 
-# Chargeback by department written in the log engine's SQL dialect and run
-# unchanged through ``plans.sqlcompat`` (decimal literals keep the cost exact).
-DIALECT_DEPARTMENT_COST = """
-SELECT json_extract_scalar(requestmetadata, '$.tenant') AS tenant,
-       json_extract_scalar(requestmetadata, '$.department') AS department,
-       COUNT(DISTINCT json_extract_scalar(requestmetadata, '$.userId')) AS unique_users,
-       COUNT(*) AS invocation_count,
-       SUM(CAST(json_extract_scalar(usage, '$.inputTokens') AS INTEGER)) AS input_tokens,
-       SUM(CAST(json_extract_scalar(usage, '$.outputTokens') AS INTEGER)) AS output_tokens,
-       SUM(CAST(json_extract_scalar(usage, '$.inputTokens') AS INTEGER)
-           + CAST(json_extract_scalar(usage, '$.outputTokens') AS INTEGER)) AS total_tokens,
-       CAST(ROUND(SUM(CAST(json_extract_scalar(usage, '$.inputTokens') AS INTEGER)) * 3.00 / 1000000.0
-                  + SUM(CAST(json_extract_scalar(usage, '$.outputTokens') AS INTEGER)) * 15.00 / 1000000.0, 4)
-            AS DOUBLE) AS estimated_cost_usd
-FROM invocations
-WHERE accountid = '{account}'
-  AND from_iso8601_timestamp(timestamp) >= DATE '{as_of}' - INTERVAL '30' DAY
-  AND requestmetadata IS NOT NULL
-GROUP BY 1, 2
+# Use of the two dialect functions on their own ground: nested metadata,
+# missing metadata and ISO times, in hours of the day.
+DIALECT_PROJECT_HOURS = """
+WITH parsed AS (
+  SELECT hour(from_iso8601_timestamp(timestamp)) AS hour_of_day,
+         coalesce(json_extract_scalar(requestmetadata, '$.project'), 'none') AS project,
+         json_extract_scalar(error, '$.type') AS failure,
+         CAST(json_extract_scalar(usage, '$.outputTokens') AS BIGINT) AS answer
+  FROM invocations)
+SELECT project, hour_of_day, count(*) AS calls, count(failure) AS failures, max(answer) AS longest_answer
+FROM parsed GROUP BY project, hour_of_day
 """
 
 
-def _dialect_department_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dialect_project_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quotalake.plans.sqlcompat import register_invocations_view
 
     register_invocations_view(spark, fx.invocation_log(spark, sf_dir))
-    return spark.sql(DIALECT_DEPARTMENT_COST.format(account=fx.ACCOUNT, as_of=fx.AS_OF.date().isoformat()))
+    return spark.sql(DIALECT_PROJECT_HOURS)
 
 
 NORMALIZED_COLUMNS = ["ts", "account_id", "request_id", "model_id", "profile_id", "user_id", "tenant",
@@ -370,37 +415,23 @@ NORMALIZED_COLUMNS = ["ts", "account_id", "request_id", "model_id", "profile_id"
 
 
 def _stream_quota_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T3 on quota percent: T4 decisions -> foreachBatch max per 5 minutes -> A0."""
-    path = _calls_path(spark, sf_dir)
-    out = SC.run_dir(spark, "quota-alarm")
-    stream = SC.file_stream(spark, path, spark.read.parquet(path))
-    decisions = ST4.stream_quota_decisions(stream, users(spark, sf_dir), policies(spark, sf_dir))
-    writer = (decisions.writeStream.outputMode("append").option("checkpointLocation", out + "/checkpoint")
-              .foreachBatch(ST4.quota_alarm_sink(out + "/sink")))
-    SC.run_until_caught_up(writer)
-    return ST4.read_quota_alarm(spark, out + "/sink")
-
-
-def _stream_quota_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4 without Python: foreachBatch window replay with carried usage snapshots."""
-    path = _calls_path(spark, sf_dir)
-    out = SC.run_dir(spark, "quota-sql")
-    stream = SC.file_stream(spark, path, spark.read.parquet(path))
-    SC.run_until_caught_up(ST4.stream_quota_decisions_sql(
-        stream, users(spark, sf_dir), policies(spark, sf_dir), out + "/sink", out + "/checkpoint",
-        hot_user_rows=K.HOT_USER_ROWS))
-    return ST4.read_sql_decisions(spark, out + "/sink")
+    """T3 for A1: quota percent behind T4."""
+    return ST4.read_quota_alarm(_decision_stream(spark, sf_dir))
 
 
 def _stream_queries() -> dict[str, Query]:
     return {
-        "stream_quota_decisions_sql": _stream_quota_sql,
         "stream_quota_alarm": _stream_quota_alarm,
         "stream_usage_counters": _stream_counters,
+        "stream_raw_log": _stream_raw_log,
         "dedup_stream": _stream_dedup,
-        "stream_metrics_5m": _stream_metrics,
+        "stream_metrics_1m": _stream_metrics(60),
+        "stream_metrics_5m": _stream_metrics(300),
+        "stream_metrics_1h": _stream_metrics(3600),
+        "stream_metrics_1d": _stream_metrics(86400),
         "stream_alarms": _stream_alarms,
-        "stream_quota_decisions": _stream_quota,
+        "stream_token_alarm": _stream_token_alarm,
+        "stream_quota_decisions": _decision_stream,
     }
 
 

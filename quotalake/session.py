@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,14 +67,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+_SCOPES = threading.local()
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of our own in whatever store it lives in."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextlib.contextmanager
+def stage_scope(spark: SparkSession):
+    """Delete the stage tables that ``cut_lineage`` stores inside this block when it ends.
+
+    For callers that have written their result by then, so that nothing
+    reads the stage tables any more.
+    """
+    outer = getattr(_SCOPES, "paths", None)
+    _SCOPES.paths = paths = []
+    try:
+        yield
+    finally:
+        _SCOPES.paths = outer
+        for path in paths:
+            delete_path(spark, path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a parquet table in the shared checkpoint folder and read it back.
 
     Cuts the lineage like a reliable checkpoint (the stored files survive
     lost executors), but in one pass and columnar: an RDD checkpoint
-    computes its input twice and stores serialised rows.
+    computes its input twice and stores serialised rows.  Inside a
+    ``stage_scope`` the table is deleted when the scope ends.
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "quotalake-stage", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
+    if getattr(_SCOPES, "paths", None) is not None:
+        _SCOPES.paths.append(path)
     return spark.read.parquet(path)

@@ -37,51 +37,62 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order_col: str | None = "
     return latest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
+PUT_ORDER = "_put"
+
+
 def _load(spark: SparkSession, path: str, schema, fmt: str) -> DataFrame:
+    """The stored puts with their order: ``updatedAt``, then the file's time and name, then the place in it."""
     reader = spark.read.schema(schema)
-    return reader.json(path) if fmt == "json" else reader.format(fmt).load(path)
+    df = reader.json(path) if fmt == "json" else reader.format(fmt).load(path)
+    return df.withColumn(PUT_ORDER, F.struct(
+        "updatedAt", "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start",
+        F.monotonically_increasing_id().alias("place")))
+
+
+def _latest_put(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return latest_per_key(df, keys, order_col=PUT_ORDER).drop(PUT_ORDER)
 
 
 def load_user_metadata(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """User metadata, one row per userId (latest updatedAt wins)."""
-    return latest_per_key(_load(spark, path, USER_METADATA, fmt), USER_KEYS)
+    """User metadata, one row per userId (the latest put wins)."""
+    return _latest_put(_load(spark, path, USER_METADATA, fmt), USER_KEYS)
 
 
 def load_quota_policies(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Quota policies, one row per (policy_type, identifier)."""
-    return latest_per_key(_load(spark, path, QUOTA_POLICIES, fmt), POLICY_KEYS)
+    """Quota policies, one row per (policy_type, identifier) (the latest put wins)."""
+    return _latest_put(_load(spark, path, QUOTA_POLICIES, fmt), POLICY_KEYS)
 
 
 def load_tenant_profiles(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Tenant inference profiles, one row per profile_id."""
-    return latest_per_key(_load(spark, path, TENANT_PROFILES, fmt), PROFILE_KEYS, order_col=None)
+    """Tenant inference profiles, one row per profile_id (the latest put wins)."""
+    return _latest_put(_load(spark, path, TENANT_PROFILES, fmt), PROFILE_KEYS)
 
 
 def upsert_dimension(dim: DataFrame, changes: DataFrame, keys: Sequence[str],
-                     partial: bool = False) -> DataFrame:
+                     partial: bool = False, seq_col: str | None = None) -> DataFrame:
     """Apply puts (``partial=False``) or attribute updates (``partial=True``).
 
     A put replaces the whole item; an update sets only the non-NULL
-    attributes of the change and keeps the rest.  Changes are applied in
-    ``updatedAt`` order when that column exists, later changes winning.
+    attributes of the change and keeps the rest, so several updates of one
+    item add up.  Changes are applied in ``updatedAt`` order when that column
+    exists, ties by ``seq_col`` (a column of the changes that is not stored);
+    for each attribute the latest value wins.
     """
     keys = list(keys)
-    latest = latest_per_key(changes, keys)
     if not partial:
+        latest = latest_per_key(changes, keys, seq_col=seq_col)
         merged = (dim.join(latest.select(*keys), keys, "left_anti")
-                  .unionByName(latest, allowMissingColumns=True))
+                  .unionByName(latest.drop(*([seq_col] if seq_col else [])), allowMissingColumns=True))
         return merged.select(*dim.columns)
-    c = latest.select(*keys, *[F.col(x).alias(f"_new_{x}") for x in latest.columns if x not in keys])
+    order = [c for c in ("updatedAt", seq_col) if c and c in changes.columns]
+    rank = F.struct(*order) if order else F.struct(F.lit(0))  # without an order, one change per attribute is expected
+    attributes = [x for x in changes.columns if x in dim.columns and x not in keys]
+    # max_by skips rows without a rank, so each attribute takes its own latest value.
+    c = changes.groupBy(*keys).agg(*[
+        F.max_by(x, F.when(F.col(x).isNotNull(), rank)).alias(f"_new_{x}") for x in attributes])
     joined = dim.join(c, keys, "full_outer")
-    cols = []
-    for x in dim.columns:
-        if x in keys:
-            cols.append(F.col(x))
-        elif f"_new_{x}" in c.columns:
-            cols.append(F.coalesce(F.col(f"_new_{x}"), F.col(x)).alias(x))
-        else:
-            cols.append(F.col(x))
-    return joined.select(*cols)
+    return joined.select(*[F.coalesce(F.col(f"_new_{x}"), F.col(x)).alias(x) if x in attributes else F.col(x)
+                           for x in dim.columns])
 
 
 def derive_user_policies(users: DataFrame) -> DataFrame:

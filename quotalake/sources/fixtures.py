@@ -26,13 +26,9 @@ ERROR_TYPES = ["ThrottlingException", "ValidationException", "ModelTimeoutExcept
 SOURCE = "hybrid-gateway"
 PLAIN_MODEL_ID = "anthropic.claude-3-5-sonnet-20241022-v2:0"
 PROFILE_ARN_PREFIX = "arn:aws:inference:us-west-2:123456789012:application-inference-profile/"
-# Tenant profiles (profile id, display name, tenant, colour).
-TENANT_PROFILES = [
-    ("p24qm5pye2qr", "Tenant A (Marketing)", "tenant_a", "#1f77b4"),
-    ("3rg09c3irrs6", "Tenant B (Sales)", "tenant_b", "#ff7f0e"),
-    ("iq5vx6jibn89", "Tenant C (Engineering)", "tenant_c", "#2ca02c"),
-    ("f8a6a2e836bz", "Tenant D (Finance)", "tenant_d", "#d62728"),
-]
+# Invented tenant profiles (profile id, display name, tenant, colour).
+TENANT_PROFILES = [(f"profile-{k}-{t[-1]}", f"Tenant {t[-1].upper()} (Unit {k})", t, f"#{k}{k}{k}")
+                   for k, t in enumerate(TENANTS, 1)]
 # Quota policies of the fixture, limits scaled to the data.
 # (policy_type, identifier, monthly_limit, daily_limit, enforcement_mode)
 FIXTURE_POLICIES = [
@@ -57,20 +53,13 @@ def _pick(values: list[str], idx: Column) -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
-
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than task slots.
 
-    A small file with one row group is read by one task; the JSON work
-    after it then runs on one core.  Large inputs have many splits and are
-    returned unchanged (no extra shuffle).
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+def latency_ms() -> Column:
+    """0.5 to 2 seconds; every 40th call takes 150 seconds longer."""
+    return (F.lit(500) + F.col("event_id") % 1500
+            + F.when(F.col("event_id") % 40 == 0, F.lit(150_000)).otherwise(F.lit(0))).cast("bigint").alias("latency_ms")
 
 
 def user_email(user_id: Column) -> Column:
@@ -113,7 +102,7 @@ def invocation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_error, F.lit(None).cast("string")).otherwise(usage).alias("usage"),
         F.when(is_error, F.to_json(F.struct(_pick(ERROR_TYPES, uid % 3).alias("type"))))
         .alias("error"),
-        (F.lit(500) + eid % 1500).cast("bigint").alias("latency_ms"),
+        latency_ms(),
     )
 
 
@@ -172,7 +161,7 @@ def gateway_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~is_error, k * 10).alias("input_tokens"),
         F.when(~is_error, F.floor(F.col("value") * 10)).cast("bigint").alias("output_tokens"),
         is_error.alias("failed"),
-        (F.lit(500) + F.col("event_id") % 1500).cast("bigint").alias("latency_ms"),
+        latency_ms(),
     )
 
 
@@ -198,7 +187,26 @@ def user_metadata_puts(users: DataFrame) -> DataFrame:
     return users.unionByName(changed)
 
 
+def profile_puts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Puts of the profiles of the tenants that have events: an old name, then the present one."""
+    tenants = events(spark, sf_dir).select(_pick(TENANTS, F.col("user_id") % 4).alias("tenant")).distinct()
+    now = tenant_profiles(spark).join(tenants, "tenant", "left_semi").select("profile_id", "name", "tenant", "color")
+    return (now.withColumn("name", F.lit("old name")).withColumn("updatedAt", F.lit("2024-01-01T00:00:00Z"))
+            .unionByName(now.withColumn("updatedAt", F.lit("2024-02-01T00:00:00Z"))))
+
+
+def department_puts(users: DataFrame) -> DataFrame:
+    """Whole items put later: users whose id ends in 4, with a new department and no limits of their own."""
+    return users.where(F.col("userId").rlike("4@")).select(
+        "userId", "group", "tenant", F.lit("reorganised").alias("department"), F.lit("active").alias("status"),
+        F.lit("2024-02-01T00:00:00Z").alias("updatedAt"))
+
+
 def limit_changes(users: DataFrame) -> DataFrame:
-    """Attribute updates: users whose id ends in 5 get a daily limit of 6000."""
-    return users.where(F.col("userId").rlike("5@")).select(
-        "userId", F.lit(6000).cast("bigint").alias("dailyLimit"), F.lit("2024-02-01T00:00:00Z").alias("updatedAt"))
+    """Attribute updates of users whose id ends in 5: a daily limit of 5000, then a monthly limit, then 6000 a day."""
+    changed = users.where(F.col("userId").rlike("5@")).select("userId", F.explode(F.array(*[
+        F.struct(F.lit(d).cast("bigint").alias("dailyLimit"), F.lit(m).cast("bigint").alias("monthlyLimit"),
+                 F.lit(at).alias("updatedAt"))
+        for d, m, at in ((5000, None, "2024-02-01T00:00:00Z"), (None, 50000, "2024-02-02T00:00:00Z"),
+                         (6000, None, "2024-02-03T00:00:00Z"), (None, None, "2024-02-04T00:00:00Z"))])).alias("c"))
+    return changed.select("userId", "c.*")

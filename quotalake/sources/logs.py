@@ -75,11 +75,11 @@ def write_invocations_partitioned(inv: DataFrame, path: str, layout: str = "day"
         parts = [PARTITION_COLUMN]
     else:
         raise ValueError("layout must be 'day' or 'hour'")
-    # Without an explicit count AQE coalesces the range partitions to its
-    # advisory size, so the number of files follows the data volume.
-    keys = [F.col("ts"), F.col("request_id")]
-    out = out.repartitionByRange(files_per_day, *keys) if files_per_day else out.repartitionByRange(*keys)
-    out = out.sortWithinPartitions("ts")
+    # A stated number of ranges, so that AQE does not merge them into one
+    # writer that opens every folder.
+    ranges = files_per_day or int(inv.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = out.repartitionByRange(ranges, *[F.col(c) for c in parts], F.col("ts"), F.col("request_id"))
+    out = out.sortWithinPartitions(*parts, "ts")
     out.write.mode(mode).partitionBy(*parts).parquet(path)
 
 
@@ -94,36 +94,56 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
 
 
 # ---------------------------------------------------------------- derived tables
-_DERIVED: dict[tuple[str, str, str], str] = {}
-_DERIVED_LOCK = threading.RLock()   # re-entrant: one derived table may build others
+_DERIVED: dict[tuple[str, str, str], tuple[str, str]] = {}
+_DERIVED_LOCKS: dict[tuple[str, str, str], threading.RLock] = {}
+_LOCK = threading.Lock()
 
 
-def derived_table(spark: SparkSession, name: str, source_key: str, build) -> DataFrame:
-    """A table derived once per application and stored in the shared checkpoint folder.
+def source_version(spark: SparkSession, path: str) -> str:
+    """Digest of the names, sizes and modification times of the files under ``path``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listFiles(root, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:16]
 
-    ``build()`` returns the DataFrame to store; later calls with the same
-    (application, name, source_key) read the stored parquet instead.
+
+def derived_table(spark: SparkSession, name: str, source: str, build) -> DataFrame:
+    """A table derived from the files under ``source`` and stored in the shared checkpoint folder.
+
+    ``build()`` returns the DataFrame to store; later calls in the same
+    application read the stored parquet as long as the source's files are
+    the same ones, and build it anew otherwise.
     """
-    return spark.read.parquet(derived_path(spark, name, source_key, build))
+    return spark.read.parquet(derived_path(spark, name, source, build))
 
 
-def derived_path(spark: SparkSession, name: str, source_key: str, build) -> str:
+def _store(df: DataFrame, path: str) -> None:
+    if PARTITION_COLUMN in df.columns:
+        write_invocations_partitioned(df, path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
+def derived_path(spark: SparkSession, name: str, source: str, build, write=_store) -> str:
     """Path of the stored table of ``derived_table`` (building it on first use)."""
-    from quotalake.session import checkpoint_dir
+    from quotalake.session import checkpoint_dir, stage_scope
 
     app = spark.sparkContext.applicationId
-    key = (app, name, source_key)
-    with _DERIVED_LOCK:   # queries run from several threads build each table once
-        path = _DERIVED.get(key)
-        if path is None:
-            digest = hashlib.sha1(f"{app}|{name}|{source_key}".encode()).hexdigest()[:16]
+    key, version = (app, name, source), source_version(spark, source)
+    with _LOCK:
+        lock = _DERIVED_LOCKS.setdefault(key, threading.RLock())
+    with lock:   # queries run from several threads build each table once
+        known, path = _DERIVED.get(key, ("", ""))
+        if known != version:
+            digest = hashlib.sha1(f"{app}|{name}|{source}|{version}".encode()).hexdigest()[:16]
             path = os.path.join(checkpoint_dir(spark), "quotalake-derived", digest, name)
-            df = build()
-            if PARTITION_COLUMN in df.columns:
-                write_invocations_partitioned(df, path)
-            else:
-                df.write.mode("overwrite").parquet(path)
-            _DERIVED[key] = path
+            with stage_scope(spark):
+                write(build(), path)
+            _DERIVED[key] = version, path
     return path
 
 
@@ -183,6 +203,12 @@ def log_file_inventory(spark: SparkSession, path: str, n: int | None = 10) -> Da
     return out.limit(n) if n is not None else out
 
 
+def folder_inventory(files: DataFrame) -> DataFrame:
+    """S10 per hour folder: its path below the prefix and its records, from ``log_file_inventory`` of every file."""
+    folder = F.regexp_extract("file_path", r"(year=\d+/month=\d+/day=\d+/hour=\d+)/[^/]+$", 1)
+    return files.groupBy(folder.alias("folder")).agg(F.sum("records").cast("bigint").alias("records"))
+
+
 def log_freshness(inv: DataFrame, sources: DataFrame, as_of, source_col: str = "source") -> DataFrame:
     """Newest event per source, its lag in seconds at ``as_of``; 'no events yet' if none."""
     from quotalake.functions.timecols import epoch_seconds

@@ -99,3 +99,37 @@ def test_log_freshness_marks_silent_sources(spark):
     srcs = spark.createDataFrame([("gw",), ("batch",)], "source string")
     got = {r.source: (r.lag_seconds, r.status) for r in LG.log_freshness(inv, srcs, dt.datetime(2024, 2, 14, 23, 30)).collect()}
     assert got == {"gw": (1800, "ok"), "batch": (None, "no events yet")}
+
+
+def test_updates_of_one_item_add_up(spark):
+    users = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "userId string, dailyLimit long, department string")
+    changes = spark.createDataFrame([("a", 50, None, "2024-01-01", 1), ("a", None, "moved", "2024-01-02", 2),
+                                     ("b", 7, None, "2024-01-03", 4), ("b", 6, None, "2024-01-03", 3), ("c", 9, None, "2024-01-01", 5)],
+                                    "userId string, dailyLimit long, department string, updatedAt string, seq int")
+    got = {r.userId: (r.dailyLimit, r.department) for r in DM.upsert_dimension(users, changes, ["userId"], True, "seq").collect()}
+    assert got == {"a": (50, "moved"), "b": (7, "y"), "c": (9, None)}
+
+
+def test_profiles_keep_the_latest_put(spark, tmp_dir):
+    rows = [("p", "old", "t", "#1", "2024-01-01"), ("p", "new", "t", "#2", "2024-01-02"), ("q", "only", "t", "#3", None)]
+    spark.createDataFrame(rows, "profile_id string, name string, tenant string, color string, updatedAt string").coalesce(1).write.json(tmp_dir + "/p")
+    assert {r.profile_id: r.name for r in DM.load_tenant_profiles(spark, tmp_dir + "/p").collect()} == {"p": "new", "q": "only"}
+
+
+def test_derived_table_follows_its_source(spark, tmp_dir):
+    from quotalake.sources.logs import derived_table
+
+    path = tmp_dir + "/events"
+    table = lambda: derived_table(spark, "copy", path, lambda: spark.read.parquet(path)).count()
+    spark.range(50).write.parquet(path)
+    assert table() == 50 and table() == 50
+    spark.range(1000).write.mode("append").parquet(path)
+    assert table() == 1050
+
+
+def test_whole_tokens_per_call_are_exact(spark):
+    from quotalake.functions.pricing import usage_totals
+
+    inv = spark.createDataFrame([(9007199254740993, 0), (9007199254740993, 0)], "input_tokens long, output_tokens long")
+    assert usage_totals(inv).first().avg_tokens_per_call == 9007199254740993
+    assert usage_totals(inv.limit(0)).first().avg_tokens_per_call == 0
