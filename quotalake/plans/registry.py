@@ -279,26 +279,32 @@ def _stream_token_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST2.read_alarms(spark, out + "/sink", out + "/checkpoint", 1_000_000, 3600)
 
 
-def _decision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4 over the call log in three slices of time, each appended and then processed; run once per application."""
-    log = calls(spark, sf_dir)
+def _run_decisions(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
+    """T4 over the call log in three slices of time, each appended and then processed; returns the decisions."""
+    rows = calls(spark, sf_dir)
     paths = [derived_path(spark, name, _events_path(sf_dir), lambda b=build: b(spark, sf_dir))
              for name, build in (("user_metadata", fx.user_metadata), ("quota_policies", fx.quota_policies))]
 
-    def write(rows: DataFrame, out: str) -> None:
-        span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-        cuts = [span.lo + (span.hi - span.lo) * k / 3 for k in (1, 2)]
-        slices = [F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]]
-        for part in slices:
-            rows.where(part).write.mode("append").parquet(out + "/calls")
-            stream = SC.file_stream(spark, out + "/calls", rows)
-            SC.run_until_caught_up(ST4.stream_quota_decisions(
-                stream, lambda: tuple(map(spark.read.parquet, paths)), out + "/sink", out + "/checkpoint"))
-
-    out = derived_path(spark, "quota_decisions_stream", _events_path(sf_dir), lambda: log, write)
+    span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    cuts = [span.lo + (span.hi - span.lo) * k / 3 for k in (1, 2)]
+    slices = [F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]]
+    for part in slices:
+        rows.where(part).write.mode("append").parquet(out + "/calls")
+        SC.run_until_caught_up(ST4.stream_quota_decisions(
+            SC.file_stream(spark, out + "/calls", rows), lambda: tuple(map(spark.read.parquet, paths)),
+            out + "/sink", out + "/checkpoint"))
     return ST4.read_decisions(spark, out + "/sink", out + "/checkpoint")
 
 
+def _stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_decisions(spark, sf_dir, SC.run_dir(spark, "quota"))
+
+
+def _decision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4's decisions, streamed once per application; alarms read them."""
+    return derived_table(spark, "quota_decisions_stream", _events_path(sf_dir), lambda: _stream_decisions(spark, sf_dir))
+
+
 def _stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T3 for A2: failed calls per five minutes behind T4."""
     return AL.error_alarm(_decision_stream(spark, sf_dir))
@@ -431,7 +437,7 @@ def _stream_queries() -> dict[str, Query]:
         "stream_metrics_1d": _stream_metrics(86400),
         "stream_alarms": _stream_alarms,
         "stream_token_alarm": _stream_token_alarm,
-        "stream_quota_decisions": _decision_stream,
+        "stream_quota_decisions": _stream_decisions,
     }
 
 
