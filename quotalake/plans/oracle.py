@@ -616,7 +616,11 @@ FROM inv GROUP BY 1, 2""") for name, period in (("1m", 60), ("5m", 300), ("1h",
         "stream_raw_log": _qsql("SELECT * FROM counters"),
         "stream_quota_decisions": _qsql("""
 SELECT request_id, ts, user_id, enforcement_mode, monthly_limit, daily_limit, metric_monthly_limit, tokens,
-       allowed, charged_tokens, monthly_usage, daily_usage, status FROM replay"""),
+       allowed, charged_tokens, monthly_usage, daily_usage, status FROM replay
+UNION ALL
+SELECT request_id, ts, user_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+       CASE WHEN user_id IS NULL THEN 400 ELSE 404 END
+FROM calls WHERE user_id NOT IN (SELECT user_id FROM users)"""),
     }
 
 
