@@ -81,20 +81,21 @@ def stage_scope(spark: SparkSession):
     """Delete the stage tables that ``cut_lineage`` stores inside this block when it ends.
 
     For callers that have written their result by then, so that nothing
-    reads the stage tables any more.
+    reads the stage tables any more.  Yields the list of their paths; one
+    that is taken out of it stays.
     """
     outer = getattr(_SCOPES, "paths", None)
     _SCOPES.paths = paths = []
     try:
-        yield
+        yield paths
     finally:
         _SCOPES.paths = outer
         for path in paths:
             delete_path(spark, path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a parquet table in the shared checkpoint folder and read it back.
+def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` once (with writer ``options``) as a parquet table in the shared checkpoint folder and read it back.
 
     Cuts the lineage like a reliable checkpoint (the stored files survive
     lost executors), but in one pass and columnar: an RDD checkpoint
@@ -103,7 +104,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "quotalake-stage", uuid.uuid4().hex)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     if getattr(_SCOPES, "paths", None) is not None:
         _SCOPES.paths.append(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
