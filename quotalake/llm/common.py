@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotalake.session import checkpoint_dir, cut_lineage
-
-# ASCII white space, as in the word pattern [^\x20\x09-\x0D]+.
-WORD_SPLIT = r"[\x20\x09-\x0D]+"
-
+from quotalake.session import cut_lineage
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def words(text: Column) -> Column:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a text; none for a null or blank text."""
-    parts = F.split(F.coalesce(text, F.lit("")), WORD_SPLIT)
-    return F.filter(parts, lambda w: w != "")
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text; none for a null or blank text.
+
+    Splits at a single character, which needs no regular expression.
+    """
+    plain = F.coalesce(text, F.lit(""))
+    for space in "\t\n\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -56,28 +54,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "node"))
 
 
-MEMBER_BITS = 1 << 20
+# Bits of the table that keeps rows out of shuffles: 2 MB at any scale, so it is broadcast.
+MEMBER_BITS = 1 << 24
 
 
-def member_filter(keys: DataFrame) -> Callable[[Column], Column]:
-    """Test of a 64-bit hash against those in the one column of ``keys``: true for all of these, false for most others.
+def member_split(rows: DataFrame, value: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a hash ``value`` among the one column of ``keys``, rows that surely have not).
 
-    A table of ``MEMBER_BITS`` bits at any scale, read by the driver as the
-    numbers of its set bits; it fills up as keys grow, and then lets more
-    rows through.  For keeping rows out of a shuffle whose join decides.
+    A table of ``MEMBER_BITS`` bits, broadcast as bitmaps of 4 KB.  It fills
+    up as keys grow, and then clears fewer rows.  For keeping rows out of a
+    shuffle whose join decides.
     """
-    column = F.col(keys.columns[0])
-    table = bytearray(MEMBER_BITS // 8)
-    for r in keys.select(column.bitwiseAND(F.lit(MEMBER_BITS - 1)).alias("bit")).distinct().collect():
-        table[r.bit >> 3] |= 1 << (r.bit & 7)
-    bits = F.lit(bytes(table))
-
-    def test(h: Column) -> Column:
-        bit = h.bitwiseAND(F.lit(MEMBER_BITS - 1))
-        byte = F.conv(F.hex(F.substr(bits, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        return F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1
-
-    return test
+    number = lambda h: F.pmod(h, F.lit(MEMBER_BITS))
+    slot = number(F.col(keys.columns[0]))
+    table = (keys.select(F.bitmap_bucket_number(slot).alias("__bucket"), F.bitmap_bit_position(slot).alias("__bit"))
+             .groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits")))
+    own = number(value)
+    byte = F.conv(F.hex(F.substr(F.col("__bits"), (F.shiftright("__at", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("__at") % 8)), F.lit(2)) == 1, F.lit(False))
+    marked = (rows.withColumn("__bucket", F.bitmap_bucket_number(own)).withColumn("__at", F.bitmap_bit_position(own))
+              .join(F.broadcast(table), "__bucket", "left").withColumn("__maybe", hit).select(*rows.columns, "__maybe"))
+    return marked.where("__maybe").drop("__maybe"), marked.where("not __maybe").drop("__maybe")
 
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -87,14 +84,10 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """
     gone = stored(gone.distinct().selectExpr("of as __of", "of_row as __of_row"))
     row = F.xxhash64("text")
-    maybe = member_filter(gone.select(F.xxhash64("__of", "__of_row")))(F.xxhash64(F.col("doc_id"), row))
+    maybe, rest = member_split(docs, F.xxhash64(F.col("doc_id"), row), gone.select(F.xxhash64("__of", "__of_row")))
     match = F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__row") == F.col("__of_row"))
-    judged = docs.where(maybe).withColumn("__row", row).join(gone, match, "left_anti").drop("__row")
-    return judged.unionByName(docs.where(~maybe))
+    judged = maybe.withColumn("__row", row).join(gone, match, "left_anti").drop("__row")
+    return judged.unionByName(rest)
 
 
-def stored(df: DataFrame, **options: str) -> DataFrame:
-    """``df`` written once as Parquet (with writer ``options``) to the shared checkpoint folder and read back."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/quotalake-stage/{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+stored = cut_lineage

@@ -16,6 +16,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotalake.llm.common import member_split, stored, without_rows
+
 SPAN = 8
 # Positions that count, of SPAN; each mask ignores two others.
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7), (0, 1, 2, 4, 5, 7))
@@ -28,17 +30,16 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def word_list(text: Column) -> Column:
-    """Lower-case runs of letters and digits; null for a text without any."""
-    plain = F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " "))
-    return F.when(plain != "", F.split(plain, " "))
+    """Lower-case runs of letters and digits; one empty word for a text without any."""
+    return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " ")), " ")
 
 
 def _seeds(words: DataFrame, stride: int, keep: list[str]) -> DataFrame:
-    """(keep..., words, at, mask, seed) per mask at every ``stride``-th position of ``words``."""
-    placed = (words.where(F.size("words") >= SPAN)
-              .select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - SPAN, F.lit(stride))).alias("at")))
+    """(keep..., at, seed) per mask at every ``stride``-th position of ``words(keep..., words)``."""
+    starts = F.expr(f"if(size(words) < {SPAN}, cast(array() as array<int>), sequence(0, size(words) - {SPAN}, {stride}))")
+    placed = words.select(*keep, "words", F.explode(starts).alias("at"))
     hashes = [F.xxhash64(F.lit(k), *[F.get("words", F.col("at") + p) for p in mask]) for k, mask in enumerate(MASKS)]
-    return placed.select(*keep, "words", "at", F.explode(F.array(*hashes)).alias("seed"))
+    return placed.select(*keep, "at", F.explode(F.array(*hashes)).alias("seed"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, part_seeds: int = PART_SEEDS) -> DataFrame:
@@ -49,29 +50,31 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, part_seeds: int = PART_SEEDS
     hit in which at least ``SIMILARITY`` of the words are equal: the most
     equal words, the window's size and the number of such hits.  ``row``
     tells input rows with equal doc_ids apart.  Items with fewer than
-    ``SPAN`` words are no evidence.
+    ``SPAN`` words are no evidence.  Documents' words never leave the task
+    that scans them, but for the few around a hit.
     """
-    items = benchmark.select("item_id", word_list(F.col("text")).alias("item"))
-    seeds = (_seeds(items.withColumnRenamed("item", "words"), 1, ["item_id"])
-             .select("seed", "item_id", F.col("at").alias("item_at")).distinct())
+    items = benchmark.select("item_id", word_list(F.col("text")).alias("words"))
+    seeds = stored(_seeds(items, 1, ["item_id"]).select("seed", "item_id", F.col("at").alias("item_at")).distinct())
     parts = max(1, ceil(seeds.count() / part_seeds))
     placed = _seeds(docs.select("doc_id", "row", word_list(F.col("text")).alias("words")), STRIDE, ["doc_id", "row"])
-    found = []
-    for k in range(parts):
-        # Bounded by part_seeds, as the hash deals the seeds (and, below, the items) out evenly.
-        mine = seeds if parts == 1 else seeds.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        listed = mine.join(own, "item_id").select("seed", "item_id", "item_at", "item")
-        found.append(placed.join(F.broadcast(listed), "seed"))
-    hits = reduce(DataFrame.unionByName, found)
-    window = F.least(F.lit(OVERLAP), F.size("item"))
+    # Each part has about part_seeds rows, as the hash deals them out evenly: bounded, so it is broadcast.
+    hits = reduce(DataFrame.unionByName, [
+        placed.join(F.broadcast(seeds.where(F.pmod(F.xxhash64("item_id", "item_at"), F.lit(parts)) == k)), "seed") for k in range(parts)])
+    listed = stored(hits.groupBy("doc_id", "row").agg(F.collect_list(F.struct("item_id", "item_at", "at")).alias("hits")))
+    some = member_split(docs, F.xxhash64("doc_id", "row"), listed.select(F.xxhash64("doc_id", "row")))[0]
+    base = F.expr(f"greatest(hit.at - {OVERLAP - SPAN}, 0)")
+    around = (some.alias("d").join(
+        listed.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.row") == F.col("l.row")))
+        .select("d.doc_id", "d.row", word_list(F.col("d.text")).alias("words"), "l.hits")
+        .select("doc_id", "row", "words", F.explode("hits").alias("hit"))
+        .select("doc_id", "row", "hit.*", base.alias("base"), F.slice("words", base + 1, F.lit(2 * OVERLAP - SPAN)).alias("some")))
+    near = (around.join(items.withColumnRenamed("words", "item"), "item_id")
+            .withColumn("window", F.least(F.lit(OVERLAP), F.size("item"))))
     # Windows of the item that hold the whole seed, and the equal words in each.
-    first = F.greatest(F.lit(0), F.col("item_at") + SPAN - F.col("window"))
-    last = F.least(F.col("item_at"), F.size("item") - F.col("window"))
-    equal = F.expr("""transform(sequence(first, last), s -> aggregate(sequence(0, window - 1), 0, (n, i) ->
-        n + if(get(item, s + i) <=> get(words, at - item_at + s + i) and get(item, s + i) is not null, 1, 0)))""")
-    return (hits.withColumn("window", window).withColumn("first", first).withColumn("last", last)
-            .withColumn("matched", F.array_max(equal))
+    first, last = f"greatest(0, item_at + {SPAN} - window)", "least(item_at, size(item) - window)"
+    equal = F.expr(f"""transform(sequence({first}, {last}), s -> aggregate(sequence(0, window - 1), 0, (n, i) ->
+        n + if(coalesce(get(item, s + i) = get(some, at - item_at + s + i - base), false), 1, 0)))""")
+    return (near.withColumn("matched", F.array_max(equal))
             .where(F.col("matched") >= F.ceil(F.col("window") * F.lit(SIMILARITY)))
             .groupBy("doc_id", "row", "item_id")
             .agg(F.max("matched").alias("matched"), F.max("window").alias("overlap"), F.count("*").alias("n_hits")))
@@ -92,5 +95,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that overlap no benchmark item; rows with a null doc_id are judged by text."""
     found = overlaps(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), benchmark)
-    bad = found.select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.bad_id) & (F.xxhash64(docs.text) == bad.bad_row), "left_anti")
+    return without_rows(docs, found.selectExpr("doc_id as of", "row as of_row"))
