@@ -24,17 +24,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotalake.llm.common import member_filter, stored
+from quotalake.llm.common import member_split, stored
+from quotalake.session import stage_scope
 
 WINDOW = 13
 PHRASE = 4
 # Phrases compiled into one automaton, and words streamed through it, before the next shard of documents.
 SHARD_PHRASES = 100_000
 SHARD_WORDS = 400_000
+# Letters per word in an automaton: 32**4 words; beyond that words share letters, which only adds candidates.
+LETTERS = 4
 # Fixed odd multiplier of the rolling hash (the golden ratio's 64 bits).
 MULTIPLIER = 0x9E3779B97F4A7C15
-# Phrase hashes only group candidates: fewer bits are shorter to shuffle.
+# Windows are compared by the 48 bits of their key phrase and 48 of their own.
 PHRASE_BITS = 48
+WINDOW_BYTES = 6
 ALL = 2**31 - 1
 
 
@@ -93,28 +97,41 @@ def phrase_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, phrase long")
 
 
+def _alphabet(number: int) -> str:
+    """Word number as four letters of 32, each place with letters of its own: phrases match at whole words only.
+
+    A few letters instead of one symbol per word keep the automaton's nodes narrow.
+    """
+    return "".join(chr(33 + 32 * k + (number >> 5 * k & 31)) for k in range(LETTERS))
+
+
 def _locate(shard: list[tuple[list[bytes], np.ndarray]]) -> Iterator[np.ndarray]:
     """Per document (words, positions of its confirmed key phrases) of a shard: where any of all their phrases occurs."""
-    ids: dict[bytes, int] = {}
-    coded = [tuple([ids.setdefault(w, len(ids)) for w in words]) for words, _ in shard]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    letters: dict[bytes, str] = {}
+    coded = []
+    for words, _ in shard:
+        for w in set(words).difference(letters):
+            letters[w] = _alphabet(len(letters))
+        coded.append("".join([letters[w] for w in words]))
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+    size = LETTERS * PHRASE
     for code, (_, at) in zip(coded, shard):
-        for p in at.tolist():
-            automaton.add_word(code[p:p + PHRASE], True)
+        for p in (at * LETTERS).tolist():
+            automaton.add_word(code[p:p + size], True)
     automaton.make_automaton()
     for code in coded:
-        yield np.array([end - PHRASE + 1 for end, _ in automaton.iter(code)], dtype=np.int64)
+        yield (np.array([end for end, _ in automaton.iter(code)], dtype=np.int64) + 1) // LETTERS - PHRASE
 
 
 def passages(docs: DataFrame, confirmed: DataFrame) -> DataFrame:
     """(doc_id, row, phrase, first, windows) of each passage around a confirmed phrase.
 
     ``confirmed(of, phrases)`` lists the confirmed phrases of each document
-    that has any; ``windows`` has the 64-bit hashes of the passage's windows,
+    that has any; ``windows`` has the hashes of the passage's windows,
     the first of which starts at word ``first``.
     """
-    maybe = member_filter(confirmed.select(F.xxhash64("of")))
-    listed = (docs.where(maybe(F.xxhash64("doc_id"))).join(confirmed, F.col("doc_id") == F.col("of"))
+    some = member_split(docs, F.xxhash64("doc_id"), confirmed.select(F.xxhash64("of")))[0]
+    listed = (some.join(confirmed, F.col("doc_id") == F.col("of"))
               .select("doc_id", "row", "text", "phrases"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +143,7 @@ def passages(docs: DataFrame, confirmed: DataFrame) -> DataFrame:
             def flush() -> None:
                 for (number, _, _, one, hashes, (at, first, n)), places in zip(
                         waiting, _locate([w[1:3] for w in waiting]) if waiting else ()):
-                    whole = _rolling(one, WINDOW, MULTIPLIER + 2)
+                    whole = _rolling(one, WINDOW, MULTIPLIER + 2).view(np.uint8).reshape(-1, 8)[:, :WINDOW_BYTES]
                     for k in np.flatnonzero(np.isin(at, places)).tolist():
                         a = int(first[k])
                         rows.append((number, int(hashes[at[k]]), a, whole[a:a + n[k]].tobytes()))
@@ -179,13 +196,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     several = least.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase")
     each = (least.join(several, "phrase")
             .select(*name, "least", F.posexplode(F.expr(
-                "transform(sequence(0, octet_length(windows) div 8 - 1), i -> substring(windows, 8 * i + 1, 8))")).alias("at", "window")))
+                f"transform(sequence(0, octet_length(windows) div {WINDOW_BYTES} - 1), i -> substring(windows, {WINDOW_BYTES} * i + 1, {WINDOW_BYTES}))")).alias("at", "window")))
     each = stored(each)
     best = each.groupBy("phrase", "window").agg(F.min("least").alias("best"))
     partly = (each.join(best, ["phrase", "window"]).where("best < least")
               .groupBy(*name).agg(F.collect_list("at").alias("at")))
     marked = (least.select(*name, "least").join(partly, name, "left"))
-    spans = (found.select(*name, "doc_id", "row", "first", F.expr("cast(octet_length(windows) div 8 as int)").alias("n"))
+    spans = (found.select(*name, "doc_id", "row", "first", F.expr(f"cast(octet_length(windows) div {WINDOW_BYTES} as int)").alias("n"))
              .join(marked, name))
     whole = spans.where("doc_id > least").select("doc_id", "row", "first", "n")
     some = (spans.where("doc_id = least and at is not null")
@@ -206,14 +223,16 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     Other columns are ignored; an empty table gives no rows.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = (repeated_spans(keyed.where("doc_id is not null")).groupBy("doc_id", "row")
-             .agg(F.collect_list(F.struct("first", "n")).alias("spans"))  # of one document
-             .selectExpr("doc_id as of", "row as of_row", "spans"))
-    spans = stored(spans, compression="zstd")
-    maybe = F.coalesce(member_filter(spans.select(F.xxhash64("of", "of_row")))(F.xxhash64("doc_id", "row")), F.lit(False))
-    touched = keyed.where(maybe).join(spans, (F.col("doc_id") == F.col("of")) & (F.col("row") == F.col("of_row")), "left")
-    rest = keyed.where(~maybe | F.col("doc_id").isNull()).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    touched = touched.where("doc_id is not null")
+    with stage_scope(docs.sparkSession) as tables:
+        spans = (repeated_spans(keyed.where("doc_id is not null")).groupBy("doc_id", "row")
+                 .agg(F.collect_list(F.struct("first", "n")).alias("spans"))  # of one document
+                 .selectExpr("doc_id as of", "row as of_row", "spans"))
+        spans = stored(spans, compression="zstd")
+        tables.pop()
+    some, rest = member_split(keyed, F.xxhash64("doc_id", "row"), spans.select(F.xxhash64("of", "of_row")))
+    # A null doc_id meets no spans and keeps all its words.
+    touched = some.join(spans, (F.col("doc_id") == F.col("of")) & (F.col("row") == F.col("of_row")), "left")
+    rest = rest.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
     both = touched.select("doc_id", "text", "spans").unionByName(rest.select("doc_id", "text", "spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
