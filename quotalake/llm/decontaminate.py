@@ -1,11 +1,12 @@
 """Benchmark decontamination with spaced seeds.
 
-A seed is a run of ``SPAN`` words of which a mask ignores some positions, so
-a substituted word at an ignored position still gives the same hash.  Seeds at
-every position of the benchmark meet seeds at every ``STRIDE``-th position of
-the documents; a hit fixes how item and document lie against each other, and
-the words around it are compared one to one: a window of ``OVERLAP`` words
-around the hit with at least ``SIMILARITY`` of them equal is contamination.
+A seed is the hash of some words of a short run; a mask lists their places.
+Seeds at every position of the benchmark meet seeds at every position of the
+documents; a hit fixes how item and document lie against each other, and the
+words around it are compared one to one: a window of ``OVERLAP`` words (all
+words of a shorter item) with at least ``SIMILARITY`` of them equal is
+contamination.  The masks of each window size leave no such window without a
+hit, wherever its changed words lie.
 """
 
 from __future__ import annotations
@@ -18,10 +19,17 @@ from pyspark.sql import functions as F
 
 from quotalake.llm.common import member_split, stored, without_rows
 
-SPAN = 8
-# Positions that count, of SPAN; each mask ignores two others.
-MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7), (0, 1, 2, 4, 5, 7))
-STRIDE = 2
+# Fixed values, by window size: for every choice of as many changed words as SIMILARITY allows, some mask
+# fits between them at some place of the window (the tests try all choices).
+MASKS = {
+    3: ((0, 1, 2),), 4: ((0, 1, 2, 3),), 5: ((0, 1, 2), (0, 1, 3)), 6: ((0, 1, 2, 3), (0, 1, 3, 4)),
+    7: ((0, 1, 2, 3), (0, 1, 3, 4)), 8: ((0, 1, 2, 4, 5), (0, 1, 3, 4, 5)), 9: ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 5, 6)),
+    10: ((0, 1, 2, 3), (0, 1, 2, 4)), 11: ((0, 1, 3, 5, 6), (0, 1, 2, 5, 6)), 12: ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7)),
+    13: ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))}
+# Items with fewer words are no evidence.
+LEAST_WORDS = min(MASKS)
+# What n_hits counts, as OP3 does: hits of these masks over COUNTED words at every second word of the document.
+COUNTED, COUNTED_MASKS = 8, ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7), (0, 1, 2, 4, 5, 7))
 OVERLAP = 13
 SIMILARITY = 0.8
 # Benchmark seeds sent to every task at once; a larger benchmark is met in parts of this size.
@@ -34,50 +42,70 @@ def word_list(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " ")), " ")
 
 
-def _seeds(words: DataFrame, stride: int, keep: list[str]) -> DataFrame:
-    """(keep..., at, seed) per mask at every ``stride``-th position of ``words(keep..., words)``."""
-    starts = F.expr(f"if(size(words) < {SPAN}, cast(array() as array<int>), sequence(0, size(words) - {SPAN}, {stride}))")
+def _seeds(words: DataFrame, masks: list[tuple[int, ...]], keep: list[str]) -> DataFrame:
+    """(keep..., at, seed) per mask at every position of ``words(keep..., words)`` where it fits."""
+    least = min(m[-1] for m in masks) + 1
+    starts = F.expr(f"if(size(words) < {least}, cast(array() as array<int>), sequence(0, size(words) - {least}))")
     placed = words.select(*keep, "words", F.explode(starts).alias("at"))
-    hashes = [F.xxhash64(F.lit(k), *[F.get("words", F.col("at") + p) for p in mask]) for k, mask in enumerate(MASKS)]
-    return placed.select(*keep, "at", F.explode(F.array(*hashes)).alias("seed"))
+    hashes = [F.when(F.col("at") + m[-1] < F.size("words"),
+                     F.xxhash64(F.lit("".join(map(str, m))), *[F.get("words", F.col("at") + p) for p in m])) for m in masks]
+    return placed.select(*keep, "at", F.explode(F.array(*hashes)).alias("seed")).where("seed is not null")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, part_seeds: int = PART_SEEDS) -> DataFrame:
     """(doc_id, row, item_id, matched, overlap, n_hits): documents that hold a passage of an item.
 
     One row per input row of ``docs(doc_id, row, text)`` and item with a
-    window of ``OVERLAP`` words (all words of a shorter item) around a seed
-    hit in which at least ``SIMILARITY`` of the words are equal: the most
-    equal words, the window's size and the number of such hits.  ``row``
-    tells input rows with equal doc_ids apart.  Items with fewer than
-    ``SPAN`` words are no evidence.  Documents' words never leave the task
-    that scans them, but for the few around a hit.
+    window of ``OVERLAP`` words (all words of a shorter item) of which at
+    least ``SIMILARITY`` are equal: the most equal words, the window's size
+    and the number of hits that OP3 counts in such windows, 0 where the
+    passage has none.  ``row`` tells input rows with equal doc_ids apart.
+    Items with fewer than ``LEAST_WORDS`` words are no evidence.  Documents'
+    words never leave the task that scans them, but for the few around a hit.
     """
-    items = benchmark.select("item_id", word_list(F.col("text")).alias("words"))
-    seeds = stored(_seeds(items, 1, ["item_id"]).select("seed", "item_id", F.col("at").alias("item_at")).distinct())
+    items = (benchmark.select("item_id", word_list(F.col("text")).alias("words"))
+             .withColumn("window", F.least(F.lit(OVERLAP), F.size("words"))).where(F.col("window") >= LEAST_WORDS))
+    sizes = sorted(r[0] for r in items.select("window").distinct().collect()) or [OVERLAP]
+    seeds = stored(reduce(DataFrame.unionByName, [
+        _seeds(items.where(F.col("window") == n), MASKS[n], ["item_id"]) for n in sizes])
+        .select("seed", "item_id", F.col("at").alias("item_at")).distinct())
     parts = max(1, ceil(seeds.count() / part_seeds))
-    placed = _seeds(docs.select("doc_id", "row", word_list(F.col("text")).alias("words")), STRIDE, ["doc_id", "row"])
+    placed = _seeds(docs.select("doc_id", "row", word_list(F.col("text")).alias("words")),
+                    sorted({m for n in sizes for m in MASKS[n]}), ["doc_id", "row"])
     # Each part has about part_seeds rows, as the hash deals them out evenly: bounded, so it is broadcast.
     hits = reduce(DataFrame.unionByName, [
         placed.join(F.broadcast(seeds.where(F.pmod(F.xxhash64("item_id", "item_at"), F.lit(parts)) == k)), "seed") for k in range(parts)])
-    listed = stored(hits.groupBy("doc_id", "row").agg(F.collect_list(F.struct("item_id", "item_at", "at")).alias("hits")))
+    # Hits that lay item and document against each other in the same way are compared as one.
+    laid = (hits.groupBy("doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+            .agg(F.min("item_at").alias("low"), F.max("item_at").alias("high")))
+    listed = stored(laid.groupBy("doc_id", "row").agg(F.collect_list(F.struct("item_id", "shift", "low", "high")).alias("hits")))
     some = member_split(docs, F.xxhash64("doc_id", "row"), listed.select(F.xxhash64("doc_id", "row")))[0]
-    base = F.expr(f"greatest(hit.at - {OVERLAP - SPAN}, 0)")
+    base = F.expr(f"greatest(hit.shift + hit.low - {OVERLAP - 1}, 0)")
     around = (some.alias("d").join(
         listed.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.row") == F.col("l.row")))
         .select("d.doc_id", "d.row", word_list(F.col("d.text")).alias("words"), "l.hits")
         .select("doc_id", "row", "words", F.explode("hits").alias("hit"))
-        .select("doc_id", "row", "hit.*", base.alias("base"), F.slice("words", base + 1, F.lit(2 * OVERLAP - SPAN)).alias("some")))
+        .select("doc_id", "row", "hit.*", base.alias("base"),
+                F.slice("words", base + 1, F.expr(f"hit.high - hit.low + {2 * OVERLAP - 1}")).alias("some")))
+    # Windows of the item that hold a word of a seed begin from first to last.
     near = (around.join(items.withColumnRenamed("words", "item"), "item_id")
-            .withColumn("window", F.least(F.lit(OVERLAP), F.size("item"))))
-    # Windows of the item that hold the whole seed, and the equal words in each.
-    first, last = f"greatest(0, item_at + {SPAN} - window)", "least(item_at, size(item) - window)"
-    equal = F.expr(f"""transform(sequence({first}, {last}), s -> aggregate(sequence(0, window - 1), 0, (n, i) ->
-        n + if(coalesce(get(item, s + i) = get(some, at - item_at + s + i - base), false), 1, 0)))""")
-    return (near.withColumn("matched", F.array_max(equal))
-            .where(F.col("matched") >= F.ceil(F.col("window") * F.lit(SIMILARITY)))
+            .withColumn("first", F.expr("greatest(0, low + 1 - window)")).withColumn("last", F.expr("least(high, size(item) - window)"))
+            .where("first <= last"))
+    # Bound to a name inside the expression, so that the comparison is made once and not for every window.
+    equal = "transform(sequence(first, last + window - 1), i -> coalesce(get(item, i) = get(some, shift + i - base), false))"
+    count = "transform(sequence(0, last - first), s -> size(filter(slice(e, s + 1, window), x -> x)))"
+    scored = near.withColumn("found", F.expr(f"transform(array({equal}), e -> struct(e as equal, {count} as matched))[0]"))
+    wanted = F.ceil(F.col("window") * F.lit(SIMILARITY)).cast("int")
+    whole = " + ".join("if({}, 1, 0)".format(" and ".join(f"found.equal[p + {k}]" for k in mask)) for mask in COUNTED_MASKS)
+    n_hits = F.expr(f"""if(window < {COUNTED}, 0, aggregate(
+        filter(sequence(0, last - first + window - {COUNTED}), p -> pmod(first + p + shift, 2) = 0
+               and exists(passed, s -> s <= p and s + window >= p + {COUNTED})),
+        0, (n, p) -> n + {whole}))""")
+    passed = F.expr("filter(sequence(0, last - first), s -> found.matched[s] >= wanted)")
+    return (scored.withColumn("matched", F.array_max("found.matched")).withColumn("wanted", wanted)
+            .where("matched >= wanted").withColumn("passed", passed).withColumn("n_hits", n_hits)
             .groupBy("doc_id", "row", "item_id")
-            .agg(F.max("matched").alias("matched"), F.max("window").alias("overlap"), F.count("*").alias("n_hits")))
+            .agg(F.max("matched").alias("matched"), F.max("window").alias("overlap"), F.sum("n_hits").alias("n_hits")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

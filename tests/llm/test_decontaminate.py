@@ -1,4 +1,6 @@
 import random
+from itertools import combinations
+from math import ceil
 
 from quotalake.llm import decontaminate
 from tests.llm.conftest import prose
@@ -41,6 +43,46 @@ def test_three_of_thirteen_words_changed_is_no_match(spark):
     assert [(r.doc_id, r.matched, r.overlap) for r in decontaminate.contaminated(docs, benchmark).collect()] == [(1, 11, 13)]
 
 
+def test_masks_fit_between_any_allowed_changes():
+    for window, masks in decontaminate.MASKS.items():
+        assert all(m[0] == 0 and m[-1] < window for m in masks)
+        for changed in combinations(range(window), window - ceil(window * decontaminate.SIMILARITY)):
+            assert any(not {at + k for k in m} & set(changed) for m in masks for at in range(window - m[-1])), (window, changed)
+
+
+def most_equal(doc, item):
+    """Most equal words of all windows of an item against a document, laid in all ways; no seeds."""
+    window = min(decontaminate.OVERLAP, len(item))
+    equal = lambda at: sum(0 <= at + k < len(doc) and doc[at + k] == w for k, w in part)
+    best = 0
+    for s in range(len(item) - window + 1):
+        part = list(enumerate(item[s:s + window]))
+        best = max([best, *(equal(at) for at in range(1 - window, len(doc)))])
+    return best
+
+
+def test_every_place_and_every_allowed_change_is_found(spark):
+    rows, expected, items = [], {}, {n: [f"i{n}x{k}" for k in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 20)}
+    for n, item in items.items():
+        window = min(n, decontaminate.OVERLAP)
+        allowed = window - ceil(window * decontaminate.SIMILARITY)
+        for at in (0, 1, 4):
+            for changed in [c for k in range(allowed + 2) for c in combinations(range(window), k)]:
+                if len(changed) == allowed + 1 and sum(changed) % 5:
+                    continue
+                passage = ["new" if k in changed else w for k, w in enumerate(item[:window])]
+                words = [f"a{k}" for k in range(at)] + passage + ["z"] * (at % 3)
+                best = most_equal(words, item)
+                if n >= 3 and best >= ceil(window * decontaminate.SIMILARITY):
+                    expected[len(rows), n] = (best, window)
+                rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    found = decontaminate.contaminated(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id): (r.matched, r.overlap) for r in found} == expected
+    assert len(found) == len(expected)
+
+
 def test_empty_tables(no_docs, odd_docs, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "item_id long, text string")
