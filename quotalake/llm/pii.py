@@ -108,7 +108,7 @@ def tags_of(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
 
 
 def _window_starts(codes: np.ndarray) -> np.ndarray:
-    """Starts of the windows that hold a digit or ``@``; spans without one are never predicted."""
+    """Starts of the windows that hold a digit or ``@``, for training."""
     hits = np.flatnonzero(((codes >= 49) & (codes <= 58)) | (codes == 65))
     if not len(hits):
         return hits
@@ -117,6 +117,11 @@ def _window_starts(codes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([np.minimum(low, high), high])) * STRIDE
 
 
+def _owners(n: int, at: np.ndarray) -> np.ndarray:
+    """Numbers of the windows in whose middle the characters ``at`` of a text of n lie; the outer ones own the ends."""
+    return np.clip((at - (SIZE - STRIDE) // 2) // STRIDE, 0, max(0, -(-(n - SIZE) // STRIDE)))
+
+
 def _window(codes: np.ndarray, start: int) -> np.ndarray:
     out = np.zeros(SIZE, dtype=np.uint8)
     some = codes[start:start + SIZE]
@@ -312,34 +317,53 @@ def _runs(tags: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def model_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) that the model finds in each whole text."""
-    owner, starts, windows, sizes = [], [], [], [len(t) for t in texts]
+    """(start, kind, end) that the model finds in each whole text.
+
+    Decodes the windows that own a digit or ``@``, without which no span is
+    plausible, and from there on the next ones while a tagged character lies
+    at the border of what is decoded: the same spans as from all windows.
+    """
     out: list[list] = [[] for _ in texts]
-    held: dict[int, list] = {}
+    codes: dict[int, np.ndarray] = {}
+    queue: list[tuple[int, int]] = []
+
+    def decoded(wanted: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(text, window number, first character owned, tags of the characters owned)."""
+        for k in range(0, len(wanted), DECODE):
+            part = wanted[k:k + DECODE]
+            for (d, w), tags in zip(part, model.decode(np.array([_window(codes[d], w * STRIDE) for d, w in part]))):
+                n, s, edge = len(codes[d]), w * STRIDE, (SIZE - STRIDE) // 2
+                low, high = s + edge if w else 0, n if s + SIZE >= n else s + edge + STRIDE
+                yield d, w, low, tags[low - s:high - s]
 
     def flush() -> None:
-        for k in range(0, len(windows), DECODE):
-            for d, s, tags in zip(owner[k:], starts[k:], model.decode(np.array(windows[k:k + DECODE]))):
-                edge = (SIZE - STRIDE) // 2
-                low = s + edge if s else 0
-                high = sizes[d] if s + SIZE >= sizes[d] else s + edge + STRIDE
-                at = np.arange(low, min(high, s + SIZE, sizes[d]))
-                own = tags[at - s]
-                held.setdefault(d, []).append((at[own > 0], own[own > 0]))
+        held: dict[int, dict[int, tuple[int, np.ndarray]]] = {d: {} for d in codes}
+        wanted = queue
+        while wanted:
+            more = set()
+            for d, w, low, tags in decoded(wanted):
+                held[d][w] = low, tags
+                if tags[0] and low:
+                    more.add((d, w - 1))
+                if tags[-1] and low + len(tags) < len(codes[d]):
+                    more.add((d, w + 1))
+            wanted = sorted((d, w) for d, w in more if w not in held[d])
         for d, parts in held.items():
-            for start, kind, end in _runs(*(np.concatenate([p[k] for p in parts]) for k in (1, 0))):
+            at = np.concatenate([np.arange(low, low + len(tags)) for _, (low, tags) in sorted(parts.items())])
+            own = np.concatenate([tags for _, (_, tags) in sorted(parts.items())])
+            for start, kind, end in _runs(own[own > 0], at[own > 0]):
                 text = texts[d][start:end]
                 start, end = start + len(text) - len(text.lstrip()), end - (len(text) - len(text.rstrip()))
                 if _plausible(kind, texts[d][start:end]):
                     out[d].append((start, kind, end))
-        owner.clear(), starts.clear(), windows.clear(), held.clear()
+        codes.clear(), queue.clear()
 
     for d, text in enumerate(texts):
         if _TRIGGER.search(text):
-            codes = codes_of(text)
-            for s in _window_starts(codes).tolist():
-                owner.append(d), starts.append(s), windows.append(_window(codes, s))
-        if len(windows) >= 16 * DECODE:
+            codes[d] = codes_of(text)
+            hits = np.flatnonzero(((codes[d] >= 49) & (codes[d] <= 58)) | (codes[d] == 65))
+            queue += [(d, w) for w in np.unique(_owners(len(text), hits)).tolist()]
+        if len(queue) >= 16 * DECODE:
             flush()
     flush()
     return out

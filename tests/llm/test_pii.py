@@ -100,6 +100,63 @@ def test_spans_over_window_borders(spark):
     assert pii.base_spans(text)[0] in pii.model_spans(model, [text])[0]
 
 
+class EveryAddress:
+    """Stands in for a model: tags the rewritten address wherever a window holds a part of it."""
+
+    def __init__(self, own):
+        self.own = own
+
+    def decode(self, windows):
+        tags = np.zeros(windows.shape, np.uint8)
+        codes = pii.codes_of(self.own)
+        for row, window in zip(tags, windows):
+            for at in range(1 - len(codes), pii.SIZE):
+                low, high = max(0, at), min(pii.SIZE, at + len(codes))
+                # Long enough a part to tell it, at the window's border or whole.
+                if high - low >= 9 and (window[low:high] == codes[low - at:high - at]).all():
+                    row[low:high] = 2
+                    if at >= 0:
+                        row[at] = 1
+                    break
+        return tags
+
+
+def test_long_spans_are_whole_at_every_place():
+    for own in ("press.office @ communications.faculty.example-university.org", "a.long.name.of.an.office @ x.example.org",
+                "me @ " + "very-long-name." * 20 + "org", "first.name." * 25 + "x @ example.org"):
+        for before in range(0, 150):
+            text = "z" * before + " " + own + " " + "plain words " * 12
+            assert pii.model_spans(EveryAddress(own), [text, "nothing", text]) == [[(before + 1, 0, before + 1 + len(own))], [], [(before + 1, 0, before + 1 + len(own))]]
+
+
+def all_windows(model, text):
+    """Spans from all windows of a text."""
+    codes, last = pii.codes_of(text), max(0, -(-(len(text) - pii.SIZE) // pii.STRIDE))
+    tags = np.zeros(len(text), np.uint8)
+    for w, own in enumerate(model.decode(np.array([pii._window(codes, w * pii.STRIDE) for w in range(last + 1)]))):
+        low = w * pii.STRIDE + 24 if w else 0
+        high = len(text) if w == last else w * pii.STRIDE + 72
+        tags[low:high] = own[low - w * pii.STRIDE:high - w * pii.STRIDE]
+    at = np.flatnonzero(tags)
+    found = []
+    for start, kind, end in pii._runs(tags[at], at):
+        own = text[start:end]
+        start, end = start + len(own) - len(own.lstrip()), start + len(own.rstrip())
+        if pii._plausible(kind, text[start:end]):
+            found.append((start, kind, end))
+    return found
+
+
+def test_spans_are_those_of_all_windows(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(synthetic(rng, 200))], "doc_id long, text string")
+    model = pii.train(*pii.training_windows(docs))
+    texts = [pii.rewritten(t, pii.base_spans(t))[0] for t in synthetic(rng, 40)]
+    texts += ["deaf egg " * rng.randrange(40) + "press.office @ communications.faculty.example-university.org " + "bad cab " * 20
+              for _ in range(30)] + ["1", "@", "x" * 96 + "1", "1" + "x" * 95, "x" * 97 + "@"]
+    assert pii.model_spans(model, texts) == [all_windows(model, t) for t in texts]
+
+
 def test_odd_rows(odd_docs, odd_rows, no_docs):
     model = pii.train(*pii.training_windows(odd_docs))
     rows = pii.find_personal_data(odd_docs, model).collect()
