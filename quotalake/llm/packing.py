@@ -39,14 +39,16 @@ WEIGHT_STEPS = 1 << 20
 CELLS = 4_000_000
 # Ranks of the public vocabulary byte_bpe_50k.json: the same ids, found faster.
 RANKS = "byte_bpe_50k.tiktoken"
+# Added tokens of byte_bpe_50k.json, which the rank file lacks; they are matched inside texts.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 @lru_cache(maxsize=2)
 def encoder(ranks_path: str) -> tiktoken.Encoding:
-    """Byte-level BPE of a rank file; no string of a text is a special token."""
+    """Byte-level BPE of a rank file with the added tokens ``SPECIAL``."""
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def token_queues(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -59,7 +61,7 @@ def token_queues(docs: DataFrame, ranks_path: str) -> DataFrame:
             queues = batch.column(1).to_pylist()
             ids, starts = [], []
             for text, queue in zip(batch.column(2).to_pylist(), queues):
-                own = np.append(encode.encode_to_numpy(text or "", disallowed_special=()), END_ID).astype("<u2")
+                own = np.append(encode.encode_to_numpy(text or "", allowed_special="all"), END_ID).astype("<u2")
                 starts.append(at.get(queue, 0))
                 at[queue] = starts[-1] + len(own)
                 ids.append(own.tobytes())

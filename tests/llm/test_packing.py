@@ -25,6 +25,17 @@ def test_ids_are_the_tokenizers(reference, odd_rows):
         assert [*encode.encode_ordinary(t or ""), 1] == reference(t)
 
 
+def test_added_tokens_inside_texts_are_the_tokenizers(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}\n x", f"a{end}b  {end}  ", "<|endoftext|", f"<|{end}|>", "no such string"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' as source")
+    found = defaultdict(list)
+    for p in sorted(packing.pack(docs).collect(), key=lambda p: p.start):
+        found[p.doc_id] += np.frombuffer(p.ids, "<u2").tolist()
+    assert [found[k] for k in range(len(texts))] == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_every_token_once_in_full_sequences(odd_docs, odd_rows, reference, no_docs):
     pieces = packing.pack(odd_docs, window=256, grain=32).collect()
     expected = Counter((d, tuple(reference(t))) for d, t, _ in odd_rows)
