@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from quotalake.llm.common import stored
 
 DAMPING = 0.85
-ROUNDS = 40
-# Total rank moved in a round at which the iteration has settled, of one in all.
+# Part of a host's own rank by which it may still grow in a round when the iteration has settled.
 SETTLED = 1e-6
 # Rules become one expression; more of them belong in a table.
 MAX_RULES = 1_000
@@ -69,10 +68,14 @@ def host_links(pages: DataFrame) -> DataFrame:
 def spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """(host, trust, distrust) from ``seeds(host, trust, distrust)`` over ``links(src, dst, weight)``.
 
-    Iterates ``rank = (1 - d) * seed + d * inflow`` until less than
-    ``SETTLED`` of the rank moves, ``ROUNDS`` rounds at most; rank that
-    reaches a host without links is lost.  Every round is an equi-join and a
-    partial aggregation and is stored in the shared checkpoint folder.
+    Iterates ``rank = (1 - d) * seed + d * inflow`` until no host is new and
+    no rank of a host grows by more than ``SETTLED`` of itself, however small
+    it is, so how far a seed reaches does not depend on the other seeds.
+    Ranks never shrink, so this ends; it takes the links of the longest chain
+    to a new host and some 100 rounds.  Ranks are doubles in units of
+    ``seeds``: 0 below 5e-324.  Rank that reaches a host without links is
+    lost.  Every round is an equi-join and a partial aggregation and is
+    stored in the shared checkpoint folder.
     """
     kinds = F.explode(F.array(
         F.struct(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")),
@@ -83,16 +86,15 @@ def spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
     base = stored(seeds.select(F.expr("stack(2, 'trust', host, trust, 'distrust', host, distrust) as (kind, a, seed)"))
                   .where("seed > 0").withColumn("seed", F.col("seed") * (1 - DAMPING)))
     rank = base.withColumnRenamed("seed", "rank")
-    for _ in range(ROUNDS):
+    while True:
         inflow = (rank.join(edges, ["kind", "a"]).groupBy("kind", F.col("b").alias("a"))
                   .agg(F.sum(F.col("rank") * F.col("share") * DAMPING).alias("rank")))
         new = (inflow.unionByName(base.withColumnRenamed("seed", "rank"))
                .groupBy("kind", "a").agg(F.sum("rank").alias("rank")))
-        step = stored(new.join(rank.withColumnRenamed("rank", "old"), ["kind", "a"], "full")
-                      .select("kind", "a", F.coalesce("rank", F.lit(0.0)).alias("rank"),
-                              F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))).alias("moved")))
+        step = stored(new.join(rank.withColumnRenamed("rank", "old"), ["kind", "a"], "left")
+                      .select("kind", "a", "rank", (F.col("rank") - F.coalesce("old", F.lit(0.0))).alias("grown")))
         rank = step.select("kind", "a", "rank")
-        if (step.agg(F.sum("moved")).first()[0] or 0.0) < SETTLED:
+        if step.where(F.col("grown") > F.col("rank") * SETTLED).isEmpty():
             break
     return (rank.groupBy(F.col("a").alias("host"))
             .agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"),
@@ -115,11 +117,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], limit: float = 0.5) -> DataF
     seeds = (ruled.where("found is not null and host <> ''").groupBy("host")
              .agg(F.count_if(F.col("found.verdict") == "allow").alias("trust"),
                   F.count_if(F.col("found.verdict") == "block").alias("distrust")))
-    total = seeds.agg(F.sum(F.col("trust") + F.col("distrust"))).first()[0] or 1
-    seeds = seeds.select("host", (F.col("trust") / F.lit(float(total))).alias("trust"),
-                         (F.col("distrust") / F.lit(float(total))).alias("distrust"))
+    seeds = seeds.select("host", F.col("trust").cast("double").alias("trust"), F.col("distrust").cast("double").alias("distrust"))
     ranks = spread(host_links(pages), seeds).select(
-        F.col("host").alias("of"), F.expr("distrust / (trust + distrust)").alias("distrust_share"))
+        F.col("host").alias("of"), F.expr("try_divide(distrust, trust + distrust)").alias("distrust_share"))
     blocked = F.coalesce(F.col("distrust_share") > limit + 1e-9, F.lit(False))
     return (ruled.join(ranks, F.col("host") == F.col("of"), "left")
             .select("page_id", "host", "path", F.col("found.name").alias("rule"),

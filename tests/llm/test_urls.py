@@ -92,6 +92,15 @@ def test_whole_table_and_empty(spark):
     assert urls.judge_urls(none, RULES).count() == 0
 
 
+def test_reach_of_a_seed_does_not_depend_on_the_table(spark):
+    hops, name = 44, "http://h{}.net/".format
+    chain = [(k, name(k), link(name(k + 1) if k < hops else "http://bad.com/de/")) for k in range(1, hops + 1)]
+    rows = spark.createDataFrame([*chain, (0, "http://bad.com/de/", None)], "page_id long, url string, html string")
+    others = spark.range(1000, 201_000).selectExpr("id as page_id", "'http://good.org/' as url", "cast(null as string) as html")
+    found = urls.judge_urls(rows.unionByName(others), RULES).where("page_id < 1000").collect()
+    assert {(r.page_id, r.verdict, r.distrust_share) for r in found} == {(k, "block", 1.0) for k in range(hops + 1)}
+
+
 def test_links_are_counted_whole(spark):
     pages = spark.createDataFrame([(k, "http://a.net/", link(*["http://b.net/"] * 3000)) for k in range(3)],
                                   "page_id long, url string, html string")
