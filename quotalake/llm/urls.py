@@ -20,7 +20,7 @@ DAMPING = 0.85
 SETTLED = 1e-6
 # Rules become one expression; more of them belong in a table.
 MAX_RULES = 1_000
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([a-z][a-z0-9+.\-]*://[^"'\s>]+)"""
+LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s>]+)"""
 
 
 @dataclass(frozen=True)
@@ -57,10 +57,10 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight): links between different hosts, counted over all whole pages."""
+    """(src, dst, weight): links between different hosts, counted over all whole pages; ``//host/x`` takes the page's scheme."""
     links = F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)))
     return (pages.select(host_of(F.col("url")).alias("src"), links.alias("link"))
-            .select("src", host_of(F.col("link")).alias("dst"))
+            .select("src", host_of(F.when(F.startswith("link", F.lit("//")), F.concat(F.lit("x:"), "link")).otherwise(F.col("link"))).alias("dst"))
             .where("src <> '' and dst <> '' and src <> dst")
             .groupBy("src", "dst").agg(F.count("*").alias("weight")))
 

@@ -105,3 +105,13 @@ def test_links_are_counted_whole(spark):
     pages = spark.createDataFrame([(k, "http://a.net/", link(*["http://b.net/"] * 3000)) for k in range(3)],
                                   "page_id long, url string, html string")
     assert [tuple(r) for r in urls.host_links(pages).select("src", "dst", F.col("weight")).collect()] == [("a.net", "b.net", 9000)]
+
+
+def test_links_without_a_scheme_reach_their_host(spark):
+    rows = [(1, "http://near.net/", link("//bad.com/de/?u=http://good.org/")), (2, "http://bad.com/de/", None),
+            (3, "http://here.net/", link("/a//b.net/", "///", "//", "a//b.net/", "?x=//b.net/")),
+            (4, "https://good.org/", "<a href=//Friend.NET:80/x>t</a> <A HREF = ' //two.net#y'>t</A>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = {(r.src, r.dst, r.weight) for r in urls.host_links(pages).collect()}
+    assert edges == {("near.net", "bad.com", 1), ("good.org", "friend.net:80", 1), ("good.org", "two.net", 1)}
+    assert {r.page_id: r.verdict for r in urls.judge_urls(pages, RULES).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
