@@ -162,13 +162,17 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, max_bits: int) -> Iterator[tuple]:
-    """Forests of the links within runs of equal ``key``; pairs are enumerated in bounded blocks."""
+def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, max_bits: int, met: int = 0) -> Iterator[tuple]:
+    """Forests of the links within runs of equal ``key``; pairs are enumerated in bounded blocks.
+
+    The first ``met`` rows are homes of the first key that have met each other.
+    """
     cut = np.flatnonzero(np.diff(key)) + 1
     begin = np.concatenate([[0], cut])
     size = np.diff(np.concatenate([begin, [len(key)]]))
     group = np.repeat(np.arange(len(begin)), size)
     rows = np.flatnonzero(home & (size[group] > 1))
+    begin[0], size[0] = met, size[0] - met
     work = np.cumsum(size[group[rows]])
     at = 0
     while at < len(rows):
@@ -184,12 +188,33 @@ def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, max_bits: int) ->
         at = upto
 
 
+def _link_batches(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[tuple]:
+    """Forests of the links in ``batches(anchor, tile, fp, home)``, sorted by anchor and tile, homes first.
+
+    Of the rows seen, only the homes of the last anchor and tile are held.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, tile, fp, home = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        now = [anchor * 1_000_003 + tile, fp.view(np.uint64), home]
+        # Homes of a key that the batch does not go on with have met all its rows.
+        met = len(held[0]) if held is not None and len(held[0]) and held[0][0] == now[0][0] else 0
+        if met:
+            now = [np.concatenate(p) for p in zip(held, now)]
+        yield from _links(*now, max_bits, met)
+        open_homes = (now[0] == now[0][-1]) & now[2]
+        held = [x[open_homes] for x in now]
+
+
 def link_forest(fps: DataFrame, max_bits: int, segments: tuple = SEGMENTS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect all pairs within ``max_bits`` bits.
 
     Fingerprints at an anchor with more than ``HOME_BLOCK`` homes are dealt
-    over tiles (each tile has a share of the homes and all copies), so no
-    task holds an unbounded anchor.  The list of such anchors has at most
+    over tiles (each tile has a share of the homes and all copies).  A task
+    holds a tile's homes and one batch of its copies at a time, so none holds
+    an unbounded anchor.  The list of such anchors has at most
     ``len(segments) / HOME_BLOCK`` rows per fingerprint and is broadcast.
     """
     spark = fps.sparkSession
@@ -203,24 +228,10 @@ def link_forest(fps: DataFrame, max_bits: int, segments: tuple = SEGMENTS) -> Da
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
-            key = held[0] * 1_000_003 + held[1]
-            closed = np.flatnonzero(key != key[-1])
-            if len(closed):
-                last = closed[-1] + 1
-                yield from emit([h[:last] for h in held], key[:last])
-                held = [h[last:] for h in held]
-        if held is not None and len(held[0]):
-            yield from emit(held, held[0] * 1_000_003 + held[1])
-
-    def emit(held: list, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a, b in _links(key, held[2].view(np.uint64), held[3], max_bits):
+        for a, b in _link_batches(batches, max_bits):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return (tiled.repartition(parts, "anchor", "tile").sortWithinPartitions("anchor", "tile")
+    return (tiled.repartition(parts, "anchor", "tile").sortWithinPartitions("anchor", "tile", F.desc("home"))
             .mapInArrow(run, "a long, b long"))
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from quotalake.llm import common, simhash
@@ -53,6 +54,26 @@ def test_every_pair_meets(spark):
         assert len(edges) < 6 * len(values)
 
 
+def test_copies_of_an_anchor_are_not_held(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = []
+    for anchor, tile, homes, copies in ((1, 0, 3, 0), (2, 0, 40, 5000), (2, 1, 25, 5000), (3, 0, 0, 700), (4, 0, 1, 1), (5, 0, 90, 10)):
+        fps = rng.choice(1 << 13, homes + copies, replace=False)
+        rows += [(anchor, tile, int(f), k < homes) for k, f in enumerate(fps)]
+    expected = {frozenset((a[2], b[2])) for a in rows if a[3] for b in rows
+                if a[:2] == b[:2] and 0 < (a[2] ^ b[2]).bit_count() <= 2}
+    # All links instead of a forest, and the rows that are looked at together.
+    monkeypatch.setattr(simhash, "_forest", lambda x, y: (x, y))
+    links, sizes = simhash._links, []
+    monkeypatch.setattr(simhash, "_links", lambda key, *rest: (sizes.append(len(key)), links(key, *rest))[1])
+    for size in (1, 7, 64, 100):
+        sizes.clear()
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
+        table = pa.Table.from_arrays(columns, ["anchor", "tile", "fp", "home"])
+        got = [frozenset(map(int, p)) for a, b in simhash._link_batches(iter(table.to_batches(size)), 2) for p in zip(a, b)]
+        assert set(got) == expected and max(sizes) <= 90 + size
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 150)] + [(7, 7), (200, 199)]
     got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
