@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotalake.llm import chat, decontaminate, lines, packing, pii, quality, simhash, substrings, topk, urls
+from quotalake.llm import audit, chat, clusters, decontaminate, langid, lines, packing, pii, quality, simhash, substrings, topk, urls
 from quotalake.llm.common import read_table
 from quotalake.llm.sql import ORACLES
 
@@ -89,8 +89,27 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.col("score").cast("long"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order of them, per source."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return audit.audit_filters(docs, labels)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rounds of integer k-means over all whole vectors of 64 components."""
+    return clusters.cluster(read_table(spark, sf_dir, "embeddings"), k=8, rounds=10, width=64, scale=1024, seed=3)
+
+
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document; learned outside the fold that is held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    fold = langid.fold(F.col("doc_id"))
+    return langid.identify(docs, langid.fit(docs, fold != 2), F.coalesce(fold == 2, F.lit(False)))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_lines, op2_quality, op3_decontaminate, op4_packing, op5_urls, op6_simhash, op7_chat, op8_substrings, op9_pii, op10_topk)
+    found = (op1_lines, op2_quality, op3_decontaminate, op4_packing, op5_urls, op6_simhash, op7_chat, op8_substrings, op9_pii, op10_topk,
+             op11_audit, op12_clusters, op13_langid)
     return {f.__name__: f for f in found}
 
 

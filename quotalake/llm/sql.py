@@ -103,4 +103,67 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM p JOIN size USING (conv_id) GROUP BY conv_id
 """
 
-ORACLES = {"op1_lines": OP1, "op3_decontaminate": OP3, "op7_chat": OP7, "op8_substrings": OP8, "op10_topk": OP10}
+OP11 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+f AS (
+  SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+         100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'),
+         coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)] AS fails FROM d),
+g AS (SELECT f.*, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good,
+             doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM f),
+profile AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM g GROUP BY part, fails),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+judged AS (
+  SELECT part, filter_order, step, n, good, toxic, substr(filter_order, step, 1) AS x, fails[ascii(x) - 64] AS failed,
+         len(list_filter(range(1, step), lambda k: fails[ascii(substr(filter_order, k, 1)) - 64])) AS earlier,
+         len(list_filter(fails, lambda b: b)) AS failing
+  FROM profile, orders, (SELECT unnest(range(1, 6)) AS step)),
+steps AS (
+  SELECT part, filter_order, step::INTEGER AS step, any_value(x) AS x,
+         coalesce(sum(n) FILTER (earlier = 0 AND NOT failed), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (earlier = 0 AND failed), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (earlier > 0 AND failed), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (failing = 1 AND failed), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (earlier = 0 AND failed), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (earlier = 0 AND failed), 0)::BIGINT AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step)
+SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM steps
+"""
+
+
+def _rounds(n: int) -> str:
+    """``n`` rounds of OP12, each as a table of its own."""
+    parts = []
+    for i in range(n + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT id, vec_id, v, arg_min(j, (d, j)) AS cluster, min(d) AS distance
+  FROM (SELECT id, vec_id, v, c{i}.j, list_sum(list_transform(range(1, 65), lambda k: (v[k] - c[k]) * (v[k] - c[k])))::BIGINT AS d FROM w, c{i})
+  GROUP BY id, vec_id, v)""")
+        if i < n:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT j, CASE WHEN m IS NULL THEN c ELSE m END AS c FROM c{i} LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY k) AS m FROM (
+      SELECT cluster, k, sum(v[k])::BIGINT AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS k) GROUP BY cluster, k)
+    GROUP BY cluster) ON cluster = j)""")
+    return ",\n".join(parts)
+
+
+OP12 = f"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS j, v AS c FROM w ORDER BY j LIMIT 8),
+{_rounds(10)},
+own AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a10 GROUP BY cluster)
+SELECT vec_id, cluster::INTEGER AS cluster, distance, cluster_inertia, (SELECT sum(distance) FROM a10)::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a10 JOIN own USING (cluster) JOIN c10 ON j = cluster
+"""
+
+ORACLES = {"op1_lines": OP1, "op3_decontaminate": OP3, "op7_chat": OP7, "op8_substrings": OP8, "op10_topk": OP10,
+           "op11_audit": OP11, "op12_clusters": OP12}
