@@ -10,12 +10,14 @@ event-time (UTC) calendar months and days.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotalake.functions.timecols import day_key, epoch_seconds, month_key, month_start
 from quotalake.operators.usage import ts_lit
+from quotalake.plans.asof import in_force
 from quotalake.plans.scan import prefix_sums, with_chunk
+from quotalake.session import cut_lineage
 
 # The built-in policy used when no policy row matches, the
 # identity defaults, and the rejection response.
@@ -92,21 +94,48 @@ def resolve_policy(users: DataFrame, policies: DataFrame) -> DataFrame:
             .join(rows("group", "user_group", "_group"), "user_group", "left")
             .withColumn("_default", default)
             .withColumn("p", F.coalesce("_user", "_group", "_default")))
-    hit = F.col("p").isNotNull()
-    return best.select(
-        "user_id", "user_group", "tenant", "department",
-        F.when(hit, F.col("p.source")).otherwise(F.lit("builtin")).alias("policy_source"),
-        F.when(hit, F.coalesce("p.monthly_limit", F.lit(0))).otherwise(F.lit(BUILTIN_MONTHLY_LIMIT))
+    return best.select("user_id", "user_group", "tenant", "department", *_limits(F.col("p")))
+
+
+def _limits(p: Column) -> list[Column]:
+    """The columns of a resolved policy from its matched row ``p``; the built-in constants where there is none."""
+    hit = p.isNotNull()
+    return [
+        F.when(hit, p["source"]).otherwise(F.lit("builtin")).alias("policy_source"),
+        F.when(hit, F.coalesce(p["monthly_limit"], F.lit(0))).otherwise(F.lit(BUILTIN_MONTHLY_LIMIT))
         .cast("bigint").alias("monthly_limit"),
-        F.when(hit, F.coalesce("p.daily_limit", F.lit(0))).otherwise(F.lit(BUILTIN_DAILY_LIMIT))
+        F.when(hit, F.coalesce(p["daily_limit"], F.lit(0))).otherwise(F.lit(BUILTIN_DAILY_LIMIT))
         .cast("bigint").alias("daily_limit"),
-        F.when(hit, F.coalesce("p.enforcement_mode", F.lit(DEFAULT_MODE))).otherwise(F.lit(BUILTIN_MODE))
+        F.when(hit, F.coalesce(p["enforcement_mode"], F.lit(DEFAULT_MODE))).otherwise(F.lit(BUILTIN_MODE))
         .alias("enforcement_mode"),
-        F.when(hit, F.coalesce("p.monthly_limit", F.lit(1))).otherwise(F.lit(BUILTIN_MONTHLY_LIMIT))
+        F.when(hit, F.coalesce(p["monthly_limit"], F.lit(1))).otherwise(F.lit(BUILTIN_MONTHLY_LIMIT))
         .cast("bigint").alias("metric_monthly_limit"),
-        F.when(hit, F.coalesce("p.daily_limit", F.lit(1))).otherwise(F.lit(BUILTIN_DAILY_LIMIT))
+        F.when(hit, F.coalesce(p["daily_limit"], F.lit(1))).otherwise(F.lit(BUILTIN_DAILY_LIMIT))
         .cast("bigint").alias("metric_daily_limit"),
-    )
+    ]
+
+
+def resolve_policy_at(calls: DataFrame, users: DataFrame, versions: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+    """K2 at the time of each call: every call with the limits that were in force at its ``ts``.
+
+    ``versions`` are ``policy_versions``.  The call's user row, else its
+    group's row, else the default row counts, each as it stood at that time,
+    else the built-in constants.  ``policy_since`` is when the matched row
+    came into force (null for the constants).  Calls without a user id or of
+    unknown users have a null ``policy_source``.
+    """
+    known = users.select(F.col("userId").alias("user_id"), F.coalesce(F.col("group"), F.lit(DEFAULT_GROUP)).alias("user_group"),
+                         "tenant", "department", F.lit("default").alias("_everyone"))
+    row = F.struct("monthly_limit", "daily_limit", "enforcement_mode", F.col("policy_type").alias("source"),
+                   F.col("valid_from").alias("since"))
+    at = calls.join(known, "user_id", "left")
+    for kind, key in (("user", "user_id"), ("group", "user_group"), ("default", "_everyone")):
+        own = versions.where(F.col("policy_type") == kind).select(F.col("identifier").alias(key), "valid_from", row.alias("row"))
+        at = in_force(at, key, own.where(F.col(key) == "default") if kind == "default" else own, f"_{kind}", "ts", chunk_seconds)
+    p = F.coalesce("_user", "_group", "_default")
+    found = at.withColumn("p", p).select(
+        *calls.columns, "user_group", "tenant", "department", "_everyone", F.col("p.since").alias("policy_since"), *_limits(F.col("p")))
+    return (found.withColumn("policy_source", F.when(F.col("_everyone").isNotNull(), F.col("policy_source"))).drop("_everyone"))
 
 
 # ---------------------------------------------------------------- K3
@@ -200,8 +229,11 @@ def quota_exceeded_messages(checked: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- K8
 def prepare_calls(calls: DataFrame, users: DataFrame, policies: DataFrame) -> DataFrame:
     """Calls with their user's policy, tokens, day and month; ``status`` is 400 (no user id), 404 (unknown user) or null."""
-    base = calls.join(resolve_policy(users, policies), "user_id", "left")
-    return (base
+    return _prepared(calls.join(resolve_policy(users, policies), "user_id", "left"))
+
+
+def _prepared(resolved: DataFrame) -> DataFrame:
+    return (resolved
             .withColumn("status", F.when(F.col("user_id").isNull(), F.lit(400))
                         .when(F.col("policy_source").isNull(), F.lit(404)))
             .withColumn("tokens", F.when(F.col("failed"), F.lit(0)).otherwise(call_tokens()).cast("bigint"))
@@ -220,51 +252,120 @@ def quota_replay(calls: DataFrame, users: DataFrame, policies: DataFrame, chunk_
     Order within a user is (ts, request_id).  Failed calls are checked but
     add nothing.  Calls without user id get 400, unknown users 404.
 
-    Block mode as prefix sums (tokens >= 0):
-      1. d = earlier tokens of the user's day; day_ok = d < daily_limit
-      2. m = earlier day_ok tokens of the user's month; allowed = day_ok and m < monthly_limit
-      3. used_before = earlier allowed tokens (month and day)
-    Once a limit is reached the accepted sum stays at or above it, so every
-    later row of that period is blocked by the same test; days nest in
-    months, so 1-2 equal the sequential protocol.
-
-    Skew: every user is split into time chunks (``plans.scan.prefix_sums``),
-    so a user holding a third of all calls is spread over many tasks.
+    ``decide_calls`` has the rules and why they equal the protocol.
     """
     base = prepare_calls(calls, users, policies)
     decided = decide_calls(base.where("status is null"), chunk_seconds)
-    replayed = decided.select(
+    return _replayed(decided).unionByName(rejected_calls(base), allowMissingColumns=True)
+
+
+def _replayed(decided: DataFrame) -> DataFrame:
+    return decided.select(
         "request_id", "ts", "user_id", "user_group", "tenant", "department", "policy_source",
         "enforcement_mode", "monthly_limit", "daily_limit", "metric_monthly_limit", "metric_daily_limit",
         "tokens", "failed", "allowed", "charged_tokens", "monthly_usage", "daily_usage",
         (F.col("monthly_usage") >= F.col("monthly_limit")).alias("monthly_exceeded"),
         (F.col("daily_usage") >= F.col("daily_limit")).alias("daily_exceeded"), "status")
-    return replayed.unionByName(rejected_calls(base), allowMissingColumns=True)
 
 
 def decide_calls(t: DataFrame, chunk_seconds: int = 60) -> DataFrame:
-    """Steps 1-3 for prepared rows (tokens, _day, _month, limits, mode, failed); sets ``status`` 200, 429 or 500.
+    """Check-then-add for prepared rows (tokens >= 0, _day, _month, limits, mode, failed); sets ``status`` 200, 429 or 500.
 
     ``_carry_d`` and ``_carry_m``, where given, are the usage accepted before
-    these rows (streaming); 0 otherwise.
+    these rows in their day and month; 0 otherwise.  Limits, mode and carry
+    are constant within a user's day.
+
+    In block mode the calls that a day accepts are its first ones: those with
+    d < cap, where d is the sum of all earlier tokens of the day, accepted or
+    not.  As long as every call is accepted d is the usage, and at the first
+    d >= cap the usage stays at that value, so all later calls are refused.
+    The cap is what is left of the daily limit, or of the monthly limit after
+    the earlier days, whichever is less.  What a day accepts in all is the
+    first running total >= cap (all tokens if there is none).  For the
+    monthly limit it does for earlier days to accept by the daily limit
+    alone: from the call on that reaches the monthly limit this sum is too
+    high, and every call is refused with either.
+
+    So one running sum over the rows is enough (one exchange of them, on
+    (user, chunk), so that a user with a third of all calls is spread over
+    many tasks; one stored copy); everything else is small: one row per user
+    and day, one window over the days of a user's month.
     """
     for c in ("_carry_d", "_carry_m"):
         if c not in t.columns:
             t = t.withColumn(c, F.lit(0).cast("bigint"))
     order = [F.col("ts"), F.col("request_id")]
-    t = prefix_sums(with_chunk(t, "ts", chunk_seconds), "user_id", order, [("tokens", "_day", "_d")])
-    t = t.withColumn("_day_ok", F.col("_carry_d") + F.col("_d") < F.col("daily_limit"))
-    t = t.withColumn("_v2", F.when(F.col("_day_ok"), F.col("tokens")).otherwise(F.lit(0)))
-    t = prefix_sums(t, "user_id", order, [("_v2", "_month", "_m0")])
-    blocked = ~(F.col("_day_ok") & (F.col("_carry_m") + F.col("_m0") < F.col("monthly_limit")))
-    t = t.withColumn("allowed", F.when(F.col("enforcement_mode") == F.lit("block"), ~blocked).otherwise(F.lit(True)))
-    t = t.withColumn("charged_tokens", F.when(F.col("allowed"), F.col("tokens")).otherwise(F.lit(0)))
-    t = prefix_sums(t, "user_id", order, [("charged_tokens", "_day", "_du"), ("charged_tokens", "_month", "_mu")])
-    return (t.withColumn("daily_usage", F.col("_carry_d") + F.col("_du"))
-            .withColumn("monthly_usage", F.col("_carry_m") + F.col("_mu"))
+    rows = cut_lineage(prefix_sums(with_chunk(t, "ts", chunk_seconds), "user_id", order, [("tokens", "_day", "_d")], materialize=False))
+    blocks = F.col("enforcement_mode") == F.lit("block")
+    end = F.col("_d") + F.col("tokens")
+
+    def taken(cap: Column) -> Column:
+        """Tokens that a day takes under a cap: an aggregate over its rows."""
+        return F.when(cap <= 0, F.lit(0)).otherwise(F.coalesce(F.min(F.when(end >= cap, end)), F.max(end)))
+
+    left = F.col("daily_limit") - F.col("_carry_d")
+    per_day = ["user_id", "_month", "_day", "daily_limit", "monthly_limit", "enforcement_mode", "_carry_d", "_carry_m"]
+    # Few distinct chunks per day: what follows for a day reaches its rows through them, and no join has a day as its key.
+    chunks = rows.groupBy("user_id", "_chunk", "_day").agg(F.lit(1).alias("_one")).drop("_one")
+    days = rows.groupBy(*per_day).agg(taken(left).alias("_by_day"), F.max(end).alias("_all"))
+    before = Window.partitionBy("user_id", "_month").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    days = (days.withColumn("_cap", F.when(blocks, F.least(left, F.col("monthly_limit") - F.col("_carry_m") - so_far("_by_day"))))
+            .withColumn("_split", blocks & (F.col("_cap") < left) & (F.col("_cap") > 0)))
+    # The day on which a month runs out (one per user and month) is looked at once more under its own cap.
+    last = days.where("_split").select("user_id", "_day", "_cap")
+    cut = (rows.join(last, ["user_id", "_day"]).groupBy("user_id", "_day").agg(F.min(F.when(end >= F.col("_cap"), end)).alias("_cut")))
+    accepted = (F.when(~blocks | F.col("_cap").isNull(), F.col("_all")).when(F.col("_cap") <= 0, F.lit(0))
+                .when(F.col("_split"), F.coalesce("_cut", "_all")).otherwise(F.col("_by_day")))
+    days = days.join(cut, ["user_id", "_day"], "left").withColumn("_taken", accepted)
+    days = days.select("user_id", "_day", "_cap", "_taken", so_far("_taken").alias("_earlier"))
+    t = rows.join(chunks.join(days, ["user_id", "_day"]).drop("_day"), ["user_id", "_chunk"])
+    fits = F.col("_cap").isNull() | (F.col("_d") < F.col("_cap"))
+    used = F.when(fits, F.col("_d")).otherwise(F.col("_taken"))
+    return (t.withColumn("allowed", fits)
+            .withColumn("charged_tokens", F.when(F.col("allowed"), F.col("tokens")).otherwise(F.lit(0)))
+            .withColumn("daily_usage", (F.col("_carry_d") + used).cast("bigint"))
+            .withColumn("monthly_usage", (F.col("_carry_m") + F.col("_earlier") + used).cast("bigint"))
             .withColumn("status", F.when(~F.col("allowed"), F.lit(429)).when(F.col("failed"), F.lit(500)).otherwise(F.lit(200))))
 
 
+def quota_replay_versions(calls: DataFrame, users: DataFrame, versions: DataFrame, chunk_seconds: int = 60) -> DataFrame:
+    """K8 with the limits in force at the time of each call (``versions``: S8 ``policy_versions``); one row per call.
+
+    A raised limit counts from its put on: calls refused before it have used
+    nothing.  The calls of a user's month are decided stretch by stretch of
+    constant limits, all users' first stretches in one pass, then all second
+    ones on top of what the first accepted, and so on; there are as many
+    passes as the most often changed policy has versions within a month, and
+    each call is in one of them.
+    """
+    base = cut_lineage(_prepared(resolve_policy_at(calls, users, versions)))
+    known = base.where("status is null")
+    since = F.coalesce("policy_since", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+    stretches = known.select("user_id", "_month", since.alias("_since")).distinct()
+    number = F.row_number().over(Window.partitionBy("user_id", "_month").orderBy("_since")) - 1
+    numbered = cut_lineage(stretches.withColumn("_stretch", number).where("_stretch > 0"))
+    known = cut_lineage(known.withColumn("_since", since).join(numbered, ["user_id", "_month", "_since"], "left")
+                        .withColumn("_stretch", F.coalesce("_stretch", F.lit(0))))
+    passes = 1 + (numbered.agg(F.max("_stretch")).first()[0] or 0)
+    decided = None
+    for k in range(passes):
+        part = known.where(F.col("_stretch") == k).drop("_stretch", "_since")
+        if decided is not None:
+            earlier = decided.join(numbered.where(F.col("_stretch") == k).select("user_id", "_month"), ["user_id", "_month"], "left_semi")
+            for key, out in (("_month", "_carry_m"), ("_day", "_carry_d")):
+                carry = earlier.groupBy("user_id", key).agg(F.sum("charged_tokens").cast("bigint").alias(out))
+                part = part.join(carry, ["user_id", key], "left").fillna(0, [out])
+        done = cut_lineage(decide_calls(part, chunk_seconds).select(*_DECIDED))
+        decided = done if decided is None else decided.unionByName(done)
+    return _replayed(decided).unionByName(rejected_calls(base), allowMissingColumns=True)
+
+
+_DECIDED = ["request_id", "ts", "user_id", "user_group", "tenant", "department", "policy_source", "enforcement_mode",
+            "monthly_limit", "daily_limit", "metric_monthly_limit", "metric_daily_limit", "tokens", "failed", "allowed",
+            "charged_tokens", "monthly_usage", "daily_usage", "status", "_day", "_month"]
+
+
 # ---------------------------------------------------------------- K6
 def quota_metrics(replayed: DataFrame) -> DataFrame:
     """K6: percent metrics after each allowed successful call (post-update usage).

@@ -323,6 +323,50 @@ def _qsql(body: str) -> str:
     return f"WITH {INV}{QUOTA_CTES}\n{body}"
 
 
+_CHANGES = ", ".join(f"('{t}', '{i}', {m}, {d}, '{mode}', TIMESTAMP '{at[:19].replace('T', ' ')}')" for t, i, m, d, mode, at in fx.POLICY_CHANGES)
+
+# Every put, its time in force, each call's policy at its time, and the protocol played call by call.
+VERSION_CTES = f"""
+, puts AS (
+  SELECT *, TIMESTAMP '2024-01-01 00:00:00' AS put_at FROM pol
+  UNION ALL SELECT * FROM (VALUES {_CHANGES}) AS t(policy_type, identifier, monthly_limit, daily_limit, enforcement_mode, put_at)
+  UNION ALL SELECT 'user', user_id, m, d, 'block', put_at FROM users,
+    (VALUES (12000, 2000, TIMESTAMP '2024-02-04 00:00:00'), (70000, 8000, TIMESTAMP '2024-02-08 12:30:00')) AS v(m, d, put_at)
+  WHERE user_id LIKE '%1@%'
+), changed AS (
+  SELECT * FROM (SELECT *, lag([monthly_limit::VARCHAR, daily_limit::VARCHAR, enforcement_mode]) OVER
+                           (PARTITION BY policy_type, identifier ORDER BY put_at) AS before FROM puts)
+  WHERE before IS NULL OR before IS DISTINCT FROM [monthly_limit::VARCHAR, daily_limit::VARCHAR, enforcement_mode]
+), at_call AS (
+  SELECT c.*, (SELECT arg_max({{'s': p.policy_type, 'f': p.put_at, 'm': p.monthly_limit, 'd': p.daily_limit, 'e': p.enforcement_mode}},
+                              (CASE p.policy_type WHEN 'user' THEN 2 WHEN 'group' THEN 1 ELSE 0 END, p.put_at))
+               FROM changed p WHERE p.put_at <= c.ts AND (p.policy_type, p.identifier) IN
+                 (('user', c.user_id), ('group', u.user_group), ('default', 'default'))) AS p
+  FROM calls c JOIN users u USING (user_id)
+), limited AS (
+  SELECT request_id, user_id, ts, tokens, failed, coalesce(p.s, 'builtin') AS policy_source, p.f AS policy_since,
+         CAST(CASE WHEN p IS NULL THEN 100000000 ELSE coalesce(p.m, 0) END AS BIGINT) AS monthly_limit,
+         CAST(CASE WHEN p IS NULL THEN 5000000 ELSE coalesce(p.d, 0) END AS BIGINT) AS daily_limit,
+         CASE WHEN p IS NULL THEN 'alert' ELSE coalesce(p.e, 'block') END AS enforcement_mode,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, request_id) AS nth
+  FROM at_call
+)"""
+
+# One step per call of a user: read both counters, decide, add.
+PLAYED = """
+, played AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS nth, NULL::TIMESTAMP AS ts, CAST(0 AS BIGINT) AS month_after, CAST(0 AS BIGINT) AS day_after,
+         NULL::VARCHAR AS request_id, NULL::BOOLEAN AS allowed, CAST(0 AS BIGINT) AS charged_tokens,
+         CAST(0 AS BIGINT) AS monthly_usage, CAST(0 AS BIGINT) AS daily_usage FROM users
+  UNION ALL
+  SELECT user_id, nth, ts, monthly_usage + charged, daily_usage + charged, request_id, allowed, charged, monthly_usage, daily_usage
+  FROM (SELECT *, CAST(CASE WHEN allowed THEN tokens ELSE 0 END AS BIGINT) AS charged
+    FROM (SELECT *, enforcement_mode <> 'block' OR (monthly_usage < monthly_limit AND daily_usage < daily_limit) AS allowed
+      FROM (SELECT l.*, CAST(CASE WHEN date_trunc('month', l.ts) = date_trunc('month', p.ts) THEN p.month_after ELSE 0 END AS BIGINT) AS monthly_usage,
+                   CAST(CASE WHEN CAST(l.ts AS DATE) = CAST(p.ts AS DATE) THEN p.day_after ELSE 0 END AS BIGINT) AS daily_usage
+            FROM played p JOIN limited l ON l.user_id = p.user_id AND l.nth = p.nth + 1))))"""
+
+
 def _k() -> dict[str, str]:
     recent = _ts(fx.AS_OF_RECENT)
     mk, dk = f"monthly_{fx.AS_OF_RECENT:%Y-%m}", f"daily_{fx.AS_OF_RECENT:%Y-%m-%d}"
@@ -346,6 +390,19 @@ SELECT c.request_id, c.ts, c.user_id, c.input_tokens, c.output_tokens, c.failed,
        u.user_id IS NOT NULL AS known_user
 FROM calls c LEFT JOIN users u USING (user_id)"""),
         "resolve_policy": _qsql("SELECT * FROM res"),
+        "policy_versions": _qsql(f"""{VERSION_CTES}
+SELECT policy_type, identifier, CAST(monthly_limit AS BIGINT) AS monthly_limit, CAST(daily_limit AS BIGINT) AS daily_limit, enforcement_mode,
+       put_at AS valid_from, lead(put_at) OVER (PARTITION BY policy_type, identifier ORDER BY put_at) AS valid_to
+FROM changed""").replace("\n\n, puts", ", puts"),
+        "resolve_policy_at_call": _qsql(f"""{VERSION_CTES}
+SELECT request_id, user_id, ts, policy_source, policy_since, monthly_limit, daily_limit, enforcement_mode FROM limited""").replace("\n\n, puts", ", puts"),
+        "quota_replay_versions": _qsql(f"""{VERSION_CTES}{PLAYED}
+SELECT request_id, l.ts, user_id, policy_source, enforcement_mode, monthly_limit, daily_limit, tokens, allowed, charged_tokens,
+       monthly_usage, daily_usage, CASE WHEN NOT allowed THEN 429 WHEN failed THEN 500 ELSE 200 END AS status
+FROM limited l JOIN played USING (user_id, nth, request_id)
+UNION ALL
+SELECT request_id, ts, user_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN user_id IS NULL THEN 400 ELSE 404 END
+FROM calls WHERE user_id NOT IN (SELECT user_id FROM users)""").replace("\n\n, puts", ", puts").replace("WITH inv", "WITH RECURSIVE inv", 1),
         "usage_counters": _qsql("SELECT * FROM counters"),
         "check_quota": _qsql(f"SELECT *, {allowed} AS allowed FROM ({check})"),
         "quota_remaining": _qsql(f"""

@@ -22,6 +22,7 @@ from quotalake.sources import dims as DM
 from quotalake.sources import fixtures as fx
 from quotalake.sources import logs as LG
 from quotalake.sources.logs import derived_path, derived_table
+from quotalake.session import cut_lineage
 from quotalake.streaming import common as SC
 from quotalake.streaming import counters as ST1
 from quotalake.streaming import metrics as ST2
@@ -126,6 +127,24 @@ REPLAY_COLUMNS = ["request_id", "ts", "user_id", "policy_source", "enforcement_m
                   "status"]
 
 
+def policy_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 over the stored puts: every version of every policy with its time in force."""
+    path = SC.run_dir(spark, "policy-versions")
+    fx.policy_puts(spark, sf_dir).write.mode("overwrite").json(path)
+    return DM.policy_versions(DM.load_policy_puts(spark, path))
+
+
+def _resolve_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = K.resolve_policy_at(calls(spark, sf_dir), users(spark, sf_dir), policy_versions(spark, sf_dir))
+    return found.where("policy_source is not null").select(
+        "request_id", "user_id", "ts", "policy_source", "policy_since", "monthly_limit", "daily_limit", "enforcement_mode")
+
+
+def _replay_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = cut_lineage(policy_versions(spark, sf_dir))
+    return K.quota_replay_versions(calls(spark, sf_dir), users(spark, sf_dir), versions).select(*REPLAY_COLUMNS)
+
+
 def _quota_queries() -> dict[str, Query]:
     A, R = fx.AS_OF, fx.AS_OF_RECENT
     pols = policies
@@ -136,6 +155,9 @@ def _quota_queries() -> dict[str, Query]:
     return {
         "enrich_identity": lambda s, d: K.enrich_identity(calls(s, d), users(s, d), "default"),
         "resolve_policy": lambda s, d: K.resolve_policy(users(s, d), pols(s, d)),
+        "policy_versions": policy_versions,
+        "resolve_policy_at_call": _resolve_at,
+        "quota_replay_versions": _replay_versions,
         "usage_counters": compute_counters,
         "check_quota": check,
         "quota_remaining": lambda s, d: K.quota_remaining(check(s, d)),

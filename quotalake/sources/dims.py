@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotalake.functions.timecols import iso_to_ts
+from quotalake.plans.asof import neighbour
 from quotalake.schema import QUOTA_POLICIES, TENANT_PROFILES, USER_METADATA
 
 USER_KEYS = ["userId"]
@@ -63,6 +65,35 @@ def load_quota_policies(spark: SparkSession, path: str, fmt: str = "json") -> Da
     return _latest_put(_load(spark, path, QUOTA_POLICIES, fmt), POLICY_KEYS)
 
 
+def load_policy_puts(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Every stored put of a quota policy, for ``policy_versions``."""
+    return _load(spark, path, QUOTA_POLICIES, fmt)
+
+
+POLICY_VALUES = ["monthly_limit", "daily_limit", "enforcement_mode"]
+# A put without a readable time has been in force for ever.
+FOR_EVER = "0001-01-01 00:00:00"
+
+
+def policy_versions(puts: DataFrame) -> DataFrame:
+    """(policy_type, identifier, values, valid_from, valid_to) per version of a policy, from all its puts.
+
+    A put is in force from its ``updatedAt`` until the next put of the same
+    policy; ``valid_to`` is null for the last.  Of puts with the same time the
+    last one counts, and a put that changes no value makes no version.  Puts
+    without an identifier are ignored.
+    """
+    order = F.col(PUT_ORDER) if PUT_ORDER in puts.columns else F.struct(*POLICY_VALUES)
+    values = F.struct(*POLICY_VALUES)
+    once = (puts.where("policy_type is not null and identifier is not null")
+            .groupBy(*POLICY_KEYS, F.coalesce(iso_to_ts(F.col("updatedAt")), F.lit(FOR_EVER).cast("timestamp_ntz")).alias("valid_from"))
+            .agg(F.max_by(values, order).alias("_v")).select(*POLICY_KEYS, "valid_from", "_v.*"))
+    new = (neighbour(once, POLICY_KEYS, "valid_from", values, "_before")
+           .where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(values)).drop("_before"))
+    closed = neighbour(new, POLICY_KEYS, "valid_from", F.struct("valid_from"), "_after", later=True)
+    return closed.select(*POLICY_KEYS, *POLICY_VALUES, "valid_from", F.col("_after.valid_from").alias("valid_to"))
+
+
 def load_tenant_profiles(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Tenant inference profiles, one row per profile_id (the latest put wins)."""
     return _latest_put(_load(spark, path, TENANT_PROFILES, fmt), PROFILE_KEYS)

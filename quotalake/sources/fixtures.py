@@ -42,6 +42,19 @@ FIXTURE_POLICIES = [
     ("user", "user11@company.com", 0, 0, "block"),
     ("user", "user13@company.com", None, 5000, None),
 ]
+# Later puts of the fixture, limits raised and restored.
+# (policy_type, identifier, monthly_limit, daily_limit, enforcement_mode, updatedAt)
+POLICY_CHANGES = [
+    ("group", "engineering", 60000, 9000, "block", "2024-02-05T00:00:00Z"),
+    ("group", "engineering", 22000, 3000, "block", "2024-02-09T12:00:00Z"),
+    ("group", "data-science", 30000, 1200, "block", "2024-01-25T06:30:00Z"),
+    ("group", "data-science", 30000, 4000, "block", "2024-01-28T00:00:00Z"),
+    ("group", "sales", 20000, 2500, "alert", "2024-02-01T00:00:00Z"),
+    ("group", "sales", 15000, 2500, "block", "2024-02-06T18:00:00Z"),
+    ("default", "default", 25000, 1500, "block", "2024-02-10T00:00:00Z"),
+    ("user", "user7@company.com", 90000, 9000, "block", "2024-02-03T03:00:00Z"),
+    ("user", "user7@company.com", 10000, 1500, "block", "2024-02-07T03:00:00Z"),
+]
 TIME_SHIFT_DAYS = 15
 AS_OF = dt.datetime(2024, 2, 18, 0, 0, 0)
 AS_OF_RECENT = dt.datetime(2024, 2, 14, 23, 30, 0)
@@ -141,6 +154,20 @@ def quota_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, QUOTA_POLICIES).unionByName(derive_user_policies(users))
 
 
+def policy_puts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policies as first put, the later puts of POLICY_CHANGES, and policies that users whose id ends in 1 get later."""
+    first = quota_policies(spark, sf_dir)
+    columns = "policy_type string, identifier string, monthly_limit long, daily_limit long, enforcement_mode string, updatedAt string"
+    changes = spark.createDataFrame(POLICY_CHANGES, columns)
+    own = user_metadata(spark, sf_dir).where(F.col("userId").rlike("1@")).select(
+        F.lit("user").alias("policy_type"), F.col("userId").alias("identifier"), F.explode(F.array(*[
+            F.struct(F.lit(m).cast("bigint").alias("monthly_limit"), F.lit(d).cast("bigint").alias("daily_limit"),
+                     F.lit("block").alias("enforcement_mode"), F.lit(at).alias("updatedAt"))
+            for m, d, at in ((12000, 2000, "2024-02-04T00:00:00Z"), (70000, 8000, "2024-02-08T12:30:00Z"))])).alias("c")).select(
+        "policy_type", "identifier", "c.*")
+    return first.unionByName(changes, allowMissingColumns=True).unionByName(own, allowMissingColumns=True)
+
+
 def tenant_profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TENANT_PROFILES, "profile_id string, name string, tenant string, color string")
 
