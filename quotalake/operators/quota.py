@@ -366,6 +366,72 @@ _DECIDED = ["request_id", "ts", "user_id", "user_group", "tenant", "department",
             "charged_tokens", "monthly_usage", "daily_usage", "status", "_day", "_month"]
 
 
+def replay_span(spark, root: str, calls: DataFrame, users: DataFrame, policies: DataFrame, start, end, chunk_seconds: int = 60) -> None:
+    """K8 and K3 for the days ``start`` <= day < ``end`` (dates) on top of the spans closed before.
+
+    Reads the calls of these days and the carry that the last closed span of
+    the same month left (one row per user with calls in that month), never
+    earlier calls.  Writes, as partitions of tables under ``root``,
+    ``decisions`` and ``daily`` counters by ``day``, and ``carry`` by
+    ``closed`` (= ``end``): accepted tokens per user of the month that ``end``
+    lies in, none if ``end`` starts a month.  Running a span again replaces
+    its partitions.  Spans are run in order of time and meet at their ends; a
+    span whose month has begun and whose predecessor is not closed is an
+    error.  Within a month, n spans give the rows of one full replay.
+    """
+    if end <= start:
+        raise ValueError("a span has at least one day")
+    inside = calls.where((F.col("ts") >= F.lit(str(start)).cast("timestamp_ntz")) & (F.col("ts") < F.lit(str(end)).cast("timestamp_ntz")))
+    base = prepare_calls(inside, users, policies)
+    known, carried = base.where("status is null"), None
+    if start.day != 1 and _closed(spark, root, start):
+        carried = (spark.read.schema(CARRY).parquet(f"{root}/carry").where(F.col("closed") == F.lit(start))
+                   .select("user_id", "_month", F.col("used").alias("_carry_m")))
+        known = known.join(carried, ["user_id", "_month"], "left").fillna(0, ["_carry_m"])
+    decided = decide_calls(known, chunk_seconds)
+    rows = _replayed(decided).unionByName(rejected_calls(base), allowMissingColumns=True).withColumn("day", F.to_date("ts"))
+    done = cut_lineage(rows)
+    _replace(done.repartition("day"), f"{root}/decisions", "day")
+    ok = done.where("status = 200 and user_id is not null")
+    _replace(ok.groupBy(F.col("user_id").alias("user_email"), "day").agg(
+        F.sum("charged_tokens").cast("bigint").alias("tokens_used"), F.max("ts").alias("last_updated")).repartition("day"), f"{root}/daily", "day")
+    month = F.trunc(F.lit(str(end)).cast("date"), "MM")
+    new = done.where(F.col("charged_tokens").isNotNull()).select("user_id", F.trunc("day", "MM").alias("_month"), F.col("charged_tokens").alias("used"))
+    if carried is not None:
+        new = new.unionByName(carried.withColumnRenamed("_carry_m", "used"))
+    left = (new.where(F.col("_month") == month).groupBy("user_id", "_month").agg(F.sum("used").cast("bigint").alias("used"))
+            .withColumn("closed", F.lit(str(end)).cast("date")))
+    _replace(cut_lineage(left), f"{root}/carry", "closed")
+    _replace(spark.createDataFrame([(start, end)], "start date, end date").withColumn("closed", F.col("end")), f"{root}/spans", "closed")
+
+
+CARRY = "user_id string, _month date, used bigint, closed date"
+
+
+def _replace(rows: DataFrame, path: str, key: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def _closed(spark, root: str, day) -> bool:
+    """True if a span ended at ``day``; false if no span was ever closed, so that this is the first one."""
+    spans = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/spans")
+    if not spans.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spans):
+        return False
+    if spark.read.parquet(f"{root}/spans").where(F.col("end") == F.lit(day)).isEmpty():
+        raise ValueError(f"the span before {day} is not closed")
+    return True
+
+
+def counters_from_spans(spark, root: str) -> DataFrame:
+    """K3 counters of all closed spans, from their daily rows: the calls are not read again."""
+    return counters_from_daily(spark.read.parquet(f"{root}/daily").select("user_email", F.col("day").cast("date").alias("day"), "tokens_used", "last_updated"))
+
+
+def decisions_of_spans(spark, root: str) -> DataFrame:
+    """The decision log of all closed spans."""
+    return spark.read.parquet(f"{root}/decisions").drop("day")
+
+
 # ---------------------------------------------------------------- K6
 def quota_metrics(replayed: DataFrame) -> DataFrame:
     """K6: percent metrics after each allowed successful call (post-update usage).

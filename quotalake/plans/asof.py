@@ -18,7 +18,7 @@ def neighbour(df: DataFrame, keys: Sequence[str], at: str, row: Column, out: str
               chunk_seconds: int = 86400) -> DataFrame:
     """``df`` with the struct ``row`` of the previous (``later``: next) row of its key by time ``at``; null if there is none.
 
-    ``at`` must be distinct within a key.  Rows see their neighbour inside
+    ``at`` must be distinct within a key; null is a key like any other.  Rows see their neighbour inside
     the chunk; the edges of chunks meet in a window over one row per key and
     non-empty chunk.
     """
@@ -30,8 +30,11 @@ def neighbour(df: DataFrame, keys: Sequence[str], at: str, row: Column, out: str
     edges = marked.groupBy(*keys, "_chunk").agg(edge.alias("_edge"))
     chunk_order = F.col("_chunk").desc() if later else F.col("_chunk").asc()
     across = edges.select(*keys, "_chunk", F.lag("_edge").over(Window.partitionBy(*keys).orderBy(chunk_order)).alias("_across"))
-    return (inside.join(across, [*keys, "_chunk"])
-            .select(*df.columns, F.coalesce("_near", "_across").alias(out)))
+    left, right = inside.alias("l"), across.alias("r")
+    met = F.lit(True)
+    for k in (*keys, "_chunk"):
+        met = met & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return left.join(right, met).select(*[F.col(f"l.{c}") for c in df.columns], F.coalesce("l._near", "r._across").alias(out))
 
 
 def in_force(rows: DataFrame, key: str, versions: DataFrame, out: str, ts: str = "ts", chunk_seconds: int = 3600) -> DataFrame:

@@ -390,6 +390,16 @@ SELECT c.request_id, c.ts, c.user_id, c.input_tokens, c.output_tokens, c.failed,
        u.user_id IS NOT NULL AS known_user
 FROM calls c LEFT JOIN users u USING (user_id)"""),
         "resolve_policy": _qsql("SELECT * FROM res"),
+        "usage_counters_spans": _qsql("""
+, rd AS (
+  SELECT user_id, CAST(ts AS DATE) AS d, CAST(SUM(charged_tokens) AS BIGINT) AS t, MAX(ts) AS at_ FROM replay WHERE status = 200 GROUP BY 1, 2
+)
+SELECT user_id AS user_email, 'daily_' || strftime(d, '%Y-%m-%d') AS metric_period, t AS tokens_used, at_ AS last_updated,
+       epoch_us(at_) // 1000000 + 604800 AS ttl FROM rd
+UNION ALL
+SELECT user_id, 'monthly_' || strftime(date_trunc('month', d), '%Y-%m'), CAST(SUM(t) AS BIGINT), MAX(at_),
+       epoch_us(CAST(date_trunc('month', d) AS TIMESTAMP)) // 1000000 + 5184000 FROM rd GROUP BY user_id, date_trunc('month', d)
+""").replace("\n\n, rd AS", ", rd AS"),
         "policy_versions": _qsql(f"""{VERSION_CTES}
 SELECT policy_type, identifier, CAST(monthly_limit AS BIGINT) AS monthly_limit, CAST(daily_limit AS BIGINT) AS daily_limit, enforcement_mode,
        put_at AS valid_from, lead(put_at) OVER (PARTITION BY policy_type, identifier ORDER BY put_at) AS valid_to
@@ -412,6 +422,12 @@ FROM ({check})"""),
         "quota_replay": _qsql(f"""
 SELECT {REPLAY_COLS} FROM replay
 UNION ALL
+SELECT request_id, ts, user_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+       CASE WHEN user_id IS NULL THEN 400 ELSE 404 END
+FROM calls WHERE user_id NOT IN (SELECT user_id FROM users)"""),
+        "quota_replay_spans": _qsql(f"""
+SELECT {REPLAY_COLS} FROM replay
+UNION ALL
 SELECT request_id, ts, user_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
        CASE WHEN user_id IS NULL THEN 400 ELSE 404 END
 FROM calls WHERE user_id NOT IN (SELECT user_id FROM users)"""),
@@ -545,6 +561,34 @@ SELECT period_start, value, breaching, state,
 FROM st WINDOW w AS (ORDER BY period_start)"""
 
 
+def _changes(series: str, threshold, period: int) -> str:
+    """Changes of an alarm of one period, on every period from the first to the last with data; silence does not breach."""
+    return f"""
+, series AS ({series}
+), grid AS (SELECT unnest(generate_series(min(period_start), max(period_start), INTERVAL {period} SECOND)) AS period_start FROM series
+), st AS (
+  SELECT period_start, CAST(value AS DOUBLE) AS value, CASE WHEN value > {threshold} THEN 'ALARM' ELSE 'OK' END AS state
+  FROM grid LEFT JOIN series USING (period_start)
+), pair AS (SELECT *, coalesce(lag(state) OVER (ORDER BY period_start), 'OK') AS previous FROM st)
+SELECT period_start, value, previous, state FROM pair WHERE previous <> state"""
+
+
+_RULES = f"""
+, series AS (SELECT tenant, {_b(600)} AS period_start, COUNT(*) AS value FROM inv GROUP BY 1, 2
+), grid AS (SELECT tenant, unnest(generate_series(min(period_start), max(period_start), INTERVAL 600 SECOND)) AS period_start FROM series GROUP BY 1
+), judged AS (
+  SELECT rule, tenant, period_start, value, CASE WHEN value IS NULL THEN rule = 'breaching' ELSE value > 1 END AS b
+  FROM (SELECT rule, grid.tenant, grid.period_start, value FROM (SELECT unnest(['notBreaching', 'breaching', 'missing']) AS rule), grid
+        LEFT JOIN series ON series.tenant IS NOT DISTINCT FROM grid.tenant AND series.period_start = grid.period_start)
+  UNION ALL SELECT 'ignore', tenant, period_start, value, value > 1 FROM series
+), st AS (
+  SELECT *, CASE WHEN value IS NULL AND rule = 'missing' THEN 'INSUFFICIENT_DATA'
+                 WHEN b AND coalesce(lag(b) OVER w, FALSE) THEN 'ALARM' ELSE 'OK' END AS state
+  FROM judged WINDOW w AS (PARTITION BY rule, tenant ORDER BY period_start)
+), pair AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY rule, tenant ORDER BY period_start), 'OK') AS previous FROM st)
+SELECT rule, tenant, period_start, CAST(value AS DOUBLE) AS value, previous, state FROM pair WHERE previous <> state"""
+
+
 def _m() -> dict[str, str]:
     recent = _ts(fx.AS_OF_RECENT)
     band = "CASE WHEN max_pct >= 95 THEN 'Critical' WHEN max_pct >= 80 THEN 'Warning' ELSE 'OK' END"
@@ -670,6 +714,16 @@ SELECT tenant, {_b(period)} AS period_start, COUNT(*) AS calls, CAST(coalesce(SU
 FROM inv GROUP BY 1, 2""") for name, period in (("1m", 60), ("5m", 300), ("1h", 3600), ("1d", 86400))},
         "stream_alarms": _m()["error_alarm"],
         "stream_token_alarm": _m()["high_token_alarm"],
+        "stream_token_alerts": _msql(_changes(f"""
+  SELECT {_b(3600)} AS period_start, coalesce(SUM(input_tokens), 0) AS value FROM inv GROUP BY 1""", 6000, 3600)).replace("\n\n, series", ", series"),
+        "stream_error_alerts": _msql(_changes(f"""
+  SELECT {_b(300)} AS period_start, COUNT(*) FILTER (status = 500) AS value FROM (
+    SELECT ts, status FROM replay UNION ALL SELECT ts, 404 FROM calls WHERE user_id NOT IN (SELECT user_id FROM users)) GROUP BY 1""",
+                                              1, 300)).replace("\n\n, series", ", series"),
+        "stream_quota_alerts": _msql(_changes(f"""
+  SELECT {_b(300)} AS period_start, MAX(CASE WHEN metric_monthly_limit > 0 THEN (monthly_usage + charged_tokens) / metric_monthly_limit * 100 ELSE 0.0 END) AS value
+  FROM replay WHERE status = 200 GROUP BY 1""", 80, 300)).replace("\n\n, series", ", series"),
+        "alarm_missing_rules": _msql(_RULES).replace("\n\n, series", ", series"),
         "stream_raw_log": _qsql("SELECT * FROM counters"),
         "stream_quota_decisions": _qsql("""
 SELECT request_id, ts, user_id, enforcement_mode, monthly_limit, daily_limit, metric_monthly_limit, tokens,

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quotalake.session import checkpoint_dir, cut_lineage
 
-from quotalake.session import checkpoint_dir
 
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one streaming run's sink and checkpoint (shared storage)."""
@@ -29,6 +30,8 @@ def run_until_caught_up(writer):
     """Start with ``availableNow`` (process what exists, then stop) and wait until all of it is processed.
 
     There is no time limit: an unfinished sink is never taken for a result.
+    Nor is one that a stateful operator has dropped rows from: arrival times
+    that run backwards by more than the delay raise an error.
     """
     query = writer.trigger(availableNow=True).start()
     try:
@@ -37,60 +40,106 @@ def run_until_caught_up(writer):
         query.stop()
     if query.exception() is not None:
         raise query.exception()
+    dropped = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    if dropped:
+        raise ValueError(f"{dropped} rows arrived more than the delay after later ones and were dropped")
     return query
 
 
-# Batches between two snapshots of a sink that readers merge.
-SNAPSHOT_EVERY = 20
+def make_folder(spark: SparkSession, path: str) -> str:
+    """An empty table, if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    return path
 
 
-class BatchStore:
-    """Mergeable rows per micro-batch: one folder a batch, and a merged snapshot now and then.
+def overwrite_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Replace the partitions that ``df`` has rows of, and no others."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
-    A batch that is run again after a failure overwrites its own folder, so
-    replays are idempotent, and rows that arrive late simply add to the
-    merge: nothing depends on a watermark.  Batch ids are consecutive from
-    0; reading fails if the folder of any earlier batch is missing.
-    ``merge`` maps the rows of several batches to the same columns.
-    """
 
-    def __init__(self, root: str, merge: Callable[[DataFrame], DataFrame] | None = None,
-                 partition_by: Sequence[str] = ()):
-        self.root, self.merge, self.partition_by = root, merge, list(partition_by)
+class BatchTable:
+    """One table of what micro-batches have put out, partitioned by ``batch``.
 
-    def _folder(self, kind: str, number: int) -> str:
-        return os.path.join(self.root, kind, f"{number:012d}")
+    A batch that runs again replaces its own partition, so each row is there
+    once; readers scan one table, however many batches there were.
+    """
+
+    def __init__(self, root: str, schema: str):
+        self.root, self.schema = root, schema
 
     def write(self, df: DataFrame, batch_id: int) -> None:
-        self._snapshot(df.sparkSession, batch_id, df.schema)
-        df.write.mode("overwrite").partitionBy(*self.partition_by).parquet(self._folder("batch", batch_id))
-
-    def _snapshot(self, spark: SparkSession, batch_id: int, schema) -> None:
-        if self.merge is not None and batch_id and batch_id % SNAPSHOT_EVERY == 0:
-            merged = self.merge(self.before(spark, batch_id, schema, snapshot=batch_id - SNAPSHOT_EVERY))
-            merged.write.mode("overwrite").partitionBy(*self.partition_by).parquet(self._folder("upto", batch_id))
-
-    def before(self, spark: SparkSession, batch_id: int, schema, snapshot: int | None = None) -> DataFrame:
-        """Rows of the batches before ``batch_id``: the newest snapshot and the batches since."""
-        if snapshot is None:
-            snapshot = batch_id // SNAPSHOT_EVERY * SNAPSHOT_EVERY if self.merge is not None else 0
-        paths = [self._folder("upto", snapshot)] if snapshot else []
-        paths += [self._folder("batch", k) for k in range(snapshot, batch_id)]
-        if not paths:
-            return spark.createDataFrame([], schema)
-        # Each folder is a table of its own, so that all must exist.
-        parts = [spark.read.schema(schema).parquet(path) for path in paths]
-        return reduce(DataFrame.unionByName, parts)
-
-    def read(self, spark: SparkSession, batches: int, schema) -> DataFrame:
-        """The merged rows of all ``batches`` batches."""
-        rows = self.before(spark, batches, schema, snapshot=max(0, batches - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY)
-        return self.merge(rows) if self.merge is not None else rows
-
-
-def batches_done(spark: SparkSession, checkpoint: str) -> int:
-    """Number of micro-batches that the query with this checkpoint has committed."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(checkpoint, "commits"))
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-    return 1 + max((int(n) for n in names if n.isdigit()), default=-1)
+        make_folder(df.sparkSession, self.root)
+        overwrite_partitions(df.withColumn("batch", F.lit(batch_id).cast("long")), self.root, ["batch"])
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(f"{self.schema}, batch long").parquet(self.root)
+
+
+class PeriodTotals:
+    """Running totals per (user_id, day), partitioned by month and hash bucket of the user.
+
+    A micro-batch rewrites the partitions it touches and no others, so
+    storage is one row per user and day however many batches there were.  A
+    table that is gone after the first batch is an error, never an empty state.
+    ``last_updated`` is the newest time counted.  Each row keeps what it was
+    before the batch that changed it last (``was``, ``was_updated``,
+    ``batch``): a batch that runs again, even after some of its partitions
+    were replaced, starts from there and adds nothing twice.  A partition
+    should fit a task: about users / ``buckets`` x 31 rows.
+    """
+
+    COLUMNS = ("user_id string, day date, used long, last_updated timestamp_ntz, was long, was_updated timestamp_ntz, "
+               "batch long, month date, bucket int")
+
+    def __init__(self, root: str, buckets: int = 4):
+        self.root, self.buckets = root, buckets
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``rows(user_id, day, ...)`` with their partition."""
+        return (rows.withColumn("month", F.trunc("day", "MM"))
+                .withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(self.buckets)).cast("int")))
+
+    def _before(self, spark: SparkSession, touched: list, batch_id: int) -> DataFrame:
+        """Rows of the ``touched`` partitions as they stood before the batch, null where it made them."""
+        if not batch_id:
+            make_folder(spark, self.root)
+        rows = spark.read.schema(self.COLUMNS).parquet(self.root)
+        here = F.lit(False)
+        for month, buckets in _grouped(touched).items():
+            here = here | ((F.col("month") == F.lit(month)) & F.col("bucket").isin(buckets))
+        again = F.col("batch") >= F.lit(batch_id)
+        return (rows.where(here).withColumn("used", F.when(again, F.col("was")).otherwise(F.col("used")))
+                .withColumn("last_updated", F.when(again, F.col("was_updated")).otherwise(F.col("last_updated"))))
+
+    def touched(self, rows: DataFrame) -> list:
+        """(month, bucket) of the partitions of ``rows(user_id, day)``: those of one micro-batch."""
+        return [(r.month, r.bucket) for r in self.placed(rows).where("month is not null").select("month", "bucket").distinct().collect()]
+
+    def before(self, spark: SparkSession, touched: list, batch_id: int) -> DataFrame:
+        """(user_id, day, month, used) counted by earlier batches in the touched partitions."""
+        return self._before(spark, touched, batch_id).where("used is not null").select("user_id", "day", "month", "used")
+
+    def add(self, parts: DataFrame, touched: list, batch_id: int) -> None:
+        """Add ``parts(user_id, day, used, last_updated)``, one row per user and day."""
+        spark = parts.sparkSession
+        new = self.placed(parts).select("user_id", "day", "month", "bucket", F.col("used").alias("_add"), F.col("last_updated").alias("_at"))
+        both = self._before(spark, touched, batch_id).join(new, ["user_id", "day", "month", "bucket"], "full_outer")
+        hit = F.col("_add").isNotNull()
+        merged = both.where("used is not null or _add is not null").select(
+            "user_id", "day", F.when(hit, F.coalesce("used", F.lit(0)) + F.col("_add")).otherwise(F.col("used")).alias("used"),
+            F.greatest("last_updated", "_at").alias("last_updated"), F.when(hit, F.col("used")).otherwise(F.col("was")).alias("was"),
+            F.when(hit, F.col("last_updated")).otherwise(F.col("was_updated")).alias("was_updated"),
+            F.when(hit, F.lit(batch_id)).otherwise(F.col("batch")).cast("long").alias("batch"), "month", "bucket")
+        # Stored first: the partitions are read and replaced.
+        overwrite_partitions(cut_lineage(merged.repartition("month", "bucket")), self.root, ["month", "bucket"])
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.COLUMNS).parquet(self.root).select("user_id", "day", "used", "last_updated")
+
+
+def _grouped(touched: list) -> dict:
+    out: dict = {}
+    for month, bucket in touched:
+        out.setdefault(month, []).append(bucket)
+    return out

@@ -1,8 +1,8 @@
 """T1 stream_usage_counters and T5 dedup_stream.
 
-No watermark decides what counts: a repeated delivery is recognised against
-everything delivered before, however late it comes, and totals are sums of
-per-batch parts.
+No watermark on event time decides what counts: a repeated delivery is
+recognised however late it comes, and late rows add to the totals of their
+own day.
 """
 
 from __future__ import annotations
@@ -13,85 +13,111 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotalake.operators.quota import call_tokens, counters_from_daily
-from quotalake.session import stage_scope
-from quotalake.streaming.common import BatchStore, batches_done
+from quotalake.session import cut_lineage, stage_scope
+from quotalake.streaming.common import BatchTable, PeriodTotals, make_folder
 
-DAILY = "user_id string, day date, tokens_used bigint, last_updated timestamp_ntz"
-IDS = "request_id string, day date"
-
-
-def _merge_daily(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("user_id", "day").agg(F.sum("tokens_used").cast("bigint").alias("tokens_used"),
-                                              F.max("last_updated").alias("last_updated"))
+IDS = "request_id string, batch long, day date, bucket int"
+ARRIVAL = "_arrived"
+# Where the totals of calls without a time are kept.
+NO_DAY = "0001-01-01"
 
 
 class Deduplicator:
-    """Rows of a micro-batch whose request was not delivered before.
-
-    The ids seen are stored per batch and day of the call; a repeated
-    delivery has the time of the first, so only ids of the batch's own days
-    are read (partition pruning).  ``ts`` and ``request_id`` are required;
+    """First deliveries of a stream of calls, in two steps.
+
+    Repeats within ``delay`` of the first arrival are recognised by Spark's
+    own state (``dropDuplicatesWithinWatermark`` on arrival time, so state
+    holds the ids of the last hours, and no row is late).  A repeat that
+    arrives later than that comes at least ``delay`` after its call was made,
+    as no call arrives before it is made: only rows that old are looked up in
+    the table of all ids, in the partitions (day of the call, hash bucket of
+    the id) they would be in.  Each id is stored once.
+
+    ``arrived`` names the column with the time of arrival in the source, in
+    whose order the stream delivers (to within ``delay``); without it, it is
+    the time of the micro-batch.  ``ts`` and ``request_id`` are required;
     rows without an id or a time are kept as they come.
     """
 
-    def __init__(self, root: str):
-        self.store = BatchStore(os.path.join(root, "ids"), lambda rows: rows, ["day"])
+    def __init__(self, root: str, arrived: str | None = None, delay: str = "1 hour", buckets: int = 1):
+        self.ids, self.arrived, self.delay, self.buckets = os.path.join(root, "ids"), arrived, delay, buckets
+
+    def recent(self, stream: DataFrame) -> DataFrame:
+        """First step; the stream with the columns ARRIVAL and ``_id``."""
+        arrived = F.col(self.arrived) if self.arrived else F.current_timestamp()
+        identified = F.col("request_id").isNotNull() & F.col("ts").isNotNull()
+        # A row that cannot be identified gets a key of its own.
+        key = F.when(identified, F.concat(F.lit("r"), "request_id")).otherwise(F.concat(F.lit("u"), F.uuid()))
+        return (stream.withColumn(ARRIVAL, arrived.cast("timestamp")).withColumn("_id", key).withWatermark(ARRIVAL, self.delay)
+                .dropDuplicatesWithinWatermark(["_id"]))
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return (rows.withColumn("day", F.to_date("ts"))
+                .withColumn("bucket", F.pmod(F.xxhash64("request_id"), F.lit(self.buckets)).cast("int")))
 
     def fresh(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """Second step: the rows of a micro-batch (of ``recent``) that no earlier batch has."""
         spark = batch.sparkSession
-        keyed = batch.where("request_id is not null and ts is not null").dropDuplicates(["request_id"]).withColumn("day", F.to_date("ts"))
-        days = [r.day for r in keyed.select("day").distinct().collect()]  # of one micro-batch
-        seen = self.store.before(spark, batch_id, IDS)
-        if days:
-            seen = seen.where(F.col("day").isin(days))
-        new = keyed.join(seen, ["request_id", "day"], "left_anti")
-        return new.drop("day").unionByName(batch.where("request_id is null or ts is null"))
+        if not batch_id:  # later, a table that is gone is an error
+            make_folder(spark, self.ids)
+        old = (F.col("request_id").isNotNull() & F.col("ts").isNotNull()
+               & (F.col("ts") < (F.col(ARRIVAL) - F.expr(f"interval {self.delay}")).cast("timestamp_ntz")))
+        placed = self._placed(batch).withColumn("_old", F.coalesce(old, F.lit(False)))
+        days = [r.day for r in placed.where("_old").select("day").distinct().collect()]  # of one micro-batch
+        seen = (spark.read.schema(IDS).parquet(self.ids).where(F.col("day").isin(days or [None]) & (F.col("batch") < F.lit(batch_id)))
+                .select("request_id", "day", "bucket").distinct())
+        late = placed.where("_old").join(seen, ["request_id", "day", "bucket"], "left_anti").select(*batch.columns)
+        return placed.where("not _old").select(*batch.columns).unionByName(late).drop(ARRIVAL, "_id")
 
     def remember(self, fresh: DataFrame, batch_id: int) -> None:
-        ids = fresh.where("request_id is not null and ts is not null").select("request_id", F.to_date("ts").alias("day"))
-        self.store.write(ids, batch_id)
+        """Store the ids of the batch; a second run of the batch does not see them."""
+        ids = self._placed(fresh.where("request_id is not null and ts is not null")).select(
+            "request_id", F.lit(batch_id).cast("long").alias("batch"), "day", "bucket")
+        ids.repartition("day", "bucket").write.mode("append").partitionBy("day", "bucket").parquet(self.ids)
 
 
-def dedup_stream(stream: DataFrame, root: str, checkpoint: str):
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def dedup_stream(stream: DataFrame, root: str, checkpoint: str, arrived: str | None = None, delay: str = "1 hour", buckets: int = 1):
     """T5: every request once, the first delivery; returns the writer.
 
-    Each micro-batch writes its new rows under ``root/rows``.
+    Each micro-batch writes its new rows as a partition of ``root/rows``.
     """
-    dedup, rows = Deduplicator(root), BatchStore(os.path.join(root, "rows"))
+    dedup, rows = Deduplicator(root, arrived, delay, buckets), BatchTable(os.path.join(root, "rows"), _schema(stream))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        fresh = dedup.fresh(batch, batch_id)
-        rows.write(fresh, batch_id)
-        spark = batch.sparkSession
-        dedup.remember(spark.read.schema(batch.schema).parquet(rows._folder("batch", batch_id)), batch_id)
+        rows.write(dedup.fresh(batch, batch_id).select(*stream.columns), batch_id)
+        dedup.remember(rows.read(batch.sparkSession).where(F.col("batch") == batch_id), batch_id)
 
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
+    return dedup.recent(stream).writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
 
 
-def read_deduplicated(spark: SparkSession, root: str, checkpoint: str, schema) -> DataFrame:
-    return BatchStore(os.path.join(root, "rows")).read(spark, batches_done(spark, checkpoint), schema)
+def read_deduplicated(spark: SparkSession, root: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(os.path.join(root, "rows")).drop("batch")
 
 
-def stream_usage_counters(stream: DataFrame, root: str, checkpoint: str):
+def stream_usage_counters(stream: DataFrame, root: str, checkpoint: str, arrived: str | None = None, delay: str = "1 hour",
+                          buckets: int = 1):
     """Daily token totals per user of successful calls, each request counted once (T5); returns the writer."""
-    dedup, daily = Deduplicator(root), BatchStore(os.path.join(root, "daily"), _merge_daily)
+    dedup, totals = Deduplicator(root, arrived, delay, buckets), PeriodTotals(os.path.join(root, "daily"), buckets)
+    columns = ["request_id", "ts", "user_id", "error_type", "input_tokens", "output_tokens", *([arrived] if arrived else [])]
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        with stage_scope(spark):
-            from quotalake.session import cut_lineage
-
-            fresh = cut_lineage(dedup.fresh(batch.select("request_id", "ts", "user_id", "error_type", "input_tokens",
-                                                         "output_tokens"), batch_id))
-            ok = fresh.where(F.col("user_id").isNotNull() & F.col("error_type").isNull())
-            daily.write(ok.groupBy("user_id", F.to_date("ts").alias("day"))
-                        .agg(F.sum(call_tokens()).cast("bigint").alias("tokens_used"), F.max("ts").alias("last_updated")), batch_id)
+        with stage_scope(batch.sparkSession):
+            fresh = cut_lineage(dedup.fresh(batch, batch_id))
+            ok = fresh.where(F.col("user_id").isNotNull() & F.col("error_type").isNull()).withColumn(
+                "day", F.coalesce(F.to_date("ts"), F.lit(NO_DAY).cast("date")))
+            parts = ok.groupBy("user_id", "day").agg(F.coalesce(F.sum(call_tokens()), F.lit(0)).cast("bigint").alias("used"),
+                                                     F.max("ts").alias("last_updated"))
+            totals.add(parts, totals.touched(ok), batch_id)
             dedup.remember(fresh, batch_id)
 
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
+    return dedup.recent(stream.select(*columns)).writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
 
 
-def read_counters(spark: SparkSession, root: str, checkpoint: str) -> DataFrame:
-    """Counters (user_email, metric_period, tokens_used, last_updated, ttl) from T1's parts."""
-    daily = BatchStore(os.path.join(root, "daily"), _merge_daily).read(spark, batches_done(spark, checkpoint), DAILY)
-    return counters_from_daily(daily.withColumnRenamed("user_id", "user_email"))
+def read_counters(spark: SparkSession, root: str) -> DataFrame:
+    """Counters (user_email, metric_period, tokens_used, last_updated, ttl) from T1's totals."""
+    daily = PeriodTotals(os.path.join(root, "daily")).read(spark)
+    return counters_from_daily(daily.selectExpr("user_id user_email", f"nullif(day, date'{NO_DAY}') day", "used tokens_used", "last_updated"))

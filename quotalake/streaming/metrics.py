@@ -1,69 +1,186 @@
-"""T2 stream_metrics and T3 stream_alarms.
-
-A micro-batch writes mergeable parts per (dims, minute, measured value):
-counts and sums, and with the value in the key a histogram from which any
-percentile is exact.  Every period is a multiple of a minute, so one stream
-serves all of them; readers merge the parts, so late rows count.
+"""T2 stream_metrics: windows emitted when they close, and again when a late row changes them.
+
+Rows are combined in the task that reads them (one row per dims, window and
+distinct value of a batch of rows), so a tenant with a third of all calls
+sends few rows on.  ``transformWithState`` keeps the windows of one day per
+key; a timer emits a window once the arrival clock has passed its end by
+``delay``, and a row that comes later still makes the window come out again
+with the next ``version``.  Readers take the newest version.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+import pickle
+from collections.abc import Iterator, Sequence
+from math import ceil, floor
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from quotalake.functions.timecols import bucket_start
-from quotalake.operators.alarms import evaluate_alarm
-from quotalake.operators.metrics import histogram_stat
-from quotalake.streaming.common import BatchStore, batches_done
-
-PART_SECONDS = 60
-
-
-def _merge(dims: Sequence[str], sums: Sequence[str]):
-    return lambda rows: rows.groupBy(*dims, "period_start", "v").agg(
-        F.sum("n").cast("bigint").alias("n"), *[F.sum(c).cast("bigint").alias(c) for c in sums])
-
-
-def metric_parts(rows: DataFrame, dims: Sequence[str], value: Column, sums: dict[str, Column]) -> DataFrame:
-    """(dims, period_start, v, n, sums...) per minute and distinct ``value``."""
-    return (rows.groupBy(*dims, bucket_start(F.col("ts"), PART_SECONDS).alias("period_start"), value.cast("bigint").alias("v"))
-            .agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(k) for k, c in sums.items()]))
-
-
-def stream_metrics(stream: DataFrame, dims: Sequence[str], value: Column, sums: dict[str, Column], root: str, checkpoint: str):
-    """Parts of a metric stream per micro-batch; returns the writer."""
-    store = BatchStore(root, _merge(dims, list(sums)))
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        store.write(metric_parts(batch, dims, value, sums), batch_id)
-
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
-
-
-def read_metrics(spark: SparkSession, root: str, checkpoint: str, dims: Sequence[str], dim_types: str,
-                 sums: Sequence[str], period_s: int) -> DataFrame:
-    """SampleCount, sums, Average, Maximum and p99 of the value per (dims, ``period_s`` period)."""
-    if period_s % PART_SECONDS:
-        raise ValueError(f"periods are multiples of {PART_SECONDS} s")
-    schema = ", ".join([*([dim_types] if dim_types else []), "period_start timestamp_ntz", "v bigint", "n bigint",
-                        *[f"{c} bigint" for c in sums]])
-    parts = BatchStore(root, _merge(dims, sums)).read(spark, batches_done(spark, checkpoint), schema)
-    counted = F.when(F.col("v").isNotNull(), F.col("n"))
-    return (parts.groupBy(*dims, bucket_start(F.col("period_start"), period_s).alias("period_start"))
-            .agg(F.sum("n").cast("bigint").alias("calls"), *[F.sum(c).cast("bigint").alias(c) for c in sums],
-                 (F.sum(F.col("v") * F.col("n")) / F.sum(counted)).alias("average"), F.max("v").alias("maximum"),
-                 histogram_stat("p99", F.col("v"), F.col("n")).alias("p99")))
-
-
-def stream_alarms(stream: DataFrame, value: Column, root: str, checkpoint: str):
-    """Parts (sum of ``value`` per minute) of an alarm's series; returns the writer."""
-    return stream_metrics(stream, [], F.lit(None).cast("bigint"), {"value": value}, root, checkpoint)
-
 
-def read_alarms(spark: SparkSession, root: str, checkpoint: str, threshold: float, period_s: int,
-                eval_periods: int = 1) -> DataFrame:
-    """The alarm (A0) on the merged series, with state and ``changed``."""
-    series = read_metrics(spark, root, checkpoint, [], "", ["value"], period_s).select("period_start", "value")
-    return evaluate_alarm(series, threshold, period_s, eval_periods)
+ARRIVAL = "_clock"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EPOCH = dt.datetime(1970, 1, 1)
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Timers and large state need the RocksDB state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def windowed(stream: DataFrame, dims: Sequence[str], value: Column, sums: dict[str, Column], periods: Sequence[int],
+             arrived: str | None) -> DataFrame:
+    """(dims, period_s, period_start, v, valued, n, sums, clock) per row and period.
+
+    The clock is the column ``arrived``, else the time of the micro-batch.
+    """
+    clock = (F.col(arrived) if arrived else F.current_timestamp()).cast("timestamp")
+    window = F.explode(F.array(*[F.struct(F.lit(p).alias("period_s"), bucket_start(F.col("ts"), p).alias("period_start")) for p in periods]))
+    v = value.cast("bigint")
+    read = stream.select(*dims, window.alias("_w"), F.coalesce(v, F.lit(0)).alias("v"), v.isNotNull().alias("valued"), F.lit(1).cast("long").alias("n"),
+                         *[F.coalesce(c.cast("bigint"), F.lit(0)).alias(k) for k, c in sums.items()], clock.alias(ARRIVAL))
+    return read.select(*dims, "_w.period_s", "_w.period_start", *[c for c in read.columns if c not in dims and c != "_w"])
+
+
+def combined(rows: DataFrame, keys: Sequence[str], sums: Sequence[str], delay: str, tops: Sequence[str] = ()) -> DataFrame:
+    """``rows`` per ``keys`` within each batch of rows a task reads: sums, maxima (``tops``) and the newest clock."""
+    keys, made = list(keys), [*[(c, "sum") for c in sums], *[(c, "max") for c in (*tops, ARRIVAL)]]
+    read = rows.select(*keys, *[c for c, _ in made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.Table.from_batches([batch]).group_by(keys).aggregate(made)
+            found = found.select([*keys, *[f"{c}_{how}" for c, how in made]]).rename_columns([*keys, *[c for c, _ in made]])
+            yield from found.combine_chunks().to_batches()
+
+    return read.mapInArrow(run, read.schema).withWatermark(ARRIVAL, delay)
+
+
+def _ms(start) -> int:
+    return int((pd.Timestamp(start).to_pydatetime() - EPOCH).total_seconds() * 1000)
+
+
+def exact_percentile(counts: dict[int, int], share: float) -> float | None:
+    """Interpolated percentile of values with counts, rounded to 6 decimals."""
+    total = sum(counts.values())
+    if not total:
+        return None
+    at = (total - 1) * share
+    low, high, seen, found = floor(at), ceil(at), 0, []
+    for v in sorted(counts):
+        seen += counts[v]
+        while len(found) < 2 and (low, high)[len(found)] < seen:
+            found.append(v)
+    return round(float(found[0]) if low == high else (high - at) * found[0] + (at - low) * found[1], 6)
+
+
+class _Windows(StatefulProcessor):
+    """The windows of one day and period of one key: counts, sums and the histogram of the value."""
+
+    def __init__(self, dims: Sequence[str], sums: Sequence[str]):
+        self.dims, self.sums = list(dims), list(sums)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("windows", "rows binary")
+
+    def _load(self) -> dict:
+        return pickle.loads(self.state.get()[0]) if self.state.exists() else {"timer": None, "windows": {}}
+
+    def _emit(self, key, had: dict, starts: list[int]) -> Iterator[pd.DataFrame]:
+        period, rows = key[len(self.dims)], []
+        for start in sorted(starts):
+            w = had["windows"][start]
+            w["version"] += 1
+            counted, hist = sum(w["hist"].values()), w["hist"]
+            rows.append([*key[:len(self.dims)], period, EPOCH + dt.timedelta(milliseconds=start), w["version"], w["n"], *w["sums"],
+                         sum(v * n for v, n in hist.items()) / counted if counted else None, max(hist, default=None),
+                         exact_percentile(hist, 0.99)])
+        if rows:
+            out = pd.DataFrame(rows, columns=[*self.dims, "period_s", "period_start", "version", "calls", *self.sums, "average", "maximum", "p99"])
+            yield out.astype({"period_s": "int32", "version": "int32", "calls": "int64", "maximum": "Int64", **{c: "int64" for c in self.sums}})
+
+    def _wait(self, had: dict, period: int) -> None:
+        """One timer, at the end of the first window that was never emitted."""
+        waiting = [s + period * 1000 for s, w in had["windows"].items() if not w["version"]]
+        first = min(waiting, default=None)
+        if first != had["timer"]:
+            if had["timer"] is not None:
+                self.handle.deleteTimer(had["timer"])
+            if first is not None:
+                self.handle.registerTimer(first)
+            had["timer"] = first
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        had, touched, period = self._load(), set(), key[len(self.dims)]
+        for pdf in rows:
+            for r in pdf.itertuples(index=False):
+                if pd.isna(r.period_start):  # a tick of the clock, or a row without a time
+                    continue
+                start = _ms(r.period_start)
+                w = had["windows"].setdefault(start, {"n": 0, "sums": [0] * len(self.sums), "hist": {}, "version": 0})
+                w["n"] += int(r.n)
+                w["sums"] = [a + int(getattr(r, c)) for a, c in zip(w["sums"], self.sums)]
+                if r.valued:
+                    w["hist"][int(r.v)] = w["hist"].get(int(r.v), 0) + int(r.n)
+                touched.add(start)
+        if not touched:
+            return
+        now = timerValues.getCurrentWatermarkInMs()
+        # Windows that were emitted, or closed before their first row came, come out at once.
+        yield from self._emit(key, had, [s for s in touched if had["windows"][s]["version"] or s + period * 1000 <= now])
+        self._wait(had, period)
+        self.state.update((pickle.dumps(had),))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        had, period, now = self._load(), key[len(self.dims)], timerValues.getCurrentWatermarkInMs()
+        had["timer"] = None
+        yield from self._emit(key, had, [s for s, w in had["windows"].items() if not w["version"] and s + period * 1000 <= now])
+        self._wait(had, period)
+        self.state.update((pickle.dumps(had),))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_metrics(stream: DataFrame, dims: Sequence[str], value: Column, sums: dict[str, Column], root: str, checkpoint: str,
+                   periods: Sequence[int] = (60, 300, 3600, 86400), arrived: str | None = None, delay: str = "10 minutes"):
+    """Counts, sums, average, maximum and p99 of ``value`` per (dims, window) of each period in seconds; returns the writer.
+
+    A window comes out once ``delay`` after its end on the clock of arrival
+    (the column ``arrived`` in whose order the stream delivers, else the time
+    of the micro-batch), and again with the next version when a row comes
+    later; windows without new rows are not written again.  Rows without a
+    time belong to no window; one with a later arrival than all others moves
+    the clock.  State is one entry per key, period and day, for ever.
+    """
+    keep_state_on_disk(stream.sparkSession)
+    if any(86400 % p for p in periods):
+        raise ValueError("periods divide a day")
+    rows = windowed(stream, dims, value, sums, periods, arrived)
+    parts = combined(rows, [*dims, "period_s", "period_start", "v", "valued"], ["n", *sums], delay)
+    types = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
+    out = ", ".join([*[f"`{d}` {types[d]}" for d in dims], "period_s int", "period_start timestamp_ntz", "version int", "calls bigint",
+                     *[f"`{c}` bigint" for c in sums], "average double", "maximum bigint", "p99 double"])
+    found = (parts.withColumn("day", F.to_date("period_start")).groupBy(*dims, "period_s", "day")
+             .transformWithStateInPandas(_Windows(dims, list(sums)), out, "append", "eventTime"))
+    return (found.writeStream.format("parquet").partitionBy("period_s").option("path", root)
+            .option("checkpointLocation", checkpoint).outputMode("append"))
+
+
+def read_versions(spark: SparkSession, root: str, period_s: int) -> DataFrame:
+    """Everything that was emitted for a period."""
+    return spark.read.parquet(root).where(F.col("period_s") == period_s).drop("period_s")
+
+
+def read_metrics(spark: SparkSession, root: str, dims: Sequence[str], period_s: int) -> DataFrame:
+    """The newest version of every window of a period."""
+    rows = read_versions(spark, root, period_s)
+    rest = [c for c in rows.columns if c not in (*dims, "period_start", "version")]
+    return (rows.groupBy(*dims, "period_start").agg(F.max_by(F.struct(*rest), "version").alias("w"))
+            .select(*dims, "period_start", "w.*"))

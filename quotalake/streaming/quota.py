@@ -2,8 +2,10 @@
 
 Each micro-batch applies the batch replay rules (K8: chunked prefix sums, so
 a user with a third of the calls is spread over many tasks) on top of the
-usage accepted by earlier batches.  That usage is stored as per-batch parts
-by period: a late call, however old its day, meets the usage of that day.
+usage accepted by earlier batches.  That usage is one row per user and day,
+in partitions by month and user bucket of which a batch reads and replaces
+those it touches: a late call, however old its day, meets the usage of that
+day.
 Equals K8 for input in time order; other calls are decided on arrival.
 """
 
@@ -19,60 +21,46 @@ from quotalake.functions.timecols import bucket_start
 from quotalake.operators.alarms import evaluate_alarm
 from quotalake.operators.quota import decide_calls, prepare_calls, rejected_calls
 from quotalake.session import stage_scope
-from quotalake.streaming.common import BatchStore, batches_done
+from quotalake.streaming.common import BatchTable, PeriodTotals
 
-USAGE = "user_id string, kind string, used bigint, period date"
 DECISIONS = ("request_id string, ts timestamp_ntz, user_id string, enforcement_mode string, monthly_limit bigint, "
              "daily_limit bigint, metric_monthly_limit bigint, tokens bigint, allowed boolean, charged_tokens bigint, "
              "monthly_usage bigint, daily_usage bigint, status int")
 Dimensions = Callable[[], tuple[DataFrame, DataFrame]]
 
 
-def _merge_usage(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("user_id", "kind", "period").agg(F.sum("used").cast("bigint").alias("used"))
-
-
-def _periods(rows: DataFrame, value: str) -> DataFrame:
-    """(user_id, kind, period, used) of the months and days of ``rows``."""
-    return rows.select("user_id", F.explode(F.array(
-        F.struct(F.lit("m").alias("kind"), F.trunc(F.to_date("ts"), "MM").alias("period"), F.col(value).alias("used")),
-        F.struct(F.lit("d").alias("kind"), F.to_date("ts").alias("period"), F.col(value).alias("used")))).alias("x")).select("user_id", "x.*")
-
-
-def stream_quota_decisions(calls_stream: DataFrame, dimensions: Dimensions, root: str, checkpoint: str, chunk_seconds: int = 60):
+def stream_quota_decisions(calls_stream: DataFrame, dimensions: Dimensions, root: str, checkpoint: str, chunk_seconds: int = 60,
+                           buckets: int = 4):
     """T4; returns the writer.
 
     ``dimensions`` returns (users, policies); it is called for every batch,
     so a changed limit takes effect with the next batch.  Calls without a
     user id and of unknown users get their 400 and 404 rows.
     """
-    usage = BatchStore(os.path.join(root, "usage"), _merge_usage, ["period"])
-    decisions = BatchStore(os.path.join(root, "decisions"))
+    usage, decisions = PeriodTotals(os.path.join(root, "usage"), buckets), BatchTable(os.path.join(root, "decisions"), DECISIONS)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         with stage_scope(spark):
             base = prepare_calls(batch, *dimensions())
-            known = base.where("status is null")
-            periods = [r.day for r in batch.select(F.explode(F.array(F.to_date("ts"), F.trunc(F.to_date("ts"), "MM")))
-                                                   .alias("day")).distinct().collect()]  # of one micro-batch
-            earlier = _merge_usage(usage.before(spark, batch_id, USAGE).where(F.col("period").isin(periods or [None])))
-            carry = {k: earlier.where(F.col("kind") == k).select("user_id", F.col("period").alias(c), F.col("used").alias(v))
-                     for k, c, v in (("m", "_month", "_carry_m"), ("d", "_day", "_carry_d"))}
-            known = (known.join(carry["m"], ["user_id", "_month"], "left").join(carry["d"], ["user_id", "_day"], "left")
+            touched = usage.touched(batch.select("user_id", F.to_date("ts").alias("day")).where("user_id is not null"))
+            earlier = usage.before(spark, touched, batch_id)
+            months = earlier.groupBy("user_id", F.col("month").alias("_month")).agg(F.sum("used").cast("bigint").alias("_carry_m"))
+            days = earlier.select("user_id", F.col("day").alias("_day"), F.col("used").alias("_carry_d"))
+            known = (base.where("status is null").join(months, ["user_id", "_month"], "left").join(days, ["user_id", "_day"], "left")
                      .fillna(0, ["_carry_m", "_carry_d"]))
             decided = decide_calls(known, chunk_seconds).unionByName(rejected_calls(base), allowMissingColumns=True)
-            names = [c.split()[0] for c in DECISIONS.split(", ")]
-            decisions.write(decided.select(*names), batch_id)
-            done = spark.read.schema(DECISIONS).parquet(decisions._folder("batch", batch_id))
-            accepted = _merge_usage(_periods(done.where("charged_tokens is not null"), "charged_tokens"))
-            usage.write(accepted.select("user_id", "kind", "used", "period"), batch_id)
+            decisions.write(decided.select(*[c.split()[0] for c in DECISIONS.split(", ")]), batch_id)
+            done = decisions.read(spark).where((F.col("batch") == batch_id) & F.col("charged_tokens").isNotNull())
+            accepted = done.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+                F.sum("charged_tokens").cast("bigint").alias("used"), F.max("ts").alias("last_updated"))
+            usage.add(accepted, touched, batch_id)
 
     return calls_stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
 
 
-def read_decisions(spark: SparkSession, root: str, checkpoint: str) -> DataFrame:
-    return BatchStore(os.path.join(root, "decisions")).read(spark, batches_done(spark, checkpoint), DECISIONS)
+def read_decisions(spark: SparkSession, root: str) -> DataFrame:
+    return BatchTable(os.path.join(root, "decisions"), DECISIONS).read(spark).drop("batch")
 
 
 def read_quota_alarm(decisions: DataFrame, threshold: float = 80.0, period_s: int = 300) -> DataFrame:
