@@ -399,19 +399,18 @@ def _alarm_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run_decisions(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
-    """T4 over the call log in three slices of time, each appended and then processed; returns the decisions."""
+    """T4 over the call log in three slices of time, one micro-batch each; returns the decisions."""
     rows = calls(spark, sf_dir)
     paths = [derived_path(spark, name, _events_path(sf_dir), lambda b=build: b(spark, sf_dir))
              for name, build in (("user_metadata", fx.user_metadata), ("quota_policies", fx.quota_policies))]
 
     span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     cuts = [span.lo + (span.hi - span.lo) * k / 3 for k in (1, 2)]
-    slices = [F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]]
-    for part in slices:
-        rows.where(part).write.mode("append").parquet(out + "/calls")
-        SC.run_until_caught_up(ST4.stream_quota_decisions(
-            SC.file_stream(spark, out + "/calls", rows), lambda: tuple(map(spark.read.parquet, paths)),
-            out + "/sink", out + "/checkpoint"))
+    for part in (F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]):
+        rows.where(part).repartition(1).write.mode("append").parquet(out + "/calls")
+    SC.run_until_caught_up(ST4.stream_quota_decisions(
+        SC.file_stream(spark, out + "/calls", rows, max_files_per_trigger=1), lambda: tuple(map(spark.read.parquet, paths)),
+        out + "/sink", out + "/checkpoint"))
     return ST4.read_decisions(spark, out + "/sink")
 
 
