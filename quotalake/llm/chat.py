@@ -47,8 +47,14 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     first ``n_repeated`` turns of a window were new in an earlier one: the
     conversation's opening system turn, then turns of the window before that
     begin within its last ``history`` tokens.  A window holds ``budget``
-    tokens or less beside the repeated ones, except where a single turn has
-    more than half of that; turns are never cut or dropped.
+    tokens or less, repeated ones included.  A turn that would not fit beside
+    system turn and history has a window of its own without history; only
+    where system turn and turn alone have more does a window hold more, as
+    turns are never cut or dropped.
+
+    New tokens are dealt out by prefix sums: with ``cap`` tokens left beside
+    system turn and history, a window opens at every half of ``cap``, and
+    around every turn of more than that; so none holds more than ``cap``.
 
     Rows are taken by turn, then role, then text (nulls first); null role or
     text counts as empty; repeated rows are turns of their own; null conv_ids
@@ -58,19 +64,23 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     whole = Window.partitionBy("conv_id")
     order = whole.orderBy("turn", "role", "text", "salt")
-    step = max(1, budget // 2)
+    opening = (F.col("no") == 1) & (F.col("role") == KEPT_ROLE)
     rows = (turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.monotonically_increasing_id().alias("salt"))
             .withColumn("tokens", F.regexp_count("text", F.lit(PIECE)) + TURN_OVERHEAD)
             .withColumn("before", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens"))
             .withColumn("no", F.row_number().over(order))
-            .withColumn("bucket", F.floor(F.col("before") / step))
-            .withColumn("opens", F.coalesce(F.col("bucket") != F.lag("bucket").over(order), F.lit(True)).cast("int"))
+            .withColumn("kept", F.first(F.when(opening, F.col("tokens")).otherwise(0)).over(order))
+            .withColumn("cap", F.greatest(F.lit(budget - history) - F.col("kept"), F.lit(1)))
+            .withColumn("half", F.greatest(F.expr("cap div 2"), F.lit(1)))
+            .withColumn("large", ~opening & (F.col("tokens") > F.col("cap") - F.col("half")))
+            .withColumn("bucket", F.expr("greatest(before - kept, 0) div half"))
+            .withColumn("opens", ((F.col("no") == 1) | (F.col("bucket") != F.lag("bucket").over(order)) | F.col("large")
+                                  | F.lag("large").over(order)).cast("int"))
             .withColumn("window", F.sum("opens").over(order) - 1)
-            .withColumn("next_start", F.min(F.when(F.col("opens") == 1, F.col("before")))
+            .withColumn("next", F.min(F.when(F.col("opens") == 1, F.struct("before", "tokens")))
                         .over(order.rowsBetween(1, Window.unboundedFollowing)))
             .withColumn("last", F.max("window").over(whole.orderBy("no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    opening = (F.col("no") == 1) & (F.col("role") == KEPT_ROLE)
-    recent = (F.col("next_start").isNotNull()) & (F.col("before") >= F.col("next_start") - history)
+    recent = F.col("next").isNotNull() & (F.col("before") >= F.col("next.before") - history) & (F.col("next.tokens") <= F.col("cap"))
     copies = F.when(opening, F.expr("sequence(window, last)")).when(recent, F.expr("array(window, window + 1)")) \
         .otherwise(F.array("window"))
     head = F.concat(F.lit(OPEN), escaped(F.col("role"), ROLE_ESCAPES), F.lit(HEAD_END))

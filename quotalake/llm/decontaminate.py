@@ -28,8 +28,6 @@ MASKS = {
     13: ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))}
 # Items with fewer words are no evidence.
 LEAST_WORDS = min(MASKS)
-# What n_hits counts, as OP3 does: hits of these masks over COUNTED words at every second word of the document.
-COUNTED, COUNTED_MASKS = 8, ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7), (0, 1, 2, 4, 5, 7))
 OVERLAP = 13
 SIMILARITY = 0.8
 # Benchmark seeds sent to every task at once; a larger benchmark is met in parts of this size.
@@ -53,13 +51,12 @@ def _seeds(words: DataFrame, masks: list[tuple[int, ...]], keep: list[str]) -> D
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, part_seeds: int = PART_SEEDS) -> DataFrame:
-    """(doc_id, row, item_id, matched, overlap, n_hits): documents that hold a passage of an item.
+    """(doc_id, row, item_id, matched, overlap): documents that hold a passage of an item.
 
     One row per input row of ``docs(doc_id, row, text)`` and item with a
     window of ``OVERLAP`` words (all words of a shorter item) of which at
-    least ``SIMILARITY`` are equal: the most equal words, the window's size
-    and the number of hits that OP3 counts in such windows, 0 where the
-    passage has none.  ``row`` tells input rows with equal doc_ids apart.
+    least ``SIMILARITY`` are equal: the most equal words and the window's
+    size.  ``row`` tells input rows with equal doc_ids apart.
     Items with fewer than ``LEAST_WORDS`` words are no evidence.  Documents'
     words never leave the task that scans them, but for the few around a hit.
     """
@@ -94,22 +91,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, part_seeds: int = PART_SEEDS
     # Bound to a name inside the expression, so that the comparison is made once and not for every window.
     equal = "transform(sequence(first, last + window - 1), i -> coalesce(get(item, i) = get(some, shift + i - base), false))"
     count = "transform(sequence(0, last - first), s -> size(filter(slice(e, s + 1, window), x -> x)))"
-    scored = near.withColumn("found", F.expr(f"transform(array({equal}), e -> struct(e as equal, {count} as matched))[0]"))
+    scored = near.withColumn("found", F.expr(f"transform(array({equal}), e -> {count})[0]"))
     wanted = F.ceil(F.col("window") * F.lit(SIMILARITY)).cast("int")
-    whole = " + ".join("if({}, 1, 0)".format(" and ".join(f"found.equal[p + {k}]" for k in mask)) for mask in COUNTED_MASKS)
-    n_hits = F.expr(f"""if(window < {COUNTED}, 0, aggregate(
-        filter(sequence(0, last - first + window - {COUNTED}), p -> pmod(first + p + shift, 2) = 0
-               and exists(passed, s -> s <= p and s + window >= p + {COUNTED})),
-        0, (n, p) -> n + {whole}))""")
-    passed = F.expr("filter(sequence(0, last - first), s -> found.matched[s] >= wanted)")
-    return (scored.withColumn("matched", F.array_max("found.matched")).withColumn("wanted", wanted)
-            .where("matched >= wanted").withColumn("passed", passed).withColumn("n_hits", n_hits)
-            .groupBy("doc_id", "row", "item_id")
-            .agg(F.max("matched").alias("matched"), F.max("window").alias("overlap"), F.sum("n_hits").alias("n_hits")))
+    return (scored.select("doc_id", "row", "item_id", "window", F.array_max("found").alias("matched")).where(F.col("matched") >= wanted)
+            .groupBy("doc_id", "row", "item_id").agg(F.max("matched").alias("matched"), F.max("window").alias("overlap")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, matched, overlap, n_hits of every document and item that overlap.
+    """doc_id, item_id, matched, overlap of every document and item that overlap.
 
     Null, empty and short texts overlap nothing; rows with a null doc_id are
     found like any other; repeated rows count once per (doc_id, item_id);
@@ -117,7 +106,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     no rows.
     """
     return (overlaps(docs.select("doc_id", F.lit(0).alias("row"), "text"), benchmark)
-            .select("doc_id", "item_id", "matched", "overlap", "n_hits"))
+            .select("doc_id", "item_id", "matched", "overlap"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -27,24 +27,27 @@ SELECT line.doc_id, count(*)::INTEGER AS n_lines, count(*) FILTER (gone)::INTEGE
 FROM line LEFT JOIN judged USING (doc_id, line) GROUP BY line.doc_id
 """
 
-OP3 = r"""
+# A window with so few changed words has a run of this many equal words, by its size (pigeonhole): texts and items are laid
+# against each other wherever they share such a run, and there every window is compared word by word.
+_RUNS = "[NULL, NULL, 3, 4, 2, 3, 3, 4, 4, 3, 3, 4, 4]"
+
+OP3 = rf"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-masks AS (SELECT unnest([[1,2,4,5,7,8], [1,3,4,6,7,8], [1,2,3,5,6,8]]) AS m),
-ds AS (SELECT doc_id, p, m, list_transform(m, lambda k: w[p + k]) AS seed
-       FROM (SELECT doc_id, w, unnest(range(0, len(w) - 7, 2)) AS p FROM d) t, masks),
-bs AS (SELECT DISTINCT item_id, p, m, list_transform(m, lambda k: w[p + k]) AS seed
-       FROM (SELECT item_id, w, unnest(range(0, len(w) - 7)) AS p FROM b) t, masks),
-hit AS (SELECT ds.doc_id, bs.item_id, ds.p AS doc_at, bs.p AS item_at FROM ds JOIN bs ON ds.m = bs.m AND ds.seed = bs.seed),
-wide AS (SELECT hit.*, d.w AS w, b.w AS item, least(13, len(b.w)) AS win FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)),
-scored AS (
-  SELECT doc_id, item_id, win, list_max(list_transform(
-    range(greatest(0, item_at + 8 - win), least(item_at, len(item) - win) + 1),
-    lambda s: len(list_filter(range(0, win), lambda i: doc_at - item_at + s + i >= 0 AND item[s + i + 1] = w[doc_at - item_at + s + i + 1])))) AS matched
-  FROM wide)
-SELECT doc_id, item_id, max(matched)::INTEGER AS matched, max(win)::INTEGER AS overlap, count(*) AS n_hits
-FROM scored WHERE matched >= ceil(win * 0.8) GROUP BY doc_id, item_id
+  SELECT row_number() OVER () AS id, doc_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (
+  SELECT *, least(13, len(item)) AS n, {_RUNS}[least(13, len(item))] AS run FROM (
+    SELECT row_number() OVER () AS no, item_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS item FROM benchmark)
+  WHERE len(item) >= 3),
+runs AS (SELECT DISTINCT run FROM b),
+item_run AS (SELECT no, run, p, item[p + 1:p + run] AS words FROM (SELECT *, unnest(range(0, len(item) - run + 1)) AS p FROM b)),
+doc_run AS (SELECT id, run, p, w[p + 1:p + run] AS words FROM (SELECT id, w, run, unnest(range(0, len(w) - run + 1)) AS p FROM d, runs)),
+laid AS (SELECT DISTINCT id, no, doc_run.p - item_run.p AS shift FROM doc_run JOIN item_run USING (run, words)),
+compared AS (
+  SELECT doc_id, item_id, n, list_max(list_transform(range(0, len(item) - n + 1),
+    lambda s: len(list_filter(range(0, n), lambda i: shift + s + i >= 0 AND item[s + i + 1] = w[shift + s + i + 1])))) AS matched
+  FROM laid JOIN d USING (id) JOIN b USING (no))
+SELECT doc_id, item_id, max(matched)::INTEGER AS matched, max(n)::INTEGER AS overlap
+FROM compared WHERE 5 * matched >= 4 * n GROUP BY doc_id, item_id
 """
 
 OP8 = rf"""
@@ -88,13 +91,17 @@ n AS (SELECT *, len(regexp_extract_all(text, '\p{{L}}{{1,6}}|\p{{N}}{{1,3}}|[^\s
              length(role) + 8 + length({_escape('text')}) + 8 AS chars FROM t),
 p AS (SELECT *, coalesce(sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
              row_number() OVER w AS no FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-b AS (SELECT *, before // 512 AS bucket FROM p),
-win AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY bucket) AS win FROM b),
-opens AS (SELECT conv_id, win, min(before) AS start FROM win GROUP BY ALL),
+sys AS (SELECT conv_id, CASE WHEN role = 'system' THEN tokens ELSE 0 END AS kept FROM p WHERE no = 1),
+c AS (SELECT p.*, kept, greatest(1024 - 128 - kept, 1) AS cap FROM p JOIN sys USING (conv_id)),
+b AS (SELECT *, greatest(before - kept, 0) // greatest(cap // 2, 1) AS bucket,
+             NOT (no = 1 AND role = 'system') AND tokens > cap - greatest(cap // 2, 1) AS large FROM c),
+o AS (SELECT *, no = 1 OR bucket <> lag(bucket) OVER w OR large OR lag(large) OVER w AS opens FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY no)),
+win AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY conv_id ORDER BY no) AS win FROM o),
+opens AS (SELECT conv_id, win, before AS start, tokens AS first_tokens FROM win WHERE opens),
 last AS (SELECT conv_id, max(win) AS last FROM win GROUP BY ALL),
 size AS (
   SELECT win.conv_id, sum(chars * CASE WHEN no = 1 AND role = 'system' THEN last - win.win + 1
-                                       WHEN opens.start IS NOT NULL AND before >= opens.start - 128 THEN 2 ELSE 1 END) AS chars
+                                       WHEN opens.start IS NOT NULL AND before >= opens.start - 128 AND first_tokens <= cap THEN 2 ELSE 1 END) AS chars
   FROM win JOIN last USING (conv_id) LEFT JOIN opens ON opens.conv_id = win.conv_id AND opens.win = win.win + 1 GROUP BY 1)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,

@@ -1,7 +1,9 @@
 import hashlib
+import random
 
 import duckdb
 import pytest
+import regex
 
 from quotalake.llm import chat
 from quotalake.llm.queries import PROBE
@@ -54,6 +56,33 @@ def test_windows(turns):
     assert any(w.n_repeated > 1 for w in own)
 
 
+def size(text):
+    return len(regex.findall(r"\p{L}{1,6}|\p{N}{1,3}|[^\s\p{L}\p{N}]", text)) + chat.TURN_OVERHEAD
+
+
+@pytest.mark.parametrize("budget,history,kept", [(100, 30, 0), (100, 30, 20), (400, 100, 60), (60, 50, 30)])
+def test_no_window_has_more_than_the_budget(spark, budget, history, kept):
+    """Short, long and oversized turns: system turn and history are charged; only an unavoidable window is over."""
+    rng = random.Random(budget + kept)
+    rows = []
+    for conv in range(6):
+        sizes = [rng.choice([0, 3, 9, 20, 25, 55, budget]) for _ in range(80)]
+        rows += [(conv, 0, "system", "s " * kept)] if kept else []
+        rows += [(conv, k + 1, ["user", "assistant"][k % 2], "w " * n) for k, n in enumerate(sizes)]
+    found = chat.format_windows(spark.createDataFrame(rows, SCHEMA.split(", `")[0]), budget, history).collect()
+    system = kept + chat.TURN_OVERHEAD if kept else 0
+    over = 0
+    for w in found:
+        turns = [t.split(">\n", 1)[1] for t in w.text.split("</turn>\n")[:-1]]
+        total = sum(map(size, turns))
+        if total > budget:
+            over += 1
+            assert w.n_new == 1 and total == (system if w.n_repeated else 0) + size(turns[-1]) and w.n_repeated == (kept > 0)
+    assert len(found) > 50 and (over > 0) == (budget + chat.TURN_OVERHEAD + system > budget)
+    used = [sum(size(t.split(">\n", 1)[1]) for t in w.text.split("</turn>\n")[:-1]) for w in found]
+    assert any(u > budget // 2 for u in used)
+
+
 def test_empty(spark):
     assert chat.format_windows(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -2,7 +2,10 @@ import random
 from itertools import combinations
 from math import ceil
 
+import duckdb
+
 from quotalake.llm import decontaminate
+from quotalake.llm.sql import ORACLES
 from tests.llm.conftest import prose
 
 
@@ -83,6 +86,25 @@ def test_every_place_and_every_allowed_change_is_found(spark):
     assert len(found) == len(expected)
 
 
+def test_sql_finds_what_lies_off_stride_and_short_items(spark):
+    """OP3's SQL against the operator: short items, two changes, odd places, equal ids, items cut at a document's ends."""
+    rng = random.Random(8)
+    items = [(n, prose(rng, n, 90)) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 30)] + [(30, "twice " + prose(rng, 9)), (50, None)]
+    rows = [(1, "a b c " + items[7][1] + " d"), (2, "a " + items[4][1]), (2, prose(rng, 40)), (None, items[3][1]), (60, None), (61, "")]
+    for k in range(150):
+        words = items[rng.randrange(2, 16)][1].split()
+        for at in rng.sample(range(len(words)), min(len(words), rng.randrange(4))):
+            words[at] = "new"
+        rows.append((100 + k, " ".join(prose(rng, rng.randrange(4), 90).split() + words[rng.randrange(2):] + ["z"] * rng.randrange(3))))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    con.register("benchmark", benchmark.toPandas())
+    want = sorted(con.execute(ORACLES["op3_decontaminate"]).fetchall(), key=str)
+    got = decontaminate.contaminated(docs, benchmark).select("doc_id", "item_id", "matched", "overlap").collect()
+    assert sorted(map(tuple, got), key=str) == want and len(want) > 60
+
+
 def test_empty_tables(no_docs, odd_docs, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "item_id long, text string")
