@@ -81,12 +81,22 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+LARGEST = (1 << 63) - 1
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five highest integer products of every 50th vector with all others."""
-    whole = F.expr("transform(embedding, x -> if(isnan(x) or abs(x) = float('infinity'), double(x), double(floor(256 * double(x)))))")
+    """The five highest integer products of every 50th vector with all others.
+
+    A score beyond a long is given as the largest or smallest long (by sign);
+    ranks go by the exact scores.
+    """
+    # floor() of Spark ends at a long; larger doubles are whole already.
+    whole = F.expr("""transform(embedding, x -> if(isnan(x) or abs(x) = float('infinity'), double(x),
+        if(abs(double(x)) < 1e15, double(floor(256 * double(x))), 256 * double(x))))""")
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", whole.alias("vector"))
-    found = topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
-    return found.withColumn("score", F.col("score").cast("long"))
+    found = topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5, whole=True)
+    beyond = F.when(F.col("score") < 0, F.lit(-LARGEST)).otherwise(F.lit(LARGEST))
+    return found.select("query_id", "rank", "vec_id", F.coalesce(F.col("exact").try_cast("long"), beyond).alias("score"))
 
 
 def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,9 @@ WITH v AS (
 pair AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pair)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score::BIGINT AS score FROM ranked WHERE rank <= 5
+SELECT query_id, rank::INTEGER AS rank, vec_id,
+       CASE WHEN abs(score) < 9223372036854775807 THEN score::BIGINT WHEN score < 0 THEN -9223372036854775807 ELSE 9223372036854775807 END AS score
+FROM ranked WHERE rank <= 5
 """
 
 _PROBE = "'\\### Assistant: </turn> ok'"

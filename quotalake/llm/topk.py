@@ -30,6 +30,10 @@ MAX_WIDTH = 4_096
 BLOCKS = "block long, longest double, ids binary, asks binary, data binary"
 # Slack of the bounds against rounding, relative to the product of the lengths.
 SLACK = 1e-9
+# A shard of queries meets the blocks in so many groups, each of which can be a task of its own.
+GROUPS = 64
+# Products of whole vectors whose lengths multiply to less than this are exact in doubles.
+EXACT = float(1 << 52)
 
 
 def _matrix(raw: bytes, width: int) -> np.ndarray:
@@ -79,14 +83,40 @@ def _axes(blocks: DataFrame, width: int) -> np.ndarray:
     return np.linalg.eigh(gram.reshape(width, width))[1][:, ::-1].copy()
 
 
+def sortable(score: int) -> str:
+    """Text of a whole number of any size that sorts like the number."""
+    digits = str(abs(score))
+    if score >= 0:
+        return f"p{len(digits):06d}{digits}"
+    return f"n{999_999 - len(digits):06d}{digits.translate(str.maketrans('0123456789', '9876543210'))}"
+
+
+def _products(q: np.ndarray, x: np.ndarray, whole: bool) -> np.ndarray:
+    """Row by row products; of ``whole`` vectors as Python integers where doubles would round."""
+    found = np.einsum("ij,ij->i", q, x)
+    if not whole:
+        return found
+    large = np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)) >= EXACT
+    found = np.array([*map(int, np.where(large, 0, found))], dtype=object)
+    for n in np.flatnonzero(large):
+        found[n] = sum(int(a) * int(b) for a, b in zip(q[n], x[n]))
+    return found
+
+
 class _Best:
-    """The k best (score, smaller id first) of each query of a block, filled from batches of candidates."""
+    """The k best (score, smaller id first) of each query of a block, filled from batches of candidates.
 
-    def __init__(self, n: int, k: int):
+    With ``whole``, scores are Python integers, and ``floor`` has the k-th as doubles.
+    """
+
+    def __init__(self, n: int, k: int, whole: bool = False):
         self.k = k
-        self.score = np.full((n, k), -np.inf)
+        self.score = np.full((n, k), -np.inf, dtype=object if whole else float)
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
 
+    def floor(self) -> np.ndarray:
+        return self.score[:, -1].astype(float)
+
     def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         if not len(query):
             return
@@ -94,7 +124,10 @@ class _Best:
         query = np.concatenate([query, np.repeat(touched, self.k)])
         ids = np.concatenate([ids, self.ids[touched].ravel()])
         score = np.concatenate([score, self.score[touched].ravel()])
-        order = np.lexsort((ids, -score, query))
+        if score.dtype == object:
+            order = np.array(sorted(range(len(query)), key=lambda r: (query[r], -score[r], ids[r])))
+        else:
+            order = np.lexsort((ids, -score, query))
         query = query[order]
         rank = np.arange(len(query)) - np.searchsorted(query, query, side="left")
         keep = rank < self.k
@@ -104,13 +137,13 @@ class _Best:
 
 
 def _search(best: _Best, q: np.ndarray, q_turned: np.ndarray, x: np.ndarray, x_turned: np.ndarray,
-            ids: np.ndarray, own: np.ndarray, floor: np.ndarray, stops: list[int]) -> None:
+            ids: np.ndarray, own: np.ndarray, floor: np.ndarray, stops: list[int], whole: bool = False) -> None:
     """Adds to ``best`` all of x that may be among the queries' k best; ``own``: a query's row of x, or -1."""
     q_left = [np.sqrt((q_turned[:, s:] ** 2).sum(1)) for s in [0, *stops]]
     for k in range(0, len(x), STEP):
         some, turned = x[k:k + STEP], x_turned[k:k + STEP]
         left = [np.sqrt((turned[:, s:] ** 2).sum(1)) for s in [0, *stops]]
-        need = np.maximum(floor, best.score[:, -1]) - SLACK * (q_left[0] * left[0].max() + 1)
+        need = np.maximum(floor, best.floor()) - SLACK * (q_left[0] * left[0].max() + 1)
         live = np.flatnonzero(q_left[0] * left[0].max() >= need)
         if not len(live):
             continue
@@ -123,7 +156,7 @@ def _search(best: _Best, q: np.ndarray, q_turned: np.ndarray, x: np.ndarray, x_t
             part, i, j = part[keep], i[keep], j[keep]
         keep = own[i] != j + k
         i, j = i[keep], j[keep]
-        best.add(i, ids[k:k + STEP][j], np.einsum("ij,ij->i", q[i], some[j]))
+        best.add(i, ids[k:k + STEP][j], _products(q[i], some[j], whole))
 
 
 def _questions(blocks: DataFrame, width: int, k: int, shards: int) -> DataFrame:
@@ -161,7 +194,7 @@ def _questions(blocks: DataFrame, width: int, k: int, shards: int) -> DataFrame:
             .withColumn("shard", F.pmod(F.xxhash64("block", "at"), F.lit(shards)).cast("int")))
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int, whole: bool = False) -> DataFrame:
     """The ``k`` rows with the largest inner product for each row where ``queries`` holds.
 
     ``vectors(vec_id, vector array<double>)``; returns query_id, rank (from 1),
@@ -170,26 +203,33 @@ def top_k(vectors: DataFrame, queries: Column, k: int) -> DataFrame:
     their own.  Vectors that are null or hold null or non-finite components
     take no part, nor do rows with a null vec_id; a shorter vector counts as
     if filled up with zeros, an empty one as zero.  Other columns are ignored;
-    an empty table gives no rows.  Products of integers are exact up to 2**53.
+    an empty table gives no rows.  With ``whole``, all components are whole
+    numbers of any size, products are exact, and ``exact`` has their digits.
+    The sum of a vector's squares must be a finite double.
     """
     sane = F.expr("vec_id is not null and vector is not null and not exists(vector, x -> x is null or isnan(x) "
                   "or abs(x) = double('infinity'))")
     rows = (vectors.withColumn("asks", F.coalesce(queries, F.lit(False))).select("vec_id", "vector", "asks")
             .where(F.coalesce(sane, F.lit(False)))
             .withColumn("length", F.expr("aggregate(vector, double(0), (s, x) -> s + x * x)")))
-    shape = rows.agg(F.max(F.size("vector")).alias("width"), F.count_if("asks").alias("asked")).first()
+    shape = rows.agg(F.max(F.size("vector")).alias("width"), F.count_if("asks").alias("asked"), F.max("length").alias("longest")).first()
     width = max(1, shape.width or 1)
     if width > MAX_WIDTH:
         raise ValueError(f"vectors are longer than {MAX_WIDTH}")
+    large = whole and (shape.longest or 0) >= EXACT
     blocks = stored(_longest_first(rows, width))
     axes = _axes(blocks, width)
     shards = max(1, ceil(shape.asked / QUERY_BLOCK))
-    asked = (_questions(blocks, width, k, shards).groupBy("shard")
-             .agg(F.min("reach").alias("reach"), F.collect_list(F.struct("block", "at", "query_id", "floor", "vector"))
-                  .alias("asked")))  # a hash share of the queries, about QUERY_BLOCK rows
-    pairs = (blocks.select("block", "longest", "ids", "data")
-             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-             .join(asked, "shard").where(F.col("longest") * (1 + SLACK) + SLACK >= F.col("reach")))
+    group = F.pmod(F.xxhash64("block"), F.lit(GROUPS)).cast("int").alias("group")
+    asked = stored(_questions(blocks, width, k, shards).groupBy("shard")
+                   .agg(F.min("reach").alias("reach"), F.collect_list(F.struct("block", "at", "query_id", "floor", "vector"))
+                        .alias("asked")))  # a hash share of the queries, about QUERY_BLOCK rows
+    # Which block meets which shard is settled on ids and lengths; only then do the vectors follow.
+    meets = (blocks.select("block", "longest").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+             .join(asked.select("shard", "reach"), "shard").where(F.col("longest") * (1 + SLACK) + SLACK >= F.col("reach"))
+             .select("block", "shard"))
+    pairs = (blocks.select("block", "ids", "data", group).join(meets, "block")
+             .join(asked.select("shard", "asked", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("group")), ["shard", "group"]))
     stops = sorted({max(1, width // 4), max(1, width // 2), width})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,15 +240,20 @@ def top_k(vectors: DataFrame, queries: Column, k: int) -> DataFrame:
                 q_block, q_at, q_id, floor = (asked.field(c).to_numpy(zero_copy_only=False) for c in range(4))
                 q = np.array([np.frombuffer(v, dtype=np.float64) for v in asked.field(4).to_pylist()])
                 x, ids = _matrix(data, width), np.frombuffer(raw_ids, dtype=np.int64)
-                best = _Best(len(q), k)
-                _search(best, q, q @ axes, x, x @ axes, ids, np.where(q_block == block, q_at, -1), floor, stops)
+                best = _Best(len(q), k, large)
+                _search(best, q, q @ axes, x, x @ axes, ids, np.where(q_block == block, q_at, -1), floor, stops, large)
                 at, rank = np.nonzero(best.score > -np.inf)
+                score = best.score[at, rank]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(q_block[at]), pa.array(q_at[at]), pa.array(q_id[at]), pa.array(best.ids[at, rank]),
-                     pa.array(best.score[at, rank])], ["block", "at", "query_id", "vec_id", "score"])
+                     pa.array(score.astype(float)), pa.array([sortable(s) for s in score] if large else [None] * len(at), pa.string()),
+                     pa.array([str(s) for s in score] if large else [None] * len(at), pa.string())],
+                    ["block", "at", "query_id", "vec_id", "score", "by", "exact"])
 
     found = pairs.select("block", "ids", "data", "asked").mapInArrow(
-        run, "block long, at long, query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("block", "at").orderBy(F.desc("score"), "vec_id"))
+        run, "block long, at long, query_id long, vec_id long, score double, by string, exact string")
+    # A pure order of the numbers: doubles where they are exact, else their sortable digits.
+    rank = F.row_number().over(Window.partitionBy("block", "at").orderBy(F.desc("by"), F.desc("score"), "vec_id"))
+    exact = [F.coalesce("exact", F.format_string("%.0f", "score")).alias("exact")] if whole else []
     return (found.withColumn("rank", rank).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", *exact))

@@ -45,3 +45,38 @@ def test_odd_vectors(spark):
     assert topk.top_k(spark.createDataFrame([], SCHEMA), F.lit(True), 3).count() == 0
     with pytest.raises(ValueError):
         found(spark, [(1, [0.0] * 5000)], 1, F.lit(True))
+
+
+def test_sortable_text_of_whole_numbers():
+    numbers = [0, 1, 9, 10, 99, 12345, 10**40, 10**40 + 1, -1, -9, -10, -12, -10**40, -10**40 - 1]
+    assert sorted(numbers) == sorted(numbers, key=topk.sortable)
+
+
+@pytest.mark.parametrize("large", [[], [1e30], [3e38, -3e38, 1e12, 1e12, 7e4]])
+def test_query_is_exact_for_components_of_any_size(spark, tmp_path, monkeypatch, large):
+    """Whole table through the registered query: huge, equal and ordinary vectors against Python integers, and its SQL."""
+    import duckdb
+
+    from quotalake.llm.queries import op10_topk
+    from quotalake.llm.sql import ORACLES
+
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (400, 8)).astype(np.float32)
+    for n, v in enumerate(large):
+        x[n * 50, n % 8] = v      # a query
+        x[n * 50 + 7, (n + 1) % 8] = v
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (401, [1.0, None]), (450, [float("inf")] * 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    whole = [[int(np.floor(256 * float(c))) for c in v] for v in x]
+    want, limit = [], 2**63 - 1
+    for q in range(0, 400, 50):
+        scores = sorted(((sum(a * b for a, b in zip(whole[q], w)), -i) for i, w in enumerate(whole) if i != q), reverse=True)[:5]
+        want += [(q, r, -i, max(-limit, min(limit, s))) for r, (s, i) in enumerate(scores, 1)]
+    got = sorted(map(tuple, op10_topk(spark, str(tmp_path)).collect()))
+    assert got == want
+    if len(large) < 2:
+        con = duckdb.connect()
+        con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+        assert sorted(r[0] for r in con.execute(ORACLES["op10_topk"]).fetchall()) == [r[0] for r in want]
