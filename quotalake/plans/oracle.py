@@ -777,6 +777,10 @@ SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, C
        CAST(hour(ts) AS INTEGER) AS hour, COUNT(*) AS calls,
        MIN(ts) AS first_ts, MAX(ts) AS last_ts
 FROM inv GROUP BY 1, 2, 3, 4"""),
+        "expire_stored_partitions": _qsql(f"""
+SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day,
+       CAST(hour(ts) AS INTEGER) AS hour, COUNT(*) AS calls, MIN(ts) AS first_ts, MAX(ts) AS last_ts
+FROM inv WHERE ts >= {_ts(fx.AS_OF - dt.timedelta(days=25, minutes=20))} GROUP BY 1, 2, 3, 4"""),
         "load_quota_policies": _qsql("""
 SELECT policy_type, identifier, monthly_limit, daily_limit,
        CASE WHEN policy_type = 'group' THEN 'alert' ELSE enforcement_mode END AS enforcement_mode

@@ -433,6 +433,10 @@ def _raw_log_path(spark: SparkSession, sf_dir: str) -> str:
     return derived_path(spark, "raw_log_json", _events_path(sf_dir), lambda: fx.invocation_log(spark, sf_dir), fx.write_raw_log)
 
 
+# Rows older than this go from the stored table; it lies inside an hour.
+EXPIRY = fx.AS_OF - dt.timedelta(days=25, minutes=20)
+
+
 def _source_queries() -> dict[str, Query]:
     A = fx.AS_OF
     since = fx.AS_OF - dt.timedelta(days=7)
@@ -476,6 +480,14 @@ def _source_queries() -> dict[str, Query]:
         return back.groupBy("year", "month", "day", "hour").agg(
             F.count(F.lit(1)).alias("calls"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
+    def expire_stored(s, d):
+        path = SC.run_dir(s, "fact-expiring")
+        LG.write_invocations_partitioned(invocations(s, d), path, layout="hour")
+        RT.expire_stored(s, path, EXPIRY)
+        back = LG.read_invocations(s, path)
+        return back.groupBy("year", "month", "day", "hour").agg(
+            F.count(F.lit(1)).alias("calls"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
     def load_policies(s, d):
         path = SC.run_dir(s, "policy-puts")
         pols = policies(s, d)
@@ -493,6 +505,7 @@ def _source_queries() -> dict[str, Query]:
             "userId", "group", "department", "monthlyLimit", "dailyLimit", "updatedAt"),
         "normalize_rejects": lambda s, d: normalize_rejects(fx.invocation_log(s, d)),
         "write_invocations_partitioned": write_hourly,
+        "expire_stored_partitions": expire_stored,
         "load_quota_policies": load_policies,
         "normalize_invocations": lambda s, d: invocations(s, d).select(*NORMALIZED_COLUMNS).withColumn(
             "usage_day", F.col("usage_day").cast("timestamp_ntz")),

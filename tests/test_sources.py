@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,3 +135,29 @@ def test_whole_tokens_per_call_are_exact(spark):
     inv = spark.createDataFrame([(9007199254740993, 0), (9007199254740993, 0)], "input_tokens long, output_tokens long")
     assert usage_totals(inv).first().avg_tokens_per_call == 9007199254740993
     assert usage_totals(inv.limit(0)).first().avg_tokens_per_call == 0
+
+
+@pytest.mark.parametrize("layout", ["day", "hour"])
+def test_expiry_drops_folders_and_rewrites_only_the_border(spark, tmp_dir, layout):
+    import datetime as dt
+    import pathlib
+
+    from quotalake.operators.retention import expire_stored
+    from quotalake.sources.logs import read_invocations, write_invocations_partitioned
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(f"r{k}", t0 + dt.timedelta(minutes=37 * k)) for k in range(300)] + [("none", None)]
+    df = spark.createDataFrame(rows, "request_id string, ts timestamp_ntz").withColumn("usage_day", F.to_date("ts"))
+    path = os.path.join(tmp_dir, "fact")
+    write_invocations_partitioned(df, path, layout=layout)
+    files = lambda: {p: p.stat().st_mtime_ns for p in pathlib.Path(path).rglob("*.parquet")}
+    before, cutoff = files(), t0 + dt.timedelta(days=3, hours=5, minutes=20)
+    done = expire_stored(spark, path, cutoff)
+    kept = {r for r, ts in rows if ts is None or ts >= cutoff}
+    assert {r.request_id for r in read_invocations(spark, path).collect()} == kept
+    assert done["rewritten"] == 1 and done["dropped"] >= 3
+    new = [p for p, at in files().items() if before.get(p) != at]
+    assert len({p.parent for p in new}) == 1  # what is kept was not written again
+    assert expire_stored(spark, path, cutoff)["dropped"] == 0
+    assert {r.request_id for r in read_invocations(spark, path).collect()} == kept
+    assert expire_stored(spark, path, t0) == {"dropped": 0, "rewritten": 0}
