@@ -714,6 +714,10 @@ SELECT tenant, {_b(period)} AS period_start, COUNT(*) AS calls, CAST(coalesce(SU
 FROM inv GROUP BY 1, 2""") for name, period in (("1m", 60), ("5m", 300), ("1h", 3600), ("1d", 86400))},
         "stream_alarms": _m()["error_alarm"],
         "stream_token_alarm": _m()["high_token_alarm"],
+        "span_sketches": _msql("""
+SELECT tenant, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 3 AS INTEGER) AS span, COUNT(*) AS calls, COUNT(latency_ms) AS valued,
+       quantile_disc(latency_ms, 0.5) AS q50, quantile_disc(latency_ms, 0.99) AS q99, COUNT(DISTINCT user_id) AS users
+FROM inv GROUP BY 1, 2"""),
         "stream_token_alerts": _msql(_changes(f"""
   SELECT {_b(3600)} AS period_start, coalesce(SUM(input_tokens), 0) AS value FROM inv GROUP BY 1""", 6000, 3600)).replace("\n\n, series", ", series"),
         "stream_error_alerts": _msql(_changes(f"""

@@ -16,6 +16,7 @@ from quotalake.operators import alarms as AL
 from quotalake.operators import metrics as M
 from quotalake.operators import quota as K
 from quotalake.operators import retention as RT
+from quotalake.operators import sketches as SK
 from quotalake.operators import usage as U
 from quotalake.operators import variants as V
 from quotalake.operators.normalize import normalize_invocations, normalize_rejects
@@ -241,12 +242,26 @@ def _metric_queries() -> dict[str, Query]:
         "high_quota_alarm": lambda s, d: AL.high_quota_alarm(metrics(s, d)),
         "error_alarm": lambda s, d: AL.error_alarm(replay(s, d)),
         "high_token_alarm": lambda s, d: AL.high_token_alarm(inv(s, d)),
+        "span_sketches": _span_sketches,
         "storage_tier": lambda s, d: RT.storage_tier(inv(s, d), A),
         "expire_partitions": lambda s, d: RT.expire_partitions(inv(s, d), 30, A).select(
             "request_id", "ts", F.col("usage_day").cast("timestamp_ntz").alias("day")),
     }
 
 
+def _sketch_path(spark: SparkSession, sf_dir: str) -> str:
+    """Daily sketches per tenant of the fact table, stored once per application."""
+    return derived_path(spark, "daily_sketches", _events_path(sf_dir), lambda: SK.daily_sketches(
+        invocations(spark, sf_dir), ["tenant"], "latency_ms", "user_id"), SK.write_daily_sketches)
+
+
+def _span_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latency quantiles and users per tenant and three days, from the daily sketches alone."""
+    days = F.datediff("day", F.lit("2024-01-01").cast("date"))
+    found = SK.span_statistics(SK.read_daily_sketches(spark, _sketch_path(spark, sf_dir)), ["tenant"], F.floor(days / 3).cast("int"))
+    return found.withColumnRenamed("distinct", "users")
+
+
 def _inv_path(spark: SparkSession, sf_dir: str) -> str:
     return derived_path(spark, "invocations", _events_path(sf_dir),
                         lambda: normalize_invocations(fx.invocation_log(spark, sf_dir)))
