@@ -2,9 +2,10 @@
 
 Each source is a queue of its documents' tokens, cut into grains.  A source
 earns credit in proportion to its target share of the tokens; a grain is
-served as soon as half of it has been earned, so the deficit of a source,
-carried from window to window and from partition to partition, stays below a
-grain until queues run dry; then the rest share what is left.  The order of
+served as soon as half of it has been earned.  The balance of a source with
+share p of n sources, carried from window to window and from partition to
+partition, stays within (1 + p n) / 2 grains until queues run dry; then the
+rest share what is left.  The order of
 service is a closed form of (source, grain number): grain k of source s with
 weight p_s is served at time (2k + 1) / p_s, ties in source order.  So each
 task finds the place of its own grains in the packed stream from the sources'

@@ -92,3 +92,47 @@ def test_mixture_follows_the_targets(spark):
     assert len(mixed) > 40 and all(abs(c["a"] - 384) <= 64 for c in mixed[:-1])
     with pytest.raises(ValueError):
         packing.pack(docs, {"a": -1})
+
+
+def test_deficits_stay_bounded_until_queues_run_dry():
+    """Round-robin with credit: each grain served earns every source its share; the balance stays within the stated bound."""
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        n = int(rng.integers(2, 8))
+        weights = rng.integers(1, 60, n)
+        totals = weights * 64 * int(rng.integers(20, 60)) + rng.integers(0, 640, n)
+        grains = [(s, k) for s in range(n) for k in range(int(-(-totals[s] // 64)))]
+        places = packing.grain_places(np.array([s for s, _ in grains]), np.array([k for _, k in grains]), totals, weights, 64)
+        assert len(set(places.tolist())) == len(grains)
+        credit, left, share = np.zeros(n), -(-totals // 64), weights / weights.sum()
+        for (s, k), _ in sorted(zip(grains, places.tolist()), key=lambda x: x[1]):
+            credit += share
+            credit[s] -= 1
+            left[s] -= 1
+            if (left == 0).any():
+                break
+            assert (np.abs(credit) <= 0.5 + share * n / 2 + 1e-9).all()
+
+
+def test_digest_is_of_the_tokenizers_ids_in_order(spark):
+    """Default settings of the tokenizer, whole documents, pieces in order: start, length, doc_tokens and CRC-32."""
+    import struct
+    import zlib
+
+    from quotalake.llm.queries import op4_packing
+
+    sf = "/root/testdata/sf0.001"
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    parts = defaultdict(list)
+    for p in op4_packing(spark, sf).collect():
+        parts[p.doc_id].append(p)
+    assert set(parts) == set(docs)
+    for d, text in docs.items():
+        ids, at = [*plain.encode(text or "", add_special_tokens=False).ids, 1], 0
+        for p in sorted(parts[d], key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids)
+            some = ids[at:at + p.length]
+            assert p.ids_crc32 == zlib.crc32(struct.pack(f"<{len(some)}I", *some))
+            at += p.length
+        assert at == len(ids)
