@@ -562,10 +562,11 @@ FROM st WINDOW w AS (ORDER BY period_start)"""
 
 
 def _changes(series: str, threshold, period: int) -> str:
-    """Changes of an alarm of one period, on every period from the first to the last with data; silence does not breach."""
+    """Changes of an alarm of one period, on every period from the first with data to that of the last call; silence does not breach."""
     return f"""
 , series AS ({series}
-), grid AS (SELECT unnest(generate_series(min(period_start), max(period_start), INTERVAL {period} SECOND)) AS period_start FROM series
+), grid AS (
+  SELECT unnest(generate_series(min(period_start), (SELECT max({_b(period)}) FROM inv), INTERVAL {period} SECOND)) AS period_start FROM series
 ), st AS (
   SELECT period_start, CAST(value AS DOUBLE) AS value, CASE WHEN value > {threshold} THEN 'ALARM' ELSE 'OK' END AS state
   FROM grid LEFT JOIN series USING (period_start)
