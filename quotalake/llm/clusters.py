@@ -36,7 +36,7 @@ def _nearest(centroids: list[list[int]]) -> Column:
     """Struct (distance, cluster) of the nearest centroid to ``vector``; the smaller number wins a tie."""
     options = []
     for number, centroid in enumerate(centroids):
-        apart = F.zip_with("vector", F.array(*[F.lit(c).cast("long") for c in centroid]), lambda x, c: (x - c) * (x - c))
+        apart = F.zip_with("vector", F.expr(f"array({', '.join(f'{c}L' for c in centroid)})"), lambda x, c: (x - c) * (x - c))
         distance = F.aggregate(apart, F.lit(0).cast("long"), lambda total, x: total + x)
         options.append(F.struct(distance.alias("distance"), F.lit(number).alias("cluster")))
     return F.array_min(F.array(*options))
@@ -56,7 +56,7 @@ class _Narrow:
 
     def sums(self, centroids: list[list[int]]) -> dict[int, tuple[int, list[int]]]:
         found = (self.rows.select(_nearest(centroids)["cluster"].alias("cluster"), "vector").groupBy("cluster")
-                 .agg(F.count("*").alias("n"), *[F.sum(F.col("vector")[i].cast(self.total)).alias(f"s{i}") for i in range(self.width)]))
+                 .agg(F.count("*").alias("n"), *[F.expr(f"sum(cast(vector[{i}] as {self.total})) as s{i}") for i in range(self.width)]))
         return {r[0]: (r[1], [int(x) for x in r[2:]]) for r in found.collect()}
 
     def assigned(self, centroids: list[list[int]]) -> DataFrame:
