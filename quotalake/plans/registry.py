@@ -376,7 +376,7 @@ def _alerts(spark: SparkSession, path: str, name: str, value, how: str, threshol
 
 
 def _stream_token_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T3 for A3: changes of the alarm on 40,000 input tokens an hour, as they are emitted."""
+    """T3 for A3: changes of the alarm on TOKEN_ALERT input tokens an hour, as they are emitted."""
     return _alerts(spark, _token_arrivals(spark, sf_dir), "token-alerts", F.col("input_tokens"), "sum", TOKEN_ALERT, 3600)
 
 
