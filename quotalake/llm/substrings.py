@@ -3,10 +3,13 @@
 A window is ``WINDOW`` consecutive words.  Each window has a key phrase, the
 one of its ``PHRASE``-word phrases with the smallest hash; equal windows have
 equal key phrases.  Key phrases of two or more documents are confirmed by
-counting.  Documents that hold any are streamed through Aho-Corasick
-automata, compiled for one shard of documents at a time, which locate every
-occurrence of a confirmed phrase; the windows of which it is the key phrase
-form a passage.  Equal passages are matched across documents by hash; where
+counting; only those go on.  Aho-Corasick automata, compiled from the
+confirmed phrases of one shard of documents at a time, then read the shard's
+texts, and their hits alone say where confirmed phrases lie; the windows of
+which such a place is the key phrase form a passage.  Documents in which no
+confirmed phrase was counted can have no repeated window and are not read
+again.  (With shards by phrase, each document would pass through all of
+them, and their number grows with the corpus.)  Equal passages are matched across documents by hash; where
 passages around a phrase differ (at the ends of a copied stretch) the
 distinct ones are matched window by window.  All counts and matches are
 partial aggregations and equi-joins on hashes, so no group of copies meets in
@@ -32,13 +35,17 @@ PHRASE = 4
 # Phrases compiled into one automaton, and words streamed through it, before the next shard of documents.
 SHARD_PHRASES = 100_000
 SHARD_WORDS = 400_000
-# Letters per word in an automaton: 32**4 words; beyond that words share letters, which only adds candidates.
-LETTERS = 4
+# A word is coded by 16 bits of its hash, a phrase by those of its four words.  Words that share a code
+# only add candidates, as windows are compared by a hash of their own.
+WORD_BITS = 64 // PHRASE
+# In an automaton a word is four letters of four bits, which keeps its nodes narrow.
+LETTERS = WORD_BITS // 4
 # Fixed odd multiplier of the rolling hash (the golden ratio's 64 bits).
 MULTIPLIER = 0x9E3779B97F4A7C15
-# Windows are compared by the 48 bits of their key phrase and 48 of their own.
-PHRASE_BITS = 48
+# Windows are compared by the code of their key phrase and 48 bits of their own.
 WINDOW_BYTES = 6
+# Words whose hashes a task remembers.
+KNOWN_WORDS = 1 << 17
 ALL = 2**31 - 1
 
 
@@ -51,76 +58,99 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _rolling(one: np.ndarray, size: int, multiplier: int) -> np.ndarray:
-    """Hash of the ``size`` words that start at each word."""
-    n = max(0, len(one) - size + 1)
+def window_hashes(one: np.ndarray) -> np.ndarray:
+    """Hash of the window that starts at each word."""
+    n = max(0, len(one) - WINDOW + 1)
     out, power = np.zeros(n, dtype=np.uint64), 1
-    for k in range(size):
+    for k in range(WINDOW):
         out += one[k:k + n] * np.uint64(power)
-        power = power * multiplier % (1 << 64)
+        power = power * (MULTIPLIER + 2) % (1 << 64)
     return _mixed(out)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    known: dict[bytes, int] = {}
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([known[w] if w in known else known.setdefault(w, digest(w)) for w in words], dtype=np.uint64)
+class WordHashes(dict):
+    """Hashes of words, those seen lately from memory."""
 
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
 
-def phrase_hashes(one: np.ndarray) -> np.ndarray:
-    return _rolling(one, PHRASE, MULTIPLIER) >> np.uint64(64 - PHRASE_BITS)
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def key_phrases(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position of the key phrase, first window, number of windows) of the runs of windows with one key phrase."""
+def phrase_codes(one: np.ndarray) -> np.ndarray:
+    """Code of the phrase that starts at each word: its words' codes, the first one lowest."""
+    n = max(0, len(one) - PHRASE + 1)
+    short = one >> np.uint64(64 - WORD_BITS)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(PHRASE):
+        out |= short[k:k + n] << np.uint64(WORD_BITS * k)
+    return out
+
+
+def key_phrases(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position of the key phrase, first window, number of windows) of the runs of windows with one key phrase.
+
+    The key phrase has the smallest mixed code, the first of equal ones.
+    """
     per = WINDOW - PHRASE + 1
-    if len(hashes) < per:
+    n = len(codes) - per + 1
+    if n < 1:
         return (np.zeros(0, dtype=np.int64),) * 3
-    views = np.lib.stride_tricks.sliding_window_view(hashes, per)
-    at = views.argmin(axis=1) + np.arange(len(views))
+    order = _mixed(codes)
+    least, width = order, 1
+    while width < per:   # minimum of twice the width, or of two that overlap
+        step = min(width, per - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    at = np.zeros(n, dtype=np.int8)
+    for k in range(per - 1, -1, -1):
+        np.copyto(at, k, where=order[k:k + n] == least)
+    at = at + np.arange(n)
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-    return at[first], first, np.diff(np.concatenate([first, [len(at)]]))
+    return at[first], first, np.diff(np.concatenate([first, [n]]))
 
 
-def phrase_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, phrase) per distinct key phrase of each row of ``docs``."""
+def phrase_lists(docs: DataFrame) -> DataFrame:
+    """(doc_id, phrases): the distinct key phrases of each row of ``docs`` that has any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            found = [np.zeros(0, np.uint64)]
+            found = []
             for text in batch.column(1).to_pylist():
-                hashes = phrase_hashes(word_hashes(split_words(text)))
-                found.append(np.unique(hashes[key_phrases(hashes)[0]]))
-            row = np.repeat(np.arange(len(found) - 1), [len(f) for f in found[1:]])
+                codes = phrase_codes(known.of(split_words(text)))
+                found.append(np.unique(codes[key_phrases(codes)[0]]))
+            size = np.array([len(f) for f in found], dtype=np.int64)
+            some = np.flatnonzero(size)
+            offsets = np.concatenate([[0], np.cumsum(size[some])]).astype(np.int32)
+            values = np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "phrase"])
+                [batch.column(0).take(pa.array(some)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                ["doc_id", "phrases"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, phrase long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, phrases array<long>")
 
 
-def _alphabet(number: int) -> str:
-    """Word number as four letters of 32, each place with letters of its own: phrases match at whole words only.
+def _spelled(codes: np.ndarray, words: int) -> str:
+    """Codes of ``words`` words each as letters.  Each place of a word has letters of its own: phrases match at whole words only."""
+    number = LETTERS * words
+    fours = (codes[:, None] >> (np.arange(number, dtype=np.uint64) * np.uint64(4))).astype(np.uint8) & 15
+    return (fours + (48 + 16 * (np.arange(number) % LETTERS)).astype(np.uint8)).tobytes().decode("ascii")
 
-    A few letters instead of one symbol per word keep the automaton's nodes narrow.
-    """
-    return "".join(chr(33 + 32 * k + (number >> 5 * k & 31)) for k in range(LETTERS))
 
-
-def _locate(shard: list[tuple[list[bytes], np.ndarray]]) -> Iterator[np.ndarray]:
-    """Per document (words, positions of its confirmed key phrases) of a shard: where any of all their phrases occurs."""
-    letters: dict[bytes, str] = {}
-    coded = []
-    for words, _ in shard:
-        for w in set(words).difference(letters):
-            letters[w] = _alphabet(len(letters))
-        coded.append("".join([letters[w] for w in words]))
+def _locate(phrases: np.ndarray, texts: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Positions in each text (hashes of its words) at which one of ``phrases`` (codes) begins."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
     size = LETTERS * PHRASE
-    for code, (_, at) in zip(coded, shard):
-        for p in (at * LETTERS).tolist():
-            automaton.add_word(code[p:p + size], True)
+    patterns = _spelled(phrases, PHRASE)
+    for k in range(0, len(patterns), size):
+        automaton.add_word(patterns[k:k + size], True)
     automaton.make_automaton()
-    for code in coded:
-        yield (np.array([end for end, _ in automaton.iter(code)], dtype=np.int64) + 1) // LETTERS - PHRASE
+    for one in texts:
+        hits = automaton.iter(_spelled(one >> np.uint64(64 - WORD_BITS), 1)) if len(phrases) else ()
+        yield (np.array([end for end, _ in hits], dtype=np.int64) + 1) // LETTERS - PHRASE
 
 
 def passages(docs: DataFrame, confirmed: DataFrame) -> DataFrame:
@@ -134,41 +164,43 @@ def passages(docs: DataFrame, confirmed: DataFrame) -> DataFrame:
     listed = (some.join(confirmed, F.col("doc_id") == F.col("of"))
               .select("doc_id", "row", "text", "phrases"))
 
+    def located(batch: pa.RecordBatch, numbers: list[int], texts: list[np.ndarray], wanted: list[np.ndarray]) -> pa.RecordBatch:
+        row, phrase, start, size, data = [], [], [], [], []
+        for number, one, places in zip(numbers, texts, _locate(np.unique(np.concatenate(wanted)), texts)):
+            codes = phrase_codes(one)
+            at, first, n = key_phrases(codes)
+            hit = np.zeros(len(codes), dtype=bool)
+            hit[places] = True
+            found = hit[at]
+            windows = window_hashes(one).view(np.uint8).reshape(-1, 8)[:, :WINDOW_BYTES]
+            row.append(np.full(found.sum(), number))
+            phrase.append(codes[at[found]])
+            start.append(first[found])
+            size.append(n[found])
+            data.append(windows[np.repeat(found, n)].tobytes())
+        row = pa.array(np.concatenate(row))
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(size)) * WINDOW_BYTES]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(phrase).view(np.int64)),
+             pa.array(np.concatenate(start).astype(np.int32)),
+             pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(data))])],
+            ["doc_id", "row", "phrase", "first", "windows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            texts, lists = batch.column(2).to_pylist(), batch.column(3)
-            waiting, rows = [], []
-            phrases = size = 0
-
-            def flush() -> None:
-                for (number, _, _, one, hashes, (at, first, n)), places in zip(
-                        waiting, _locate([w[1:3] for w in waiting]) if waiting else ()):
-                    whole = _rolling(one, WINDOW, MULTIPLIER + 2).view(np.uint8).reshape(-1, 8)[:, :WINDOW_BYTES]
-                    for k in np.flatnonzero(np.isin(at, places)).tolist():
-                        a = int(first[k])
-                        rows.append((number, int(hashes[at[k]]), a, whole[a:a + n[k]].tobytes()))
-                waiting.clear()
-
-            for number, text in enumerate(texts):
-                words = split_words(text)
-                one = word_hashes(words)
-                hashes = phrase_hashes(one)
-                runs = key_phrases(hashes)
-                wanted = lists[number].values.to_numpy().view(np.uint64)
-                known = runs[0][np.isin(hashes[runs[0]], wanted)]
-                if len(known):
-                    waiting.append((number, words, known, one, hashes, runs))
-                    phrases, size = phrases + len(known), size + len(words)
+            shard, phrases, size = ([], [], []), 0, 0
+            for number, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
+                one = known.of(split_words(text))
+                codes = wanted.values.to_numpy().view(np.uint64)
+                for column, value in zip(shard, (number, one, codes)):
+                    column.append(value)
+                phrases, size = phrases + len(codes), size + len(one)
                 if phrases >= SHARD_PHRASES or size >= SHARD_WORDS:
-                    flush()
-                    phrases = size = 0
-            flush()
-            columns = list(zip(*rows)) or [()] * 4
-            number = pa.array(columns[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(number), batch.column(1).take(number), pa.array(columns[1], pa.int64()),
-                 pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())],
-                ["doc_id", "row", "phrase", "first", "windows"])
+                    yield located(batch, *shard)
+                    shard, phrases, size = ([], [], []), 0, 0
+            if shard[0]:
+                yield located(batch, *shard)
 
     return listed.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, phrase long, first int, windows binary")
 
@@ -184,9 +216,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     judged = stored(digest.join(least, "digest").select("doc_id", "row", (F.col("doc_id") > F.col("least")).alias("copy")).distinct())
     copies = judged.where("copy").select("doc_id", "row")
     done = judged.groupBy("doc_id").agg(F.bool_and("copy").alias("all")).where("all").select("doc_id")
-    rows = phrase_rows(docs)
+    # The earliest document of a text stands for its copies here, too.
+    lists = stored(phrase_lists(docs).join(done, "doc_id", "left_anti"), compression="zstd")
+    rows = lists.select("doc_id", F.explode("phrases").alias("phrase"))
     counted = rows.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase")
-    confirmed = (rows.join(counted, "phrase", "left_semi").join(done, "doc_id", "left_anti")
+    confirmed = (rows.join(counted, "phrase", "left_semi")
                  .groupBy("doc_id").agg(F.collect_list("phrase").alias("phrases"))  # of one document
                  .withColumnRenamed("doc_id", "of"))
     found = stored(passages(docs, stored(confirmed)), compression="zstd").withColumn("passage", F.xxhash64("windows"))

@@ -66,19 +66,39 @@ def test_large_group_of_near_copies(spark):
 
 def test_automata_find_every_occurrence():
     rng = random.Random(1)
-    shard = []
-    for _ in range(5):
-        words = [rng.choice([b"a", b"b", b"c"]) for _ in range(80)]
-        shard.append((words, np.array(sorted(rng.sample(range(77), 3)))))
-    phrases = {tuple(w[p:p + substrings.PHRASE]) for w, at in shard for p in at.tolist()}
-    for (words, _), got in zip(shard, substrings._locate(shard)):
-        assert got.tolist() == [p for p in range(len(words) - 3) if tuple(words[p:p + 4]) in phrases]
+    texts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(80)] for _ in range(5)] + [[], [b"a"]]
+    known = substrings.WordHashes()
+    hashes = [known.of(words) for words in texts]
+    chosen = {tuple(texts[k][p:p + substrings.PHRASE]) for k in range(5) for p in rng.sample(range(77), 3)}
+    codes = np.array([substrings.phrase_codes(known.of(list(c)))[0] for c in chosen])
+    for words, got in zip(texts, substrings._locate(codes, hashes), strict=True):
+        assert got.tolist() == [p for p in range(len(words) - 3) if tuple(words[p:p + 4]) in chosen]
+    assert all(len(got) == 0 for got in substrings._locate(codes[:0], hashes))
+
+
+def test_places_come_from_the_automata(spark, monkeypatch):
+    """Nothing but whole copies is found once the automata find nothing."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(1, f"one {passage} two"), (2, f"three {passage} four"), (3, f"one {passage} two"), (4, "short text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def removed():
+        return {d: n for d, _, n, _ in substrings.dedup_substrings(docs).collect()}
+
+    assert removed() == {1: 0, 2: 30, 3: 32, 4: 0}
+    monkeypatch.setattr(substrings, "_locate", _no_places)
+    assert removed() == {1: 0, 2: 0, 3: 32, 4: 0}
+
+
+def _no_places(phrases, texts):
+    return [np.zeros(0, dtype=np.int64) for _ in texts]
 
 
 def test_key_phrases_depend_on_the_window_alone():
     rng = np.random.default_rng(0)
-    hashes = rng.integers(0, 50, 400).astype(np.uint64)
-    at, first, n = substrings.key_phrases(hashes)
-    assert n.sum() == len(hashes) - 9 and (first == np.cumsum(n) - n).all()
+    codes = rng.integers(0, 50, 400).astype(np.uint64)
+    order = substrings._mixed(codes)
+    at, first, n = substrings.key_phrases(codes)
+    assert n.sum() == len(codes) - 9 and (first == np.cumsum(n) - n).all()
     for a, f, m in zip(at, first, n):
-        assert all(hashes[w:w + 10].argmin() + w == a for w in range(f, f + m))
+        assert all(order[w:w + 10].argmin() + w == a for w in range(f, f + m))
