@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quotalake.functions.pricing import estimate_tokens
 from quotalake.functions.timecols import bucket_start
 from quotalake.operators.usage import hours_before, since_filter
+from quotalake.session import cut_lineage
 
 # Gauge bands of the quota widgets and the warning line.
 WARNING_PCT = 80
@@ -151,27 +152,51 @@ def duration_stats_5m(calls: DataFrame) -> DataFrame:
 def peak_concurrency_1m(calls: DataFrame, chunk_seconds: int = 10) -> DataFrame:
     """Most calls in flight at once within each minute that any call overlaps.
 
-    A call is in flight on [ts, ts + latency).  It is listed in every chunk
-    of ``chunk_seconds`` that it overlaps (as many as its own duration has),
-    as +1 where it begins there and -1 where it ends there; an end comes
-    before a start at the same instant.  A running sum inside each chunk
-    needs no carry from other chunks, so tasks hold one chunk of calls.
+    A call is in flight on [ts, ts + latency): +1 at its beginning, -1 at its
+    end, summed per instant, so that a call of any length is two rows.  The
+    running sum is local to a chunk of ``chunk_seconds``; what is in flight
+    when a chunk begins comes from sums over one row per chunk inside a day
+    and one row per day with an event.  Minutes without an event have what
+    the last chunk before them left.  Calls without a time, or without a
+    positive latency, do not count.
     """
     if 60 % chunk_seconds:
         raise ValueError("chunk seconds must divide a minute")
-    width = F.make_dt_interval(secs=F.lit(float(chunk_seconds)))
-    begin, end = F.col("ts"), F.timestamp_add("MILLISECOND", F.col("latency_ms"), F.col("ts"))
-    last = F.timestamp_add("MICROSECOND", F.lit(-1), end)
-    listed = (calls.where(F.col("latency_ms") > 0).select(begin.alias("b"), end.alias("e"), F.explode(F.sequence(
-        bucket_start(begin, chunk_seconds), bucket_start(last, chunk_seconds), width)).alias("c")))
-    ends_here = F.col("e") < F.timestamp_add("SECOND", F.lit(chunk_seconds), F.col("c"))
-    events = listed.select("c", F.explode(F.array_compact(F.array(
-        F.struct(F.greatest("b", "c").alias("at"), F.lit(1).alias("delta")),
-        F.when(ends_here, F.struct(F.col("e").alias("at"), F.lit(-1).alias("delta")))))).alias("x")).select("c", "x.*")
-    running = F.sum("delta").over(Window.partitionBy("c").orderBy("at", "delta").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (events.withColumn("in_flight", running)
-            .groupBy(bucket_start(F.col("c"), 60).alias("period_start"))
-            .agg(F.max("in_flight").cast("bigint").alias("max_concurrent")))
+    ends = F.timestamp_add("MILLISECOND", F.col("latency_ms"), F.col("ts"))
+    events = (calls.where((F.col("latency_ms") > 0) & F.col("ts").isNotNull())
+              .select(F.explode(F.array(F.struct(F.col("ts").alias("at"), F.lit(1).alias("delta")),
+                                        F.struct(ends.alias("at"), F.lit(-1).alias("delta")))).alias("x")).select("x.*")
+              .groupBy("at").agg(F.sum("delta").alias("delta")).withColumn("c", bucket_start(F.col("at"), chunk_seconds)))
+    running = F.sum("delta").over(Window.partitionBy("c").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chunks = cut_lineage(events.withColumn("n", running).groupBy("c").agg(
+        F.min("at").alias("first"), F.max("n").alias("peak"), F.sum("delta").alias("net")).withColumn("day", F.to_date("c")))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # One row per day with an event.
+    by_day = Window.partitionBy().orderBy("day")
+    days = chunks.groupBy("day").agg(F.sum("net").alias("_net"), F.min("c").alias("_first")).select(
+        "day", F.coalesce(F.sum("_net").over(earlier(by_day)), F.lit(0)).alias("_before"), F.lead("_first").over(by_day).alias("_after"))
+    by_chunk = Window.partitionBy("day").orderBy("c")
+    carried = (chunks.withColumn("_own", F.coalesce(F.sum("net").over(earlier(by_chunk)), F.lit(0)))
+               .withColumn("_next", F.lead("c").over(by_chunk)).join(days, "day")
+               .select("first", bucket_start(F.col("c"), 60).alias("minute"), "peak", "net",
+                       (F.col("_before") + F.col("_own")).alias("carry"),
+                       bucket_start(F.coalesce("_next", "_after"), 60).alias("next")))
+    # What came in was in flight in this minute, too, unless the first change is at its very beginning.
+    came = F.when(F.col("first") > F.col("minute"), F.col("carry")).otherwise(F.lit(0))
+    busy = carried.select(F.col("minute").alias("period_start"), F.greatest(came, F.col("carry") + F.col("peak")).alias("n"))
+    # The minutes up to the next event, listed day by day.
+    left = F.col("carry") + F.col("net")
+    minute = F.make_dt_interval(mins=F.lit(1))
+    low, high = F.col("minute") + minute, F.col("next") - minute
+    quiet = (carried.where((left > 0) & (low <= high))
+             .select(left.alias("n"), low.alias("low"), high.alias("high"),
+                     F.explode(F.sequence(F.to_date(low), F.to_date(high))).alias("d"))
+             .select("n", F.explode(F.sequence(
+                 F.greatest("low", F.col("d").cast("timestamp_ntz")),
+                 F.least("high", F.col("d").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(23), mins=F.lit(59))),
+                 minute)).alias("period_start")))
+    return (busy.unionByName(quiet).groupBy("period_start").agg(F.max("n").cast("bigint").alias("max_concurrent"))
+            .where("max_concurrent > 0"))
 
 
 def tenant_comparison_24h(inv: DataFrame, profiles: DataFrame) -> DataFrame:

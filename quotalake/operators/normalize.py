@@ -43,6 +43,11 @@ def _text(raw: DataFrame, name: str) -> Column:
     return col.cast("string") if col is not None else F.lit(None).cast("string")
 
 
+def _whole(value: Column) -> Column:
+    """Whole number of a number or its text (a log whose field widened to text); the fraction is cut, other text gives NULL."""
+    return F.coalesce(value.try_cast("bigint"), value.try_cast("double").try_cast("bigint"))
+
+
 def normalize_invocations(raw: DataFrame) -> DataFrame:
     """Flat fact: one row per call with parsed identity, tokens and error.
 
@@ -78,7 +83,7 @@ def normalize_invocations(raw: DataFrame) -> DataFrame:
         json_struct(_text(raw, "error"), ["type"]).alias("_error"),
         (body_in if body_in is not None else F.lit(None)).try_cast("bigint").alias("_body_in"),
         (body_out if body_out is not None else F.lit(None)).try_cast("bigint").alias("_body_out"),
-        (latency if latency is not None else F.lit(None)).cast("bigint").alias("latency_ms"),
+        _whole(latency if latency is not None else F.lit(None)).alias("latency_ms"),
     )
     md_text = F.col("requestmetadata")
     usage_in = F.coalesce(scalar_field(F.col("_usage"), F.col("_usage_text"), "inputTokens"), F.col("_struct_in"))

@@ -719,6 +719,14 @@ FROM inv GROUP BY 1, 2""") for name, period in (("1m", 60), ("5m", 300), ("1h",
 SELECT tenant, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 3 AS INTEGER) AS span, COUNT(*) AS calls, COUNT(latency_ms) AS valued,
        quantile_disc(latency_ms, 0.5) AS q50, quantile_disc(latency_ms, 0.99) AS q99, COUNT(DISTINCT user_id) AS users
 FROM inv GROUP BY 1, 2"""),
+        "rollup_span": _sql("""
+SELECT tenant, COUNT(*) AS calls, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens_sum, CAST(SUM(output_tokens) AS BIGINT) AS output_tokens_sum,
+       COUNT(output_tokens) AS output_tokens_n, MIN(latency_ms) AS latency_ms_min, MAX(latency_ms) AS latency_ms_max, AVG(latency_ms) AS latency_ms_avg
+FROM inv WHERE ts >= TIMESTAMP '2024-01-20 10:17:00' AND ts < TIMESTAMP '2024-03-01' GROUP BY 1"""),
+        "rollup_hourly": _sql("""
+SELECT profile_id, date_trunc('hour', ts) AS period_start, COUNT(*) AS calls,
+       CAST(SUM(input_tokens) AS BIGINT) AS input_tokens_sum, CAST(SUM(output_tokens) AS BIGINT) AS output_tokens_sum
+FROM inv WHERE ts >= TIMESTAMP '2024-01-20 10:17:00' AND ts < TIMESTAMP '2024-03-01' GROUP BY 1, 2"""),
         "stream_token_alerts": _msql(_changes(f"""
   SELECT {_b(3600)} AS period_start, coalesce(SUM(input_tokens), 0) AS value FROM inv GROUP BY 1""", 6000, 3600)).replace("\n\n, series", ", series"),
         "stream_error_alerts": _msql(_changes(f"""
@@ -757,6 +765,10 @@ SELECT u.user_id AS userId, u.user_group AS "group",
        CAST(CASE WHEN u.user_id NOT LIKE '%4@%' THEN o.daily_limit END AS BIGINT) AS dailyLimit,
        CASE WHEN u.user_id LIKE '%4@%' THEN '2024-02-01T00:00:00Z' ELSE '2024-01-01T00:00:00Z' END AS updatedAt
 FROM users u LEFT JOIN own o USING (user_id)"""),
+        "read_widened_log": _sql("""
+SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, COUNT(*) AS calls, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens,
+       CAST(SUM(output_tokens) AS BIGINT) AS output_tokens, CAST(SUM(latency_ms) AS BIGINT) AS latency_ms
+FROM inv GROUP BY 1"""),
         "discover_schema": _sql("""
 SELECT field, type, change FROM (
   -- The hour folders and two columns that the previous schema lacked; no record has a response body.

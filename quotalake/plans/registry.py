@@ -16,6 +16,7 @@ from quotalake.operators import alarms as AL
 from quotalake.operators import metrics as M
 from quotalake.operators import quota as K
 from quotalake.operators import retention as RT
+from quotalake.operators import rollups as RU
 from quotalake.operators import sketches as SK
 from quotalake.operators import usage as U
 from quotalake.operators import variants as V
@@ -243,12 +244,37 @@ def _metric_queries() -> dict[str, Query]:
         "error_alarm": lambda s, d: AL.error_alarm(replay(s, d)),
         "high_token_alarm": lambda s, d: AL.high_token_alarm(inv(s, d)),
         "span_sketches": _span_sketches,
+        "rollup_span": _rollup_span,
+        "rollup_hourly": _rollup_hourly,
         "storage_tier": lambda s, d: RT.storage_tier(inv(s, d), A),
         "expire_partitions": lambda s, d: RT.expire_partitions(inv(s, d), 30, A).select(
             "request_id", "ts", F.col("usage_day").cast("timestamp_ntz").alias("day")),
     }
 
 
+# From the middle of an hour to the end of a month, so that every level is read.
+ROLLUP_SPAN = dt.datetime(2024, 1, 20, 10, 17), dt.datetime(2024, 3, 1)
+ROLLUP_MEASURES = ["input_tokens", "output_tokens", "latency_ms"]
+
+
+def _rollup_path(spark: SparkSession, sf_dir: str) -> str:
+    """Rollups of the fact table per tenant and profile, stored once per application."""
+    return derived_path(spark, "rollups", _events_path(sf_dir), lambda: invocations(spark, sf_dir),
+                        lambda rows, path: RU.write_rollups(rows, path, ["tenant", "profile_id"], ROLLUP_MEASURES))
+
+
+def _rollup_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls, tokens and latency per tenant over a span, from the coarsest stored levels that make it up."""
+    found = RU.rollup_series(spark, _rollup_path(spark, sf_dir), ["tenant"], ["input_tokens", "output_tokens", "latency_ms"], *ROLLUP_SPAN)
+    return found.select("tenant", "calls", "input_tokens_sum", "output_tokens_sum", "output_tokens_n", "latency_ms_min", "latency_ms_max", "latency_ms_avg")
+
+
+def _rollup_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and tokens per profile and hour (M1, M2) of the same span; the hour it cuts comes from minutes."""
+    found = RU.rollup_series(spark, _rollup_path(spark, sf_dir), ["profile_id"], ["input_tokens", "output_tokens"], *ROLLUP_SPAN, "hour")
+    return found.select("profile_id", "period_start", "calls", "input_tokens_sum", "output_tokens_sum")
+
+
 def _sketch_path(spark: SparkSession, sf_dir: str) -> str:
     """Daily sketches per tenant of the fact table, stored once per application."""
     return derived_path(spark, "daily_sketches", _events_path(sf_dir), lambda: SK.daily_sketches(
@@ -467,6 +493,16 @@ def _source_queries() -> dict[str, Query]:
         previous = T.StructType([f for f in INVOCATION_LOG.fields if f.name not in ("latency_ms", "region")])
         return LG.discover_schema(s, _raw_log_path(s, d), previous)[1]
 
+    def widened(s, d):
+        path = derived_path(s, "changing_log_json", _events_path(d), lambda: fx.invocation_log(s, d), fx.write_changing_log)
+        schema = None
+        for era in ("era=1", "era=2"):
+            schema, _ = LG.discover_schema(s, f"{path}/{era}", schema)
+        inv = normalize_invocations(LG.read_invocation_logs(s, path, schema=schema))
+        total = lambda c: F.sum(c).cast("bigint").alias(c)
+        return inv.groupBy(F.col("usage_day").cast("timestamp_ntz").alias("day")).agg(
+            F.count(F.lit(1)).alias("calls"), total("input_tokens"), total("output_tokens"), total("latency_ms"))
+
     def load_users(s, d):
         path = SC.run_dir(s, "user-puts")
         fx.user_metadata_puts(users(s, d)).write.mode("overwrite").json(path)
@@ -526,6 +562,7 @@ def _source_queries() -> dict[str, Query]:
             "usage_day", F.col("usage_day").cast("timestamp_ntz")),
         "read_invocation_logs": read_logs,
         "discover_schema": discover,
+        "read_widened_log": widened,
         "load_user_metadata": load_users,
         "write_report": report,
         "log_file_inventory": lambda s, d: LG.folder_inventory(LG.log_file_inventory(s, _raw_log_path(s, d), n=None)),

@@ -192,6 +192,13 @@ def gateway_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_changing_log(log: DataFrame, path: str) -> None:
+    """The log whose format changes with February: from then on latencies are text, and usage is text instead of an object."""
+    late = F.col("timestamp") >= "2024-02-01"
+    write_raw_log(log.where(~late).withColumn("usage", F.from_json("usage", "inputTokens long, outputTokens long")), f"{path}/era=1")
+    write_raw_log(log.where(late).withColumn("latency_ms", F.col("latency_ms").cast("string")), f"{path}/era=2")
+
+
 def write_raw_log(raw: DataFrame, path: str) -> None:
     """Store raw log records as JSON under ``year=/month=/day=/hour=`` folders.
 

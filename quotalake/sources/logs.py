@@ -158,15 +158,32 @@ def _flatten(schema: T.StructType, prefix: str = "") -> dict[str, str]:
     return out
 
 
+# Numbers in the order in which they widen.
+_NUMBERS = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DoubleType]
+
+
+def widen_types(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The narrowest type that values of both can be read as: long, then double, then text.
+
+    Structs merge field by field, arrays by their elements; any other pair
+    (an object here and text there, say) becomes text, which holds the JSON.
+    """
+    if a == b:
+        return a
+    if type(a) in _NUMBERS and type(b) in _NUMBERS:
+        return max(a, b, key=lambda t: _NUMBERS.index(type(t)))
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        return merge_schemas(a, b)
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(widen_types(a.elementType, b.elementType), True)
+    return T.StringType()
+
+
 def merge_schemas(previous: T.StructType, current: T.StructType) -> T.StructType:
-    """Add-only merge: keep every previous field, append new ones (recursively)."""
-    fields = []
+    """Add-only merge: keep every previous field, widened to hold both types, and append new ones (recursively)."""
     cur = {f.name: f for f in current.fields}
-    for f in previous.fields:
-        if f.name in cur and isinstance(f.dataType, T.StructType) and isinstance(cur[f.name].dataType, T.StructType):
-            fields.append(T.StructField(f.name, merge_schemas(f.dataType, cur[f.name].dataType), True))
-        else:
-            fields.append(f)
+    fields = [T.StructField(f.name, widen_types(f.dataType, cur[f.name].dataType) if f.name in cur else f.dataType, True)
+              for f in previous.fields]
     names = {f.name for f in previous.fields}
     fields.extend(f for f in current.fields if f.name not in names)
     return T.StructType(fields)
@@ -178,6 +195,8 @@ def discover_schema(spark: SparkSession, path: str, previous: T.StructType | Non
 
     Returns (merged schema, DataFrame of ``field, type, change`` with change in
     added / missing / type_changed).  Missing fields are kept, only reported.
+    A field whose type changes is widened, so that ``read_invocation_logs``
+    with the merged schema reads every record, older and newer, whole.
     Inference is one distributed pass over the files (``samplingRatio``).
     """
     current = spark.read.option("samplingRatio", sampling_ratio).json(path).schema

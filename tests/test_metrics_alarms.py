@@ -39,6 +39,17 @@ def test_peak_concurrency_matches_brute_force(spark):
         assert {r.period_start: r.max_concurrent for r in M.peak_concurrency_1m(df, chunk).collect()} == want
 
 
+def test_peak_concurrency_with_very_long_and_undefined_calls(spark):
+    t = dt.datetime(2024, 2, 1, 0, 0, 30)
+    year = 365 * 86_400_000
+    calls = [("long", t, year), ("longer", t + dt.timedelta(days=40), 2 * year), ("none", t, None), ("timeless", None, 5), ("zero", t, 0), ("minus", t, -5)]
+    df = spark.createDataFrame(calls, "request_id string, ts timestamp_ntz, latency_ms long")
+    got = M.peak_concurrency_1m(df).groupBy("max_concurrent").count().collect()
+    both = (365 - 40) * 1440 + 1
+    assert {r.max_concurrent: r["count"] for r in got} == {2: both, 1: (40 + 2 * 365) * 1440 + 1 - both}
+    assert M.peak_concurrency_1m(df.where("latency_ms is null")).count() == 0
+
+
 def test_percentile_from_counts(spark):
     rnd = random.Random(4)
     df = spark.createDataFrame([(dt.datetime(2024, 2, 1), rnd.choice([1, 2, 50, 700])) for _ in range(333)], "ts timestamp_ntz, v long")

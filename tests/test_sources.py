@@ -94,6 +94,29 @@ def test_discover_schema_reports_changes(spark, tmp_dir):
     assert [f.name for f in merged.fields] == ["a", "c", "d", "b"]      # add-only: c kept
 
 
+def test_log_whose_fields_change_type_is_read_whole(spark, tmp_dir):
+    from quotalake.operators.normalize import normalize_invocations
+
+    eras = {
+        "era=1": ['{"requestid": "a", "latency_ms": 9007199254740993, "usage": {"inputTokens": 5, "outputTokens": 7}, "tags": [1]}'],
+        "era=2": ['{"requestid": "b", "latency_ms": 12.75, "usage": {"inputTokens": 1, "outputTokens": 2}, "tags": ["x"]}'],
+        "era=3": ['{"requestid": "c", "latency_ms": "31", "usage": "{\\"inputTokens\\": 3, \\"outputTokens\\": 4}"}',
+                  '{"requestid": "d", "latency_ms": "soon", "usage": "none", "model": {"id": 1}}'],
+    }
+    schema, seen = None, []
+    for era, lines in eras.items():
+        os.makedirs(os.path.join(tmp_dir, era))
+        with open(os.path.join(tmp_dir, era, "part.json"), "w") as f:
+            f.write("\n".join(lines))
+        schema, _ = LG.discover_schema(spark, os.path.join(tmp_dir, era), schema)
+        seen.append(schema["latency_ms"].dataType.simpleString())
+    assert seen == ["bigint", "double", "string"]
+    assert schema["usage"].dataType == T.StringType() and schema["tags"].dataType == T.ArrayType(T.StringType())
+    raw = LG.read_invocation_logs(spark, tmp_dir, schema=schema)
+    got = {r.request_id: (r.latency_ms, r.input_tokens, r.output_tokens) for r in normalize_invocations(raw).collect()}
+    assert got == {"a": (9007199254740993, 5, 7), "b": (12, 1, 2), "c": (31, 3, 4), "d": (None, None, None)}
+
+
 def test_log_freshness_marks_silent_sources(spark):
     import datetime as dt
 
