@@ -119,11 +119,12 @@ def normalize_rejects(raw: DataFrame) -> DataFrame:
     that do not parse, token text present but not an integer, and
     metadata / usage text that is not a JSON object.
     """
-    ts_text = _text(raw, "timestamp")
-    md_text = _text(raw, "requestmetadata")
     usage_type = next((f.dataType for f in raw.schema.fields if f.name.lower() == "usage"), None)
     usage_text = F.col("usage") if isinstance(usage_type, T.StringType) else F.lit(None).cast("string")
-    usage = json_struct(usage_text, ["inputTokens", "outputTokens"])
+    # A projection of its own, so that each text is made and parsed once.
+    step = raw.select(_text(raw, "timestamp").alias("_ts"), _text(raw, "requestmetadata").alias("_md"), usage_text.alias("_usage_text"),
+                      json_struct(usage_text, ["inputTokens", "outputTokens"]).alias("_usage"))
+    usage = F.col("_usage")
 
     def bad_int(c: Column) -> Column:
         return c.isNotNull() & c.try_cast("bigint").isNull()
@@ -134,11 +135,11 @@ def normalize_rejects(raw: DataFrame) -> DataFrame:
     def n(cond: Column, name: str) -> Column:
         return F.count(F.when(cond, True)).alias(name)
 
-    return raw.agg(
+    return step.agg(
         F.count(F.lit(1)).alias("records"),
-        n(ts_text.isNull() | iso_to_ts(ts_text).isNull(), "bad_timestamp"),
+        n(F.col("_ts").isNull() | iso_to_ts(F.col("_ts")).isNull(), "bad_timestamp"),
         n(bad_int(usage.getField("inputTokens")), "bad_input_tokens"),
         n(bad_int(usage.getField("outputTokens")), "bad_output_tokens"),
-        n(bad_json(md_text), "malformed_metadata"),
-        n(bad_json(usage_text), "malformed_usage"),
+        n(bad_json(F.col("_md")), "malformed_metadata"),
+        n(bad_json(F.col("_usage_text")), "malformed_usage"),
     )

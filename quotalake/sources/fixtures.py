@@ -69,6 +69,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores: a file with few row groups is read by few tasks, and what follows per row takes long."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def latency_ms() -> Column:
     """0.5 to 2 seconds; every 40th call takes 150 seconds longer."""
     return (F.lit(500) + F.col("event_id") % 1500
@@ -79,12 +84,22 @@ def user_email(user_id: Column) -> Column:
     return F.concat(F.lit("user"), user_id.cast("string"), F.lit("@company.com"))
 
 
-def invocation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw invocation-log records, one per event (columns of ``schema.INVOCATION_LOG``)."""
-    ev = events(spark, sf_dir)
+def invocation_log(spark: SparkSession, sf_dir: str, by_hour: bool = False) -> DataFrame:
+    """Raw invocation-log records, one per event (columns of ``schema.INVOCATION_LOG``).
+
+    ``by_hour`` adds HOUR_KEYS and orders the records by them for
+    ``write_raw_log``: the events are sent and sorted before they become
+    records ten times as wide.
+    """
+    ts = F.timestamp_add("DAY", F.lit(TIME_SHIFT_DAYS), F.col("ts"))
+    if by_hour:
+        ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ev = (events(spark, sf_dir).select("*", *_hour_keys(ts)).repartitionByRange(ranges, *HOUR_KEYS, "ts")
+              .sortWithinPartitions(*HOUR_KEYS))
+    else:
+        ev = dealt(events(spark, sf_dir))
     uid, eid = F.col("user_id"), F.col("event_id")
     is_error = F.col("event_type") == "error"
-    ts = F.timestamp_add("DAY", F.lit(TIME_SHIFT_DAYS), F.col("ts"))
     tenant = _pick(TENANTS, uid % 4)
     k = F.get_json_object("props", "$.k").cast("bigint")
     metadata = F.to_json(F.struct(
@@ -116,9 +131,17 @@ def invocation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_error, F.to_json(F.struct(_pick(ERROR_TYPES, uid % 3).alias("type"))))
         .alias("error"),
         latency_ms(),
+        *(HOUR_KEYS if by_hour else []),
     )
 
 
+HOUR_KEYS = ["year", "month", "day", "hour"]
+
+
+def _hour_keys(ts: Column) -> list[Column]:
+    return [f(ts).alias(k) for f, k in zip((F.year, F.month, F.dayofmonth, F.hour), HOUR_KEYS)]
+
+
 def user_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One metadata row per known user (users with id % 25 = 24 are unknown)."""
     ev = events(spark, sf_dir)
@@ -178,7 +201,7 @@ def gateway_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every event is one request by ``user{id}@company.com``; failed model
     calls (event type ``error``) carry no token counts.
     """
-    ev = events(spark, sf_dir)
+    ev = dealt(events(spark, sf_dir))
     is_error = F.col("event_type") == "error"
     k = F.get_json_object("props", "$.k").cast("bigint")
     return ev.select(
@@ -203,13 +226,13 @@ def write_raw_log(raw: DataFrame, path: str) -> None:
     """Store raw log records as JSON under ``year=/month=/day=/hour=`` folders.
 
     Range partitioning on the timestamp text gives each task a contiguous
-    time slice, so each hour folder gets one or two files.
+    time slice, so each hour folder gets one or two files.  Records that have
+    HOUR_KEYS lie in such slices already.
     """
-    ts = F.to_timestamp_ntz(F.regexp_replace("timestamp", "Z$", ""))
-    (raw.withColumn("year", F.year(ts)).withColumn("month", F.month(ts))
-     .withColumn("day", F.dayofmonth(ts)).withColumn("hour", F.hour(ts))
-     .repartitionByRange("timestamp")
-     .write.mode("overwrite").partitionBy("year", "month", "day", "hour").json(path))
+    if not set(HOUR_KEYS) <= set(raw.columns):
+        ts = F.to_timestamp_ntz(F.regexp_replace("timestamp", "Z$", ""))
+        raw = raw.select("*", *_hour_keys(ts)).repartitionByRange("timestamp")
+    raw.write.mode("overwrite").partitionBy(*HOUR_KEYS).json(path)
 
 
 def user_metadata_puts(users: DataFrame) -> DataFrame:
