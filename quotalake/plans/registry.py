@@ -471,7 +471,7 @@ def _stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _raw_log_path(spark: SparkSession, sf_dir: str) -> str:
     """The fixture log stored as hourly JSON folders (built once per application)."""
-    return derived_path(spark, "raw_log_json", _events_path(sf_dir), lambda: fx.invocation_log(spark, sf_dir), fx.write_raw_log)
+    return derived_path(spark, "raw_log_json", _events_path(sf_dir), lambda: fx.invocation_log(spark, sf_dir, by_hour=True), fx.write_raw_log)
 
 
 # Rows older than this go from the stored table; it lies inside an hour.
@@ -494,7 +494,7 @@ def _source_queries() -> dict[str, Query]:
         return LG.discover_schema(s, _raw_log_path(s, d), previous)[1]
 
     def widened(s, d):
-        path = derived_path(s, "changing_log_json", _events_path(d), lambda: fx.invocation_log(s, d), fx.write_changing_log)
+        path = derived_path(s, "changing_log_json", _events_path(d), lambda: fx.invocation_log(s, d, by_hour=True), fx.write_changing_log)
         schema = None
         for era in ("era=1", "era=2"):
             schema, _ = LG.discover_schema(s, f"{path}/{era}", schema)
