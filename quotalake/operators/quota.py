@@ -391,10 +391,10 @@ def replay_span(spark, root: str, calls: DataFrame, users: DataFrame, policies:
     decided = decide_calls(known, chunk_seconds)
     rows = _replayed(decided).unionByName(rejected_calls(base), allowMissingColumns=True).withColumn("day", F.to_date("ts"))
     done = cut_lineage(rows)
-    _replace(done.repartition("day"), f"{root}/decisions", "day")
+    _replace(done.hint("rebalance", "day"), f"{root}/decisions", "day")
     ok = done.where("status = 200 and user_id is not null")
     _replace(ok.groupBy(F.col("user_id").alias("user_email"), "day").agg(
-        F.sum("charged_tokens").cast("bigint").alias("tokens_used"), F.max("ts").alias("last_updated")).repartition("day"), f"{root}/daily", "day")
+        F.sum("charged_tokens").cast("bigint").alias("tokens_used"), F.max("ts").alias("last_updated")).hint("rebalance", "day"), f"{root}/daily", "day")
     month = F.trunc(F.lit(str(end)).cast("date"), "MM")
     new = done.where(F.col("charged_tokens").isNotNull()).select("user_id", F.trunc("day", "MM").alias("_month"), F.col("charged_tokens").alias("used"))
     if carried is not None:

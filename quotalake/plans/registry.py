@@ -155,6 +155,7 @@ def _spans(spark: SparkSession, sf_dir: str) -> str:
     def write(rows: DataFrame, out: str) -> None:
         first, last = rows.agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
         who, limits = cut_lineage(users(spark, sf_dir)), cut_lineage(policies(spark, sf_dir))
+        rows = cut_lineage(rows.repartitionByRange("ts"))  # each span reads its own files
         while first <= last:
             end = first + dt.timedelta(days=5)
             K.replay_span(spark, out, rows, who, limits, first, end)
