@@ -299,15 +299,9 @@ def _calls_path(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _arrivals_path(spark: SparkSession, sf_dir: str, name: str, build) -> str:
-    """Rows with an arrival time ``arrived_at`` as three files, one after the other arrived; calls are out of order in them."""
-    def write(df: DataFrame, path: str) -> None:
-        low, high = df.agg(F.min("arrived_at"), F.max("arrived_at")).first()
-        for k in range(3):
-            inside = (F.col("arrived_at") >= low + (high - low) * k / 3) & (F.col("arrived_at") < low + (high - low) * (k + 1) / 3)
-            part = df.where(inside if k < 2 else F.col("arrived_at") >= low + (high - low) * 2 / 3)
-            part.repartition(1).sortWithinPartitions(F.xxhash64("ts")).write.mode("append").parquet(path)
-
-    return derived_path(spark, f"{name}_arrivals", _events_path(sf_dir), build, write)
+    """Rows with an arrival time ``arrived_at`` as three slices, one after the other arrived; calls are out of order in them."""
+    return derived_path(spark, f"{name}_arrivals", _events_path(sf_dir), build,
+                        lambda df, path: SC.write_slices(df, path, "arrived_at", [F.xxhash64("ts")]))
 
 
 def _arrives(df: DataFrame, *after: str) -> DataFrame:
@@ -317,10 +311,6 @@ def _arrives(df: DataFrame, *after: str) -> DataFrame:
             .withColumn("arrived_at", F.timestamp_add("SECOND", wait, F.col("ts")) + F.col("_after")).drop("_after"))
 
 
-def _arrival_stream(spark: SparkSession, path: str) -> DataFrame:
-    return SC.file_stream(spark, path, spark.read.parquet(path), max_files_per_trigger=1)
-
-
 # Half of the second deliveries come within the hour that the stream's state remembers.
 TWICE = ("interval 0 minutes", "if(pmod(xxhash64(request_id), 2) = 0, interval 20 minutes, interval 2 days)")
 
@@ -330,7 +320,7 @@ def _stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = SC.run_dir(spark, "counters")
     columns = ["request_id", "ts", "user_id", "error_type", "input_tokens", "output_tokens"]
     path = _arrivals_path(spark, sf_dir, "deliveries", lambda: _arrives(invocations(spark, sf_dir).select(*columns), *TWICE))
-    SC.run_until_caught_up(ST1.stream_usage_counters(_arrival_stream(spark, path), out + "/sink", out + "/checkpoint", "arrived_at"))
+    SC.run_until_caught_up(ST1.stream_usage_counters(SC.slice_stream(spark, path), out + "/sink", out + "/checkpoint", "arrived_at"))
     return ST1.read_counters(spark, out + "/sink")
 
 
@@ -346,7 +336,7 @@ def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5 over the call log delivered twice, out of order."""
     path = _arrivals_path(spark, sf_dir, "calls_twice", lambda: _arrives(calls(spark, sf_dir), *TWICE))
     out = SC.run_dir(spark, "dedup")
-    SC.run_until_caught_up(ST1.dedup_stream(_arrival_stream(spark, path), out + "/sink", out + "/checkpoint", "arrived_at"))
+    SC.run_until_caught_up(ST1.dedup_stream(SC.slice_stream(spark, path), out + "/sink", out + "/checkpoint", "arrived_at"))
     return ST1.read_deduplicated(spark, out + "/sink", calls(spark, sf_dir).schema)
 
 
@@ -371,7 +361,7 @@ def _metric_stream(spark: SparkSession, sf_dir: str) -> str:
         SC.run_until_caught_up(ST2.stream_metrics(stream, ["tenant"], F.col("latency_ms"), sums, out + "/sink", out + "/checkpoint",
                                                   arrived="arrived_at"))
 
-    return derived_path(spark, "metric_windows", _events_path(sf_dir), lambda: _arrival_stream(spark, path), write)
+    return derived_path(spark, "metric_windows", _events_path(sf_dir), lambda: SC.slice_stream(spark, path), write)
 
 
 def _stream_metrics(period_s: int) -> Query:
@@ -390,14 +380,14 @@ def _stream_token_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3 on what T2 emits: input tokens per hour, out of order."""
     out = SC.run_dir(spark, "token-alarm")
     SC.run_until_caught_up(ST2.stream_metrics(
-        _arrival_stream(spark, _token_arrivals(spark, sf_dir)), [], F.lit(None).cast("bigint"), {"value": F.col("input_tokens")},
+        SC.slice_stream(spark, _token_arrivals(spark, sf_dir)), [], F.lit(None).cast("bigint"), {"value": F.col("input_tokens")},
         out + "/sink", out + "/checkpoint", [3600], arrived="arrived_at"))
     return AL.evaluate_alarm(ST2.read_metrics(spark, out + "/sink", [], 3600).select("period_start", "value"), 1_000_000, 3600)
 
 
 def _alerts(spark: SparkSession, path: str, name: str, value, how: str, threshold: float, period_s: int) -> DataFrame:
     out = SC.run_dir(spark, name)
-    SC.run_until_caught_up(ST3.stream_alerts(_arrival_stream(spark, path), value, how, threshold, period_s, out + "/sink", out + "/checkpoint",
+    SC.run_until_caught_up(ST3.stream_alerts(SC.slice_stream(spark, path), value, how, threshold, period_s, out + "/sink", out + "/checkpoint",
                                              arrived="arrived_at"))
     return spark.read.schema(ST3.CHANGES).parquet(out + "/sink")
 
@@ -446,12 +436,9 @@ def _run_decisions(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
     paths = [derived_path(spark, name, _events_path(sf_dir), lambda b=build: b(spark, sf_dir))
              for name, build in (("user_metadata", fx.user_metadata), ("quota_policies", fx.quota_policies))]
 
-    span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    cuts = [span.lo + (span.hi - span.lo) * k / 3 for k in (1, 2)]
-    for part in (F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]):
-        rows.where(part).repartition(1).write.mode("append").parquet(out + "/calls")
+    SC.write_slices(rows, out + "/calls", "ts")
     SC.run_until_caught_up(ST4.stream_quota_decisions(
-        SC.file_stream(spark, out + "/calls", rows, max_files_per_trigger=1), lambda: tuple(map(spark.read.parquet, paths)),
+        SC.slice_stream(spark, out + "/calls"), lambda: tuple(map(spark.read.parquet, paths)),
         out + "/sink", out + "/checkpoint"))
     return ST4.read_decisions(spark, out + "/sink")
 

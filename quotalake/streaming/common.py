@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotalake.session import checkpoint_dir, cut_lineage
@@ -26,6 +27,35 @@ def file_stream(spark: SparkSession, path: str, template: DataFrame,
     return reader.parquet(path)
 
 
+# Rows of one file of a slice, so that one task reads it in seconds.
+FILE_ROWS = 250_000
+
+
+def write_slices(df: DataFrame, path: str, at: str, order: Sequence[Column] = (), slices: int = 3) -> None:
+    """Store ``df`` as slices of about as many rows, one after the other in time ``at``, for ``slice_stream``.
+
+    Each slice has the same number of files, which grows with the rows, so
+    that many tasks write and read it.  Rows without a time are in no slice.
+    """
+    edges = df.agg(F.percentile_approx(at, [k / slices for k in range(1, slices)], 1000).alias("at")).first().at or []
+    number = reduce(lambda a, b: a + b, [(F.col(at) >= F.lit(e)).cast("int") for e in edges], F.lit(0))
+    placed = df.where(F.col(at).isNotNull()).withColumn("_slice", number)
+    rows = {r["_slice"]: r["count"] for r in placed.groupBy("_slice").count().collect()}
+    # Never so many files that one of them could stay empty: an empty part is not written.
+    files = max(1, min(-(-max(rows.values(), default=0) // FILE_ROWS), min(rows.get(k, 0) for k in range(slices)) // 1000))
+    for k in range(slices):
+        part = placed.where(F.col("_slice") == k).drop("_slice").repartition(files)
+        (part.sortWithinPartitions(*order) if order else part).write.mode("append").parquet(path)
+    if len(df.sparkSession.read.parquet(path).inputFiles()) != slices * files:
+        raise ValueError("the slices do not have the same number of files")
+
+
+def slice_stream(spark: SparkSession, path: str, slices: int = 3) -> DataFrame:
+    """Tail what ``write_slices`` stored, one slice a micro-batch."""
+    stored = spark.read.parquet(path)
+    return file_stream(spark, path, stored, max_files_per_trigger=len(stored.inputFiles()) // slices)
+
+
 def run_until_caught_up(writer):
     """Start with ``availableNow`` (process what exists, then stop) and wait until all of it is processed.
 
@@ -85,8 +115,8 @@ class PeriodTotals:
     ``last_updated`` is the newest time counted.  Each row keeps what it was
     before the batch that changed it last (``was``, ``was_updated``,
     ``batch``): a batch that runs again, even after some of its partitions
-    were replaced, starts from there and adds nothing twice.  A partition
-    should fit a task: about users / ``buckets`` x 31 rows.
+    were replaced, starts from there and adds nothing twice.  A large
+    partition is written by several tasks.
     """
 
     COLUMNS = ("user_id string, day date, used long, last_updated timestamp_ntz, was long, was_updated timestamp_ntz, "
@@ -132,7 +162,7 @@ class PeriodTotals:
             F.when(hit, F.col("last_updated")).otherwise(F.col("was_updated")).alias("was_updated"),
             F.when(hit, F.lit(batch_id)).otherwise(F.col("batch")).cast("long").alias("batch"), "month", "bucket")
         # Stored first: the partitions are read and replaced.
-        overwrite_partitions(cut_lineage(merged.repartition("month", "bucket")), self.root, ["month", "bucket"])
+        overwrite_partitions(cut_lineage(merged.hint("rebalance", "month", "bucket")), self.root, ["month", "bucket"])
 
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(self.COLUMNS).parquet(self.root).select("user_id", "day", "used", "last_updated")
