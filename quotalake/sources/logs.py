@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quotalake.schema import INVOCATION_LOG
+from quotalake.session import cut_lineage
 
 PARTITION_COLUMN = "usage_day"
 
@@ -123,7 +124,7 @@ def derived_table(spark: SparkSession, name: str, source: str, build) -> DataFra
 
 def _store(df: DataFrame, path: str) -> None:
     if PARTITION_COLUMN in df.columns:
-        write_invocations_partitioned(df, path)
+        write_invocations_partitioned(cut_lineage(df), path)  # stored first: dealing by range reads its input twice
     else:
         df.write.mode("overwrite").parquet(path)
 
