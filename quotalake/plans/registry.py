@@ -47,8 +47,7 @@ def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact table (S6) in the shared checkpoint folder; queries read it back
     with pruning and pushed filters, as they would on the production table.
     """
-    return derived_table(spark, "invocations", _events_path(sf_dir),
-                         lambda: normalize_invocations(fx.invocation_log(spark, sf_dir)))
+    return spark.read.parquet(_inv_path(spark, sf_dir))
 
 
 def _usage_queries() -> dict[str, Query]:
@@ -290,8 +289,9 @@ def _span_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _inv_path(spark: SparkSession, sf_dir: str) -> str:
-    return derived_path(spark, "invocations", _events_path(sf_dir),
-                        lambda: normalize_invocations(fx.invocation_log(spark, sf_dir)))
+    # The events are dealt by time before they become records: neither these nor the facts are sent or stored twice.
+    return derived_path(spark, "invocations", _events_path(sf_dir), lambda: normalize_invocations(fx.invocation_log(spark, sf_dir, by_time=True)),
+                        lambda df, path: LG.write_invocations_partitioned(df, path, dealt=True))
 
 
 def _calls_path(spark: SparkSession, sf_dir: str) -> str:

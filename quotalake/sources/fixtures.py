@@ -84,16 +84,18 @@ def user_email(user_id: Column) -> Column:
     return F.concat(F.lit("user"), user_id.cast("string"), F.lit("@company.com"))
 
 
-def invocation_log(spark: SparkSession, sf_dir: str, by_hour: bool = False) -> DataFrame:
+def invocation_log(spark: SparkSession, sf_dir: str, by_hour: bool = False, by_time: bool = False) -> DataFrame:
     """Raw invocation-log records, one per event (columns of ``schema.INVOCATION_LOG``).
 
     ``by_hour`` adds HOUR_KEYS and orders the records by them for
     ``write_raw_log``: the events are sent and sorted before they become
-    records ten times as wide.
+    records ten times as wide.  ``by_time`` sends them by ranges of time.
     """
     ts = F.timestamp_add("DAY", F.lit(TIME_SHIFT_DAYS), F.col("ts"))
-    if by_hour:
-        ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if by_time:
+        ev = events(spark, sf_dir).repartitionByRange(ranges, F.to_date(ts), "ts", "event_id")
+    elif by_hour:
         ev = (events(spark, sf_dir).select("*", *_hour_keys(ts)).repartitionByRange(ranges, *HOUR_KEYS, "ts")
               .sortWithinPartitions(*HOUR_KEYS))
     else:

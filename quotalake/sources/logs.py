@@ -59,13 +59,14 @@ def stream_invocations(spark: SparkSession, path: str, schema: T.StructType = IN
 
 # ---------------------------------------------------------------- S6 / S7
 def write_invocations_partitioned(inv: DataFrame, path: str, layout: str = "day",
-                                  files_per_day: int | None = None, mode: str = "overwrite") -> None:
+                                  files_per_day: int | None = None, mode: str = "overwrite", dealt: bool = False) -> None:
     """Persist the fact table partitioned by ``usage_day`` (or year/month/day/hour).
 
     Rows are range-partitioned on (day, ts) first: each task writes a
     contiguous time slice, so files are sorted by time (tight ``ts``
     min/max statistics for pushed filters), few files per partition, and a
-    very busy day is split over many tasks instead of one.
+    very busy day is split over many tasks instead of one.  Rows that are
+    ``dealt`` lie in such ranges already.
     """
     out = inv
     if layout == "hour":
@@ -79,7 +80,8 @@ def write_invocations_partitioned(inv: DataFrame, path: str, layout: str = "day"
     # A stated number of ranges, so that AQE does not merge them into one
     # writer that opens every folder.
     ranges = files_per_day or int(inv.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = out.repartitionByRange(ranges, *[F.col(c) for c in parts], F.col("ts"), F.col("request_id"))
+    if not dealt:
+        out = out.repartitionByRange(ranges, *[F.col(c) for c in parts], F.col("ts"), F.col("request_id"))
     out = out.sortWithinPartitions(*parts, "ts")
     out.write.mode(mode).partitionBy(*parts).parquet(path)
 

@@ -102,3 +102,23 @@ def test_stored_tables_are_not_taken_at_their_compressed_size(spark, tmp_dir):
     size = int(str(spark.read.parquet(tmp_dir + "/t")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     stored = sum(os.path.getsize(os.path.join(tmp_dir, "t", f)) for f in os.listdir(tmp_dir + "/t") if f.endswith(".parquet"))
     assert size >= 7 * stored
+
+
+def test_facts_are_dealt_once_as_narrow_events(spark, tmp_dir, monkeypatch):
+    from quotalake.operators.normalize import normalize_invocations
+    from quotalake.plans import registry
+    from quotalake.sources import fixtures, logs
+
+    def twice(*args, **options):
+        raise AssertionError("the facts are stored twice")
+
+    rows = [(k, f"2024-01-{1 + k % 3:02d} 00:00:{k % 60:02d}", k % 40, "error" if k % 9 == 0 else "view", k / 7, '{"k": %d}' % (k % 90)) for k in range(500)]
+    rows += [(1, "2024-01-01 00:00:01", 1, "view", 1.0, "{}"), (None, None, None, None, None, None)]
+    (spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+     .selectExpr("event_id", "cast(ts as timestamp_ntz) ts", "user_id", "event_type", "value", "props").write.parquet(tmp_dir + "/events.parquet"))
+    monkeypatch.setattr(logs, "cut_lineage", twice)
+    got = registry.invocations(spark, tmp_dir)
+    expected = normalize_invocations(fixtures.invocation_log(spark, tmp_dir))
+    text = lambda df: sorted(map(str, df.select(*expected.columns).collect()))
+    assert text(got) == text(expected)
+    assert len(got.inputFiles()) > 4
