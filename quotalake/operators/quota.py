@@ -10,6 +10,8 @@ event-time (UTC) calendar months and days.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -255,7 +257,7 @@ def quota_replay(calls: DataFrame, users: DataFrame, policies: DataFrame, chunk_
     ``decide_calls`` has the rules and why they equal the protocol.
     """
     base = prepare_calls(calls, users, policies)
-    decided = decide_calls(base.where("status is null"), chunk_seconds)
+    decided = decide_calls(base.where("status is null"), chunk_seconds, calls)
     return _replayed(decided).unionByName(rejected_calls(base), allowMissingColumns=True)
 
 
@@ -268,7 +270,8 @@ def _replayed(decided: DataFrame) -> DataFrame:
         (F.col("daily_usage") >= F.col("daily_limit")).alias("daily_exceeded"), "status")
 
 
-def decide_calls(t: DataFrame, chunk_seconds: int = 60) -> DataFrame:
+def decide_calls(t: DataFrame, chunk_seconds: int = 60, calls: DataFrame | None = None,
+                 carried: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Check-then-add for prepared rows (tokens >= 0, _day, _month, limits, mode, failed); sets ``status`` 200, 429 or 500.
 
     ``_carry_d`` and ``_carry_m``, where given, are the usage accepted before
@@ -286,14 +289,56 @@ def decide_calls(t: DataFrame, chunk_seconds: int = 60) -> DataFrame:
     alone: from the call on that reaches the monthly limit this sum is too
     high, and every call is refused with either.
 
-    So one running sum over the rows is enough (one exchange of them, on
+    The rows are exchanged once, by user, and all this is told by running
+    sums over the order they are sorted in.  Only a user's month of more
+    than HOT_CALLS calls, which one task should not hold, is decided in
+    chunks that spread over many tasks (``_decide_in_chunks``).  ``calls``
+    (user_id, ts), from which ``t`` was made, is counted for that if given.
+    ``carried`` adds the carry to rows, which it gets dealt by user.
+    """
+    t = t.where(F.col("ts").isNotNull())
+    counted = t if calls is None else calls.select("user_id", F.trunc(F.to_date("ts"), "MM").alias("_month"))
+    hot = cut_lineage(counted.groupBy("user_id", "_month").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_CALLS).drop("_n"))
+    none = hot.isEmpty()
+    few, keys = F.broadcast(hot), ["user_id", "_month"]  # one row per HOT_CALLS calls at most
+
+    def with_carry(rows: DataFrame) -> DataFrame:
+        rows = carried(rows)
+        return rows.withColumns({c: F.lit(0).cast("bigint") for c in ("_carry_d", "_carry_m") if c not in rows.columns})
+
+    found = _decide_in_order(with_carry((t if none else t.join(few, keys, "left_anti")).repartition("user_id")))
+    return found if none else found.unionByName(_decide_in_chunks(with_carry(t.join(few, keys, "left_semi")), chunk_seconds))
+
+
+# Calls of a user's month that one task decides.
+HOT_CALLS = 50_000
+
+
+def _decide_in_order(t: DataFrame) -> DataFrame:
+    """``decide_calls`` by running sums over each user's month in order of time."""
+    order = ["ts", "request_id"]
+    day, month = Window.partitionBy("user_id", "_month", "_day").orderBy(*order), Window.partitionBy("user_id", "_month").orderBy("_day", *order)
+    upto = lambda c, w: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    blocks = F.col("enforcement_mode") == F.lit("block")
+    left = F.col("daily_limit") - F.col("_carry_d")
+    part = lambda cap: F.when(cap.isNull() | (F.col("_d") < cap), F.col("tokens")).otherwise(F.lit(0))
+    rows = t.withColumn("_d", upto("tokens", day) - F.col("tokens"))
+    rows = rows.withColumn("_x", part(left))  # by the daily limit alone
+    rows = rows.withColumn("_before", upto("_x", month) - upto("_x", day))
+    rows = rows.withColumn("_cap", F.when(blocks, F.least(left, F.col("monthly_limit") - F.col("_carry_m") - F.col("_before"))))
+    rows = rows.withColumn("_y", part(F.col("_cap")))
+    rows = rows.withColumns({"_taken": upto("_y", day) - F.col("_y"), "_earlier": upto("_y", month) - upto("_y", day)})
+    return _decided(rows)
+
+
+def _decide_in_chunks(t: DataFrame, chunk_seconds: int) -> DataFrame:
+    """``decide_calls`` with no task holding a user's day.
+
+    One running sum over the rows is enough (one exchange of them, on
     (user, chunk), so that a user with a third of all calls is spread over
     many tasks; one stored copy); everything else is small: one row per user
     and day, one window over the days of a user's month.
     """
-    for c in ("_carry_d", "_carry_m"):
-        if c not in t.columns:
-            t = t.withColumn(c, F.lit(0).cast("bigint"))
     order = [F.col("ts"), F.col("request_id")]
     rows = cut_lineage(prefix_sums(with_chunk(t, "ts", chunk_seconds), "user_id", order, [("tokens", "_day", "_d")], materialize=False))
     blocks = F.col("enforcement_mode") == F.lit("block")
@@ -319,14 +364,21 @@ def decide_calls(t: DataFrame, chunk_seconds: int = 60) -> DataFrame:
                 .when(F.col("_split"), F.coalesce("_cut", "_all")).otherwise(F.col("_by_day")))
     days = days.join(cut, ["user_id", "_day"], "left").withColumn("_taken", accepted)
     days = days.select("user_id", "_day", "_cap", "_taken", so_far("_taken").alias("_earlier"))
-    t = rows.join(chunks.join(days, ["user_id", "_day"]).drop("_day"), ["user_id", "_chunk"])
+    return _decided(rows.join(chunks.join(days, ["user_id", "_day"]).drop("_day"), ["user_id", "_chunk"]))
+
+
+def _decided(t: DataFrame) -> DataFrame:
+    """Columns of a decision from ``_d``, the day's ``_cap`` and what it ``_taken``, and what days ``_earlier`` took."""
+    kept = [c for c in t.columns if not c.startswith("_") or c in ("_day", "_month")]
     fits = F.col("_cap").isNull() | (F.col("_d") < F.col("_cap"))
     used = F.when(fits, F.col("_d")).otherwise(F.col("_taken"))
     return (t.withColumn("allowed", fits)
             .withColumn("charged_tokens", F.when(F.col("allowed"), F.col("tokens")).otherwise(F.lit(0)))
             .withColumn("daily_usage", (F.col("_carry_d") + used).cast("bigint"))
             .withColumn("monthly_usage", (F.col("_carry_m") + F.col("_earlier") + used).cast("bigint"))
-            .withColumn("status", F.when(~F.col("allowed"), F.lit(429)).when(F.col("failed"), F.lit(500)).otherwise(F.lit(200))))
+            .withColumn("status", F.when(~F.col("allowed"), F.lit(429)).when(F.col("failed"), F.lit(500)).otherwise(F.lit(200)))
+            .select(*[c for c in kept if c not in ("allowed", "charged_tokens", "daily_usage", "monthly_usage", "status")],
+                    "allowed", "charged_tokens", "daily_usage", "monthly_usage", "status"))
 
 
 def quota_replay_versions(calls: DataFrame, users: DataFrame, versions: DataFrame, chunk_seconds: int = 60) -> DataFrame:
@@ -388,7 +440,7 @@ def replay_span(spark, root: str, calls: DataFrame, users: DataFrame, policies:
         carried = (spark.read.schema(CARRY).parquet(f"{root}/carry").where(F.col("closed") == F.lit(start))
                    .select("user_id", "_month", F.col("used").alias("_carry_m")))
         known = known.join(carried, ["user_id", "_month"], "left").fillna(0, ["_carry_m"])
-    decided = decide_calls(known, chunk_seconds)
+    decided = decide_calls(known, chunk_seconds, inside)
     rows = _replayed(decided).unionByName(rejected_calls(base), allowMissingColumns=True).withColumn("day", F.to_date("ts"))
     done = cut_lineage(rows)
     _replace(done.hint("rebalance", "day"), f"{root}/decisions", "day")

@@ -343,7 +343,7 @@ def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _with_tick(rows: DataFrame, seconds: int, period_s: int) -> DataFrame:
     """``rows`` and one without a call, that arrives ``seconds`` after the last period with calls ended."""
     end = F.timestamp_add("SECOND", F.lit(seconds + period_s), bucket_start(F.max("ts"), period_s)).alias("arrived_at")
-    return rows.unionByName(rows.agg(end), allowMissingColumns=True)
+    return rows.unionByName(cut_lineage(rows.agg(end)), allowMissingColumns=True)
 
 
 def _metric_stream(spark: SparkSession, sf_dir: str) -> str:
@@ -430,9 +430,8 @@ def _alarm_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def _run_decisions(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
-    """T4 over the call log in three slices of time, one micro-batch each; returns the decisions."""
-    rows = calls(spark, sf_dir)
+def _run_decisions(spark: SparkSession, sf_dir: str, rows: DataFrame, out: str) -> DataFrame:
+    """T4 over the call log ``rows`` in three slices of time, one micro-batch each; returns the decisions."""
     paths = [derived_path(spark, name, _events_path(sf_dir), lambda b=build: b(spark, sf_dir))
              for name, build in (("user_metadata", fx.user_metadata), ("quota_policies", fx.quota_policies))]
 
@@ -444,12 +443,14 @@ def _run_decisions(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
 
 
 def _stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run_decisions(spark, sf_dir, SC.run_dir(spark, "quota"))
+    return _run_decisions(spark, sf_dir, calls(spark, sf_dir), SC.run_dir(spark, "quota"))
 
 
 def _decision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4's decisions, streamed once per application; alarms read them."""
-    return derived_table(spark, "quota_decisions_stream", _events_path(sf_dir), lambda: _stream_decisions(spark, sf_dir))
+    """T4's decisions, streamed once per application; alarms read them where the stream put them."""
+    path = derived_path(spark, "quota_decisions_stream", _events_path(sf_dir), lambda: calls(spark, sf_dir),
+                        lambda rows, out: _run_decisions(spark, sf_dir, rows, out))
+    return ST4.read_decisions(spark, path + "/sink")
 
 
 def _stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,9 +201,10 @@ def gateway_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests as the gateway sees them: principal, time, tokens, failure flag.
 
     Every event is one request by ``user{id}@company.com``; failed model
-    calls (event type ``error``) carry no token counts.
+    calls (event type ``error``) carry no token counts.  They lie in ranges
+    of time, so that readers of a span pass over the others.
     """
-    ev = dealt(events(spark, sf_dir))
+    ev = events(spark, sf_dir).repartitionByRange(2 * spark.sparkContext.defaultParallelism, "ts", "event_id")
     is_error = F.col("event_type") == "error"
     k = F.get_json_object("props", "$.k").cast("bigint")
     return ev.select(

@@ -1,7 +1,7 @@
 """T4 stream_quota_decisions: check-then-add per micro-batch, and T3 on quota percent behind it.
 
-Each micro-batch applies the batch replay rules (K8: chunked prefix sums, so
-a user with a third of the calls is spread over many tasks) on top of the
+Each micro-batch applies the batch replay rules (K8: the calls are sent once,
+a user with very many of them is spread over many tasks) on top of the
 usage accepted by earlier batches.  That usage is one row per user and day,
 in partitions by month and user bucket of which a batch reads and replaces
 those it touches: a late call, however old its day, meets the usage of that
@@ -45,11 +45,19 @@ def stream_quota_decisions(calls_stream: DataFrame, dimensions: Dimensions, root
             base = prepare_calls(batch, *dimensions())
             touched = usage.touched(batch.select("user_id", F.to_date("ts").alias("day")).where("user_id is not null"))
             earlier = usage.before(spark, touched, batch_id)
-            months = earlier.groupBy("user_id", F.col("month").alias("_month")).agg(F.sum("used").cast("bigint").alias("_carry_m"))
-            days = earlier.select("user_id", F.col("day").alias("_day"), F.col("used").alias("_carry_d"))
-            known = (base.where("status is null").join(months, ["user_id", "_month"], "left").join(days, ["user_id", "_day"], "left")
-                     .fillna(0, ["_carry_m", "_carry_d"]))
-            decided = decide_calls(known, chunk_seconds).unionByName(rejected_calls(base), allowMissingColumns=True)
+            # One row per user, so that the calls are sent once, by user.
+            months = earlier.groupBy("user_id", "month").agg(
+                F.sum("used").cast("bigint").alias("used"), F.map_from_entries(F.collect_list(F.struct("day", "used"))).alias("days"))
+            carried = months.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("month", F.struct("used", "days")))).alias("_carried"))
+            carry = F.col("_carried")[F.col("_month")]
+
+            def carried_on(rows: DataFrame) -> DataFrame:
+                return (rows.join(carried, "user_id", "left").withColumns({
+                    "_carry_m": F.coalesce(carry["used"], F.lit(0)), "_carry_d": F.coalesce(carry["days"][F.col("_day")], F.lit(0))})
+                    .drop("_carried"))
+
+            decided = decide_calls(base.where("status is null"), chunk_seconds, batch, carried_on)
+            decided = decided.unionByName(rejected_calls(base), allowMissingColumns=True)
             decisions.write(decided.select(*[c.split()[0] for c in DECISIONS.split(", ")]), batch_id)
             done = decisions.read(spark).where((F.col("batch") == batch_id) & F.col("charged_tokens").isNotNull())
             accepted = done.groupBy("user_id", F.to_date("ts").alias("day")).agg(

@@ -200,3 +200,32 @@ def test_counters_read_the_calls_once(spark):
                                 "user_id string, ts timestamp_ntz, usage_day date, error_type string, input_tokens long, output_tokens long")
     plan = K.usage_counters(inv).where("metric_period = 'monthly_2024-02'")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def _prepared_calls(spark, n=400):
+    rng = random.Random(11)
+    rows = [(f"r{k}", dt.datetime(2024, 1, 30) + dt.timedelta(minutes=rng.randrange(4000)), f"u{min(rng.randrange(4), rng.randrange(4))}",
+             rng.choice([0, 5, 20, 60]), rng.random() < 0.1) for k in range(n)]
+    calls = spark.createDataFrame([(r, t, u, x, 0, f) for r, t, u, x, f in rows],
+                                  "request_id string, ts timestamp_ntz, user_id string, input_tokens long, output_tokens long, failed boolean")
+    users = users_df(spark, [(f"u{k}", "sales" if k % 2 else "finance", "t", "d") for k in range(4)])
+    policies = policies_df(spark, [("group", "sales", 900, 400, "block"), ("user", "u2", 700, None, "alert"), ("group", "finance", 5000, 300, "block")])
+    return K.prepare_calls(calls, users, policies).where("status is null").withColumns(
+        {"_carry_d": F.lit(30).cast("long"), "_carry_m": F.when(F.col("_month") < "2024-02-01", F.lit(200)).otherwise(F.lit(30)).cast("long")})
+
+
+def test_calls_are_sent_once_to_be_decided(spark):
+    calls = _prepared_calls(spark).localCheckpoint()
+    plan = K.decide_calls(calls)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "FileScan" not in plan
+
+
+def test_months_of_many_calls_are_decided_alike(spark, monkeypatch):
+    calls = _prepared_calls(spark)
+    columns = ["request_id", "user_id", "allowed", "charged_tokens", "monthly_usage", "daily_usage", "status"]
+    decide = lambda: sorted(map(tuple, K.decide_calls(calls).select(*columns).collect()))
+    in_order = decide()
+    assert len(in_order) == 400 and {r[-1] for r in in_order} == {200, 429, 500}
+    for most in (0, 100):  # all of them, and some, spread over tasks
+        monkeypatch.setattr(K, "HOT_CALLS", most)
+        assert decide() == in_order
