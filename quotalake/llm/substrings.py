@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,10 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 # Windows are compared by the code of their key phrase and 48 bits of their own.
 WINDOW_BYTES = 6
 # Words whose hashes a task remembers.
-KNOWN_WORDS = 1 << 17
+KNOWN_WORDS = 1 << 16
+# Rows of a batch, and bytes of their texts, unpacked at a time.
+PART_ROWS = 1024
+PART_BYTES = 1 << 21
 ALL = 2**31 - 1
 
 
@@ -53,6 +57,19 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """``batches`` cut into slices of a few rows and, unless a row alone has more, of few bytes in column ``text``."""
+    for batch in batches:
+        end = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(text)), 0).cast(pa.int64())).to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            before = end[at - 1] if at else 0
+            size = int(np.searchsorted(end, before + PART_BYTES, "right")) - at
+            size = min(max(1, size), PART_ROWS)
+            yield batch.slice(at, size)
+            at += size
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(MULTIPLIER)
     return x ^ (x >> np.uint64(29))
@@ -117,7 +134,7 @@ def phrase_lists(docs: DataFrame) -> DataFrame:
     """(doc_id, phrases): the distinct key phrases of each row of ``docs`` that has any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in _parts(batches, 1):
             found = []
             for text in batch.column(1).to_pylist():
                 codes = phrase_codes(known.of(split_words(text)))
@@ -188,7 +205,7 @@ def passages(docs: DataFrame, confirmed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in _parts(batches, 2):
             shard, phrases, size = ([], [], []), 0, 0
             for number, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
                 one = known.of(split_words(text))
@@ -270,7 +287,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     both = touched.select("doc_id", "text", "spans").unionByName(rest.select("doc_id", "text", "spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 1):
             n_words, n_removed, kept = [], [], []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2)):
                 words = split_words(text)

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from quotalake.llm import substrings
 
@@ -102,3 +104,38 @@ def test_key_phrases_depend_on_the_window_alone():
     assert n.sum() == len(codes) - 9 and (first == np.cumsum(n) - n).all()
     for a, f, m in zip(at, first, n):
         assert all(order[w:w + 10].argmin() + w == a for w in range(f, f + m))
+
+
+def test_parts_of_a_batch_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(substrings, "PART_ROWS", 4)
+    monkeypatch.setattr(substrings, "PART_BYTES", 10)
+    texts = ["abc", None, "", "défg", "x" * 50, "y", None, None, None, None, None, "z" * 10, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(13)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(substrings._parts(iter([batch.slice(1), batch, batch.slice(0, 0)]), 1))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch.slice(1), batch]))
+    for p in parts:
+        size = [len((t or "").encode()) for t in p.column(1).to_pylist()]
+        assert 1 <= len(size) <= 4 and (len(size) == 1 or sum(size) <= 10)
+
+
+class Mapped:
+    """Takes the place of a DataFrame and keeps the function that it is mapped with."""
+
+    dtypes = [("doc_id", "bigint")]
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_batch_of_long_texts_is_not_unpacked_at_once():
+    texts = pa.array([" ".join(f"w{(k * 7 + i) % 900}" for i in range(2_500)) for k in range(4)] * 1_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4_000)), texts], ["doc_id", "text"])
+    run = substrings.phrase_lists(Mapped())
+    tracemalloc.start()
+    first = next(run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first.num_rows and most < batch.nbytes / 3
